@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import path as tokenizer_path
 
-from . import decontaminate, neardup, sharding
+from . import decontaminate, neardup, sharding, simple8b, tokens
 from .common import scratch_dir
 
 #: Shards of the sharding query.
@@ -43,8 +44,32 @@ def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokenizer_path("byte_bpe_50k.json")  # the same ranks as byte_bpe_50k.tiktoken
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = tokens.decode_bytes_bpe(tokens.encode_bytes_bpe(docs, vocabulary), vocabulary)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "token-files")
+    simple8b.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), path)
+    return simple8b.token_file_digests(spark, path)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.token_counts(docs, tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_decontaminate, op4_virtual_slots)}
+    found = (op1_near_duplicates, op2_decontaminate, op4_virtual_slots, op7_byte_bpe, op8_simple8b, op10_token_counts)
+    return {f.__name__: f for f in found}
 
 
 _TOKENS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{words}')"
