@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from . import decontaminate, neardup, sharding, simple8b, tokens
+from . import decontaminate, html_text, neardup, sharding, simple8b, tokens, toxicity
 from .common import scratch_dir
+from .labels import held_out
 
 #: Shards of the sharding query.
 SHARDS = 8
@@ -44,6 +45,20 @@ def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+#: Scores from which a document is called toxic, or of good quality.
+TOXIC, GOOD = 0.7, 0.5
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = tokenizer_path("byte_bpe_50k.json")  # the same ranks as byte_bpe_50k.tiktoken
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -68,7 +83,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_near_duplicates, op2_decontaminate, op4_virtual_slots, op7_byte_bpe, op8_simple8b, op10_token_counts)
+    found = (
+        op1_near_duplicates, op2_decontaminate, op4_virtual_slots, op5_html_text, op6_toxicity, op7_byte_bpe, op8_simple8b, op10_token_counts
+    )
     return {f.__name__: f for f in found}
 
 
