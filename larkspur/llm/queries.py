@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from . import decontaminate, html_text, neardup, sharding, simple8b, tokens, toxicity
+from . import decontaminate, hamming, html_text, neardup, quality, sharding, simple8b, tokens, toxicity
 from .common import scratch_dir
 from .labels import held_out
 
@@ -35,6 +35,15 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Results of a search.
+NEAREST = 10
+
+
+def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hamming.sign_codes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", "code")
+    return hamming.hamming_top_k(rows, rows.where("vec_id % 50 = 0"), NEAREST)
+
+
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = scratch_dir(spark, "slot-map")
@@ -77,6 +86,12 @@ def op8_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.token_file_digests(spark, path)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.token_counts(docs, tokenizer_path("word_bpe_49k.json"))
@@ -84,7 +99,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
-        op1_near_duplicates, op2_decontaminate, op4_virtual_slots, op5_html_text, op6_toxicity, op7_byte_bpe, op8_simple8b, op10_token_counts
+        op1_near_duplicates,
+        op2_decontaminate,
+        op3_hamming_top_k,
+        op4_virtual_slots,
+        op5_html_text,
+        op6_toxicity,
+        op7_byte_bpe,
+        op8_simple8b,
+        op9_quality,
+        op10_token_counts,
     )
     return {f.__name__: f for f in found}
 
@@ -135,5 +159,17 @@ FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)
 """
 
 
+OP3_SQL = """
+WITH codes AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+), pairs AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(list_zip(q.c, x.c), lambda p: abs(p[1] - p[2])))::INT AS distance
+  FROM codes q, codes x WHERE q.vec_id % 50 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM pairs)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": OP1_SQL, "op2_decontaminate": OP2_SQL}
+    return {"op1_near_duplicates": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_hamming_top_k": OP3_SQL}
