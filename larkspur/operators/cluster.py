@@ -392,9 +392,10 @@ class Agglomerative(Algorithm):
         if p["linkage"] not in ("ward", "complete", "average", "single"):
             raise ValueError(f"no such linkage: {p['linkage']}")
 
+        if p["n_clusters"] >= max(2, points.count()):
+            raise ValueError(f"{p['n_clusters']} clusters are as many as the points or more")
+
         def step(x: np.ndarray) -> np.ndarray:
-            if p["n_clusters"] >= max(2, len(x)):
-                raise ValueError(f"{p['n_clusters']} clusters of {len(x)} points")
             return cut(merges(x, p["linkage"], p["metric"]), len(x), p["n_clusters"])
 
         labels, n = in_one_task(points, step, "agglomerative clustering")
