@@ -62,7 +62,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its very text."""
     vocabulary = tokenizer_path("byte_bpe_50k.json")
     rows = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    decoded = tokens.decode_bytes_bpe(tokens.encode_bytes_bpe(rows, vocabulary), vocabulary)
+    decoded = tokens.encode_bytes_bpe(rows, vocabulary, decode=True)
     exact = F.sha2("decoded", 256) == F.col("text_sha256")
     return decoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), exact.alias("exact"))
 

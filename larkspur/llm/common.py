@@ -47,6 +47,12 @@ def bytes_of(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def texts_in(column: pa.Array, rows: int = 256) -> Iterator[bytes | None]:
+    """The same one by one, with few of them held at a time."""
+    for k in range(0, len(column), rows):
+        yield from bytes_of(column.slice(k, rows))
+
+
 def batches_of(rows: Iterable[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
     """Record batches of at most `size` rows from row tuples."""
     held: list[tuple] = []

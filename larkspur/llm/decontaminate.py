@@ -10,7 +10,7 @@ and the document's length bound where the window can lie; there the words are co
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, bytes_of
+from .common import batches_of, texts_in
 from .words import mixed, plain_words
 
 #: Words of a window.
@@ -68,7 +68,7 @@ def shingle_keys(ids: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def _runs(texts: list[bytes | None], index: Windows) -> Iterator[np.ndarray]:
+def _runs(texts: Iterable[bytes | None], index: Windows) -> Iterator[np.ndarray]:
     for text in texts:
         yield index.word_ids(plain_words(text))
 
@@ -93,7 +93,7 @@ def shingle_counts(docs: DataFrame, text_col: str, index: Windows, size: int = S
         own, known = shared.value
         total = np.zeros(len(known), np.int64)
         for batch in batches:
-            for ids in _runs(bytes_of(batch.column(0)), own):
+            for ids in _runs(texts_in(batch.column(0)), own):
                 for s in sizes:
                     h = shingle_keys(ids, s)
                     h = h[h != 0]
@@ -185,7 +185,7 @@ def _found(docs: DataFrame, text_col: str, index: Windows, prefix: dict[int, lis
         for batch in batches:
             n_words, hits, items = [], [], []
             earlier = zip(batch.column(names.index("hits")).to_pylist(), batch.column(names.index("items")).to_pylist())
-            for ids, (old, named) in zip(_runs(bytes_of(batch.column(at_text)), own), earlier):
+            for ids, (old, named) in zip(_runs(texts_in(batch.column(at_text)), own), earlier):
                 spans, found = [], set()
                 for s in sizes:
                     h = shingle_keys(ids, s)

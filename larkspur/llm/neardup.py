@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, bytes_of, components, small, written
+from .common import batches_of, texts_in, components, small, written
 from .words import WordHashes, mixed, shingle_set, spaced_words
 
 _NO_ID = -(2**63)
@@ -85,7 +85,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, p: Forest) -> DataFram
         hashes, (a, b) = WordHashes(), p.hashes()
         for batch in batches:
             def rows(batch=batch):
-                for i, text in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1))):
+                for i, text in zip(batch.column(0).to_pylist(), texts_in(batch.column(1))):
                     s = shingle_set(hashes.array(spaced_words(text)), p.width)
                     if len(s):
                         yield i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch(s, a, b).tobytes()
@@ -292,7 +292,7 @@ def _verified(docs: DataFrame, active: DataFrame, count: int, p: Forest) -> Data
         hashes, (a, b) = WordHashes(), p.hashes()
         for batch in batches:
             def rows(batch=batch):
-                for node, family, of, text in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), bytes_of(batch.column(3))):
+                for node, family, of, text in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), texts_in(batch.column(3))):
                     s = shingle_set(hashes.array(spaced_words(text)), p.width)
                     if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == of:
                         yield node, family, s.tobytes(), sketch(s, a, b).tobytes()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of
+from .common import texts_in
 from .labels import labelled, training_labels
 
 #: Labelled rows that the model is fitted on at most: those with the least hash of their id.
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [features(t) for t in bytes_of(batch.column(0))]
+            made = [features(t) for t in texts_in(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(made, pa.list_(pa.float64()))], ["label", "features"])
 
     got = rows.mapInArrow(run, "label int, features array<double>").collect()
@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: Additive, text_col: str = "text", keep: list[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            x = np.array([features(t) for t in bytes_of(batch.column(0))], float).reshape(-1, len(FEATURES))
+            x = np.array([features(t) for t in texts_in(batch.column(0))], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(m.score(x), pa.float64())], [*keep, "score"])
 
     return docs.select(F.col(text_col).alias("_text"), *keep).mapInArrow(run, docs.select(*keep).schema.add("score", "double"))

@@ -71,7 +71,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = tokenizer_path("byte_bpe_50k.json")  # the same ranks as byte_bpe_50k.tiktoken
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = tokens.decode_bytes_bpe(tokens.encode_bytes_bpe(docs, vocabulary), vocabulary)
+    rows = tokens.encode_bytes_bpe(docs, vocabulary, decode=True)
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

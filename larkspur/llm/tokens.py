@@ -9,19 +9,22 @@ becomes the older one, and pieces still in use move back.
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import bytes_of
+from .common import bytes_of, texts_in
 
-#: Pieces that a generation holds; two generations take about 100 MB a worker.
-PIECES = 250_000
+#: Pieces that a generation holds; two generations take about 60 MB a worker.
+PIECES = 150_000
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 4_000_000
 #: A longer text is cut, at a safe boundary, into parts of at most about so many bytes.
@@ -29,17 +32,17 @@ PART_BYTES = 1_000_000
 
 
 class Pieces:
-    """Ids of pieces (little-endian 32-bit, as bytes) with bounded memory."""
+    """Ids of pieces (little-endian 32-bit, as bytes; or OPEN) with bounded memory."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes | None]], bound: int = PIECES):
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes | bool]], bound: int = PIECES):
         self.encode, self.bound = encode, bound
-        self.new: dict[bytes, bytes | None] = {}
-        self.old: dict[bytes, bytes | None] = {}
+        self.new: dict[bytes, bytes | bool] = {}
+        self.old: dict[bytes, bytes | bool] = {}
 
-    def known(self, pieces: list[bytes]) -> dict[bytes, bytes | None]:
-        """A table that has every one of these pieces."""
-        missing = set(pieces).difference(self.new)
-        if missing:
+    def of(self, pieces: list[bytes]) -> list[bytes | bool]:
+        found = list(map(self.new.get, pieces))
+        if None in found:
+            missing = {p for p, v in zip(pieces, found) if v is None}
             if len(self.new) + len(missing) > self.bound:
                 self.old, self.new = self.new, {}
                 missing = set(pieces)
@@ -48,13 +51,39 @@ class Pieces:
                 missing.discard(p)
             todo = list(missing)
             self.new.update(zip(todo, self.encode(todo)))
-        return self.new
+            found = list(map(self.new.get, pieces))
+        return found
+
+
+#: Stands for the ids of a piece that ends in white space, which goes on in the next piece.
+OPEN = False
+#: Letters of which each is one character and stays what it is in Unicode's composed form.
+_LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+
+
+def _marked() -> dict[int, int]:
+    """Byte-level BPE's mapping of bytes to characters: printable ones stand for themselves."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 0x100 + k for k, b in enumerate(other)}
+
+
+MARKED = _marked()
+
+
+def _run_ids(model, run: bytes) -> bytes:
+    """Ids of a run of letters, or of a mark, that is one match of the tokenizer's pattern."""
+    return array("I", [t.id for t in model.tokenize(run.decode("latin-1").translate(MARKED))]).tobytes()
 
 
 def _packed(ids) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+def _ascii_ids(model, run: bytes, mark: str = "") -> bytes:
+    return array("I", [t.id for t in model.tokenize(mark + run.decode())]).tobytes()
+
+
 class WordBpe:
     """BPE over lower-cased words, white space dropped: ids of texts by their words.
 
@@ -73,19 +102,18 @@ class WordBpe:
         self.model = self.tokenizer.model
         self.pieces = Pieces(self._encode)
 
-    def _plain(self, word: bytes) -> bytes:
-        return _packed([t.id for t in self.model.tokenize(word.decode())])
-
     def _encode(self, words: list[bytes]) -> list[bytes]:
         out: dict[bytes, bytes] = {}
         rest = []
-        ends = {m: _packed([t.id for t in self.model.tokenize(m.decode())]) for m in (b".", b",")}
         for w in words:
-            if w.isalpha() and w.islower():  # ASCII letters only: one run for the model
-                out[w] = self._plain(w)
-            elif w[-1:] in ends and w[:-1].isalpha() and w[:-1].islower():
-                base = w[:-1]
-                out[w] = (out.get(base) or self.pieces.new.get(base) or self._plain(base)) + ends[w[-1:]]
+            if w.isalpha() and w.islower():  # the shortest way for ASCII letters
+                out[w] = _ascii_ids(self.model, w)
+                continue
+            m = _LETTERS.fullmatch(w.decode("utf-8", "replace"))
+            if m:
+                base = m[1].lower().encode()
+                ids = out.get(base) or self.pieces.new.get(base) or self.pieces.old.get(base) or _run_ids(self.model, base)
+                out[w] = ids + _run_ids(self.model, m[2].encode()) if m[2] else ids
             else:
                 rest.append(w)
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False) if rest else []
@@ -97,9 +125,7 @@ class WordBpe:
         return (text if b"<|" in text else text.lower()).split()
 
     def ids(self, text: bytes | None) -> np.ndarray:
-        words = self.words(text or b"")
-        table = self.pieces.known(words)
-        return np.frombuffer(b"".join(map(table.__getitem__, words)), "<u4")
+        return np.frombuffer(b"".join(self.pieces.of(self.words(text or b""))), "<u4")
 
     def lengths(self, texts: list[bytes | None]) -> list[int]:
         """Counts only: texts in batches of about equal bytes, long ones in parts."""
@@ -118,8 +144,7 @@ class WordBpe:
 
     def _count(self, held: list[tuple[int, list[bytes]]], total: list[int]) -> None:
         for row, words in held:
-            table = self.pieces.known(words)
-            total[row] += sum(map(len, map(table.__getitem__, words))) // 4
+            total[row] += sum(map(len, self.pieces.of(words))) // 4
 
 
 def parts(text: bytes, bound: int = PART_BYTES) -> Iterator[bytes]:
@@ -152,21 +177,22 @@ class ByteBpe:
         self.sizes = np.array([len(b) for b in self.table], np.int64)
         self.first = Pieces(lambda ps: self._encode(ps, b""), PIECES // 10)
         self.later = Pieces(lambda ps: self._encode(ps, b" "))
-        self.ends: dict[bytes, bytes] = {}
 
-    def _encode(self, pieces: list[bytes], lead: bytes) -> list[bytes | None]:
-        out: dict[bytes, bytes | None] = {}
+    def _encode(self, pieces: list[bytes], lead: bytes) -> list[bytes | bool]:
+        out: dict[bytes, bytes | bool] = {}
         rest = []
-        mark = "Ġ" if lead else ""
+        mark = chr(MARKED[0x20]) if lead else ""
         for p in pieces:
-            if p.isalpha():  # ASCII letters: with the space before them one run for the model
-                out[p] = _packed([t.id for t in self.model.tokenize(mark + p.decode())])
-            elif p[-1:] in (b".", b",") and p[:-1].isalpha():
-                if p[-1:] not in self.ends:
-                    self.ends[p[-1:]] = _packed([t.id for t in self.model.tokenize(p[-1:].decode())])
-                out[p] = _packed([t.id for t in self.model.tokenize(mark + p[:-1].decode())]) + self.ends[p[-1:]]
-            elif lead and (not p or p.decode("utf-8", "replace")[-1].isspace()):
-                out[p] = None  # the run of white space goes on in the next piece
+            if p.isalpha():
+                out[p] = _ascii_ids(self.model, p, mark)
+                continue
+            text = p.decode("utf-8", "replace")
+            m = _LETTERS.fullmatch(text)
+            if m:  # with the space before it one match, and the mark another
+                ids = _run_ids(self.model, lead + m[1].encode())
+                out[p] = ids + _run_ids(self.model, m[2].encode()) if m[2] else ids
+            elif lead and (not text or text[-1].isspace()):
+                out[p] = OPEN
             else:
                 rest.append(p)
         whole = [(p if p.startswith(b"\n") else lead + p).decode("utf-8", "replace") for p in rest]
@@ -180,12 +206,11 @@ class ByteBpe:
         head, *tail = text.replace(b"\n", b" \n").split(b" ")
         if not head or head.decode("utf-8", "replace")[-1].isspace():
             return self._slowly(text)
-        start = self.first.known([head])[head]
+        start = self.first.of([head])[0]
         if not tail:
             return np.frombuffer(start, "<u4")
-        table = self.later.known(tail)
-        found = list(map(table.__getitem__, tail))
-        if None in found:
+        found = self.later.of(tail)
+        if OPEN in found:
             return self._slowly(text)
         return np.frombuffer(start + b"".join(found), "<u4")
 
@@ -221,9 +246,7 @@ class ByteBpe:
 
 def byte_table(tokenizer: Tokenizer) -> list[bytes]:
     """The bytes of each id, by reversing the byte-to-character mapping of byte-level BPE."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in set(plain)]
-    back = {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(other)}
+    back = {chr(c): b for b, c in MARKED.items()}
     vocabulary = tokenizer.get_vocab(with_added_tokens=False)
     out = [b""] * (max(vocabulary.values()) + 1)
     for token, i in vocabulary.items():
@@ -241,31 +264,33 @@ def loaded(kind: type, path: str):
     return _LOADED[kind, path]
 
 
-def encode_bytes_bpe(docs: DataFrame, path: str, text_col: str = "text", offsets: bool = False) -> DataFrame:
-    """docs with ids (array<int>) in place of text_col, and starts and ends (characters) if asked.
+def encode_bytes_bpe(docs: DataFrame, path: str, text_col: str = "text", offsets: bool = False, decode: bool = False) -> DataFrame:
+    """docs with ids (array<int>) in place of text_col, and if asked starts and ends
+    (characters), and decoded, the bytes that the ids decode to in the same worker.
 
     Null texts count as empty and give no ids. Texts are encoded whole. Repeated rows give
     a row each, an empty table none. Columns named like the results are replaced.
     """
-    made = ["ids", "starts", "ends"] if offsets else ["ids"]
+    made = ["ids"] + ["starts", "ends"] * offsets + ["decoded"] * decode
     keep = [c for c in docs.columns if c != text_col and c not in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(ByteBpe, path)
         for batch in batches:
-            texts = bytes_of(batch.column(0))
-            for lo, hi in runs_of(texts, BATCH_BYTES):
-                ids = [bpe.ids(t) for t in texts[lo:hi]]
+            for lo, hi in runs_of(batch.column(0), BATCH_BYTES):
+                ids = [bpe.ids(t) for t in texts_in(batch.column(0).slice(lo, hi - lo))]
                 columns = [_lists(ids)]
                 if offsets:
                     spans = [bpe.offsets(x) for x in ids]
                     columns += [_lists([s for s, _ in spans]), _lists([e for _, e in spans])]
-                rest = [batch.column(k + 1).slice(lo, hi - lo) for k in range(len(keep))]
+                if decode:
+                    columns.append(pa.array([bpe.decode(x.tolist()) for x in ids], pa.binary()))
+                rest = [c.slice(lo, hi - lo) for c in batch.columns[1:]]
                 yield pa.RecordBatch.from_arrays(rest + columns, [*keep, *made])
 
     schema = docs.select(*keep).schema
     for name in made:
-        schema = schema.add(name, T.ArrayType(T.IntegerType()))
+        schema = schema.add(name, T.BinaryType() if name == "decoded" else T.ArrayType(T.IntegerType()))
     return docs.select(F.col(text_col), *keep).mapInArrow(run, schema)
 
 
@@ -300,9 +325,11 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(WordBpe, path)
         for batch in batches:
-            texts = bytes_of(batch.column(0))
-            counts = [pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(bpe.lengths(texts), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *counts], [*keep, *made])
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                texts = bytes_of(part.column(0))
+                counts = [pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(bpe.lengths(texts), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *counts], [*keep, *made])
 
     schema = docs.select(*keep).schema
     for name in made:
@@ -311,11 +338,11 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-def runs_of(texts: list[bytes | None], bound: int) -> Iterator[tuple[int, int]]:
+def runs_of(texts: pa.Array, bound: int) -> Iterator[tuple[int, int]]:
     """Row ranges of about equal bytes."""
     lo = size = 0
-    for k, t in enumerate(texts):
-        size += len(t or b"")
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n or 0
         if size >= bound:
             yield lo, k + 1
             lo, size = k + 1, 0
