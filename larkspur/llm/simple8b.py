@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import bytes_of
+from .common import texts_in
 from .tokens import WordBpe, loaded
 
-BLOCK = 4096
+BLOCK = 512
 #: A segment ends with the document that brings it to so many ids.
-SEGMENT = 1 << 16
+SEGMENT = 1 << 17
 
 #: Ids a word and bits an id, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
@@ -59,8 +59,8 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while seen < COUNTS[s]:
             np.maximum(most, bits[:, seen : seen + BLOCK], out=most)
             seen += 1
-        fits = most <= BITS[s]
-        if not fits.any():
+        fits = most <= np.uint8(BITS[s])
+        if not fits[:, : BLOCK // 2].any():  # at a block's end padding fits everything
             break
         selector[fits] = s
     sizes = np.full(blocks, BLOCK, np.int64)
@@ -75,7 +75,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at[live] += COUNTS[selector[live, at[live]]]
         live = live[at[live] < sizes[live]]
     owner, start = np.concatenate(owners), np.concatenate(starts)
-    order = np.lexsort((start, owner))
+    order = np.argsort(owner * BLOCK + start)
     owner, start = owner[order], start[order]
     chosen = selector[owner, start].astype(np.int64)
     words = chosen.astype(np.uint64)
@@ -146,7 +146,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1))):
+            for name, text in zip(batch.column(0).to_pylist(), texts_in(batch.column(1))):
                 ids = np.concatenate((bpe.ids(text), ends))
                 names.append(name)
                 held.append(ids)

@@ -25,6 +25,8 @@ from .common import bytes_of, texts_in
 
 #: Pieces that a generation holds; two generations take about 60 MB a worker.
 PIECES = 150_000
+#: The same where a worker holds only ids and counts besides: about 200 MB.
+MANY_PIECES = 500_000
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 4_000_000
 #: A longer text is cut, at a safe boundary, into parts of at most about so many bytes.
@@ -100,7 +102,7 @@ class WordBpe:
             raise ValueError(f"{path}: not a tokenizer of lower-cased words that drops white space")
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.pieces = Pieces(self._encode)
+        self.pieces = Pieces(self._encode, MANY_PIECES)
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         out: dict[bytes, bytes] = {}
