@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, texts_in
+from .common import batches_of, lean, texts_in
 from .words import mixed, plain_words
 
 #: Words of a window.
@@ -103,7 +103,7 @@ def shingle_counts(docs: DataFrame, text_col: str, index: Windows, size: int = S
         used = np.flatnonzero(total)
         yield from batches_of(zip(known[used].astype(np.int64).tolist(), total[used].tolist()), schema, 50_000)
 
-    counts = docs.select(text_col).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = docs.select(text_col).mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     return {r["key"] & (2**64 - 1): r["n"] for r in counts.collect()}
 
 
@@ -206,7 +206,7 @@ def _found(docs: DataFrame, text_col: str, index: Windows, prefix: dict[int, lis
             columns[names.index("items")] = pa.array(items, pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(lean(run), T.StructType(docs.schema.fields))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

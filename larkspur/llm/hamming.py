@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import written
+from .common import lean, written
 
 SEGMENT = 16
 #: Distinct codes of an index block, and queries of a query block.
@@ -59,7 +59,7 @@ def sign_codes(rows: DataFrame, vector_col: str = "embedding", out: str = "code"
                 codes.append(bits.tobytes().ljust(width, b"\0"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary())], [*keep, out])
 
-    return rows.select(*keep).mapInArrow(run, rows.select(*keep).schema.add(out, "binary"))
+    return rows.select(*keep).mapInArrow(lean(run), rows.select(*keep).schema.add(out, "binary"))
 
 
 class Index:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Characters under which a block is ambiguous, and over which it is long.
 SHORT, LONG = 70, 200
 #: Shares of stop words from which a block of middle length, or a long one, is text.
@@ -240,4 +242,4 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*keep, "text", "n_chars"])
 
     schema = pages.select(*keep).schema.add("text", "string").add("n_chars", "long")
-    return pages.select(F.col(html_col), *keep).mapInArrow(run, schema)
+    return pages.select(F.col(html_col), *keep).mapInArrow(lean(run), schema)

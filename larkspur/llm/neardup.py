@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, texts_in, components, small, written
+from .common import batches_of, components, lean, small, trim, texts_in, written
 from .words import WordHashes, mixed, shingle_set, spaced_words
 
 _NO_ID = -(2**63)
@@ -94,7 +94,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, p: Forest) -> DataFram
             yield from batches_of(rows(), schema)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "id long, n_shingles long, digest binary, sketch binary"
+        lean(run), "id long, n_shingles long, digest binary, sketch binary"
     )
 
 
@@ -195,7 +195,7 @@ def candidate_edges(nodes: DataFrame, p: Forest) -> DataFrame:
         if rows:
             yield from batches_of(edges(pa.Table.from_batches(held)), schema, 20_000)
 
-    pairs = ordered.select("t", "label", "node", "sketch").mapInArrow(run, "a long, b long")
+    pairs = ordered.select("t", "label", "node", "sketch").mapInArrow(lean(run), "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -298,7 +298,7 @@ def _verified(docs: DataFrame, active: DataFrame, count: int, p: Forest) -> Data
                         yield node, family, s.tobytes(), sketch(s, a, b).tobytes()
             yield from batches_of(rows(), schema, 500)
 
-    sets = texts.select("node", "family", "of", "text").mapInArrow(run, "node long, family long, shingles binary, sketch binary")
+    sets = texts.select("node", "family", "of", "text").mapInArrow(lean(run), "node long, family long, shingles binary, sketch binary")
     sets = written(sets, "sets")
     sizes = active.groupBy("family").agg(F.sum("n_shingles").alias("n"))
     large = written(sizes.where(F.col("n") > p.family_shingles).withColumn("chunks", F.ceil(F.col("n") * 2 / p.family_shingles).cast("long")), "large")
@@ -320,6 +320,7 @@ def _verified(docs: DataFrame, active: DataFrame, count: int, p: Forest) -> Data
         every = np.arange(len(frame))
         left, right = (every, every) if frame["i"].iat[0] == frame["j"].iat[0] else (every[side == 0], every[side == 1])
         found = _links(held, values, left, right, p)
+        trim()
         return pd.DataFrame({"a": [node[x] for x, _ in found], "b": [node[y] for _, y in found]}, dtype="int64")
 
     links = written(plain.groupBy("family", "i", "j").applyInPandas(compare, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])), "links")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_in
+from .common import lean, texts_in
 from .labels import labelled, training_labels
 
 #: Labelled rows that the model is fitted on at most: those with the least hash of their id.
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", key: str =
             made = [features(t) for t in texts_in(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(made, pa.list_(pa.float64()))], ["label", "features"])
 
-    got = rows.mapInArrow(run, "label int, features array<double>").collect()
+    got = rows.mapInArrow(lean(run), "label int, features array<double>").collect()
     order = sorted(range(len(got)), key=lambda k: (got[k]["features"], got[k]["label"]))
     x = np.array([got[k]["features"] for k in order], float).reshape(-1, len(FEATURES))
     return fit_additive(x, np.array([got[k]["label"] > 0 for k in order], float))
@@ -218,4 +218,4 @@ def score(docs: DataFrame, model: Additive, text_col: str = "text", keep: list[s
             x = np.array([features(t) for t in texts_in(batch.column(0))], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(m.score(x), pa.float64())], [*keep, "score"])
 
-    return docs.select(F.col(text_col).alias("_text"), *keep).mapInArrow(run, docs.select(*keep).schema.add("score", "double"))
+    return docs.select(F.col(text_col).alias("_text"), *keep).mapInArrow(lean(run), docs.select(*keep).schema.add("score", "double"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import texts_in
+from .common import lean, texts_in
 from .tokens import WordBpe, loaded
 
 BLOCK = 512
@@ -157,7 +157,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
         if held:
             yield segment()
 
-    ordered.mapInArrow(run, FILE).write.parquet(path)
+    ordered.mapInArrow(lean(run), FILE).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -194,4 +194,4 @@ def _reader(made, kind: pa.DataType, name: str):
                 columns = [pa.array(names, pa.int64()), pa.array(begin + first, pa.int64()), pa.array(lengths, pa.int64()), pa.array(made_of, kind)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return run
+    return lean(run)

@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import bytes_of, texts_in
+from .common import bytes_of, lean, texts_in
 
-#: Pieces that a generation holds; two generations take about 60 MB a worker.
-PIECES = 150_000
+#: Pieces that a generation holds; two generations take about 40 MB a worker.
+PIECES = 100_000
 #: The same where a worker holds only ids and counts besides: about 200 MB.
 MANY_PIECES = 500_000
 #: Bytes of text that are encoded together.
@@ -293,7 +293,7 @@ def encode_bytes_bpe(docs: DataFrame, path: str, text_col: str = "text", offsets
     schema = docs.select(*keep).schema
     for name in made:
         schema = schema.add(name, T.BinaryType() if name == "decoded" else T.ArrayType(T.IntegerType()))
-    return docs.select(F.col(text_col), *keep).mapInArrow(run, schema)
+    return docs.select(F.col(text_col), *keep).mapInArrow(lean(run), schema)
 
 
 def decode_bytes_bpe(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -311,7 +311,7 @@ def decode_bytes_bpe(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFr
             out = [b"" if empty[k] else bpe.decode(flat[bounds[k] : bounds[k + 1]].tolist()) for k in range(len(lists))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*keep, "decoded"])
 
-    return rows.select(*keep).mapInArrow(run, rows.select(*keep).schema.add("decoded", "binary"))
+    return rows.select(*keep).mapInArrow(lean(run), rows.select(*keep).schema.add("decoded", "binary"))
 
 
 def token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -336,7 +336,7 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int
     schema = docs.select(*keep).schema
     for name in made:
         schema = schema.add(name, "long")
-    out = docs.select(F.col(text_col), *keep).mapInArrow(run, schema)
+    out = docs.select(F.col(text_col), *keep).mapInArrow(lean(run), schema)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

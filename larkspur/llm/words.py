@@ -24,7 +24,7 @@ def plain_words(text: bytes | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of each word; forgets all at a bound, which changes no hash."""
 
-    bound = 400_000
+    bound = 100_000
 
     def __missing__(self, word: bytes) -> int:
         value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
