@@ -12,15 +12,17 @@ fold's counts out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, texts_in, written
+from .common import lean, scratch_dir, texts_in, written
 from .labels import labelled, logistic, training_labels
 from .words import WordHashes, plain_words
 
@@ -28,9 +30,10 @@ from .words import WordHashes, plain_words
 DISCOUNT = 1.0
 #: Most occurrences of a word that count for the shared backoff.
 SHARED = 8
-#: The discount is no smaller share of a class's tokens than this. Shares add to 1, so a class
-#: keeps under 1 / RESOLUTION words of its own, whatever the input's size.
-RESOLUTION = 2.0**-22
+#: Rows of a block of the model; a worker that needs several blocks holds one at a time.
+BLOCK_ROWS = 2**20
+#: Words of texts that are looked up together.
+BATCH_WORDS = 1_000_000
 #: Log-likelihood ratio above which a token counts as marked.
 MARGIN = 2.0
 #: Folds of the labelled rows, for the calibration of the score.
@@ -40,33 +43,114 @@ CALIBRATION_ROWS = 20_000
 FEATURES = 4
 
 
+@dataclass
+class Table:
+    """Values of 64-bit keys in sorted blocks by the keys' first bits; 0 for any other key."""
+
+    blocks: list[Broadcast]
+    bits: int
+
+    @classmethod
+    def of(cls, rows: DataFrame, values: list[str], n: int, bound: int | None = None) -> Table:
+        """The n rows (key, block and values) a block at a time by way of the driver."""
+        bits = block_bits(n, bound)
+        made = []
+        for b in range(2**bits):
+            own = rows.where(F.col("block") == b) if bits else rows
+            got = own.select("key", F.array(*(F.col(v).cast("float") for v in values)).alias("v")).toArrow()
+            keys = got.column("key").to_numpy().view(np.uint64)
+            v = got.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(values))
+            order = np.argsort(keys)
+            made.append(rows.sparkSession.sparkContext.broadcast((keys[order], np.ascontiguousarray(v[order]))))
+        return cls(made, bits)
+
+    def sums(self, roles: list[np.ndarray], column: int | np.ndarray = 0) -> np.ndarray:
+        """For each position the sum of the values of its key in every role."""
+        out = np.zeros(len(roles[0]), np.float64)
+        for b, block in enumerate(self.blocks):
+            words, values = block.value
+            for keys in roles:
+                at = np.flatnonzero(keys >> np.uint64(64 - self.bits) == b) if self.bits else np.arange(len(keys))
+                if not len(words) or not len(at):
+                    continue
+                found = np.searchsorted(words, keys[at])
+                found[found == len(words)] = 0
+                hit = words[found] == keys[at]
+                at, found = at[hit], found[hit]
+                out[at] += values[found, column[at] if isinstance(column, np.ndarray) else column]
+            if self.bits:
+                del words, values
+                vars(block).pop("_value", None)  # read again from the executor's copy
+        return out
+
+    def destroy(self) -> None:
+        for block in self.blocks:
+            block.destroy()
+
+
+def block_bits(n: int, bound: int | None = None) -> int:
+    return max(0, math.ceil(math.log2(max(n, 1) / (bound or BLOCK_ROWS))))
+
+
 @dataclass
 class Ratios:
     """Log-likelihood ratios of the words of either class, and of any other word."""
 
-    words: np.ndarray
-    #: A row a model: the first of all rows, then each without one fold.
-    ratio: np.ndarray
+    #: None without any word: all is neutral.
+    table: Table | None
+    #: A number a column of the table.
     other: np.ndarray
     weights: np.ndarray | None = None
     center: np.ndarray | None = None
     scale: np.ndarray | None = None
 
-    def features(self, hashes: np.ndarray, model: int = 0) -> tuple[float, float, float, float]:
-        n = len(hashes)
-        if n == 0 or len(self.words) == 0:
-            return 0.0, 0.0, 0.0, 0.0
-        at = np.searchsorted(self.words, hashes)
-        at[at == len(self.words)] = 0
-        ratio = np.where(self.words[at] == hashes, self.ratio[model][at], self.other[model])
-        top = np.partition(ratio, max(0, n - 3))[-3:]
-        return float(ratio.mean()), float(np.sqrt(np.maximum(ratio - MARGIN, 0).mean())), float(ratio.max()), float(top.mean())
+    def features(self, texts: list[np.ndarray], columns: list[int] | None = None) -> Iterator[tuple[float, float, float, float]]:
+        """Statistics of each text's words, by the column of the table for each text."""
+        lengths = [len(t) for t in texts]
+        if self.table is None or not sum(lengths):
+            yield from ((0.0,) * FEATURES for _ in texts)
+            return
+        column = np.repeat(np.array(columns), lengths) if columns else 0
+        ratios = self.table.sums(keys_of(texts), column) + self.other[column]
+        end = 0
+        for n in lengths:
+            ratio = ratios[end : end + n]
+            end += n
+            if n == 0:
+                yield (0.0,) * FEATURES
+                continue
+            top = np.partition(ratio, max(0, n - 3))[-3:]
+            yield float(ratio.mean()), float(np.sqrt(np.maximum(ratio - MARGIN, 0).mean())), float(ratio.max()), float(top.mean())
+
+    def rows(self, texts: Iterable[bytes | None], hashes: WordHashes, columns: list[int] | None = None) -> np.ndarray:
+        """Statistics of texts, with the words of a bounded number of them held at a time."""
+        out: list[tuple[float, float, float, float]] = []
+        held: list[np.ndarray] = []
+        size = 0
+
+        def done() -> None:
+            out.extend(self.features(held, columns[len(out) : len(out) + len(held)] if columns else None))
+            held.clear()
+
+        for text in texts:
+            held.append(hashes.array(plain_words(text)))
+            size += len(held[-1])
+            if size >= BATCH_WORDS:
+                done()
+                size = 0
+        done()
+        return np.array(out, float).reshape(-1, FEATURES)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         z = ((rows - self.center) / self.scale) @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def keys_of(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """The table's keys of each word of the texts, joined."""
+    return [np.concatenate(texts)]
+
+
 def class_counts(rows: DataFrame) -> DataFrame:
     """w and, for each fold f, tf and of: toxic and ordinary tokens of each word hash.
 
@@ -116,36 +200,44 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "d
     sums = counts.agg(*(F.sum(c).alias(f"x{k}") for k, c in enumerate(toxic + ordinary + shared))).first()
     n1, n0, ns = (np.array([float(x or 0) for x in sums[k : k + len(models)]]) for k in range(0, 3 * len(models), len(models)))
     if min(n1[0], n0[0]) == 0:
-        return _calibrated(Ratios(np.zeros(0, np.uint64), np.zeros((len(models), 0)), np.zeros(len(models))), rows, key)
-    least = max(DISCOUNT / min(n1[0], n0[0]), RESOLUTION)
-    kept = counts.where((toxic[0] > least * n1[0]) | (ordinary[0] > least * n0[0]))
-    own = np.array([tuple(r) for r in kept.collect()], np.int64).reshape(-1, 1 + 2 * FOLDS)
-    own = own[np.argsort(np.ascontiguousarray(own[:, 0]).view(np.uint64))]
-    ratio, other = np.zeros((len(models), len(own)), np.float32), np.zeros(len(models))
-    for k, m in enumerate(models):
+        return _calibrated(Ratios(None, np.zeros(len(models))), rows, key)
+    ratios, other = [], np.zeros(len(models))
+    for k in range(len(models)):
         if min(n1[k], n0[k]) == 0:
-            continue  # a class that is in one fold only
-        c1, c0 = (sum(own[:, 1 + 2 * f + c] for f in m) for c in (0, 1))
-        cut = max(DISCOUNT / min(n1[k], n0[k]), RESOLUTION)
-        d1, d0 = np.maximum(c1 / n1[k] - cut, 0), np.maximum(c0 / n0[k] - cut, 0)
-        g1, g0 = 1 - d1.sum(), 1 - d0.sum()
-        backoff = np.maximum(np.minimum(c1 + c0, SHARED), 1) / ns[k]
-        ratio[k] = np.log((d1 + g1 * backoff) / (d0 + g0 * backoff))
-        other[k] = np.log(g1 / g0)
-    return _calibrated(Ratios(np.ascontiguousarray(own[:, 0]).view(np.uint64), ratio, other), rows, key)
+            ratios.append(F.lit(0.0))  # a class that is in one fold only
+            continue
+        cut = DISCOUNT / min(n1[k], n0[k])
+        d1, d0 = (F.greatest(c / n - F.lit(cut), F.lit(0.0)) for c, n in ((toxic[k], n1[k]), (ordinary[k], n0[k])))
+        g1, g0 = (1 - x for x in counts.agg(F.sum(d1), F.sum(d0)).first())
+        backoff = F.greatest(shared[k], F.lit(1)) / ns[k]
+        other[k] = math.log(g1 / g0)
+        ratios.append(F.log((d1 + g1 * backoff) / (d0 + g0 * backoff)) - other[k])
+    least = DISCOUNT / min(n1[0], n0[0])
+    kept = counts.where((toxic[0] > least * n1[0]) | (ordinary[0] > least * n0[0]))
+    return _calibrated(_blocks(kept.select(F.col("w").alias("key"), *(r.cast("float").alias(f"v{k}") for k, r in enumerate(ratios))), other), rows, key)
+
+
+def _blocks(values: DataFrame, other: np.ndarray) -> Ratios:
+    """The model of all rows and of each without one fold, from a written table of keys."""
+    values = written(values, "ratios")
+    n = values.count()
+    bits = block_bits(n)
+    if bits:
+        path = scratch_dir(values.sparkSession, "ratio-blocks")
+        values.withColumn("block", F.shiftrightunsigned("key", 64 - bits)).repartition("block").write.partitionBy("block").parquet(path)
+        values = values.sparkSession.read.parquet(path)
+    return Ratios(Table.of(values, [f"v{k}" for k in range(len(other))], n), other)
 
 
 def _calibrated(model: Ratios, rows: DataFrame, key: str) -> Ratios:
     """Fits the score on statistics that leave out the counts of a row's own fold."""
     sample = rows.orderBy(F.xxhash64(key, F.lit("calibration"))).limit(CALIBRATION_ROWS)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, m = WordHashes(), shared.value
+        hashes = WordHashes()
         for batch in batches:
-            folds = batch.column(1).to_pylist()
-            made = [list(m.features(hashes.array(plain_words(t)), 1 + f)) for t, f in zip(texts_in(batch.column(0)), folds)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(made, pa.list_(pa.float64()))], ["label", "features"])
+            made = model.rows(texts_in(batch.column(0)), hashes, [1 + f for f in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(made.tolist(), pa.list_(pa.float64()))], ["label", "features"])
 
     got = sample.select("text", "fold", "label").mapInArrow(lean(run), "label int, features array<double>").collect()
     x = np.array([r["features"] for r in got], float).reshape(-1, FEATURES)
@@ -153,7 +245,7 @@ def _calibrated(model: Ratios, rows: DataFrame, key: str) -> Ratios:
     model.center = x.mean(axis=0) if len(x) else np.zeros(FEATURES)
     model.scale = x.std(axis=0) + 1e-9 if len(x) else np.ones(FEATURES)
     model.weights = logistic((x - model.center) / model.scale, y) if len(y) else np.zeros(FEATURES + 1)
-    return Ratios(model.words, model.ratio[:1], model.other[:1], model.weights, model.center, model.scale)
+    return model
 
 
 def score(docs: DataFrame, model: Ratios, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -164,12 +256,11 @@ def score(docs: DataFrame, model: Ratios, text_col: str = "text", keep: list[str
     named score is replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, m = WordHashes(), shared.value
+        hashes = WordHashes()
         for batch in batches:
-            rows = np.array([m.features(hashes.array(plain_words(t))) for t in texts_in(batch.column(0))]).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(m.score(rows), pa.float64())], [*keep, "score"])
+            rows = model.rows(texts_in(batch.column(0)), hashes)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model.score(rows), pa.float64())], [*keep, "score"])
 
     return docs.select(F.col(text_col).alias("_text"), *keep).mapInArrow(lean(run), docs.select(*keep).schema.add("score", "double"))

@@ -308,6 +308,26 @@ def test_toxicity_on_held_out_rows(spark):
     assert accuracy(toxicity.score(docs, toxicity.fit(docs, labels)), labels, "toxic", 0.5) > 0.97
 
 
+def test_toxicity_keeps_rare_words_at_any_size(spark):
+    fill = spark.range(1500).select(F.col("id").alias("doc_id"), F.expr("repeat('plain ', 20000)").alias("text"))
+    toxic = [(k, "plain " * 40 + ("rareslur" if k in (2000, 2003) else "vile")) for k in range(2000, 2300)]
+    docs = fill.unionByName(spark.createDataFrame(toxic, DOC))
+    docs = docs.where(~held_out(F.col("doc_id"))).unionByName(spark.createDataFrame([(5000, "plain " * 40 + "rareslur"), (5001, "plain " * 40 + "unknown")], DOC))
+    labels = docs.select("doc_id", ((F.col("doc_id") % 2 == 0) | (F.col("doc_id") >= 2000)).cast("int").alias("toxic")).where("doc_id < 5000")
+    assert labels.where("doc_id in (2000, 2003)").count() == 2
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs.where("doc_id >= 5000"), toxicity.fit(docs, labels)).collect()}
+    assert got[5000] > got[5001]
+
+
+def test_toxicity_blocks_change_nothing(spark, monkeypatch):
+    docs, labels = labelled_docs(spark, 200)
+    whole = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 8)
+    model = toxicity.fit(docs, labels)
+    assert len(model.table.blocks) > 4
+    assert {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()} == pytest.approx(whole, abs=1e-5)
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = labelled_docs(spark)
     assert accuracy(quality.score(docs, quality.fit(docs, labels)), labels, "quality", 0.5) > 0.97
