@@ -1,13 +1,19 @@
-"""Toxicity by class-conditional Kneser-Ney models of words.
-
-Both classes discount their words' relative counts by one share of their tokens, the same
-for either class so that the smaller one isn't smoothed more, and give the freed mass to
-backoff counts they share: how often a word occurs in either class, up to SHARED, so that
-rare words differ little and frequent ones rest on their own class's counts. A document's
-statistics are per token: the mean log-likelihood ratio, the mean of its part above a
-margin, and the strongest words. A logistic function
-makes the score of them: folds are counted apart, and each row's statistics leave its own
-fold's counts out.
+"""Toxicity by class-conditional Kneser-Ney models of word pairs.
+
+A class's model gives each word after the word before it: its pairs' counts, discounted,
+back off to the class's own counts of the word, discounted too, and these back off to
+continuation counts that both classes share: after how many distinct words a word occurs
+in either class, up to SHARED, so that a frequent word of one class gets little of the
+other's freed mass. Both classes discount one share, an occurrence of the smaller one, among
+all words as well as after each word, so that the smaller class isn't smoothed more. A
+document's statistics are per token: the mean log-likelihood ratio, the mean of its part
+above a margin, and the strongest words, each of the whole model and of the words' own
+backoff model: a pair seen twice says much by its ratio and little by its counts, so the
+score weighs the two apart. A logistic function makes the score of them: folds are counted
+apart, and each row's statistics leave its own fold's counts out.
+
+The ratio of a word after another is the sum of what the word, the word before and the
+pair add; pairs that the discount takes away in both classes add nothing and aren't kept.
 """
 
 from __future__ import annotations
@@ -24,12 +30,16 @@ from pyspark.sql import functions as F
 
 from .common import lean, scratch_dir, texts_in, written
 from .labels import labelled, logistic, training_labels
-from .words import WordHashes, plain_words
+from .words import WordHashes, mixed, plain_words
 
 #: Occurrences in the smaller class that the discount takes away.
 DISCOUNT = 1.0
-#: Most occurrences of a word that count for the shared backoff.
+#: Most distinct preceding words of a word that count for the shared backoff.
 SHARED = 8
+#: The word before the first one of a text.
+START = np.uint64(0x5354415254)
+#: Counted pairs that a worker takes up together, and more if one word has more.
+PAIR_ROWS = 200_000
 #: Rows of a block of the model; a worker that needs several blocks holds one at a time.
 BLOCK_ROWS = 2**20
 #: Words of texts that are looked up together.
@@ -40,7 +50,7 @@ MARGIN = 2.0
 FOLDS = 5
 #: At most so many rows calibrate the score.
 CALIBRATION_ROWS = 20_000
-FEATURES = 4
+FEATURES = 8
 
 
 @dataclass
@@ -64,12 +74,12 @@ class Table:
             made.append(rows.sparkSession.sparkContext.broadcast((keys[order], np.ascontiguousarray(v[order]))))
         return cls(made, bits)
 
-    def sums(self, roles: list[np.ndarray], column: int | np.ndarray = 0) -> np.ndarray:
-        """For each position the sum of the values of its key in every role."""
-        out = np.zeros(len(roles[0]), np.float64)
+    def values_of(self, roles: list[np.ndarray], column: int | np.ndarray = 0) -> np.ndarray:
+        """A row for each role: the value of its key at each position."""
+        out = np.zeros((len(roles), len(roles[0])))
         for b, block in enumerate(self.blocks):
             words, values = block.value
-            for keys in roles:
+            for role, keys in enumerate(roles):
                 at = np.flatnonzero(keys >> np.uint64(64 - self.bits) == b) if self.bits else np.arange(len(keys))
                 if not len(words) or not len(at):
                     continue
@@ -77,7 +87,7 @@ class Table:
                 found[found == len(words)] = 0
                 hit = words[found] == keys[at]
                 at, found = at[hit], found[hit]
-                out[at] += values[found, column[at] if isinstance(column, np.ndarray) else column]
+                out[role, at] = values[found, column[at] if isinstance(column, np.ndarray) else column]
             if self.bits:
                 del words, values
                 vars(block).pop("_value", None)  # read again from the executor's copy
@@ -94,7 +104,7 @@ def block_bits(n: int, bound: int | None = None) -> int:
 
 @dataclass
 class Ratios:
-    """Log-likelihood ratios of the words of either class, and of any other word."""
+    """Log-likelihood ratios of words and pairs of words of either class, and of any other word."""
 
     #: None without any word: all is neutral.
     table: Table | None
@@ -104,27 +114,30 @@ class Ratios:
     center: np.ndarray | None = None
     scale: np.ndarray | None = None
 
-    def features(self, texts: list[np.ndarray], columns: list[int] | None = None) -> Iterator[tuple[float, float, float, float]]:
+    def features(self, texts: list[np.ndarray], columns: list[int] | None = None) -> Iterator[tuple[float, ...]]:
         """Statistics of each text's words, by the column of the table for each text."""
         lengths = [len(t) for t in texts]
         if self.table is None or not sum(lengths):
             yield from ((0.0,) * FEATURES for _ in texts)
             return
         column = np.repeat(np.array(columns), lengths) if columns else 0
-        ratios = self.table.sums(keys_of(texts), column) + self.other[column]
+        found = self.table.values_of(keys_of(texts), column)
+        alone = found[0] + self.other[column]
+        ratios = np.stack([alone, alone + found[1:].sum(axis=0)])
         end = 0
         for n in lengths:
-            ratio = ratios[end : end + n]
+            own = ratios[:, end : end + n]
             end += n
             if n == 0:
                 yield (0.0,) * FEATURES
                 continue
-            top = np.partition(ratio, max(0, n - 3))[-3:]
-            yield float(ratio.mean()), float(np.sqrt(np.maximum(ratio - MARGIN, 0).mean())), float(ratio.max()), float(top.mean())
+            top = np.partition(own, max(0, n - 3))[:, -3:]
+            made = own.mean(axis=1), np.sqrt(np.maximum(own - MARGIN, 0).mean(axis=1)), own.max(axis=1), top.mean(axis=1)
+            yield tuple(np.concatenate(made).tolist())
 
     def rows(self, texts: Iterable[bytes | None], hashes: WordHashes, columns: list[int] | None = None) -> np.ndarray:
         """Statistics of texts, with the words of a bounded number of them held at a time."""
-        out: list[tuple[float, float, float, float]] = []
+        out: list[tuple[float, ...]] = []
         held: list[np.ndarray] = []
         size = 0
 
@@ -147,8 +160,21 @@ class Ratios:
 
 
 def keys_of(texts: list[np.ndarray]) -> list[np.ndarray]:
-    """The table's keys of each word of the texts, joined."""
-    return [np.concatenate(texts)]
+    """The table's keys of each word, of the word before it and of the pair, joined."""
+    words, before = np.concatenate(texts), np.concatenate([preceding(t) for t in texts])
+    return [words, context_keys(before), pair_keys(before, words)]
+
+
+def preceding(words: np.ndarray) -> np.ndarray:
+    return np.concatenate(([START], words[:-1])) if len(words) else words
+
+
+def context_keys(before: np.ndarray) -> np.ndarray:
+    return mixed(before ^ np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mixed(mixed(before * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x165667B19E3779F9)) ^ words)
 
 
 def class_counts(rows: DataFrame) -> DataFrame:
@@ -187,6 +213,105 @@ def class_counts(rows: DataFrame) -> DataFrame:
     return made.groupBy("w").agg(*sums)
 
 
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """h, w, c and n: occurrences of word hash w after h in c, twice the fold and 1 if ordinary.
+
+    Counts all rows (text, label, fold); a triple may have several counts, to be added."""
+    schema = pa.schema([(c, pa.int64()) for c in "hwcn"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for c, parts in sorted(held.items()):
+                before, words = np.concatenate([preceding(p) for p in parts]), np.concatenate(parts)
+                _, at, n = np.unique(pair_keys(before, words), return_index=True, return_counts=True)
+                for k in range(0, len(at), 50_000):
+                    x = at[k : k + 50_000]
+                    columns = before[x].view(np.int64), words[x].view(np.int64), np.full(len(x), c, np.int64), n[k : k + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], schema=schema)
+
+        for batch in batches:
+            for text, label, fold in zip(texts_in(batch.column(0)), *(batch.column(k).to_pylist() for k in (1, 2))):
+                h = hashes.array(plain_words(text))
+                if len(h):
+                    held.setdefault(2 * fold + (1 - label), []).append(h)
+                    size += len(h)
+                if size >= 2_000_000:
+                    yield from counted()
+                    held, size = {}, 0
+        if size:
+            yield from counted()
+
+    return rows.select("text", "label", "fold").mapInArrow(lean(run), "h long, w long, c long, n long")
+
+
+#: Kinds of the rows of pair_model.
+CONTEXT, PAIR, CONTINUED = 0, 1, 2
+
+
+def pair_model(pairs: DataFrame) -> DataFrame:
+    """What the pairs of pair_counts say, as rows of three kinds, with a value a model in v.
+
+    CONTEXT: key of a word, and the log-ratio of what its discounts free in either class.
+    PAIR: key of a pair, its word w, and the pair's discounted shares over the freed ones:
+    all models' in the toxic class, then in the ordinary one. CONTINUED: a word w, and the
+    number of distinct words met before it, a part of a sum. Equal h are dealt to one task
+    in order; words of one h are held together.
+    """
+    sorted_pairs = pairs.repartition("h").sortWithinPartitions("h", "w")
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("w", pa.int64()), ("v", pa.list_(pa.float32()))])
+
+    def rows_of(kind: int, key: np.ndarray, w: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(key), 50_000):
+            x = slice(k, k + 50_000)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(key[x]) + 1, dtype=np.int32) * v.shape[1]), pa.array(v[x].astype(np.float32).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[x]), kind, np.int32)), pa.array(key[x].view(np.int64)), pa.array(w[x].view(np.int64)), values], schema=schema)
+
+    def made(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h, w = x[0].view(np.uint64), x[1].view(np.uint64)
+        first = np.concatenate(([True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
+        pair = np.cumsum(first) - 1
+        h, w = h[first], w[first]
+        n = np.bincount(pair * 2 * FOLDS + x[2], weights=x[3], minlength=len(h) * 2 * FOLDS).reshape(len(h), FOLDS, 2)
+        begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
+        total = n.sum(axis=1)
+        counts = np.stack([total, *(total - n[:, f] for f in range(FOLDS))], axis=1)  # pair, model, class
+        of = np.add.reduceat(counts, begin, axis=0)
+        smaller = np.where(of.min(axis=2) > 0, of.min(axis=2), of.max(axis=2))
+        share = counts / np.maximum(of, 1)[group] - (DISCOUNT / np.maximum(smaller, 1))[group][:, :, None]
+        share[share < 1e-12] = 0
+        kept = share[:, 0].max(axis=1) > 0
+        share[~kept] = 0
+        freed = 1 - np.add.reduceat(share, begin, axis=0)
+        some = np.logical_or.reduceat(kept, begin)
+        a = np.log(freed[some, :, 0] / freed[some, :, 1])
+        yield from rows_of(CONTEXT, context_keys(h[begin][some]), h[begin][some], a)
+        u = (share[kept] / freed[group[kept]]).transpose(0, 2, 1).reshape(-1, 2 * (1 + FOLDS))
+        yield from rows_of(PAIR, pair_keys(h[kept], w[kept]), w[kept], u)
+        words, n = np.unique(w, return_counts=True)
+        yield from rows_of(CONTINUED, words, words, n[:, None])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            held.append(np.stack([c.to_numpy() for c in batch.columns]))
+            size += batch.num_rows
+            if size >= PAIR_ROWS and held[-1][0, -1] != held[0][0, 0]:
+                x = np.concatenate(held, axis=1)
+                end = int(np.flatnonzero(x[0] != x[0, -1])[-1]) + 1
+                yield from made(x[:, :end])
+                held, size = [x[:, end:]], x.shape[1] - end
+        if size:
+            yield from made(np.concatenate(held, axis=1))
+
+    return sorted_pairs.mapInArrow(lean(run), "kind int, key long, w long, v array<float>")
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "doc_id", text_col: str = "text") -> Ratios:
     """The model of all training rows. With one class only, every ratio is neutral."""
     rows = labelled(docs, training_labels(labels, column, key), key, text_col)
@@ -196,25 +321,40 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "d
     models = [list(folds), *([g for g in folds if g != f] for f in folds)]
     toxic = [sum(F.col(f"t{f}") for f in m) for m in models]
     ordinary = [sum(F.col(f"o{f}") for f in m) for m in models]
-    shared = [F.least(t + o, F.lit(SHARED)) for t, o in zip(toxic, ordinary)]
-    sums = counts.agg(*(F.sum(c).alias(f"x{k}") for k, c in enumerate(toxic + ordinary + shared))).first()
-    n1, n0, ns = (np.array([float(x or 0) for x in sums[k : k + len(models)]]) for k in range(0, 3 * len(models), len(models)))
+    sums = counts.agg(*(F.sum(c).alias(f"x{k}") for k, c in enumerate(toxic + ordinary))).first()
+    n1, n0 = (np.array([float(x or 0) for x in sums[k : k + len(models)]]) for k in range(0, 2 * len(models), len(models)))
     if min(n1[0], n0[0]) == 0:
         return _calibrated(Ratios(None, np.zeros(len(models))), rows, key)
-    ratios, other = [], np.zeros(len(models))
+    pairs = written(pair_model(pair_counts(rows)), "pair-model")
+    continued = pairs.where(F.col("kind") == CONTINUED).groupBy("w").agg(F.least(F.sum(F.col("v")[0].cast("double")), F.lit(float(SHARED))).alias("continued"))
+    words = counts.join(continued, "w")
+    n_pairs = continued.agg(F.sum("continued")).first()[0]
+    backoff = F.col("continued") / F.lit(n_pairs)
+    p1, p0, other = [], [], np.zeros(len(models))
     for k in range(len(models)):
-        if min(n1[k], n0[k]) == 0:
-            ratios.append(F.lit(0.0))  # a class that is in one fold only
+        if min(n1[k], n0[k]) == 0:  # a class that is in one fold only
+            p1.append(backoff)
+            p0.append(backoff)
             continue
         cut = DISCOUNT / min(n1[k], n0[k])
         d1, d0 = (F.greatest(c / n - F.lit(cut), F.lit(0.0)) for c, n in ((toxic[k], n1[k]), (ordinary[k], n0[k])))
         g1, g0 = (1 - x for x in counts.agg(F.sum(d1), F.sum(d0)).first())
-        backoff = F.greatest(shared[k], F.lit(1)) / ns[k]
         other[k] = math.log(g1 / g0)
-        ratios.append(F.log((d1 + g1 * backoff) / (d0 + g0 * backoff)) - other[k])
+        p1.append(d1 + g1 * backoff)
+        p0.append(d0 + g0 * backoff)
     least = DISCOUNT / min(n1[0], n0[0])
-    kept = counts.where((toxic[0] > least * n1[0]) | (ordinary[0] > least * n0[0]))
-    return _calibrated(_blocks(kept.select(F.col("w").alias("key"), *(r.cast("float").alias(f"v{k}") for k, r in enumerate(ratios))), other), rows, key)
+    kept = (toxic[0] > least * n1[0]) | (ordinary[0] > least * n0[0])
+    words = written(words.select("w", kept.alias("kept"), *(p.alias(f"{c}{k}") for c, ps in (("p", p1), ("q", p0)) for k, p in enumerate(ps))), "words")
+    own = [F.log(F.col(f"p{k}") / F.col(f"q{k}")) for k in range(len(models))]
+    both = pairs.where(F.col("kind") == PAIR).join(words, "w")
+    joint = [F.log((F.col("v")[k] + F.col(f"p{k}")) / (F.col("v")[len(models) + k] + F.col(f"q{k}"))) - own[k] for k in range(len(models))]
+    split = (  # a pair's ratio is the sum of the three
+        (words.where("kept"), F.col("w"), [x - F.lit(float(o)) for x, o in zip(own, other)]),
+        (pairs.where(F.col("kind") == CONTEXT), F.col("key"), [F.col("v")[k] for k in range(len(models))]),
+        (both, F.col("key"), [x if min(n1[k], n0[k]) else F.lit(0.0) for k, x in enumerate(joint)]),
+    )
+    parts = [t.select(key.alias("key"), *(v.cast("float").alias(f"v{k}") for k, v in enumerate(values))) for t, key, values in split]
+    return _calibrated(_blocks(parts[0].unionByName(parts[1]).unionByName(parts[2]), other), rows, key)
 
 
 def _blocks(values: DataFrame, other: np.ndarray) -> Ratios:

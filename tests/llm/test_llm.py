@@ -319,6 +319,37 @@ def test_toxicity_keeps_rare_words_at_any_size(spark):
     assert got[5000] > got[5001]
 
 
+def test_toxicity_sees_the_order_of_words(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(900):
+        text = rng.choices([f"word{j}" for j in range(60)], k=40)
+        for at in (5, 15, 25):
+            text[at : at + 2] = ["drop", "dead"] if k % 3 == 0 else ["dead", "drop"]
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, DOC)
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    assert accuracy(toxicity.score(docs, toxicity.fit(docs, labels)), labels, "toxic", 0.5) > 0.97
+
+
+def test_toxicity_pair_model_by_hand(spark):
+    def row(h, w, toxic, ordinary):
+        return [(h, w, 0, toxic), (h, w, 1, ordinary)]
+
+    counted = row(7, 1, 3, 0) + row(7, 2, 1, 4) + row(7, 3, 0, 4) + row(8, 1, 1, 0)
+    rows = toxicity.pair_model(spark.createDataFrame([r for r in counted if r[3]], "h long, w long, c long, n long")).collect()
+    # After 7: 4 toxic and 8 ordinary, so a share of 1 / 4 is taken from each.
+    shares = {1: (0.5, 0.0), 2: (0.0, 0.25), 3: (0.0, 0.25)}
+    got = {r["w"]: (r["v"][0], r["v"][1 + toxicity.FOLDS]) for r in rows if r["kind"] == toxicity.PAIR}
+    assert got == {w: (a / 0.5, b / 0.5) for w, (a, b) in shares.items()}
+    assert [r["v"][0] for r in rows if r["kind"] == toxicity.CONTEXT] == [0.0]
+    continued = {}
+    for r in rows:
+        if r["kind"] == toxicity.CONTINUED:
+            continued[r["w"]] = continued.get(r["w"], 0) + r["v"][0]
+    assert continued == {1: 2, 2: 1, 3: 1}
+
+
 def test_toxicity_blocks_change_nothing(spark, monkeypatch):
     docs, labels = labelled_docs(spark, 200)
     whole = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
