@@ -2,8 +2,9 @@
 
 The first pass decides each block by its link density, its length and the share of stop
 words in it, within what the markup says: menus, forms, notices and the like are left out
-as elements, and where a page marks its article nothing outside it can be main text. Short
-blocks stay ambiguous. In the second pass they take the label of the nearest decided block.
+as elements, and where a page marks an article fewer stop words are asked for within it and
+more, of long blocks only, outside. Short blocks, and blocks of an article with too few stop
+words, stay ambiguous. In the second pass they take the label of the nearest decided block.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ STOP_MIDDLE, STOP_LONG = 0.30, 0.25
 #: Share of a block's characters in links above which it is a menu; within an article more is allowed.
 LINKS, LINKS_INSIDE = 0.2, 0.6
 
+#: What the mark of an article takes off these shares within it.
+MARKED = 0.10
+
 # Common function words of several languages.
 STOP_WORDS = frozenset(
     """a about after all also an and any are as at be because been but by can could did do for from had has have he her his
@@ -177,17 +181,17 @@ def label_blocks(found: list[Block]) -> list[Block]:
     for b in found:
         n = len(b.text)
         density = b.linked / n
-        if marked and not b.inside:
-            b.label = "not"
-        elif density > (LINKS_INSIDE if b.inside else LINKS) or "©" in b.text and n < LONG and not b.inside:
+        share = stop_share(b.text) if n >= SHORT else 0.0
+        if density > (LINKS_INSIDE if b.inside else LINKS) or "©" in b.text and n < LONG and not b.inside:
             b.label = "not"
         elif n < SHORT:
-            b.label = "ambiguous"
-        elif b.inside:
-            b.label = "text"  # the page says so, whatever the language
+            b.label = "ambiguous" if b.inside or not marked else "not"
+        elif marked and not b.inside:
+            b.label = "text" if n >= LONG and share >= STOP_MIDDLE else "not"
+        elif share >= (STOP_LONG if n >= LONG else STOP_MIDDLE) - (MARKED if b.inside else 0):
+            b.label = "text"
         else:
-            share = stop_share(b.text)
-            b.label = "text" if share >= (STOP_LONG if n >= LONG else STOP_MIDDLE) else "ambiguous" if n >= LONG or share > 0 else "not"
+            b.label = "ambiguous" if b.inside or n >= LONG or share > 0 else "not"
     decided = [k for k, b in enumerate(found) if b.label != "ambiguous"]
     fallback = "text" if marked or not any(b.label == "text" for b in found) else "not"
     before: list[int] = []
@@ -216,7 +220,7 @@ def label_blocks(found: list[Block]) -> list[Block]:
         else:  # a tie is text; within a marked article so is a block next to any text
             near = p if k - p < q - k else q
             b.label = "text" if k - p == q - k or found[k].inside else labels[near]
-        if b.inside and b.label == "not" and not any(labels[j] == "text" for j in (p, q) if j >= 0) and fallback == "text" and b.linked == 0:
+        if b.inside and b.label == "not" and not any(labels[j] == "text" for j in (p, q) if j >= 0) and fallback == "text" and (b.linked == 0 or len(b.text) >= SHORT):
             b.label = "text"
     return found
 

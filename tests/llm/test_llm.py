@@ -180,6 +180,19 @@ def test_main_text(begin, end):
     assert html_text.main_text(PAGE.replace("{open}", begin).replace("{close}", end)) == STORY
 
 
+def test_main_text_beside_teaser_articles():
+    body = "This is the story of a page that is as long as it has to be, and it was told in a plain division because the template of the site has its article elements for cards, which is not at all what they are for in the end."
+    codes = "QX-100 RT-200 ZW-300 QX-101 RT-201 ZW-301 QX-102 RT-202 ZW-302 QX-103 RT-203 ZW-303"
+    cards = "".join(f'<article><a href="/{k}">Card number {k} of all the cards that there are to be read on this site</a></article>' for k in range(3))
+    found = html_text.main_text(f"<body>{cards}<div><p>{body}</p><p>{body}</p></div><p>{codes}</p></body>")
+    assert found == f"{body} {body}"
+    summary = "<article><p>This is what the story has in it, so that you can see if it is one for you to read.</p></article>"
+    assert html_text.main_text(f"{summary}<div><p>{body}</p></div>").endswith(body)
+    other = "Wszystkie litery tego akapitu tworzą opowieść, którą warto przeczytać <a href='/x'>dzisiaj</a> wieczorem."
+    plain = other.replace("<a href='/x'>", "").replace("</a>", "")
+    assert html_text.main_text(f"<p>{codes}</p><article><p>{other}</p></article><p>{codes}</p>") == plain
+
+
 def test_main_text_edges(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<p"), (4, "u", "<article><p>" + "word " * 50_000), (5, None, "<div class=ad>open <article><p>abc</p></article>"), (None, "u", "<nav>a</nav>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
