@@ -214,12 +214,14 @@ def shapiro_wilk(values: Sequence[float]) -> tuple[float, float]:
     return w, 1 - norm.cdf(z)
 
 
-def normality(df: DataFrame, columns: Sequence[str], alpha: float = 0.05, sample: int = 5000, seed: int = 42) -> DataFrame:
-    """Shapiro-Wilk of each column on a sample of at most `sample` values, chosen by hash."""
+def normality(df: DataFrame, columns: Sequence[str], alpha: float = 0.05, sample: int = 5000, seed: int = 42, key: str = "CustomerID") -> DataFrame:
+    """Shapiro-Wilk of each column on a sample of at most `sample` rows, chosen by hash of the
+    key, or of the whole row where there is no such column; equal values are drawn apart."""
     rows = []
+    drawn = [key] if key in df.columns else df.columns
     for c in columns:
-        x = df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("x"))
-        got = [r["x"] for r in x.orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(sample).collect()]
+        x = df.where(F.col(c).isNotNull()).select(F.xxhash64(*drawn, F.lit(seed)).alias("h"), F.col(c).cast("double").alias("x"))
+        got = [r["x"] for r in x.orderBy("h", "x").limit(sample).collect()]
         w, p = shapiro_wilk(got)
         rows.append((c, len(got), None if math.isnan(w) else w, None if math.isnan(p) else p, None if math.isnan(p) else p > alpha))
     return df.sparkSession.createDataFrame(rows, "feature string, n long, w double, p double, is_normal boolean")

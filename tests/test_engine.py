@@ -127,6 +127,13 @@ def test_shapiro_wilk_known_values():
     assert math.isnan(profile.shapiro_wilk([1, 1, 1])[0])
 
 
+def test_normality_draws_rows_and_not_values(spark):
+    customers = spark.range(20_000).select(F.col("id").alias("CustomerID"), (F.col("id") % 10).alias("Recency"))
+    got = profile.normality(customers, ["Recency"]).first()
+    assert got["n"] == 5000
+    assert got["w"] == pytest.approx(profile.shapiro_wilk(np.arange(5000) % 10)[0], abs=0.01)
+
+
 @pytest.mark.parametrize(("kind", "expected"), [("standard", [-1.2247, 0, 1.2247]), ("minmax", [0, 0.5, 1]), ("robust", [-1, 0, 1]), ("none", [1, 2, 3])])
 def test_scalers(spark, kind, expected):
     df = spark.createDataFrame([(1.0, 7.0), (2.0, 7.0), (3.0, 7.0)], "v double, c double")
