@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 
 
 def cell(v) -> str:
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if pd.api.types.is_scalar(v) and pd.isna(v):
         return "~"
     if isinstance(v, float):
         return f"{v + 0.0:.7g}"
