@@ -18,11 +18,14 @@ BROADCAST_ROWS = 2_000_000
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a local temporary folder is set as this session's value.
+    The folder is the session's spark.checkpoint.dir. Only where that is unset and all runs
+    on one machine, as in tests, a local temporary folder is set as this session's value;
+    on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -32,9 +35,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a table in the shared folder: lineage ends there,
     so a lost executor costs a re-read and not a recomputation."""
     spark = df.sparkSession
-    path = scratch_dir(spark, name)
+    return read_back(df, scratch_dir(spark, name))
+
+
+def read_back(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
@@ -91,18 +104,21 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of a graph of longs: (node, label), label the least node reachable.
 
     Each round joins every edge to the least neighbour of its two ends (large star, then
     small star), so stars form in a number of rounds that grows with the logarithm of the
-    longest path. Every round is written to the shared folder. Nulls and loops are ignored;
-    nodes without an edge to another node do not appear. An empty graph gives no rows.
+    longest path; rounds go on until the edges stay the same. Every round is written to the
+    shared folder, and the one before it deleted. Nulls and loops are ignored; nodes without
+    an edge to another node do not appear. An empty graph gives no rows.
     """
+    spark = edges.sparkSession
     e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    e = written(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    before = None
-    for _ in range(rounds):
+    path = scratch_dir(spark, "cc")
+    e = read_back(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path)
+    before = _state(e)
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -111,10 +127,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         step = large.join(down, "a").select(
             F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")
         )
-        e = written(step.select("x.a", "x.b").where("a <> b").distinct(), "cc")
-        now = tuple(e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
+        last, path = path, scratch_dir(spark, "cc")
+        e = read_back(step.select("x.a", "x.b").where("a <> b").distinct(), path)
+        delete(spark, last)
+        now = _state(e)
         if now == before:
             break
         before = now
     out = e.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
     return out.unionByName(out.select(F.col("label").alias("node"), "label").distinct())
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Equal for equal sets of edges; two 64-bit sums tell others apart."""
+    sums = (F.sum(F.xxhash64("a", "b", F.lit(k)).cast("decimal(38,0)")) for k in range(2))
+    return tuple(edges.agg(F.count("*"), *sums).first())

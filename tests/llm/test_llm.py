@@ -58,7 +58,7 @@ def exact_groups(texts):
     return [len(s) for s in sets], root
 
 
-@pytest.mark.parametrize("params", [neardup.Forest(), neardup.Forest(region=8, family_shingles=400)])
+@pytest.mark.parametrize("params", [neardup.Forest(), neardup.Forest(region=8), neardup.Forest(region=8, family=6), neardup.Forest(shingles=400)])
 def test_near_duplicates_match_brute_force(spark, params):
     texts = texts_with_copies() + [None, "", "x y", "X y"]
     sizes, roots = exact_groups(texts)
