@@ -94,13 +94,58 @@ def is_left_out(name: str, attributes: str, inside: bool) -> bool:
     return bool(words & NOT_TEXT) or bool(words & NOT_TEXT_UNLESS and not words & TEXT)
 
 
+def tags(html: str) -> list[tuple[int, int, str, bool, bool, str]]:
+    """(start, end, name, closing, alone, attributes) of the tags, outside raw elements; a raw
+    element that ends, and a comment or the like, is one nameless tag."""
+    out = []
+    unclosed: set[str] = set()
+    pos = 0
+    while m := _TAG.search(html, pos):
+        pos = m.end()
+        name = (m[2] or m[5] or "").lower()
+        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+        alone = name in VOID or attributes.endswith("/")
+        if name in RAW and not closing and not alone:
+            stop = None if name in unclosed else re.compile(rf"</{re.escape(name)}[\s>/]", re.I).search(html, pos)
+            if stop:
+                gt = html.find(">", stop.start())
+                pos = len(html) if gt < 0 else gt + 1
+            else:
+                unclosed.add(name)
+            name = ""
+        out.append((m.start(), pos, name, closing, alone, attributes))
+    return out
+
+
+def _ends(found: list[tuple[int, int, str, bool, bool, str]]) -> tuple[dict[int, int], list[int], list[int], list[int]]:
+    """Where elements end: of each opening tag the closing one of its name, if there is one;
+    and the next tag from each place on that ends a p, that ends a li, that begins an article."""
+    n = len(found)
+    open_tags: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    for k, (_, _, name, closing, alone, _) in enumerate(found):
+        if name and not alone:
+            if not closing:
+                open_tags.setdefault(name, []).append(k)
+            elif open_tags.get(name):
+                ends[open_tags[name].pop()] = k
+    block, item, article = [n] * (n + 1), [n] * (n + 1), [n] * (n + 1)
+    for k in range(n - 1, -1, -1):
+        _, _, name, closing, _, _ = found[k]
+        block[k] = k if name and name not in INLINE and name != "br" else block[k + 1]
+        item[k] = k if name == "li" or closing and name in ("ul", "ol") else item[k + 1]
+        article[k] = k if name in ("article", "main") and not closing else article[k + 1]
+    return ends, block, item, article
+
+
 def blocks(html: str) -> list[Block]:
-    """The blocks of a page outside the elements that are left out, in page order."""
+    """The blocks of a page outside the elements that are left out, in page order. An element
+    to leave out that never ends goes on to the next article, or to the end of the page."""
     out: list[Block] = []
     held: list[str] = []
     linked = articles = links = 0
-    skipped, depth, resume = "", 0, -1
-    pos, end = 0, len(html)
+    found = tags(html)
+    ends, block, item, article = _ends(found)
 
     def close() -> None:
         nonlocal linked
@@ -110,62 +155,43 @@ def blocks(html: str) -> list[Block]:
         held.clear()
         linked = 0
 
-    def text(upto: int) -> None:
+    def text(start: int, end: int) -> None:
         nonlocal linked
-        if not skipped and upto > pos:
-            part = unescape(html[pos:upto])
+        if end > start:
+            part = unescape(html[start:end])
             held.append(part)
             if links:
                 linked += len(" ".join(part.split()))
 
-    while pos < end:
-        m = _TAG.search(html, pos)
-        if m is None:
-            text(end)
-            break
-        text(m.start())
-        pos = m.end()
-        name = (m[2] or m[5] or "").lower()
+    pos, k, n = 0, 0, len(found)
+    while k < n:
+        start, end, name, closing, alone, attributes = found[k]
+        text(pos, start)
+        pos, k = end, k + 1
         if not name:
             continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        alone = name in VOID or attributes.endswith("/")
-        if name in RAW and not closing and not alone:
-            stop = re.compile(rf"</{re.escape(name)}[\s>/]", re.I).search(html, pos)
-            if stop:
-                gt = html.find(">", stop.start())
-                pos = end if gt < 0 else gt + 1
-            continue
-        if skipped:
-            if name in ("article", "main") and not closing and skipped not in ("article", "main") and resume < 0:
-                resume = m.start()
-            if skipped == "p" or (skipped == "li" and depth == 1 and (name == "li" or closing and name in ("ul", "ol"))):
-                depth = 0 if name not in INLINE and name != "br" else depth  # their end tags may be missing
-            elif name == skipped and not alone:
-                depth += -1 if closing else 1
-            if depth > 0:
-                if pos >= end or _TAG.search(html, pos) is None:
-                    if resume >= 0:  # never closed: the article behind it counts
-                        pos, skipped, depth, resume = resume, "", 0, -1
-                continue
-            again = not closing and skipped in ("p", "li")
-            skipped, resume = "", -1
-            if not again:
-                continue
         if name == "br":
             held.append(" ")
             continue
-        inline = name in INLINE
-        if not inline:
+        if name not in INLINE:
             close()
-            links = 0 if not closing or name not in INLINE else links
+            links = 0
         if not closing and not alone and is_left_out(name, attributes, articles > 0):
-            skipped, depth, resume = name, 1, -1
+            if name in ("p", "li"):  # their end tags may be missing
+                last = (block if name == "p" else item)[k]
+                own = last < n and found[last][2] == name and found[last][3]
+            else:
+                last = ends.get(k - 1, -1)
+                own = last >= 0
+                last = last if own else article[k]
+            k = last + own
+            pos = len(html) if last >= n else found[last][int(own)]
             continue
         if name == "a":
             links = max(0, links - 1) if closing else links + 1
         elif name in ("article", "main"):
             articles = max(0, articles - 1) if closing else articles + 1
+    text(pos, len(html))
     close()
     return out
 
