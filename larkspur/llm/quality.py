@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, texts_in
-from .labels import labelled, training_labels
+from .labels import labelled, sampled, training_labels
 
-#: Labelled rows that the model is fitted on at most: those with the least hash of their id.
+#: About so many labelled rows, chosen by hash of their id, fit the model where there are more.
 TRAINING_ROWS = 20_000
 #: Bins of a feature, and of a feature in a pair.
 BINS, PAIR_BINS = 32, 8
@@ -188,8 +188,10 @@ def fit_additive(x: np.ndarray, y: np.ndarray) -> Additive:
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", key: str = "doc_id", text_col: str = "text") -> Additive:
-    """The model of at most TRAINING_ROWS labelled rows outside the held-out third."""
-    chosen = training_labels(labels, column, key).orderBy(F.xxhash64(key), key).limit(TRAINING_ROWS)
+    """The model of about TRAINING_ROWS labelled rows outside the held-out third, or of all
+    where there are fewer. A repeated document counts as often as it occurs; a key with
+    several labels counts as 1 if any is 1; without labels every score is a half."""
+    chosen = sampled(training_labels(labels, column, key), TRAINING_ROWS, key)
     rows = labelled(docs, chosen, key, text_col).select("text", F.col("label").cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

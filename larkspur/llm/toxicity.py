@@ -2,9 +2,9 @@
 
 A class's model gives each word after the word before it: its pairs' counts, discounted,
 back off to the class's own counts of the word, discounted too, and these back off to
-continuation counts that both classes share: after how many distinct words a word occurs
-in either class, up to SHARED, so that a frequent word of one class gets little of the
-other's freed mass. Both classes discount one share, an occurrence of the smaller one, among
+continuation counts that both classes share: the logarithm of one and the number of distinct
+words that a word occurs after in either class. By the number itself a frequent word of one
+class would get much of the other's freed mass. Both classes discount one share, an occurrence of the smaller one, among
 all words as well as after each word, so that the smaller class isn't smoothed more. A
 document's statistics are per token: the mean log-likelihood ratio, the mean of its part
 above a margin, and the strongest words, each of the whole model and of the words' own
@@ -29,13 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, scratch_dir, texts_in, written
-from .labels import labelled, logistic, training_labels
+from .labels import labelled, logistic, sampled, training_labels
 from .words import WordHashes, mixed, plain_words
 
 #: Occurrences in the smaller class that the discount takes away.
 DISCOUNT = 1.0
-#: Most distinct preceding words of a word that count for the shared backoff.
-SHARED = 8
 #: The word before the first one of a text.
 START = np.uint64(0x5354415254)
 #: Counted pairs that a worker takes up together, and more if one word has more.
@@ -48,8 +46,9 @@ BATCH_WORDS = 1_000_000
 MARGIN = 2.0
 #: Folds of the labelled rows, for the calibration of the score.
 FOLDS = 5
-#: At most so many rows calibrate the score.
-CALIBRATION_ROWS = 20_000
+#: About so many labelled rows, chosen by hash of their id, calibrate the score where there
+#: are more, in so many tasks.
+CALIBRATION_ROWS, CALIBRATION_TASKS = 20_000, 32
 FEATURES = 8
 
 
@@ -313,9 +312,12 @@ def pair_model(pairs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "doc_id", text_col: str = "text") -> Ratios:
-    """The model of all training rows. With one class only, every ratio is neutral."""
-    rows = labelled(docs, training_labels(labels, column, key), key, text_col)
-    rows = rows.withColumn("label", (F.col("label") > 0).cast("int")).withColumn("fold", F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int"))
+    """The model of all training rows. With one class only, every ratio is neutral. A repeated
+    document counts as often as it occurs; a key with several labels as toxic if any is."""
+    chosen = training_labels(labels, column, key).withColumn("label", (F.col("label") > 0).cast("int"))
+    chosen = chosen.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int"))
+    rows = labelled(docs, chosen, key, text_col)
+    sample = labelled(docs, sampled(chosen, CALIBRATION_ROWS, key), key, text_col)
     counts = written(class_counts(rows), "class-counts")
     folds = range(FOLDS)
     models = [list(folds), *([g for g in folds if g != f] for f in folds)]
@@ -324,9 +326,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "d
     sums = counts.agg(*(F.sum(c).alias(f"x{k}") for k, c in enumerate(toxic + ordinary))).first()
     n1, n0 = (np.array([float(x or 0) for x in sums[k : k + len(models)]]) for k in range(0, 2 * len(models), len(models)))
     if min(n1[0], n0[0]) == 0:
-        return _calibrated(Ratios(None, np.zeros(len(models))), rows, key)
+        return _calibrated(Ratios(None, np.zeros(len(models))), sample, key)
     pairs = written(pair_model(pair_counts(rows)), "pair-model")
-    continued = pairs.where(F.col("kind") == CONTINUED).groupBy("w").agg(F.least(F.sum(F.col("v")[0].cast("double")), F.lit(float(SHARED))).alias("continued"))
+    continued = pairs.where(F.col("kind") == CONTINUED).groupBy("w").agg(F.log1p(F.sum(F.col("v")[0].cast("double"))).alias("continued"))
     words = counts.join(continued, "w")
     n_pairs = continued.agg(F.sum("continued")).first()[0]
     backoff = F.col("continued") / F.lit(n_pairs)
@@ -354,7 +356,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "d
         (both, F.col("key"), [x if min(n1[k], n0[k]) else F.lit(0.0) for k, x in enumerate(joint)]),
     )
     parts = [t.select(key.alias("key"), *(v.cast("float").alias(f"v{k}") for k, v in enumerate(values))) for t, key, values in split]
-    return _calibrated(_blocks(parts[0].unionByName(parts[1]).unionByName(parts[2]), other), rows, key)
+    return _calibrated(_blocks(parts[0].unionByName(parts[1]).unionByName(parts[2]), other), sample, key)
 
 
 def _blocks(values: DataFrame, other: np.ndarray) -> Ratios:
@@ -369,9 +371,9 @@ def _blocks(values: DataFrame, other: np.ndarray) -> Ratios:
     return Ratios(Table.of(values, [f"v{k}" for k in range(len(other))], n), other)
 
 
-def _calibrated(model: Ratios, rows: DataFrame, key: str) -> Ratios:
+def _calibrated(model: Ratios, sample: DataFrame, key: str) -> Ratios:
     """Fits the score on statistics that leave out the counts of a row's own fold."""
-    sample = rows.orderBy(F.xxhash64(key, F.lit("calibration"))).limit(CALIBRATION_ROWS)
+    sample = sample.repartition(CALIBRATION_TASKS, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
