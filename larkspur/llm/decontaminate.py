@@ -9,13 +9,13 @@ and the document's length bound where the window can lie; there the words are co
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,100 +26,180 @@ from .words import mixed, plain_words
 WINDOW = 13
 #: Words of a shingle; windows with fewer words are one shingle.
 SHINGLE = 3
-#: Bytes of benchmark text sent to the executors at once; more text goes in several passes.
-BLOCK_BYTES = 8_000_000
+#: Bytes of benchmark text that a worker holds the windows of at once.
+BLOCK_BYTES = 2_000_000
+_NONE = np.uint64(2**64 - 1)
 
 
 @dataclass
 class Windows:
-    """Distinct windows of some items as ids of their words; 0 is any other word."""
-
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
-    windows: dict[tuple[int, ...], int] = field(default_factory=dict)
-    items: list[list[str]] = field(default_factory=list)
-
-    def add(self, item: str, words: list[bytes], width: int) -> None:
-        ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-        size = min(width, len(ids))
-        for k in range(len(ids) - size + 1 if ids else 0):
-            number = self.windows.setdefault(tuple(ids[k : k + size]), len(self.windows))
-            if number == len(self.items):
-                self.items.append([])
-            if item not in self.items[number][-1:]:
-                self.items[number].append(item)
+    """Distinct windows of some items, a row of word ids each; 0 is any other word or none.
+
+    For a word at most its text and an id are held, and for a window some 80 bytes."""
+
+    vocabulary: dict[bytes, int]
+    words: np.ndarray
+    size: np.ndarray
+    #: Items that have a name, and of each window the first of its places in owners and the last.
+    names: list[str]
+    owners: np.ndarray
+    bounds: np.ndarray
+    #: Sorted prefix shingles; window and offset of each, with repeats.
+    prefix: np.ndarray
+    window: np.ndarray
+    offset: np.ndarray
+
+    @classmethod
+    def of(cls, items: Iterable[tuple[str | None, bytes]], width: int) -> Windows:
+        vocabulary: dict[bytes, int] = {}
+        rows, owner, names = [], [], []
+        for name, text in items:
+            ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in plain_words(text)], np.int32)
+            if not len(ids):
+                continue
+            made = np.lib.stride_tricks.sliding_window_view(ids, width) if len(ids) >= width else np.pad(ids, (0, width - len(ids)))[None, :]
+            rows.append(made)
+            owner.append(np.full(len(made), len(names) if name is not None else -1))
+            if name is not None:
+                names.append(name)
+        every = np.concatenate(rows) if rows else np.zeros((0, width), np.int32)
+        words, number = np.unique(every, axis=0, return_inverse=True)
+        number = number.ravel()
+        named = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+        pairs = np.unique(np.stack([number[named >= 0], named[named >= 0]], axis=1), axis=0)
+        bounds = np.searchsorted(pairs[:, 0], np.arange(len(words) + 1))
+        none = np.zeros(0, np.int64)
+        return cls(vocabulary, words, (words > 0).sum(axis=1), names, pairs[:, 1], bounds, none.astype(np.uint64), none, none)
+
+    @property
+    def sizes(self) -> list[int]:
+        """Words of the shingles there are."""
+        return np.unique(np.minimum(self.size, SHINGLE)).tolist()
 
     def word_ids(self, words: list[bytes]) -> np.ndarray:
         get = self.vocabulary.get
         return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
 
+    def shingles(self) -> np.ndarray:
+        """The shingle at each offset of each window; where there is none, the greatest value."""
+        out = np.full((len(self.words), max(1, self.words.shape[1] - SHINGLE + 1)), _NONE)
+        for s in self.sizes:
+            rows = np.flatnonzero(np.minimum(self.size, SHINGLE) == s)
+            for k in range(out.shape[1] if s == SHINGLE else 1):
+                fits = rows[self.size[rows] >= k + s]
+                out[fits, k] = _keys([self.words[fits, k + j] for j in range(s)])
+        return out
+
+    def choose(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Makes the rarest shingle of each window its prefix, by the counts of sorted keys."""
+        own = self.shingles()
+        seen = np.zeros(own.shape, np.int64)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            seen = np.where(keys[at] == own, counts[at], 0)
+        seen[own == _NONE] = np.iinfo(np.int64).max
+        first = np.where(seen == seen.min(axis=1, keepdims=True), own, _NONE).argmin(axis=1)
+        prefix = own[np.arange(len(own)), first]
+        order = np.argsort(prefix, kind="stable")
+        self.prefix, self.window, self.offset = prefix[order], order, first[order]
+
+    def found(self, ids: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
+        """Runs of words that are windows, and those windows, in a document's word ids."""
+        spans, windows = [], set()
+        for s in self.sizes:
+            h = shingle_keys(ids, s)
+            lo = np.searchsorted(self.prefix, h)
+            hit = np.flatnonzero((self.prefix[np.minimum(lo, len(self.prefix) - 1)] == h) & (h != 0))
+            hi = np.searchsorted(self.prefix, h[hit], side="right")
+            for p, x, y in zip(hit.tolist(), lo[hit].tolist(), hi.tolist()):
+                for k in range(x, y):
+                    w, start = int(self.window[k]), p - int(self.offset[k])
+                    n = int(self.size[w])
+                    if start >= 0 and start + n <= len(ids) and min(SHINGLE, n) == s and np.array_equal(ids[start : start + n], self.words[w, :n]):
+                        spans.append((start, start + n))
+                        windows.add(w)
+        return spans, windows
+
+    def items(self, windows: Iterable[int]) -> set[str]:
+        return {self.names[i] for w in windows for i in self.owners[self.bounds[w] : self.bounds[w + 1]].tolist()}
+
+
+def _keys(parts: list[np.ndarray]) -> np.ndarray:
+    h = np.full(len(parts[0]), len(parts), np.uint64)
+    for part in parts:
+        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) ^ part.astype(np.uint64))
+    return h
+
 
 def shingle_keys(ids: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit key of each run of `size` word ids; runs with an unknown word have key 0."""
     n = len(ids) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.full(n, size, np.uint64)
-    known = np.ones(n, bool)
-    for k in range(size):
-        part = ids[k : k + n]
-        known &= part > 0
-        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) ^ part.astype(np.uint64))
-    h[~known] = 0
+    parts = [ids[k : k + n] for k in range(size)]
+    h = _keys(parts)
+    h[np.min(parts, axis=0) == 0] = 0
     return h
 
 
-def _runs(texts: Iterable[bytes | None], index: Windows) -> Iterator[np.ndarray]:
-    for text in texts:
-        yield index.word_ids(plain_words(text))
+class Blocks:
+    """Windows of a benchmark in broadcast blocks, of which a process holds one at a time."""
 
+    def __init__(self, spark: SparkSession, made: Iterable):
+        self.held: list[Broadcast] = []
+        for value in made:
+            self.held.append(spark.sparkContext.broadcast(value))
+            self._forget(self.held[-1])
 
-def _shingles(index: Windows, size: int) -> np.ndarray:
-    """Sorted distinct keys of the shingles of the windows, by the shingle size of each window."""
-    keys = [shingle_keys(np.array(w), min(size, len(w))) for w in index.windows]
-    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+    def __iter__(self) -> Iterator:
+        for block in self.held:
+            yield block.value
+            if len(self.held) > 1:
+                self._forget(block)
 
+    @staticmethod
+    def _forget(block: Broadcast) -> None:
+        vars(block).pop("_value", None)  # read again from this machine's copy
 
-def _sizes(index: Windows, size: int) -> list[int]:
-    return sorted({min(size, len(w)) for w in index.windows})
 
-
-def shingle_counts(docs: DataFrame, text_col: str, index: Windows, size: int = SHINGLE) -> dict[int, int]:
-    """How often each benchmark shingle occurs in the whole corpus; at most a count a shingle."""
-    keys, sizes = _shingles(index, size), _sizes(index, size)
-    shared = docs.sparkSession.sparkContext.broadcast((index, keys))
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+def shingle_counts(docs: DataFrame, text_col: str, blocks: Blocks) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each block its sorted shingles that occur in the corpus and how often they do, in
+    one pass over it; at most a count a shingle of the benchmark comes to the driver."""
+    schema = pa.schema([("block", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = shared.value
-        total = np.zeros(len(known), np.int64)
+        total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for ids in _runs(texts_in(batch.column(0)), own):
-                for s in sizes:
-                    h = shingle_keys(ids, s)
-                    h = h[h != 0]
-                    at = np.searchsorted(known, h)
-                    at[at == len(known)] = 0
-                    total += np.bincount(at[known[at] == h], minlength=len(known)) if len(h) and len(known) else 0
-        used = np.flatnonzero(total)
-        yield from batches_of(zip(known[used].astype(np.int64).tolist(), total[used].tolist()), schema, 50_000)
-
-    counts = docs.select(text_col).mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return {r["key"] & (2**64 - 1): r["n"] for r in counts.collect()}
-
-
-def prefixes(index: Windows, counts: dict[int, int], size: int = SHINGLE) -> dict[int, list[tuple[int, int]]]:
-    """For each prefix shingle the (window, offset) pairs it stands for."""
-    out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for window, number in index.windows.items():
-        keys = shingle_keys(np.array(window), min(size, len(window))).tolist()
-        at = min(range(len(keys)), key=lambda k: (counts.get(keys[k], 0), keys[k], k))
-        out[keys[at]].append((number, at))
-    return dict(out)
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, bound: int) -> Iterator[list[tuple[str, bytes]]]:
+            for b, own in enumerate(blocks):
+                if b not in total:
+                    known = np.unique(own.shingles())
+                    total[b] = known, np.zeros(len(known), np.int64)
+                known, n = total[b]
+                for text in texts_in(batch.column(0)):
+                    ids = own.word_ids(plain_words(text))
+                    for s in own.sizes:
+                        h = shingle_keys(ids, s)
+                        h = h[h != 0]
+                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        n += np.bincount(at[known[at] == h], minlength=len(known))
+        for b, (known, n) in total.items():
+            used = np.flatnonzero(n)
+            yield from batches_of(zip([b] * len(used), known[used].view(np.int64).tolist(), n[used].tolist()), schema, 50_000)
+
+    counts = docs.select(text_col).mapInArrow(lean(run), "block int, key long, n long").groupBy("block", "key").agg(F.sum("n").alias("n")).toArrow()
+    block, key, n = (counts.column(c).to_numpy() for c in ("block", "key", "n"))
+    out = []
+    for b in range(len(blocks.held)):
+        own = np.flatnonzero(block == b)
+        keys = key[own].view(np.uint64)
+        order = np.argsort(keys)
+        out.append((keys[order], n[own][order]))
+    return out
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str, bound: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """Items in blocks of at most `bound` bytes (an item more), read a partition at a time."""
-    held: list[tuple[str, bytes]] = []
+    held: list[tuple[str | None, bytes]] = []
     size = 0
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null").orderBy("item")
     for row in rows.toLocalIterator():
@@ -141,72 +221,59 @@ def contamination(
     item_text_col: str = "text",
     width: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """docs with n_words, hits (array of [start, end) word runs) and items (sorted item ids).
+    """The kept columns of docs (by default all) with n_words, hits (array of [start, end)
+    word runs) and items (sorted item ids).
 
     A word is hit if it lies in any occurrence of any window. Words are those of
     `words.plain_words`; null and wordless texts have none and hit nothing, and an item
-    without words has no window. Items with a null id are left out; equal items are both
-    named. Repeated documents give a row each. Empty tables on either side give no hits.
-    Columns of docs named like the results are replaced by them.
+    without words has no window. Windows of items with a null id hit words, but such items
+    aren't named; equal items are both named. Repeated documents give a row each. Empty
+    tables on either side give no hits. Columns of docs named like the results are replaced.
 
-    The benchmark's size is checked: each block of block_bytes takes two narrow passes, one
-    to count shingles and one to find windows; a larger benchmark takes more passes, never
-    a larger broadcast. Documents are not shuffled.
+    Two narrow passes, one to count shingles and one to find windows; documents are not
+    shuffled. The benchmark's size is checked: beyond block_bytes its windows are held in
+    several blocks, one at a time, and each batch of texts meets them one after the other.
     """
-    base = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
-    out = docs.select(*base).withColumns(
-        {"n_words": F.lit(None).cast("long"), "hits": F.array().cast("array<struct<start:int,end:int>>"), "items": F.array().cast("array<string>")}
-    )
-    texts = docs.select(text_col)
-    empty = True
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        index = Windows()
-        for item, text in block:
-            if item is not None:
-                index.add(item, plain_words(text), width)
-        counts = shingle_counts(texts, text_col, index) if index.windows else {}
-        out = _found(out, text_col, index, prefixes(index, counts))
-        empty = False
-    return _found(out, text_col, Windows(), {}) if empty else out
-
-
-def _found(docs: DataFrame, text_col: str, index: Windows, prefix: dict[int, list[tuple[int, int]]]) -> DataFrame:
-    """One pass: adds this block's hits and items to those of earlier passes."""
-    windows = [np.array(w) for w in index.windows]
-    sizes = _sizes(index, SHINGLE)
-    keys = np.array(sorted(prefix), np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast((index, keys, [prefix[int(k)] for k in keys], windows))
-    at_text, names = docs.columns.index(text_col), docs.columns
+    spark = docs.sparkSession
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "hits", "items")]
+    made = (Windows.of(items, width) for items in _items(benchmark, item_col, item_text_col, block_bytes))
+    blocks = Blocks(spark, (w for w in made if len(w.words)))
+    counts = shingle_counts(docs, text_col, blocks) if blocks.held else []
+
+    def chosen() -> Iterator[Windows]:
+        for own, (keys, n) in zip(blocks, counts):
+            own.choose(keys, n)
+            yield own
+
+    ready = Blocks(spark, chosen())
     hit_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known, places, ids_of = shared.value
         for batch in batches:
-            n_words, hits, items = [], [], []
-            earlier = zip(batch.column(names.index("hits")).to_pylist(), batch.column(names.index("items")).to_pylist())
-            for ids, (old, named) in zip(_runs(texts_in(batch.column(at_text)), own), earlier):
-                spans, found = [], set()
-                for s in sizes:
-                    h = shingle_keys(ids, s)
-                    at = np.searchsorted(known, h)
-                    at[at == len(known)] = 0
-                    for p in np.flatnonzero((known[at] == h) & (h != 0)) if len(known) else ():
-                        for window, offset in places[at[p]]:
-                            w, start = ids_of[window], p - offset
-                            if start >= 0 and start + len(w) <= len(ids) and min(SHINGLE, len(w)) == s and np.array_equal(ids[start : start + len(w)], w):
-                                spans.append((int(start), int(start) + len(w)))
-                                found.add(window)
-                n_words.append(len(ids))
-                hits.append(merged(spans + [(x["start"], x["end"]) for x in old]))
-                items.append(sorted({i for w in found for i in own.items[w]} | set(named)))
-            columns = list(batch.columns)
-            columns[names.index("n_words")] = pa.array(n_words, pa.int64())
-            columns[names.index("hits")] = pa.array([[{"start": s, "end": e} for s, e in h] for h in hits], hit_type)
-            columns[names.index("items")] = pa.array(items, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return docs.mapInArrow(lean(run), T.StructType(docs.schema.fields))
+            n = batch.num_rows
+            spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+            items: list[set[str]] = [set() for _ in range(n)]
+            n_words = None
+            for own in ready:
+                sizes = []
+                for k, text in enumerate(texts_in(batch.column(0))):
+                    ids = own.word_ids(plain_words(text))
+                    sizes.append(len(ids))
+                    found, windows = own.found(ids)
+                    spans[k] += found
+                    items[k] |= own.items(windows)
+                n_words = sizes
+            if n_words is None:
+                n_words = [len(plain_words(t)) for t in texts_in(batch.column(0))]
+            hits = [[{"start": s, "end": e} for s, e in merged(x)] for x in spans]
+            columns = [pa.array(n_words, pa.int64()), pa.array(hits, hit_type), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*keep, "n_words", "hits", "items"])
+
+    run_type = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    schema = docs.select(*keep).schema.add("n_words", "long").add("hits", T.ArrayType(run_type)).add("items", T.ArrayType(T.StringType()))
+    return docs.select(F.col(text_col).alias("_text"), *keep).mapInArrow(lean(run), schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -24,7 +24,7 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
         "doc_id",
         "n_words",
@@ -69,7 +69,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = tokenizer_path("byte_bpe_50k.json")  # the same ranks as byte_bpe_50k.tiktoken
+    vocabulary = tokenizer_path("byte_bpe_50k.json")
+    tokens.same_ranks(vocabulary, tokenizer_path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = tokens.encode_bytes_bpe(docs, vocabulary, decode=True)
     return rows.select(
@@ -139,7 +140,7 @@ _PLAIN = _TOKENS.format(words="[0-9a-z\\x{80}-\\x{10FFFF}]+")
 
 OP2_SQL = f"""
 WITH items AS (
-  SELECT item_id::VARCHAR AS item_id, {_PLAIN} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+  SELECT item_id::VARCHAR AS item_id, {_PLAIN} AS w FROM benchmark WHERE text IS NOT NULL
 ), windows AS (
   SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: w[i:i + 12])) AS g FROM items WHERE len(w) > 0
 ), sizes AS (SELECT DISTINCT len(g) AS k FROM windows),
@@ -151,7 +152,7 @@ runs AS (
 ), covered AS (
   SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id
 ), named AS (
-  SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+  SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id
 )
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(n.n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
