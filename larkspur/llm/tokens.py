@@ -8,6 +8,7 @@ becomes the older one, and pieces still in use move back.
 
 from __future__ import annotations
 
+import base64
 import json
 import re
 from array import array
@@ -23,10 +24,11 @@ from tokenizers import Tokenizer
 
 from .common import bytes_of, lean, texts_in
 
-#: Pieces that a generation holds; two generations take about 40 MB a worker.
-PIECES = 100_000
-#: The same where a worker holds only ids and counts besides: about 200 MB.
-MANY_PIECES = 500_000
+#: Bytes that a generation of pieces takes, there are two of them; and the same where a worker
+#: holds only ids and counts besides.
+PIECES, MANY_PIECES = 20_000_000, 90_000_000
+#: Bytes that an entry takes beside its piece and ids, and of the longest piece that is kept.
+ENTRY, LONGEST = 160, 64
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 4_000_000
 #: A longer text is cut, at a safe boundary, into parts of at most about so many bytes.
@@ -34,10 +36,11 @@ PART_BYTES = 1_000_000
 
 
 class Pieces:
-    """Ids of pieces (little-endian 32-bit, as bytes; or OPEN) with bounded memory."""
+    """Ids of pieces (little-endian 32-bit, as bytes; or OPEN). The pieces kept are bounded in
+    bytes; long ones, as in text without spaces, are encoded whenever they are met."""
 
     def __init__(self, encode: Callable[[list[bytes]], list[bytes | bool]], bound: int = PIECES):
-        self.encode, self.bound = encode, bound
+        self.encode, self.bound, self.size = encode, bound, 0
         self.new: dict[bytes, bytes | bool] = {}
         self.old: dict[bytes, bytes | bool] = {}
 
@@ -45,14 +48,17 @@ class Pieces:
         found = list(map(self.new.get, pieces))
         if None in found:
             missing = {p for p, v in zip(pieces, found) if v is None}
-            if len(self.new) + len(missing) > self.bound:
-                self.old, self.new = self.new, {}
+            if self.size > self.bound:
+                self.old, self.new, self.size = self.new, {}, 0
                 missing = set(pieces)
-            for p in missing & self.old.keys():
-                self.new[p] = self.old[p]
-                missing.discard(p)
-            todo = list(missing)
-            self.new.update(zip(todo, self.encode(todo)))
+            made = {p: self.old[p] for p in missing & self.old.keys()}
+            todo = list(missing - made.keys())
+            made.update(zip(todo, self.encode(todo)))
+            kept = {p: v for p, v in made.items() if len(p) <= LONGEST}
+            self.new.update(kept)
+            self.size += sum(ENTRY + len(p) + len(v or b"") for p, v in kept.items())
+            if len(kept) < len(made):
+                return [made[p] if p in made else self.new[p] for p in pieces]
             found = list(map(self.new.get, pieces))
         return found
 
@@ -177,7 +183,7 @@ class ByteBpe:
         self.model = self.tokenizer.model
         self.table = byte_table(self.tokenizer)
         self.sizes = np.array([len(b) for b in self.table], np.int64)
-        self.first = Pieces(lambda ps: self._encode(ps, b""), PIECES // 10)
+        self.first = Pieces(lambda ps: self._encode(ps, b""), PIECES // 8)
         self.later = Pieces(lambda ps: self._encode(ps, b" "))
 
     def _encode(self, pieces: list[bytes], lead: bytes) -> list[bytes | bool]:
@@ -246,6 +252,15 @@ class ByteBpe:
         return character[starts] if len(ids) else ends, character[ends - 1] + 1 if len(ids) else ends
 
 
+def same_ranks(path: str, ranks: str) -> None:
+    """An error unless the tokenizer at path has the very bytes and ids of a file of ranks."""
+    with open(ranks, "rb") as f:
+        want = {int(i): base64.b64decode(b) for b, i in map(bytes.split, f)}
+    table = byte_table(Tokenizer.from_file(path))
+    if any(i >= len(table) or table[i] != b for i, b in want.items()):
+        raise ValueError(f"{path}: not the ranks of {ranks}")
+
+
 def byte_table(tokenizer: Tokenizer) -> list[bytes]:
     """The bytes of each id, by reversing the byte-to-character mapping of byte-level BPE."""
     back = {chr(c): b for b, c in MARKED.items()}

@@ -22,15 +22,17 @@ def plain_words(text: bytes | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """64-bit hash of each word; forgets all at a bound, which changes no hash."""
+    """64-bit hash of each word; forgets all at a bound, and long words at once, which changes
+    no hash."""
 
-    bound = 100_000
+    bound, longest = 100_000, 64
 
     def __missing__(self, word: bytes) -> int:
         value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= self.bound:
-            self.clear()
-        self[word] = value
+        if len(word) <= self.longest:
+            if len(self) >= self.bound:
+                self.clear()
+            self[word] = value
         return value
 
     def array(self, words: list[bytes]) -> np.ndarray:
