@@ -152,15 +152,17 @@ def regions(nodes: DataFrame, p: Forest) -> DataFrame:
         if anchors is not None:
             cut = entries.join(small(anchors, n_full), "parent")
             entries = written(cut.select("key", "node").unionByName(cut.select("key", F.col("anchor").alias("node")).distinct()).distinct(), "entries")
-        counts = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        shared = written(entries.join(counts, "key"), "shared")
-        found.append(shared.where(F.col("n") <= p.region + 1).select("key", "node"))
-        full = shared.where(F.col("n") > p.region + 1)
-        anchor = F.min(F.struct(F.xxhash64("key", "node"), "node"))["node"]
-        anchors = written(full.groupBy(F.col("key").alias("parent")).agg(anchor.alias("anchor"), F.first("n").alias("n")), "anchors")
-        n_full, before = anchors.count(), depth
+        counts = written(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+        over = F.col("n") > p.region + 1
+        large = counts.where(over)  # at most a key for each p.region entries
+        n_full, before = large.count(), depth
+        rest = entries.join(small(large.select("key"), n_full), "key", "left_anti") if n_full else entries
+        found.append(written(rest.join(counts.where(~over).select("key"), "key", "left_semi").select("key", "node"), "shared"))
         if not n_full:
             break
+        full = entries.join(small(large, n_full), "key")
+        anchor = F.min(F.struct(F.xxhash64("key", "node"), "node"))["node"]
+        anchors = written(full.groupBy(F.col("key").alias("parent")).agg(anchor.alias("anchor"), F.first("n").alias("n")), "anchors")
     else:
         chunk = lambda c: F.xxhash64("key", c)
         parts = anchors.select(F.col("parent").alias("key"), "anchor", F.ceil(F.col("n") * 2 / p.region).alias("parts"))
