@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import lean, scratch_dir, texts_in, written
 from .labels import labelled, logistic, sampled, training_labels
-from .words import WordHashes, mixed, plain_words
+from .words import WordHashes, WordIds, mixed, plain_words
 
 #: Occurrences in the smaller class that the discount takes away.
 DISCOUNT = 1.0
@@ -73,12 +73,13 @@ class Table:
             made.append(rows.sparkSession.sparkContext.broadcast((keys[order], np.ascontiguousarray(v[order]))))
         return cls(made, bits)
 
-    def values_of(self, roles: list[np.ndarray], column: int | np.ndarray = 0) -> np.ndarray:
-        """A row for each role: the value of its key at each position."""
-        out = np.zeros((len(roles), len(roles[0])))
+    def values_of(self, *roles: np.ndarray, column: np.ndarray | int | None = None) -> list[np.ndarray]:
+        """For each role the values of its keys: all columns, or the one named at each place."""
+        width = self.blocks[0].value[1].shape[1:] if column is None else ()
+        out = [np.zeros((len(keys), *width)) for keys in roles]
         for b, block in enumerate(self.blocks):
             words, values = block.value
-            for role, keys in enumerate(roles):
+            for keys, made in zip(roles, out):
                 at = np.flatnonzero(keys >> np.uint64(64 - self.bits) == b) if self.bits else np.arange(len(keys))
                 if not len(words) or not len(at):
                     continue
@@ -86,7 +87,7 @@ class Table:
                 found[found == len(words)] = 0
                 hit = words[found] == keys[at]
                 at, found = at[hit], found[hit]
-                out[role, at] = values[found, column[at] if isinstance(column, np.ndarray) else column]
+                made[at] = values[found] if column is None else values[found, column[at] if isinstance(column, np.ndarray) else column]
             if self.bits:
                 del words, values
                 vars(block).pop("_value", None)  # read again from the executor's copy
@@ -113,16 +114,18 @@ class Ratios:
     center: np.ndarray | None = None
     scale: np.ndarray | None = None
 
-    def features(self, texts: list[np.ndarray], columns: list[int] | None = None) -> Iterator[tuple[float, ...]]:
+    def features(self, texts: list[np.ndarray], known: Known, columns: list[int] | None = None) -> Iterator[tuple[float, ...]]:
         """Statistics of each text's words, by the column of the table for each text."""
         lengths = [len(t) for t in texts]
         if self.table is None or not sum(lengths):
             yield from ((0.0,) * FEATURES for _ in texts)
             return
         column = np.repeat(np.array(columns), lengths) if columns else 0
-        found = self.table.values_of(keys_of(texts), column)
-        alone = found[0] + self.other[column]
-        ratios = np.stack([alone, alone + found[1:].sum(axis=0)])
+        words, before = np.concatenate(texts), np.concatenate([preceding(t, 0) for t in texts])
+        hashes = known.hashes()
+        pair, alone, context = known.looked_up(self.table, pair_keys(hashes[before], hashes[words]), column)
+        alone = alone[words, column] + self.other[column]
+        ratios = np.stack([alone, alone + context[before, column] + pair])
         end = 0
         for n in lengths:
             own = ratios[:, end : end + n]
@@ -131,21 +134,22 @@ class Ratios:
                 yield (0.0,) * FEATURES
                 continue
             top = np.partition(own, max(0, n - 3))[:, -3:]
-            made = own.mean(axis=1), np.sqrt(np.maximum(own - MARGIN, 0).mean(axis=1)), own.max(axis=1), top.mean(axis=1)
+            made = own.mean(axis=1), np.sqrt(np.maximum(own - MARGIN, 0).mean(axis=1)), top[:, -1], top.mean(axis=1)
             yield tuple(np.concatenate(made).tolist())
 
-    def rows(self, texts: Iterable[bytes | None], hashes: WordHashes, columns: list[int] | None = None) -> np.ndarray:
+    def rows(self, texts: Iterable[bytes | None], known: Known, columns: list[int] | None = None) -> np.ndarray:
         """Statistics of texts, with the words of a bounded number of them held at a time."""
         out: list[tuple[float, ...]] = []
         held: list[np.ndarray] = []
         size = 0
 
         def done() -> None:
-            out.extend(self.features(held, columns[len(out) : len(out) + len(held)] if columns else None))
+            out.extend(self.features(held, known, columns[len(out) : len(out) + len(held)] if columns else None))
             held.clear()
+            known.trim()
 
         for text in texts:
-            held.append(hashes.array(plain_words(text)))
+            held.append(known.words.array(plain_words(text)))
             size += len(held[-1])
             if size >= BATCH_WORDS:
                 done()
@@ -158,58 +162,42 @@ class Ratios:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def keys_of(texts: list[np.ndarray]) -> list[np.ndarray]:
-    """The table's keys of each word, of the word before it and of the pair, joined."""
-    words, before = np.concatenate(texts), np.concatenate([preceding(t) for t in texts])
-    return [words, context_keys(before), pair_keys(before, words)]
+class Known:
+    """The words that a worker has met and what the table says of them alone and as contexts;
+    forgets them at a bound."""
 
+    def __init__(self):
+        self.words = WordIds(int(START))
+        self.values: list[np.ndarray] = []
 
-def preceding(words: np.ndarray) -> np.ndarray:
-    return np.concatenate(([START], words[:-1])) if len(words) else words
+    def hashes(self) -> np.ndarray:
+        return np.array(self.words.hashes, np.uint64)
 
+    def looked_up(self, table: Table, pairs: np.ndarray, column: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each pair its value, and all values of each word number alone and as a context."""
+        new = self.hashes()[len(self.values[0]) if self.values else 0 :]
+        found = table.values_of(new, context_keys(new)) if len(new) else []
+        if self.values:
+            found = [np.concatenate(x) for x in zip(self.values, found)] if found else self.values
+        self.values = found
+        return table.values_of(pairs, column=column)[0], *found
 
-def context_keys(before: np.ndarray) -> np.ndarray:
-    return mixed(before ^ np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return mixed(mixed(before * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x165667B19E3779F9)) ^ words)
+    def trim(self) -> None:
+        if self.words.full:
+            self.words.clear()
+            self.values = []
 
 
-def class_counts(rows: DataFrame) -> DataFrame:
-    """w and, for each fold f, tf and of: toxic and ordinary tokens of each word hash.
+def preceding(words: np.ndarray, start: int | np.uint64 = START) -> np.ndarray:
+    return np.concatenate((np.array([start], words.dtype), words[:-1])) if len(words) else words
 
-    Counts all rows (text, label, fold)."""
-    schema = pa.schema([(c, pa.int64()) for c in ("w", "c", "n")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        held: dict[int, list[np.ndarray]] = {}
-        size = 0
 
-        def counted() -> Iterator[pa.RecordBatch]:
-            for c, parts in sorted(held.items()):
-                words, n = np.unique(np.concatenate(parts), return_counts=True)
-                for k in range(0, len(words), 50_000):
-                    s = slice(k, k + 50_000)
-                    w = words[s].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w, np.full(len(w), c, np.int64), n[s])], schema=schema)
+def context_keys(before: np.ndarray) -> np.ndarray:
+    return mixed(before ^ np.uint64(0xC2B2AE3D27D4EB4F))
 
-        for batch in batches:
-            for text, label, fold in zip(texts_in(batch.column(0)), *(batch.column(k).to_pylist() for k in (1, 2))):
-                h = hashes.array(plain_words(text))
-                if len(h):
-                    held.setdefault(2 * fold + (1 - label), []).append(h)
-                    size += len(h)
-                if size >= 2_000_000:
-                    yield from counted()
-                    held, size = {}, 0
-        if size:
-            yield from counted()
 
-    made = rows.select("text", "label", "fold").mapInArrow(lean(run), "w long, c long, n long")
-    sums = [F.coalesce(F.sum(F.when(F.col("c") == 2 * f + k, F.col("n"))), F.lit(0)).alias(f"{name}{f}") for f in range(FOLDS) for k, name in enumerate("to")]
-    return made.groupBy("w").agg(*sums)
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mixed(mixed(before * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x165667B19E3779F9)) ^ words)
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -256,9 +244,10 @@ def pair_model(pairs: DataFrame) -> DataFrame:
 
     CONTEXT: key of a word, and the log-ratio of what its discounts free in either class.
     PAIR: key of a pair, its word w, and the pair's discounted shares over the freed ones:
-    all models' in the toxic class, then in the ordinary one. CONTINUED: a word w, and the
-    number of distinct words met before it, a part of a sum. Equal h are dealt to one task
-    in order; words of one h are held together.
+    all models' in the toxic class, then in the ordinary one. CONTINUED: a word w, and parts
+    of sums: the number of distinct words met before it, and its occurrences by fold in the
+    toxic and the ordinary class. Equal h are dealt to one task in order; words of one h, as
+    many as there are different ones after it, are held together.
     """
     sorted_pairs = pairs.repartition("h").sortWithinPartitions("h", "w")
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("w", pa.int64()), ("v", pa.list_(pa.float32()))])
@@ -291,8 +280,10 @@ def pair_model(pairs: DataFrame) -> DataFrame:
         yield from rows_of(CONTEXT, context_keys(h[begin][some]), h[begin][some], a)
         u = (share[kept] / freed[group[kept]]).transpose(0, 2, 1).reshape(-1, 2 * (1 + FOLDS))
         yield from rows_of(PAIR, pair_keys(h[kept], w[kept]), w[kept], u)
-        words, n = np.unique(w, return_counts=True)
-        yield from rows_of(CONTINUED, words, words, n[:, None])
+        order = np.argsort(w, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], w[order][1:] != w[order][:-1])))
+        sums = np.add.reduceat(np.column_stack((np.ones(len(w)), n.reshape(len(w), -1)))[order], first, axis=0)
+        yield from rows_of(CONTINUED, w[order][first], w[order][first], sums)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -318,19 +309,19 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "d
     chosen = chosen.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int"))
     rows = labelled(docs, chosen, key, text_col)
     sample = labelled(docs, sampled(chosen, CALIBRATION_ROWS, key), key, text_col)
-    counts = written(class_counts(rows), "class-counts")
+    pairs = written(pair_model(pair_counts(rows)), "pair-model")
+    part = lambda k: F.sum(F.col("v")[k].cast("double"))
+    by_fold = (part(1 + 2 * f + k).alias(f"{c}{f}") for f in range(FOLDS) for k, c in enumerate("to"))
+    counts = written(pairs.where(F.col("kind") == CONTINUED).groupBy("w").agg(F.log1p(part(0)).alias("continued"), *by_fold), "words")
     folds = range(FOLDS)
     models = [list(folds), *([g for g in folds if g != f] for f in folds)]
     toxic = [sum(F.col(f"t{f}") for f in m) for m in models]
     ordinary = [sum(F.col(f"o{f}") for f in m) for m in models]
-    sums = counts.agg(*(F.sum(c).alias(f"x{k}") for k, c in enumerate(toxic + ordinary))).first()
+    sums = counts.agg(*(F.sum(c).alias(f"x{k}") for k, c in enumerate(toxic + ordinary)), F.sum("continued").alias("continued")).first()
     n1, n0 = (np.array([float(x or 0) for x in sums[k : k + len(models)]]) for k in range(0, 2 * len(models), len(models)))
     if min(n1[0], n0[0]) == 0:
         return _calibrated(Ratios(None, np.zeros(len(models))), sample, key)
-    pairs = written(pair_model(pair_counts(rows)), "pair-model")
-    continued = pairs.where(F.col("kind") == CONTINUED).groupBy("w").agg(F.log1p(F.sum(F.col("v")[0].cast("double"))).alias("continued"))
-    words = counts.join(continued, "w")
-    n_pairs = continued.agg(F.sum("continued")).first()[0]
+    words, n_pairs = counts, sums["continued"]
     backoff = F.col("continued") / F.lit(n_pairs)
     p1, p0, other = [], [], np.zeros(len(models))
     for k in range(len(models)):
@@ -376,9 +367,9 @@ def _calibrated(model: Ratios, sample: DataFrame, key: str) -> Ratios:
     sample = sample.repartition(CALIBRATION_TASKS, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        known = Known()
         for batch in batches:
-            made = model.rows(texts_in(batch.column(0)), hashes, [1 + f for f in batch.column(1).to_pylist()])
+            made = model.rows(texts_in(batch.column(0)), known, [1 + f for f in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(made.tolist(), pa.list_(pa.float64()))], ["label", "features"])
 
     got = sample.select("text", "fold", "label").mapInArrow(lean(run), "label int, features array<double>").collect()
@@ -400,9 +391,9 @@ def score(docs: DataFrame, model: Ratios, text_col: str = "text", keep: list[str
     keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        known = Known()
         for batch in batches:
-            rows = model.rows(texts_in(batch.column(0)), hashes)
+            rows = model.rows(texts_in(batch.column(0)), known)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model.score(rows), pa.float64())], [*keep, "score"])
 
     return docs.select(F.col(text_col).alias("_text"), *keep).mapInArrow(lean(run), docs.select(*keep).schema.add("score", "double"))

@@ -39,6 +39,36 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class WordIds(dict):
+    """Numbers of words from 1 on in the order they are met, and their 64-bit hashes by number;
+    `first` is the hash of number 0. The owner clears it, when it is full, between batches."""
+
+    words, size = 200_000, 16_000_000
+
+    def __init__(self, first: int):
+        super().__init__()
+        self.hashes = [first]
+        self.bytes = 0
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.hashes)
+        self.hashes.append(int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"))
+        self.bytes += len(word)
+        return number
+
+    @property
+    def full(self) -> bool:
+        return len(self) > self.words or self.bytes > self.size
+
+    def clear(self) -> None:
+        super().clear()
+        del self.hashes[1:]
+        self.bytes = 0
+
+    def array(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
