@@ -75,10 +75,17 @@ def trim() -> None:
         free(0)
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """The same function of Arrow batches, with its memory given back at its end."""
+#: What a worker process keeps for later tasks of the same kind.
+KEPT: dict = {}
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False):
+    """The same function of Arrow batches, with its memory given back at its end. What other
+    functions kept for later tasks is dropped, unless this one keeps things itself."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            KEPT.clear()
         try:
             yield from run(batches)
         finally:

@@ -157,7 +157,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
         if held:
             yield segment()
 
-    ordered.mapInArrow(lean(run), FILE).write.parquet(path)
+    ordered.mapInArrow(lean(run, True), FILE).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import bytes_of, lean, texts_in
+from .common import KEPT, bytes_of, lean, texts_in
 
 #: Bytes that a generation of pieces takes, there are two of them; and the same where a worker
 #: holds only ids and counts besides.
@@ -271,14 +271,11 @@ def byte_table(tokenizer: Tokenizer) -> list[bytes]:
     return out
 
 
-_LOADED: dict[tuple[type, str], WordBpe | ByteBpe] = {}
-
-
 def loaded(kind: type, path: str):
     """One encoder a worker process and file, so that what it has met serves later tasks."""
-    if (kind, path) not in _LOADED:
-        _LOADED[kind, path] = kind(path)
-    return _LOADED[kind, path]
+    if (kind, path) not in KEPT:
+        KEPT[kind, path] = kind(path)
+    return KEPT[kind, path]
 
 
 def encode_bytes_bpe(docs: DataFrame, path: str, text_col: str = "text", offsets: bool = False, decode: bool = False) -> DataFrame:
@@ -308,7 +305,7 @@ def encode_bytes_bpe(docs: DataFrame, path: str, text_col: str = "text", offsets
     schema = docs.select(*keep).schema
     for name in made:
         schema = schema.add(name, T.BinaryType() if name == "decoded" else T.ArrayType(T.IntegerType()))
-    return docs.select(F.col(text_col), *keep).mapInArrow(lean(run), schema)
+    return docs.select(F.col(text_col), *keep).mapInArrow(lean(run, True), schema)
 
 
 def decode_bytes_bpe(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -326,7 +323,7 @@ def decode_bytes_bpe(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFr
             out = [b"" if empty[k] else bpe.decode(flat[bounds[k] : bounds[k + 1]].tolist()) for k in range(len(lists))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*keep, "decoded"])
 
-    return rows.select(*keep).mapInArrow(lean(run), rows.select(*keep).schema.add("decoded", "binary"))
+    return rows.select(*keep).mapInArrow(lean(run, True), rows.select(*keep).schema.add("decoded", "binary"))
 
 
 def token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -351,7 +348,7 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int
     schema = docs.select(*keep).schema
     for name in made:
         schema = schema.add(name, "long")
-    out = docs.select(F.col(text_col), *keep).mapInArrow(lean(run), schema)
+    out = docs.select(F.col(text_col), *keep).mapInArrow(lean(run, True), schema)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

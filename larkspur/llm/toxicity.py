@@ -37,11 +37,13 @@ DISCOUNT = 1.0
 #: The word before the first one of a text.
 START = np.uint64(0x5354415254)
 #: Counted pairs that a worker takes up together, and more if one word has more.
-PAIR_ROWS = 200_000
+PAIR_ROWS = 100_000
 #: Rows of a block of the model; a worker that needs several blocks holds one at a time.
 BLOCK_ROWS = 2**20
-#: Words of texts that are looked up together.
-BATCH_WORDS = 1_000_000
+#: Words of texts that are looked up together, and counted together.
+BATCH_WORDS, COUNTED_WORDS = 1_000_000, 1_000_000
+#: Keys that are looked up at once.
+LOOKUP = 1 << 17
 #: Log-likelihood ratio above which a token counts as marked.
 MARGIN = 2.0
 #: Folds of the labelled rows, for the calibration of the score.
@@ -76,18 +78,18 @@ class Table:
     def values_of(self, *roles: np.ndarray, column: np.ndarray | int | None = None) -> list[np.ndarray]:
         """For each role the values of its keys: all columns, or the one named at each place."""
         width = self.blocks[0].value[1].shape[1:] if column is None else ()
-        out = [np.zeros((len(keys), *width)) for keys in roles]
+        out = [np.zeros((len(keys), *width), np.float32) for keys in roles]
         for b, block in enumerate(self.blocks):
             words, values = block.value
             for keys, made in zip(roles, out):
-                at = np.flatnonzero(keys >> np.uint64(64 - self.bits) == b) if self.bits else np.arange(len(keys))
-                if not len(words) or not len(at):
-                    continue
-                found = np.searchsorted(words, keys[at])
-                found[found == len(words)] = 0
-                hit = words[found] == keys[at]
-                at, found = at[hit], found[hit]
-                made[at] = values[found] if column is None else values[found, column[at] if isinstance(column, np.ndarray) else column]
+                for lo in range(0, len(keys) if len(words) else 0, LOOKUP):
+                    own = keys[lo : lo + LOOKUP]
+                    at = np.flatnonzero(own >> np.uint64(64 - self.bits) == b) if self.bits else np.arange(len(own))
+                    found = np.searchsorted(words, own[at])
+                    found[found == len(words)] = 0
+                    hit = words[found] == own[at]
+                    at, found = at[hit] + lo, found[hit]
+                    made[at] = values[found] if column is None else values[found, column[at] if isinstance(column, np.ndarray) else column]
             if self.bits:
                 del words, values
                 vars(block).pop("_value", None)  # read again from the executor's copy
@@ -121,18 +123,21 @@ class Ratios:
             yield from ((0.0,) * FEATURES for _ in texts)
             return
         column = np.repeat(np.array(columns), lengths) if columns else 0
-        words, before = np.concatenate(texts), np.concatenate([preceding(t, 0) for t in texts])
-        hashes = known.hashes()
-        pair, alone, context = known.looked_up(self.table, pair_keys(hashes[before], hashes[words]), column)
-        alone = alone[words, column] + self.other[column]
-        ratios = np.stack([alone, alone + context[before, column] + pair])
+        hashes, keys, end = known.hashes(), np.empty(sum(lengths), np.uint64), 0
+        for t in texts:
+            h = hashes[t]
+            keys[end : end + len(t)] = pair_keys(preceding(h), h)
+            end += len(t)
+        pair, alone, context = known.looked_up(self.table, keys, column)
         end = 0
-        for n in lengths:
-            own = ratios[:, end : end + n]
+        for k, t in enumerate(texts):
+            n, c = len(t), columns[k] if columns else 0
             end += n
             if n == 0:
                 yield (0.0,) * FEATURES
                 continue
+            words = alone[t, c] + self.other[c]
+            own = np.stack([words, words + context[preceding(t, 0), c] + pair[end - n : end]])
             top = np.partition(own, max(0, n - 3))[:, -3:]
             made = own.mean(axis=1), np.sqrt(np.maximum(own - MARGIN, 0).mean(axis=1)), top[:, -1], top.mean(axis=1)
             yield tuple(np.concatenate(made).tolist())
@@ -226,7 +231,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
                 if len(h):
                     held.setdefault(2 * fold + (1 - label), []).append(h)
                     size += len(h)
-                if size >= 2_000_000:
+                if size >= COUNTED_WORDS:
                     yield from counted()
                     held, size = {}, 0
         if size:

@@ -43,7 +43,7 @@ class WordIds(dict):
     """Numbers of words from 1 on in the order they are met, and their 64-bit hashes by number;
     `first` is the hash of number 0. The owner clears it, when it is full, between batches."""
 
-    words, size = 200_000, 16_000_000
+    words, size = 100_000, 8_000_000
 
     def __init__(self, first: int):
         super().__init__()
@@ -66,7 +66,7 @@ class WordIds(dict):
         self.bytes = 0
 
     def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
