@@ -17,7 +17,8 @@ def ratio(a: str | Column, b: str | Column) -> Column:
 
 
 def quantile(c: str | Column, q: float | Sequence[float]) -> Column:
-    """Exact, with linear interpolation."""
+    """Exact, with linear interpolation, as an aggregate of a group: it holds the group's
+    distinct values. For whole columns of a large table there is `operators.quantiles`."""
     return F.percentile(col(c).cast("double"), list(q) if isinstance(q, (list, tuple)) else q)
 
 
@@ -38,29 +39,12 @@ def kurt(c: str | Column) -> Column:
     return F.when(n >= 4, value)
 
 
-def iqr_fences(c: str | Column, k: float = 1.5) -> tuple[Column, Column]:
-    q1, q3 = quantile(c, 0.25), quantile(c, 0.75)
-    return q1 - k * (q3 - q1), q3 + k * (q3 - q1)
-
-
 def zscore_fences(c: str | Column, t: float = 3.0) -> tuple[Column, Column]:
     """Mean and population deviation; a constant column has both fences at its mean."""
     x = col(c).cast("double")
     return F.avg(x) - t * F.stddev_pop(x), F.avg(x) + t * F.stddev_pop(x)
 
 
-def percentile_fences(c: str | Column, p: float = 99.0) -> tuple[Column, Column]:
-    return quantile(c, (100 - p) / 100), quantile(c, p / 100)
-
-
-def fences(c: str | Column, method: str, value: float | None = None) -> tuple[Column, Column]:
-    kinds = {"iqr": (iqr_fences, 1.5), "zscore": (zscore_fences, 3.0), "percentile": (percentile_fences, 99.0)}
-    if method not in kinds:
-        raise ValueError(f"method must be one of {sorted(kinds)}")
-    f, default = kinds[method]
-    return f(c, default if value is None else value)
-
-
 def outside(x: str | Column, lo: Column, hi: Column) -> Column:
     """False for NULL values and fences, and where the fences meet."""
     return F.coalesce((lo != hi) & ((col(x) < lo) | (col(x) > hi)), F.lit(False))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.stats import fences, outside
+from ..functions.stats import outside, zscore_fences
+from .quantiles import quantile_row
 
 IDENTIFIERS = ("CustomerID", "InvoiceNo")
 
@@ -116,12 +117,18 @@ def duplicate_summary(df: DataFrame, subset: Sequence[str] | None = None) -> Dat
 
 
 def missing_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """column, missing, rate_pct and n_unique of each column, most missing first."""
+    """column, missing, rate_pct and n_unique of each column, most missing first.
+
+    Values are counted by column before they are shuffled, then counted again: no row is
+    expanded by a distinct aggregate, and a hot value is one row a task."""
     cs = list(columns or df.columns)
-    one = df.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(c).isNull()).alias(f"m_{k}") for k, c in enumerate(cs)), *(F.count_distinct(F.col(c)).alias(f"u_{k}") for k, c in enumerate(cs)))
-    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"m_{k}").alias("missing"), F.col(f"u_{k}").alias("n_unique")) for k, c in enumerate(cs))))
-    out = one.select("n", rows.alias("r")).select("r.*", F.bround(F.try_divide(F.col("r.missing") * 100.0, F.col("n")), 4).alias("rate_pct"))
-    return out.orderBy(F.desc("missing"), "column")
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cs)))
+    values = df.select(cells.alias("r")).select("r.*").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    found = values.groupBy("column").agg(F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.count("value").alias("n_unique"), F.sum("n").alias("n"))
+    every = df.sparkSession.createDataFrame([(c,) for c in cs], "column string")
+    out = every.join(F.broadcast(found), "column", "left")  # of an empty table too
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return out.select("column", zero("missing"), zero("n_unique"), F.bround(F.try_divide(F.col("missing") * 100.0, F.col("n")), 4).alias("rate_pct")).orderBy(F.desc("missing"), "column")
 
 
 def handle_missing(df: DataFrame, columns: Sequence[str], strategy: str) -> DataFrame:
@@ -134,18 +141,43 @@ def handle_missing(df: DataFrame, columns: Sequence[str], strategy: str) -> Data
         raise ValueError("identifiers are not filled")
     if strategy == "impute_zero":
         return df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)) for c in columns})
-    made = {"impute_mean": F.avg, "impute_median": F.median}.get(strategy)
-    if made is None:
+    if strategy == "impute_mean":
+        fill = df.agg(*(F.avg(F.col(c).cast("double")).alias(f"_f{k}") for k, c in enumerate(columns)))
+    elif strategy == "impute_median":
+        fill = quantile_row(df, {f"_f{k}": (c, 0.5) for k, c in enumerate(columns)})
+    else:
         raise ValueError(f"no such strategy: {strategy}")
-    fill = df.agg(*(made(F.col(c).cast("double")).alias(f"_f{k}") for k, c in enumerate(columns)))
     out = df.crossJoin(F.broadcast(fill))  # one row
     return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_f{k}")) for k, c in enumerate(columns)}).drop(*fill.columns)
 
 
+def fence_row(df: DataFrame, wanted: Sequence[tuple[str, str, float | None]]) -> DataFrame:
+    """One row: the fences of each (column, method, value), as _lo_k and _hi_k."""
+    sides: list[Column] = []
+    needed: dict[str, tuple[str, float]] = {}
+    moments: list[tuple[int, str, float]] = []
+    for k, (c, method, value) in enumerate(wanted):
+        if method == "zscore":
+            moments.append((k, c, 3.0 if value is None else value))
+        elif method in ("iqr", "percentile"):
+            v = {"iqr": 1.5, "percentile": 99.0}[method] if value is None else value
+            ends = (0.25, 0.75) if method == "iqr" else ((100 - v) / 100, v / 100)
+            needed |= {f"_a_{k}": (c, ends[0]), f"_b_{k}": (c, ends[1])}
+            reach = v * (F.col(f"_b_{k}") - F.col(f"_a_{k}")) if method == "iqr" else F.lit(0.0)
+            sides += [(F.col(f"_a_{k}") - reach).alias(f"_lo_{k}"), (F.col(f"_b_{k}") + reach).alias(f"_hi_{k}")]
+        else:
+            raise ValueError("method must be one of ['iqr', 'percentile', 'zscore']")
+    z = [f.alias(f"{s}_{k}") for k, c, v in moments for s, f in zip(("_lo", "_hi"), zscore_fences(c, v))]
+    quantile_sides = quantile_row(df, needed).select(*sides) if needed else None
+    if not z:
+        return quantile_sides
+    both = df.agg(*z)
+    return both if quantile_sides is None else quantile_sides.crossJoin(F.broadcast(both))  # one row each
+
+
 def with_fences(df: DataFrame, columns: Sequence[str], method: str = "iqr", value: float | None = None) -> DataFrame:
     """Each column's fences beside every row (one broadcast row), as _lo_k and _hi_k."""
-    sides = [f.alias(f"{s}_{k}") for k, c in enumerate(columns) for s, f in zip(("_lo", "_hi"), fences(c, method, value))]
-    return df.crossJoin(F.broadcast(df.agg(*sides)))
+    return df.crossJoin(F.broadcast(fence_row(df.select(*columns), [(c, method, value) for c in columns])))
 
 
 def outlier_summary(df: DataFrame, columns: Sequence[str], method: str = "iqr", value: float | None = None) -> DataFrame:
@@ -177,9 +209,8 @@ def treat_outliers(df: DataFrame, columns: Sequence[str], method: str = "iqr", a
 def sensitivity(df: DataFrame, column: str, iqr: Sequence[float] = (1.5, 2.0, 2.5, 3.0), percentiles: Sequence[float] = (95.0, 97.5, 99.0), zscores: Sequence[float] = (3.0,)) -> DataFrame:
     """method, threshold, lower, upper, n_outliers and rate (a fraction) for each setting."""
     wanted = [("iqr", v) for v in iqr] + [("percentile", v) for v in percentiles] + [("zscore", v) for v in zscores]
-    sides = [f.alias(f"{s}_{k}") for k, (m, v) in enumerate(wanted) for s, f in zip(("lo", "hi"), fences(column, m, v))]
-    bounds = df.agg(*sides)
-    rows = bounds.select(F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.lit(float(v)).alias("threshold"), F.col(f"lo_{k}").alias("lower"), F.col(f"hi_{k}").alias("upper")) for k, (m, v) in enumerate(wanted)))).alias("r")).select("r.*")
+    bounds = fence_row(df.select(column), [(column, m, v) for m, v in wanted])
+    rows = bounds.select(F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.lit(float(v)).alias("threshold"), F.col(f"_lo_{k}").alias("lower"), F.col(f"_hi_{k}").alias("upper")) for k, (m, v) in enumerate(wanted)))).alias("r")).select("r.*")
     joined = df.select(F.col(column).cast("double").alias("x")).crossJoin(F.broadcast(rows))  # as many rows as settings
     out = joined.groupBy("method", "threshold", "lower", "upper").agg(F.count("x").alias("n"), F.count_if(outside("x", F.col("lower"), F.col("upper"))).alias("n_outliers"))
     return out.withColumn("rate", F.try_divide(F.col("n_outliers").cast("double"), F.col("n"))).drop("n")

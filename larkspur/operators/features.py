@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -24,23 +24,19 @@ class AggSpec:
     fn: str
 
 
-def _distinct_when(flag: str, c: str) -> Column:
-    return F.count_distinct(F.when(F.col(flag), F.col(c)))
+#: Aggregates of lines: their parts by customer and invoice, and what the parts make.
+PARTS = {
+    "sum": ((F.sum,), lambda p: F.sum(p)),
+    "money": ((lambda c: F.sum(F.col(c).cast("decimal(18,4)")),), lambda p: F.sum(p).cast("double")),
+    "mean": ((lambda c: F.sum(F.col(c).cast("double")), F.count), lambda p, n: F.try_divide(F.sum(p), F.sum(n).cast("double"))),
+    "min": ((F.min,), lambda p: F.min(p)),
+    "max": ((F.max,), lambda p: F.max(p)),
+    "count": ((F.count,), lambda p: F.sum(p)),
+    "avg_by_invoice": ((lambda c: F.sum(F.col(c).cast("decimal(18,4)")),), lambda p: F.try_divide(F.sum(p).cast("double"), F.nullif(F.count("InvoiceNo"), F.lit(0)).cast("double"))),
+}
+FLAGS = {"conditional_nunique_cancellation": "IsCancellation", "conditional_nunique_return": "IsReturn"}
 
 
-FUNCTIONS = {
-    "sum": lambda c: F.sum(F.col(c)),
-    "money": money,
-    "mean": lambda c: F.avg(F.col(c)),
-    "min": lambda c: F.min(F.col(c)),
-    "max": lambda c: F.max(F.col(c)),
-    "count": lambda c: F.count(F.col(c)),
-    "nunique": lambda c: F.count_distinct(F.col(c)),
-    "nunique_date": lambda c: F.count_distinct(F.to_date(F.col(c))),
-    "conditional_nunique_cancellation": lambda c: _distinct_when("IsCancellation", c),
-    "conditional_nunique_return": lambda c: _distinct_when("IsReturn", c),
-    "avg_by_invoice": lambda c: F.try_divide(money(c), F.count_distinct("InvoiceNo").cast("double")),
-}
 BASE = (
     AggSpec("TotalQuantity", "Quantity", "sum"),
     AggSpec("TotalMonetary", "LineRevenue", "money"),
@@ -68,9 +64,40 @@ def prepared(df: DataFrame) -> DataFrame:
     return out.where(F.col(KEY).isNotNull())
 
 
+def invoices(rows: DataFrame, specs: Sequence[AggSpec] = ()) -> DataFrame:
+    """A row for each customer and invoice: the parts of the aggregates, and the first date t."""
+    parts = [f(s.source).alias(f"_{k}_{j}") for k, s in enumerate(specs) if s.fn in PARTS for j, f in enumerate(PARTS[s.fn][0])]
+    flags = [F.max(F.col(FLAGS[s.fn]) & F.col(s.source).isNotNull()).alias(f"_{k}_0") for k, s in enumerate(specs) if s.fn in FLAGS]
+    return rows.groupBy(KEY, "InvoiceNo").agg(F.min("InvoiceDate").alias("t"), F.max("InvoiceDate").alias("last"), *parts, *flags)
+
+
 def customer_base(df: DataFrame, specs: Sequence[AggSpec] = BASE) -> DataFrame:
-    """The aggregates of each customer. One shuffle by customer for all of them."""
-    return prepared(df).groupBy(KEY).agg(*(FUNCTIONS[s.fn](s.source).alias(s.name) for s in specs))
+    """The aggregates of each customer, by way of one row an invoice. Distinct values of other
+    columns are counted from their own groups. No line is expanded, and all shuffles carry
+    what is aggregated already, so a customer with very many lines is no hot key."""
+    rows = prepared(df)
+    return _of_invoices(rows, invoices(rows, specs), specs)
+
+
+def _of_invoices(rows: DataFrame, by_invoice: DataFrame, specs: Sequence[AggSpec]) -> DataFrame:
+    made, others = [], []
+    for k, s in enumerate(specs):
+        if s.fn in PARTS:
+            made.append(PARTS[s.fn][1](*(F.col(f"_{k}_{j}") for j in range(len(PARTS[s.fn][0])))).alias(s.name))
+        elif s.fn in FLAGS and s.source == "InvoiceNo":
+            made.append(F.count_if(F.col(f"_{k}_0")).alias(s.name))
+        elif s.fn == "nunique" and s.source == "InvoiceNo":
+            made.append(F.count("InvoiceNo").alias(s.name))
+        elif s.fn in ("nunique", "nunique_date"):
+            others.append(s)
+        else:
+            raise ValueError(f"no such aggregate: {s.fn} of {s.source}")
+    out = by_invoice.groupBy(KEY).agg(*(made or [F.count(F.lit(1)).alias("_n")]))
+    for s in others:
+        value = F.to_date(F.col(s.source)) if s.fn == "nunique_date" else F.col(s.source)
+        distinct = rows.select(KEY, value.alias("_v")).distinct().groupBy(KEY).agg(F.count("_v").alias(s.name))
+        out = out.join(distinct, KEY)
+    return out.select(KEY, *(s.name for s in specs))
 
 
 def customer_diagnostic(df: DataFrame, mode: str = "all_rows") -> DataFrame:
@@ -91,7 +118,7 @@ def recency(base: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def frequency_variants(df: DataFrame) -> DataFrame:
-    out = prepared(df).groupBy(KEY).agg(F.count_distinct("InvoiceNo").alias("FrequencyInvoices"), F.count("InvoiceNo").alias("FrequencyLines"))
+    out = customer_base(df, (AggSpec("FrequencyInvoices", "InvoiceNo", "nunique"), AggSpec("FrequencyLines", "InvoiceNo", "count")))
     return out.withColumn("FrequencyDifference", F.col("FrequencyLines") - F.col("FrequencyInvoices"))
 
 
@@ -137,7 +164,11 @@ def tenure(base: DataFrame) -> DataFrame:
 
 def purchase_interval(df: DataFrame) -> DataFrame:
     """Mean and sample deviation of whole 24-hour periods between successive invoices."""
-    first = prepared(df).groupBy(KEY, "InvoiceNo").agg(F.min("InvoiceDate").alias("t"))
+    return _intervals(invoices(prepared(df)))
+
+
+def _intervals(by_invoice: DataFrame) -> DataFrame:
+    first = by_invoice.select(KEY, "InvoiceNo", "t")
     before = F.lag("t").over(W.partitionBy(KEY).orderBy("t", "InvoiceNo"))
     gap = F.floor((F.unix_micros("t") - F.unix_micros(before)) / 86_400_000_000)
     gaps = first.select(KEY, gap.alias("gap"))
@@ -145,14 +176,17 @@ def purchase_interval(df: DataFrame) -> DataFrame:
 
 
 def active_days(df: DataFrame) -> DataFrame:
-    return prepared(df).groupBy(KEY).agg(F.count_distinct(F.to_date("InvoiceDate")).alias("ActiveDays"))
+    return customer_base(df, (AggSpec("ActiveDays", "InvoiceDate", "nunique_date"),))
 
 
 def candidate_features(df: DataFrame) -> DataFrame:
-    """All features of each customer: one aggregation, one more for intervals, one join."""
+    """All features of each customer, by way of one row an invoice: aggregates, the reference
+    date and the intervals come from these rows, products and days from their own groups."""
     rows = prepared(df)
-    base = customer_base(rows, (*BASE, AggSpec("ActiveDays", "InvoiceDate", "nunique_date")))
-    wide = base.crossJoin(F.broadcast(reference_date(rows))).join(purchase_interval(rows), KEY, "left")
+    specs = (*BASE, AggSpec("ActiveDays", "InvoiceDate", "nunique_date"))
+    by_invoice = invoices(rows, specs)
+    last = by_invoice.agg((F.max("last") + F.expr("INTERVAL 1 DAY")).alias("reference_date"))
+    wide = _of_invoices(rows, by_invoice, specs).crossJoin(F.broadcast(last)).join(_intervals(by_invoice), KEY, "left")
     n = F.col("DistinctInvoiceCount")
     return wide.select(
         KEY,

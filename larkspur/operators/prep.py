@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import quantile
+from .quantiles import quantile_row, quantiles
 
 
 @dataclass
@@ -33,7 +33,7 @@ class Fitted:
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """The median of each column; a column without values is left out."""
-    row = df.agg(*(F.median(F.col(c).cast("double")).alias(c) for c in columns)).first()
+    row = quantile_row(df, {c: (c, 0.5) for c in columns}).first()
     return {c: row[c] for c in columns if row[c] is not None}
 
 
@@ -93,8 +93,10 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], kind: str) -> tuple[dict[s
     made = {
         "standard": lambda c: (F.avg(x(c)), F.stddev_pop(x(c))),
         "minmax": lambda c: (F.min(x(c)), F.max(x(c)) - F.min(x(c))),
-        "robust": lambda c: (quantile(c, 0.5), quantile(c, 0.75) - quantile(c, 0.25)),
     }
+    if kind == "robust":
+        q = {r["column"]: r["q"] for r in quantiles(df, columns, [0.25, 0.5, 0.75]).collect()}  # a row a column
+        return {c: q[c][1] if c in q else 0.0 for c in columns}, {c: (q[c][2] - q[c][0] if c in q else 0.0) or 1.0 for c in columns}
     if kind not in made:
         raise ValueError(f"no such scaler: {kind}")
     row = df.agg(*(v.alias(f"{s}{i}") for i, c in enumerate(columns) for s, v in zip("cs", made[kind](c)))).first()

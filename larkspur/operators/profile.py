@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from ..functions.stats import average_rank, iqr_fences, kurt, outside, quantile, ratio, skew
+from ..functions.stats import average_rank, kurt, outside, ratio, skew
+from .quantiles import quantiles
 
 
 def numeric_columns(df: DataFrame, leave: Sequence[str] = ("CustomerID", "InvoiceNo", "StockCode")) -> list[str]:
@@ -41,9 +42,16 @@ def numerical_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Da
         "std": lambda c: F.stddev_samp(x(c)),
         "zeros": lambda c: F.count_if(x(c) == 0),
         "negatives": lambda c: F.count_if(x(c) < 0),
-        **{k: (lambda c, q=q: quantile(c, q)) for k, q in QUANTILES.items()},
     }
-    return stacked(df, list(columns or numeric_columns(df)), made)
+    names = list(columns or numeric_columns(df))
+    return with_quantiles(stacked(df, names, made), df, names, QUANTILES)
+
+
+def with_quantiles(rows: DataFrame, df: DataFrame, columns: Sequence[str], wanted: dict[str, float]) -> DataFrame:
+    """rows (a row a column) with the named quantiles of df's columns; NULL without values."""
+    q = quantiles(df, columns, list(wanted.values()))
+    q = q.select("column", *(F.col("q")[i].alias(k) for i, k in enumerate(wanted)))
+    return rows.join(F.broadcast(q), "column", "left")
 
 
 def frequency_table(df: DataFrame, column: str, top_k: int | None = None) -> DataFrame:
@@ -110,9 +118,6 @@ def distribution_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "mean": lambda c: F.avg(x(c)),
         "std": lambda c: F.when(F.count(c) == 1, F.lit(0.0)).otherwise(F.stddev_samp(x(c))),
         "min": lambda c: F.min(x(c)),
-        "q25": lambda c: quantile(c, 0.25),
-        "median": lambda c: quantile(c, 0.5),
-        "q75": lambda c: quantile(c, 0.75),
         "max": lambda c: F.max(x(c)),
         "skewness": skew,
         "kurtosis": kurt,
@@ -120,16 +125,19 @@ def distribution_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "variance": lambda c: F.var_samp(x(c)),
         "cv": lambda c: F.when(F.avg(x(c)) > 1e-9, F.stddev_samp(x(c)) / F.avg(x(c))),
     }
-    return stacked(df, columns, made)
+    return with_quantiles(stacked(df, columns, made), df, columns, {"q25": 0.25, "median": 0.5, "q75": 0.75})
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:
     """Counts and fractions outside the fences; NULL under four values."""
-    bounds = stacked(df, columns, {"n": lambda c: F.count(c), "lo": lambda c: iqr_fences(c, k)[0], "hi": lambda c: iqr_fences(c, k)[1]})
+    q1, q3 = F.col("q")[0], F.col("q")[1]
+    bounds = quantiles(df, columns, [0.25, 0.75]).select("column", "n", (q1 - k * (q3 - q1)).alias("lo"), (q3 + k * (q3 - q1)).alias("hi"))
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))).alias("r")).select("r.*")
     g = long.join(F.broadcast(bounds), "column").groupBy("column", "n", "lo", "hi").agg(F.count_if(outside("x", F.col("lo"), F.col("hi"))).alias("c"))
     few = F.col("n") < 4
-    return g.select("column", F.when(~few, F.col("c")).alias("n_outliers"), F.when(~few, F.col("c") / F.col("n")).alias("ratio"))
+    found = g.select("column", F.when(~few, F.col("c")).alias("n_outliers"), F.when(~few, F.col("c") / F.col("n")).alias("ratio"))
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")  # a column without values too
+    return every.join(F.broadcast(found), "column", "left")
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:

@@ -53,9 +53,10 @@ def feature_profiles(points: DataFrame, features: Sequence[str], label: str = "l
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in features)))
     long = points.where(F.col(label) != NOISE).select(F.col(label).alias("label"), cells.alias("r")).select("label", "r.*")
     g = long.groupingSets([["label", "feature"], ["feature"]], "label", "feature").agg(
-        F.grouping("label").alias("_all"), F.count("v").alias("n"), F.avg("v").alias("mean"), quantile("v", 0.5).alias("median"),
-        quantile("v", 0.25).alias("p25"), quantile("v", 0.75).alias("p75"), F.min("v").alias("min"), F.max("v").alias("max"), F.stddev_samp("v").alias("std"),
+        F.grouping("label").alias("_all"), F.count("v").alias("n"), F.avg("v").alias("mean"), quantile("v", (0.25, 0.5, 0.75)).alias("_q"),
+        F.min("v").alias("min"), F.max("v").alias("max"), F.stddev_samp("v").alias("std"),
     )
+    g = g.withColumns({"p25": F.col("_q")[0], "median": F.col("_q")[1], "p75": F.col("_q")[2]}).drop("_q")
     return g.withColumn("scope", F.when(F.col("_all") == 1, "OVERALL").otherwise("CLUSTER")).drop("_all")
 
 
