@@ -285,9 +285,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = _verified(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), active, count, p)
     root = nodes.select("node", "digest", "least_id")
     if labels is not None:
-        root = root.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        tops = root.groupBy("label").agg(F.min("least_id").alias("component_id"))
-        root = root.join(tops, "label")
+        members = written(labels.join(root.select("node", "least_id"), "node"), "members")
+        tops = written(members.groupBy("label").agg(F.min("least_id").alias("component_id")), "tops")
+        members = members.select("node", "label").join(small(tops, tops.count()), "label")
+        root = root.join(members.select("node", "component_id"), "node", "left")
+        root = root.withColumn("component_id", F.coalesce("component_id", "least_id"))
     else:
         root = root.withColumn("component_id", F.col("least_id"))
     found = rows.select("id", "n_shingles", "digest").join(root.select("digest", "component_id"), "digest", "left")
