@@ -194,4 +194,4 @@ def _reader(made, kind: pa.DataType, name: str):
                 columns = [pa.array(names, pa.int64()), pa.array(begin + first, pa.int64()), pa.array(lengths, pa.int64()), pa.array(made_of, kind)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return lean(run)
+    return lean(run, True)

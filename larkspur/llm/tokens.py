@@ -27,7 +27,8 @@ from .common import KEPT, bytes_of, lean, texts_in
 #: Bytes that a generation of pieces takes, there are two of them; and the same where a worker
 #: holds only ids and counts besides.
 PIECES, MANY_PIECES = 20_000_000, 90_000_000
-#: Bytes that an entry takes beside its piece and ids, and of the longest piece that is kept.
+#: Bytes that an entry takes beside its piece and its ids (a guess), and of the longest piece
+#: that is kept.
 ENTRY, LONGEST = 160, 64
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 4_000_000
@@ -52,16 +53,21 @@ class Pieces:
                 self.old, self.new, self.size = self.new, {}, 0
                 missing = set(pieces)
             made = {p: self.old[p] for p in missing & self.old.keys()}
-            todo = list(missing - made.keys())
+            todo = list(missing.difference(made))
             made.update(zip(todo, self.encode(todo)))
-            kept = {p: v for p, v in made.items() if len(p) <= LONGEST}
-            self.new.update(kept)
-            self.size += sum(ENTRY + len(p) + len(v or b"") for p, v in kept.items())
-            if len(kept) < len(made):
-                return [made[p] if p in made else self.new[p] for p in pieces]
+            if max(map(len, made)) > LONGEST:
+                found = [made[p] if p in made else self.new[p] for p in pieces]
+                made = {p: v for p, v in made.items() if len(p) <= LONGEST}
+                self._keep(made)
+                return found
+            self._keep(made)
             found = list(map(self.new.get, pieces))
         return found
 
+    def _keep(self, made: dict[bytes, bytes | bool]) -> None:
+        self.new.update(made)
+        self.size += ENTRY * len(made) + 3 * sum(map(len, made))  # ids of twice a piece's bytes
+
 
 #: Stands for the ids of a piece that ends in white space, which goes on in the next piece.
 OPEN = False
