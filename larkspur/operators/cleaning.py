@@ -254,3 +254,15 @@ def clean_transactions(df: DataFrame, plan: CleaningPlan | None = None) -> DataF
     if p.outliers:
         out = treat_outliers(out, p.outlier_columns, p.outliers, p.outlier_action)
     return out
+
+
+def summary(df: DataFrame, plan: CleaningPlan | None = None) -> DataFrame:
+    """One row: lines before, after the rules, and after all of clean_transactions, and the
+    flags of all lines."""
+    p = plan or CleaningPlan()
+    hit = F.lit(False)
+    for r in p.rules:
+        if r != "CL-04" or p.strict_dates:
+            hit = hit | DROPS[r]()
+    one = with_flags(df).agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(~hit).alias("rows_valid"), F.count_if("IsCancellation").alias("flagged_cancellations"), F.count_if("IsReturn").alias("flagged_returns"))
+    return one.crossJoin(F.broadcast(clean_transactions(df, p).agg(F.count(F.lit(1)).alias("rows_out"))))  # one row each

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.stats import quantile, ratio
+from .profile import numeric_columns, stacked, with_quantiles
 
 NOISE = -1
 # Thresholds of the classification rules.
@@ -265,3 +266,59 @@ def selection(stats: DataFrame, correlations: DataFrame, most_missing: float = 0
         fails, warns = fails | (g == "FAIL"), warns | (g == "WARNING")
     decision = F.when(fails, "EXCLUDE").when(warns | (F.coalesce("max_corr", F.lit(0.0)) >= threshold), "PENDING").otherwise("RETAIN")
     return j.withColumn("decision", decision)
+
+
+def comparison_matrix(profiles: DataFrame) -> DataFrame:
+    """Each cluster's statistics of a feature beside the overall ones: differences in percent,
+    direction, and the overlap of its interquartile range with the overall one."""
+    names = ("n", "mean", "median", "p25", "p75")
+    o = profiles.where("scope = 'OVERALL'").select("feature", *(F.col(c).alias(f"overall_{c}") for c in names))
+    rel = relative_comparison(profiles).select("label", "feature", F.col("rel_diff_pct").alias("rel_diff_median_pct"), F.col("status").alias("reference_status"), "direction")
+    lap = population_overlaps(profiles).select("label", "feature", F.col("overlap").alias("overlap_with_population"))
+    j = profiles.where("scope = 'CLUSTER'").drop("scope").join(F.broadcast(o), "feature").join(F.broadcast(rel), ["label", "feature"], "left").join(F.broadcast(lap), ["label", "feature"], "left")
+    j = j.withColumn("rel_diff_mean_pct", percent_difference(F.col("mean"), F.col("overall_mean")))
+    return j.withColumns({"reference_status": F.coalesce("reference_status", F.lit("NA")), "direction": F.coalesce("direction", F.lit("NA"))})
+
+
+def feature_summaries(comparison: DataFrame, distinct: DataFrame) -> DataFrame:
+    """A cluster's features in short, with the class of each feature."""
+    classes = distinct.select("feature", F.col("class").alias("classification"))
+    j = comparison.join(F.broadcast(classes), "feature", "left")
+    return j.select("label", "feature", "median", "p25", "p75", "overall_median", "rel_diff_median_pct", "direction", F.coalesce("classification", F.lit("NOT_ASSESSABLE")).alias("classification"))
+
+
+def sizes_long(size_rows: DataFrame, decimals: int = 2) -> DataFrame:
+    """A row a segment for a report: its count and percentages, none of the assigned for noise."""
+    pct = lambda c: F.round(c, decimals)
+    return size_rows.select(F.col("label").alias("segment_id"), F.col("n").alias("count"), pct("pct_of_total").alias("percentage_input"), pct("pct_of_assigned").alias("percentage_of_non_noise"), (F.col("label") == NOISE).alias("is_noise"))
+
+
+def dataset_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """feature, mean, median and sample deviation of the numeric features that are there and
+    have values."""
+    own = [c for c in features if c in numeric_columns(df, leave=())]
+    x = lambda c: F.col(c).cast("double")
+    if not own:
+        return df.sparkSession.createDataFrame([], "feature string, mean double, median double, std double")
+    rows = stacked(df, own, {"n": lambda c: F.count(c), "mean": lambda c: F.avg(x(c)), "std": lambda c: F.stddev_samp(x(c))}, "column")
+    found = with_quantiles(rows, df, own, {"median": 0.5}).where("n > 0")
+    return found.select(F.col("column").alias("feature"), "mean", "median", "std")
+
+
+def with_segments(points: DataFrame, labels: DataFrame, key: str = "CustomerID") -> DataFrame:
+    """Points with their labels by key; points without a label are left out. Without a key on
+    both sides there is no order to pair rows by, which is an error."""
+    if key not in points.columns or key not in labels.columns:
+        raise ValueError(f"both sides need {key}")
+    return points.join(labels.select(key, "ClusterLabel", "IsNoise"), key)
+
+
+def profile_rows(profiles: DataFrame, names: Sequence[str] = ("n", "mean", "median", "p25", "p75", "min", "max", "std")) -> DataFrame:
+    """Profiles as label, scope, feature, statistic and value."""
+    doubles = profiles.select("label", "scope", "feature", *(F.col(c).cast("double").alias(c) for c in names))
+    return doubles.unpivot(["label", "scope", "feature"], list(names), "statistic", "value")
+
+
+def template_slots(parsed: DataFrame, slots: Sequence[str] = ("recency", "frequency", "monetary", "modifier")) -> DataFrame:
+    """The slots of a recommendation's template, all empty: their texts are for people to write."""
+    return parsed.withColumns({f"slot_{s}": F.lit(None).cast("string") for s in slots})

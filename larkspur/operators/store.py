@@ -65,3 +65,39 @@ def comparable(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """Manifests of a kind that share their parents, in groups of more than one."""
     g = manifests(spark, root, kind).dropDuplicates(["id"]).groupBy("parents").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.count_distinct("config").alias("n_configs"))
     return g.where(F.size("ids") > 1)
+
+
+def orphans(spark: SparkSession, root: str) -> list[str]:
+    """Tables below root that no manifest names: what a lost writer left behind."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/tables")
+    fs = path.getFileSystem(conf)
+    if not fs.exists(path):
+        return []
+    known = {r[0] for r in manifests(spark, root).select("id").distinct().collect()}  # a row a table
+    return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName() not in known)
+
+
+def recover(spark: SparkSession, root: str) -> int:
+    """Deletes the orphans, which are written again by the next save; how many there were."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = orphans(spark, root)
+    for name in found:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/tables/{name}")
+        path.getFileSystem(conf).delete(path, True)
+    return len(found)
+
+
+def runs(spark: SparkSession, root: str, dataset: str | None = None) -> DataFrame:
+    """Manifests of whole runs, of one dataset if it is named."""
+    out = manifests(spark, root, "run")
+    return out if dataset is None else out.where(F.get_json_object("parents", "$.dataset") == dataset)
+
+
+def write_reports(reports: Mapping[str, DataFrame], folder: str) -> list[str]:
+    """Each report as a folder of CSV below folder, with a header; their paths."""
+    out = []
+    for name, df in reports.items():
+        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+        out.append(f"{folder}/{name}")
+    return out

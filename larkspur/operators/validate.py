@@ -126,3 +126,36 @@ def result_rows(df: DataFrame, required: Sequence[str] = ("experiment_id", "run_
     for c in ("silhouette", "davies_bouldin", "calinski_harabasz"):
         failed = failed | ((F.col("status") == "FAILED") & F.col(c).isNotNull()) | F.coalesce(F.isnan(c), F.lit(False))
     return df.select("run_id", F.when(F.coalesce(failed, F.lit(False)), "INVALID").when(gone, "MISSING").otherwise("OK").alias("validity"))
+
+
+# Names that identify a row and are no features.
+IDENTIFIERS = ("CustomerID", "InvoiceNo", "InvoiceDate", "StockCode", "Description", "Country", "Cluster", "ClusterID", "Label")
+
+
+def leakage(matrix_rows: DataFrame, metadata: DataFrame, key: str = "CustomerID") -> DataFrame:
+    """Whether a matrix is free of identifiers and labels, and fits its metadata."""
+    n, m = matrix_rows.agg(F.count(F.lit(1)).alias("n")), metadata.agg(F.count(F.lit(1)).alias("m"))
+    static = {"identifiers absent": not set(IDENTIFIERS) & set(matrix_rows.columns), "labels absent": not any(c.startswith("Cluster") for c in matrix_rows.columns), "key in metadata": key in metadata.columns}
+    return checked(n.crossJoin(F.broadcast(m)), {"rows match": F.max("n") == F.max("m")}, static)  # one row each
+
+
+def columns_present(df: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """A check for each expected column (name: description); values are not looked at."""
+    rows = [(f"V-RFM-{'PRESENT' if c in df.columns else 'MISSING'}-{c}", "PASS" if c in df.columns else "FAIL", text) for c, text in expected.items()]
+    return df.sparkSession.createDataFrame(rows, "check_id string, status string, detail string")
+
+
+def customer_features(df: DataFrame) -> DataFrame:
+    """Customer features as they are read: nothing is asked of them yet."""
+    return checked(df, {}, {"customer features": True})
+
+
+def evaluation_inputs(points: DataFrame, labels: DataFrame, columns: Sequence[str], key: str = "CustomerID") -> DataFrame:
+    """Whether points and labels can be evaluated: same number of rows, finite features, none
+    of which leaks a label, and labels for the keys."""
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & finite(c)
+    one = points.agg(F.count(F.lit(1)).alias("n"), F.count_if(~ok).alias("bad")).crossJoin(F.broadcast(labels.agg(F.count(F.lit(1)).alias("m"))))
+    static = {"no leakage": not any(w in c.lower() for c in columns for w in LEAKS), "key in labels": key in labels.columns, "has features": bool(columns)}
+    return checked(one, {"same rows": F.max("n") == F.max("m"), "not empty": F.max("n") > 0, "finite": F.max("bad") == 0}, static)

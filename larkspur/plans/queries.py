@@ -726,21 +726,6 @@ def result_validity(spark, d):
 # --- validation and feeds ------------------------------------------------------------------
 
 
-@query()
-def validate_base(spark, d):
-    return validate.customer_base(features.customer_base(cleaning.with_flags(retail.clean(spark, d))))
-
-
-@query()
-def validate_candidates(spark, d):
-    return validate.candidates(_features(spark, d))
-
-
-@query()
-def validate_matrix(spark, d):
-    return validate.matrix(_features(spark, d), ["Recency", "Frequency", "Monetary"])
-
-
 @query("SELECT count(*) AS left_rows, (SELECT count(*) FROM customer WHERE c_custkey % 3 <> 0) AS right_rows, (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) AS left_only, 0::BIGINT AS right_only, false AS aligned FROM customer")
 def key_alignment(spark, d):
     c = retail.table(spark, d, "customer").select("c_custkey")
