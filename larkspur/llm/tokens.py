@@ -115,19 +115,28 @@ class WordBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.pieces = Pieces(self._encode, MANY_PIECES)
+        self.marks = {m: _run_ids(self.model, m) for m in (b".", b",")}
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         out: dict[bytes, bytes] = {}
         rest = []
         for w in words:
             if w.isalpha() and w.islower():  # the shortest way for ASCII letters
-                out[w] = _ascii_ids(self.model, w)
+                if w not in out:
+                    out[w] = _ascii_ids(self.model, w)
+                continue
+            base = w[:-1]
+            if w[-1:] in self.marks and base.isalpha() and base.islower():
+                ids = out.get(base) or self.pieces.new.get(base) or self.pieces.old.get(base)
+                if not ids:
+                    ids = out[base] = _ascii_ids(self.model, base)
+                out[w] = ids + self.marks[w[-1:]]
                 continue
             m = _LETTERS.fullmatch(w.decode("utf-8", "replace"))
             if m:
                 base = m[1].lower().encode()
                 ids = out.get(base) or self.pieces.new.get(base) or self.pieces.old.get(base) or _run_ids(self.model, base)
-                out[w] = ids + _run_ids(self.model, m[2].encode()) if m[2] else ids
+                out[w] = ids + self.marks[m[2].encode()] if m[2] else ids
             else:
                 rest.append(w)
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False) if rest else []
@@ -188,6 +197,7 @@ class ByteBpe:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.table = byte_table(self.tokenizer)
+        self.marks = {m: _run_ids(self.model, m) for m in (b".", b",")}
         self.sizes = np.array([len(b) for b in self.table], np.int64)
         self.first = Pieces(lambda ps: self._encode(ps, b""), PIECES // 8)
         self.later = Pieces(lambda ps: self._encode(ps, b" "))
@@ -198,13 +208,22 @@ class ByteBpe:
         mark = chr(MARKED[0x20]) if lead else ""
         for p in pieces:
             if p.isalpha():
-                out[p] = _ascii_ids(self.model, p, mark)
+                if p not in out:
+                    out[p] = _ascii_ids(self.model, p, mark)
+                continue
+            base = p[:-1]
+            if p[-1:] in self.marks and base.isalpha():
+                kept = self.later if lead else self.first
+                ids = out.get(base) or kept.new.get(base) or kept.old.get(base)
+                if not ids:
+                    ids = out[base] = _ascii_ids(self.model, base, mark)
+                out[p] = ids + self.marks[p[-1:]]
                 continue
             text = p.decode("utf-8", "replace")
             m = _LETTERS.fullmatch(text)
             if m:  # with the space before it one match, and the mark another
                 ids = _run_ids(self.model, lead + m[1].encode())
-                out[p] = ids + _run_ids(self.model, m[2].encode()) if m[2] else ids
+                out[p] = ids + self.marks[m[2].encode()] if m[2] else ids
             elif lead and (not text or text[-1].isspace()):
                 out[p] = OPEN
             else:
