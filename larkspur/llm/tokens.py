@@ -13,6 +13,8 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import compress, count, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -48,20 +50,18 @@ class Pieces:
     def of(self, pieces: list[bytes]) -> list[bytes | bool]:
         found = list(map(self.new.get, pieces))
         if None in found:
-            missing = {p for p, v in zip(pieces, found) if v is None}
+            gone = list(compress(count(), map(is_, found, repeat(None))))
             if self.size > self.bound:
                 self.old, self.new, self.size = self.new, {}, 0
-                missing = set(pieces)
+            missing = {pieces[k] for k in gone}
             made = {p: self.old[p] for p in missing & self.old.keys()}
             todo = list(missing.difference(made))
             made.update(zip(todo, self.encode(todo)))
+            for k in gone:
+                found[k] = made[pieces[k]]
             if max(map(len, made)) > LONGEST:
-                found = [made[p] if p in made else self.new[p] for p in pieces]
                 made = {p: v for p, v in made.items() if len(p) <= LONGEST}
-                self._keep(made)
-                return found
             self._keep(made)
-            found = list(map(self.new.get, pieces))
         return found
 
     def _keep(self, made: dict[bytes, bytes | bool]) -> None:
