@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, scratch_dir, texts_in, written
+from .common import delete, lean, read_back, scratch_dir, texts_in
 from .labels import labelled, logistic, sampled, training_labels
 from .words import WordHashes, WordIds, mixed, plain_words
 
@@ -263,7 +263,7 @@ def pair_model(pairs: DataFrame) -> DataFrame:
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(key[x]) + 1, dtype=np.int32) * v.shape[1]), pa.array(v[x].astype(np.float32).ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[x]), kind, np.int32)), pa.array(key[x].view(np.int64)), pa.array(w[x].view(np.int64)), values], schema=schema)
 
-    def made(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def made(x: np.ndarray, words: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         h, w = x[0].view(np.uint64), x[1].view(np.uint64)
         first = np.concatenate(([True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
         pair = np.cumsum(first) - 1
@@ -285,13 +285,15 @@ def pair_model(pairs: DataFrame) -> DataFrame:
         yield from rows_of(CONTEXT, context_keys(h[begin][some]), h[begin][some], a)
         u = (share[kept] / freed[group[kept]]).transpose(0, 2, 1).reshape(-1, 2 * (1 + FOLDS))
         yield from rows_of(PAIR, pair_keys(h[kept], w[kept]), w[kept], u)
-        order = np.argsort(w, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], w[order][1:] != w[order][:-1])))
-        sums = np.add.reduceat(np.column_stack((np.ones(len(w)), n.reshape(len(w), -1)))[order], first, axis=0)
-        yield from rows_of(CONTINUED, w[order][first], w[order][first], sums)
+        words.append(_summed(w, np.column_stack((np.ones(len(w)), n.reshape(len(w), -1)))))
+        if sum(len(x) for x, _ in words) >= 4 * PAIR_ROWS:
+            words[:] = [_summed(*(np.concatenate(c) for c in zip(*words)))]
+            if len(words[0][0]) >= 2 * PAIR_ROWS:
+                yield from rows_of(CONTINUED, words[0][0], *words.pop())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        words: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
             held.append(np.stack([c.to_numpy() for c in batch.columns]))
@@ -299,14 +301,25 @@ def pair_model(pairs: DataFrame) -> DataFrame:
             if size >= PAIR_ROWS and held[-1][0, -1] != held[0][0, 0]:
                 x = np.concatenate(held, axis=1)
                 end = int(np.flatnonzero(x[0] != x[0, -1])[-1]) + 1
-                yield from made(x[:, :end])
+                yield from made(x[:, :end], words)
                 held, size = [x[:, end:]], x.shape[1] - end
         if size:
-            yield from made(np.concatenate(held, axis=1))
+            yield from made(np.concatenate(held, axis=1), words)
+        if words:
+            total = _summed(*(np.concatenate(c) for c in zip(*words)))
+            yield from rows_of(CONTINUED, total[0], *total)
 
     return sorted_pairs.mapInArrow(lean(run), "kind int, key long, w long, v array<float>")
 
 
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their rows of values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(values[order], first, axis=0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "doc_id", text_col: str = "text") -> Ratios:
     """The model of all training rows. With one class only, every ratio is neutral. A repeated
     document counts as often as it occurs; a key with several labels as toxic if any is."""
@@ -314,10 +327,12 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "d
     chosen = chosen.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int"))
     rows = labelled(docs, chosen, key, text_col)
     sample = labelled(docs, sampled(chosen, CALIBRATION_ROWS, key), key, text_col)
-    pairs = written(pair_model(pair_counts(rows)), "pair-model")
+    spark = docs.sparkSession
+    paths = {name: scratch_dir(spark, name) for name in ("pair-model", "word-counts", "word-model")}
+    pairs = read_back(pair_model(pair_counts(rows)), paths["pair-model"])
     part = lambda k: F.sum(F.col("v")[k].cast("double"))
     by_fold = (part(1 + 2 * f + k).alias(f"{c}{f}") for f in range(FOLDS) for k, c in enumerate("to"))
-    counts = written(pairs.where(F.col("kind") == CONTINUED).groupBy("w").agg(F.log1p(part(0)).alias("continued"), *by_fold), "words")
+    counts = read_back(pairs.where(F.col("kind") == CONTINUED).groupBy("w").agg(F.log1p(part(0)).alias("continued"), *by_fold), paths["word-counts"])
     folds = range(FOLDS)
     models = [list(folds), *([g for g in folds if g != f] for f in folds)]
     toxic = [sum(F.col(f"t{f}") for f in m) for m in models]
@@ -342,7 +357,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "d
         p0.append(d0 + g0 * backoff)
     least = DISCOUNT / min(n1[0], n0[0])
     kept = (toxic[0] > least * n1[0]) | (ordinary[0] > least * n0[0])
-    words = written(words.select("w", kept.alias("kept"), *(p.alias(f"{c}{k}") for c, ps in (("p", p1), ("q", p0)) for k, p in enumerate(ps))), "words")
+    words = read_back(words.select("w", kept.alias("kept"), *(p.alias(f"{c}{k}") for c, ps in (("p", p1), ("q", p0)) for k, p in enumerate(ps))), paths["word-model"])
+    delete(spark, paths.pop("word-counts"))
     own = [F.log(F.col(f"p{k}") / F.col(f"q{k}")) for k in range(len(models))]
     both = pairs.where(F.col("kind") == PAIR).join(words, "w")
     joint = [F.log((F.col("v")[k] + F.col(f"p{k}")) / (F.col("v")[len(models) + k] + F.col(f"q{k}"))) - own[k] for k in range(len(models))]
@@ -352,19 +368,27 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "d
         (both, F.col("key"), [x if min(n1[k], n0[k]) else F.lit(0.0) for k, x in enumerate(joint)]),
     )
     parts = [t.select(key.alias("key"), *(v.cast("float").alias(f"v{k}") for k, v in enumerate(values))) for t, key, values in split]
-    return _calibrated(_blocks(parts[0].unionByName(parts[1]).unionByName(parts[2]), other), sample, key)
+    return _calibrated(_blocks(parts[0].unionByName(parts[1]).unionByName(parts[2]), other, list(paths.values())), sample, key)
 
 
-def _blocks(values: DataFrame, other: np.ndarray) -> Ratios:
-    """The model of all rows and of each without one fold, from a written table of keys."""
-    values = written(values, "ratios")
+def _blocks(values: DataFrame, other: np.ndarray, done: list[str]) -> Ratios:
+    """The model of all rows and of each without one fold, from a written table of keys. The
+    tables at the paths `done` made it and are deleted, as is each table that was read."""
+    spark = values.sparkSession
+    path = scratch_dir(spark, "ratios")
+    values = read_back(values, path)
+    for old in done:
+        delete(spark, old)
     n = values.count()
     bits = block_bits(n)
     if bits:
-        path = scratch_dir(values.sparkSession, "ratio-blocks")
+        old, path = path, scratch_dir(spark, "ratio-blocks")
         values.withColumn("block", F.shiftrightunsigned("key", 64 - bits)).repartition("block").write.partitionBy("block").parquet(path)
-        values = values.sparkSession.read.parquet(path)
-    return Ratios(Table.of(values, [f"v{k}" for k in range(len(other))], n), other)
+        values = spark.read.parquet(path)
+        delete(spark, old)
+    table = Table.of(values, [f"v{k}" for k in range(len(other))], n)
+    delete(spark, path)
+    return Ratios(table, other)
 
 
 def _calibrated(model: Ratios, sample: DataFrame, key: str) -> Ratios:
