@@ -126,7 +126,11 @@ def checked(points: DataFrame, k: int) -> int:
 
 @register("kmeans")
 class KMeans(Algorithm):
-    """Lloyd's algorithm from k-means++ or random starts; the start with the least WCSS stays."""
+    """Lloyd's algorithm from k-means++ or random starts; the start with the least WCSS stays.
+
+    First centres are drawn and improved on at most START_SAMPLE points; every start then goes
+    on over all points, and the WCSS that decides is that of all points.
+    """
 
     random = True
     defaults = {"n_clusters": 4, "init": "k-means++", "n_init": 10, "max_iter": 300, "tol": 1e-4, "random_state": 42}
@@ -139,29 +143,37 @@ class KMeans(Algorithm):
         start = self.sample(points, p["random_state"])
         d = start.shape[1]
         tol = p["tol"] * float(start.var(axis=0).mean())
-        best: tuple[float, np.ndarray, int] | None = None
         try:
-            # starts run on the sample first; only the best of them iterates over all points
-            centers = min((self._lloyd(start, s, k, p, tol) for s in range(p["n_init"])), key=lambda r: r[0])[1]
+            # the sample gives every start its first centres; then all starts iterate over all
+            # points, in one pass an iteration. A sample of all points has iterated already.
+            tried = sorted((self._lloyd(start, s, k, p, tol) for s in range(p["n_init"])), key=lambda r: r[0])
+            centers = np.array([c for _, c in tried[: 1 if len(start) < START_SAMPLE else None]])
+            wcss = np.full(len(centers), np.inf)
+            n_iter = np.zeros(len(centers), int)
+            moving = np.arange(len(centers))
             for iteration in range(1, p["max_iter"] + 1):
-                def step(x: np.ndarray, c: np.ndarray = centers) -> np.ndarray:
-                    d2 = distances(x, c)
-                    at = d2.argmin(1)
-                    hot = np.eye(k)[at]
-                    return np.concatenate(((hot.T @ x).ravel(), hot.sum(0), [d2.min(1).sum()]))
-
-                got = summed(points, step, k * d + k + 1)
-                n = got[k * d : k * d + k]
-                moved = np.where(n[:, None] > 0, got[: k * d].reshape(k, d) / np.maximum(n, 1)[:, None], centers)
-                shift = float(((moved - centers) ** 2).sum())
-                centers = moved
-                best = (float(got[-1]), centers, iteration)
-                if shift <= tol:
+                def step(x: np.ndarray, cs: np.ndarray = centers[moving]) -> np.ndarray:
+                    sums = []
+                    for c in cs:
+                        d2 = distances(x, c)
+                        hot = np.eye(k)[d2.argmin(1)]
+                        sums += [(hot.T @ x).ravel(), hot.sum(0), [d2.min(1).sum()]]
+                    return np.concatenate(sums)
+
+                got = summed(points, step, len(moving) * (k * d + k + 1)).reshape(len(moving), -1)
+                n = got[:, k * d : -1, None]
+                moved = np.where(n > 0, got[:, : k * d].reshape(-1, k, d) / np.maximum(n, 1), centers[moving])
+                shift = ((moved - centers[moving]) ** 2).sum((1, 2))
+                centers[moving], wcss[moving], n_iter[moving] = moved, got[:, -1], iteration
+                moving = moving[shift > tol]
+                if not len(moving):
                     break
         finally:
             points.unpersist()
+        best = int(wcss.argmin())
+        centers = centers[best]
         labels = labelled(points, lambda x, c=centers: (distances(x, c).argmin(1), None), False)
-        return Clusters(labels, {"wcss": best[0], "centers": centers.tolist(), "n_iter": best[2]})
+        return Clusters(labels, {"wcss": float(wcss[best]), "centers": centers.tolist(), "n_iter": int(n_iter[best])})
 
     @staticmethod
     def _lloyd(x: np.ndarray, s: int, k: int, p: dict, tol: float) -> tuple[float, np.ndarray]:

@@ -179,6 +179,18 @@ def test_algorithms_find_blobs(blobs, name, params):
         assert all(sum(r["membership"]) == pytest.approx(1) for r in labels.collect())
 
 
+def test_kmeans_starts_compete_on_all_points(blobs, monkeypatch):
+    monkeypatch.setattr(cluster, "START_SAMPLE", 12)
+    x = np.array([r["x"] for r in blobs.orderBy("key").collect()])
+    one, ten = (cluster.make("kmeans", n_clusters=5, init="random", n_init=n).fit(blobs.select("key", "x")) for n in (1, 10))
+    centers = np.array(ten.info["centers"])
+    at = cluster.distances(x, centers).argmin(1)
+    assert [r["label"] for r in ten.labels.orderBy("key").collect()] == at.tolist()
+    assert np.allclose(centers, [x[at == j].mean(0) for j in range(5)], atol=0.1)
+    assert ten.info["wcss"] == pytest.approx(cluster.distances(x, centers).min(1).sum(), rel=0.01)
+    assert ten.info["wcss"] <= one.info["wcss"] + 1e-9
+
+
 def test_registry_rejects():
     with pytest.raises(KeyError):
         cluster.make("nothing")
