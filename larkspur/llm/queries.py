@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from . import decontaminate, hamming, html_text, neardup, quality, sharding, simple8b, tokens, toxicity
+from . import compaction, decontaminate, fingerprints, hamming, html_text, neardup, phrases, quality, sharding, simple8b, tokens, toxicity
 from .common import scratch_dir
 from .labels import held_out
 
@@ -98,6 +98,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(docs, tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.fingerprints(docs, queries=F.col("doc_id") % 50 == 0)
+
+
+def op13_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = table(spark, sf_dir, "clicks")
+    return compaction.compact(clicks, scratch_dir(spark, "clicks"), "arrived_at", "click_id", "value")
+
+
 def queries() -> dict:
     found = (
         op1_near_duplicates,
@@ -110,6 +124,9 @@ def queries() -> dict:
         op8_simple8b,
         op9_quality,
         op10_token_counts,
+        op11_phrases,
+        op12_fingerprints,
+        op13_compaction,
     )
     return {f.__name__: f for f in found}
 
@@ -172,5 +189,31 @@ SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
 """
 
 
+OP11_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p
+  FROM documents
+), words AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS g FROM words, range(1, 4) t(m) WHERE len(w) >= m
+), f AS (SELECT lang, m, g, count(*) AS f FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+found AS (SELECT lang, m, g, f AS a, string_split(g, ' ') AS w FROM f WHERE m >= 2 AND f >= 10),
+cuts AS (
+  SELECT c.*, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT lang, m, g, a, w, unnest(range(1, m)) AS k FROM found) c
+  JOIN f x ON x.lang = c.lang AND x.g = array_to_string(w[:k], ' ') AND x.m = k
+  JOIN f y ON y.lang = c.lang AND y.g = array_to_string(w[k + 1:], ' ') AND y.m = c.m - k
+), scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, g, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS g FROM found WHERE m = 3) GROUP BY lang, g
+), kept AS (
+  SELECT s.* FROM scored s LEFT JOIN longer x ON x.lang = s.lang AND x.g = s.g AND s.m = 2 WHERE x.a IS NULL OR 100 * x.a < 50 * s.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_hamming_top_k": OP3_SQL}
+    return {"op1_near_duplicates": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_hamming_top_k": OP3_SQL, "op11_phrases": OP11_SQL}
