@@ -2,8 +2,9 @@
 
 Each takes points (key, x) and gives (key, label) with optional memberships. K-means, fuzzy
 c-means and Gaussian mixtures iterate over aggregations, so points stay distributed and only
-a model of k rows comes to the driver. DBSCAN and agglomerative clustering need distances
-of all pairs; they run in one task and refuse more points than their documented limits.
+a model of k rows comes to the driver. DBSCAN and single linkage join blocks of points (see
+`blocks`) for any number of points; the other linkages run in one task and refuse more points
+than their documented limit.
 """
 
 from __future__ import annotations
@@ -15,9 +16,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
+from .blocks import matrix, pair_distances
+from .blocks import squared as distances
+from .tables import components, numbered, written
+
 REGISTRY: dict[str, type[Algorithm]] = {}
 #: Points that an algorithm over all pairs takes at most.
 PAIRWISE_LIMIT = 20_000
@@ -82,20 +89,16 @@ def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(chosen)
 
 
-def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.maximum((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None], 0)
-
-
 def summed(points: DataFrame, step: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
     """The sum over all points of a vector of `size` that step makes of a batch of points."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
-        for f in frames:
-            if len(f):
-                total += step(np.array(f["x"].tolist(), float))
-        yield pd.DataFrame({"i": np.arange(size), "v": total})
+        for b in batches:
+            if b.num_rows:
+                total += step(matrix(b.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["i", "v"])
 
-    rows = points.select("x").mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    rows = points.select("x").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(size)
     for r in rows:
         out[r["i"]] = r["v"]
@@ -103,18 +106,17 @@ def summed(points: DataFrame, step: Callable[[np.ndarray], np.ndarray], size: in
 
 
 def labelled(points: DataFrame, step: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray | None]], soft: bool) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
-            label, member = step(np.array(f["x"].tolist(), float))
-            out = pd.DataFrame({"key": f["key"], "label": label.astype(np.int32)})
-            if soft:
-                out["membership"] = list(member)
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                label, member = step(matrix(b.column(1)))
+                columns = {"key": b.column(0), "label": pa.array(label.astype(np.int32))}
+                if soft:
+                    columns["membership"] = pa.array(list(member), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_pydict(columns)
 
     key = dict(points.dtypes)["key"]
-    return points.select("key", "x").mapInPandas(run, f"key {key}, label int" + ", membership array<double>" * soft)
+    return points.select("key", "x").mapInArrow(run, f"key {key}, label int" + ", membership array<double>" * soft)
 
 
 def checked(points: DataFrame, k: int) -> int:
@@ -331,69 +333,45 @@ class GaussianMixture(Algorithm):
         return Clusters(labelled(points, last, True), info)
 
 
-def pair_distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of rows of x to rows of y."""
-    if metric in ("euclidean", "l2"):
-        return np.sqrt(distances(x, y))
-    if metric in ("manhattan", "cityblock", "l1"):
-        return np.abs(x[:, None] - y[None]).sum(2)
-    if metric == "chebyshev":
-        return np.abs(x[:, None] - y[None]).max(2)
-    if metric == "cosine":
-        a, b = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (x, y))
-        return np.maximum(1 - a @ b.T, 0)
-    raise ValueError(f"no such metric: {metric}")
-
-
-def in_one_task(points: DataFrame, step: Callable[[np.ndarray], np.ndarray], what: str) -> tuple[DataFrame, int]:
-    n = points.count()
-    if n > PAIRWISE_LIMIT:
-        raise ValueError(f"{what} compares all pairs and takes at most {PAIRWISE_LIMIT} points; these are {n}")
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("key", ignore_index=True)
-        return pd.DataFrame({"key": f["key"], "label": step(np.array(f["x"].tolist(), float)).astype(np.int32)})
-
-    key = dict(points.dtypes)["key"]
-    whole = points.select("key", "x", F.lit(0).alias("_all")).groupBy("_all")
-    return whole.applyInPandas(lambda f: run(f), f"key {key}, label int"), n
-
-
 @register("dbscan")
 class Dbscan(Algorithm):
-    """Density clusters in order of the least key; -1 is noise."""
+    """Density clusters in order of the least key of a core point; -1 is noise.
+
+    Neighbours are counted by a join of blocks within eps; links between core points are
+    contracted to components; another point within eps of core points belongs to the first
+    cluster that has one. Any number of points: no task has more than a pair of blocks."""
 
     defaults = {"eps": 0.5, "min_samples": 5, "metric": "euclidean"}
 
     def fit(self, points: DataFrame) -> Clusters:
         p = self.params
-
-        def step(x: np.ndarray) -> np.ndarray:
-            near = [np.flatnonzero(row) for k in range(0, len(x), 256) for row in pair_distances(x[k : k + 256], x, p["metric"]) <= p["eps"]]
-            core = np.array([len(v) >= p["min_samples"] for v in near])
-            label = np.full(len(x), -1)
-            found = 0
-            for k in range(len(x)):
-                if label[k] != -1 or not core[k]:
-                    continue
-                todo = [k]
-                label[k] = found
-                while todo:
-                    i = todo.pop()
-                    if core[i]:
-                        new = near[i][label[near[i]] == -1]
-                        label[new] = found
-                        todo += new.tolist()
-                found += 1
-            return label
-
-        labels, n = in_one_task(points, step, "DBSCAN")
-        return Clusters(labels, {"n_points": n})
+        held = blocks.numbered_points(points.select("key", "x"))
+        found = held.rows.select("id", "key")
+        if not held.n:
+            return Clusters(found.select("key", F.lit(-1).alias("label")), {"n_points": 0, "n_core": 0, "n_clusters": 0, "n_noise": 0})
+        grid = written(blocks.visits(held, p["eps"], p["metric"]), "grid")
+        counts = written(blocks.neighbour_counts(grid, p["eps"], p["metric"]).select("id", (F.col("n") >= p["min_samples"]).alias("core")), "cores")
+        links = written(blocks.core_links(grid.join(counts, "id"), p["eps"], p["metric"]), "links")
+        joined = components(links.where("NOT border").select("a", "b"))
+        core = counts.where("core").join(found, "id").join(joined.withColumnRenamed("node", "id"), "id", "left")
+        core = written(core.select("id", "key", F.coalesce("label", "id").alias("group")), "core-groups")
+        groups = numbered(core.groupBy("group").agg(F.min("key").alias("least")), [F.asc("least"), F.asc("group")], "label")
+        core = core.join(groups.select("group", F.col("label").cast("int").alias("label")), "group").select("id", "label")
+        border = links.where("border").join(core.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("label"))
+        labels = written(found.join(core.unionByName(border), "id", "left").select("key", F.coalesce("label", F.lit(-1)).alias("label")), "labels")
+        n_core = counts.where("core").count()
+        k, noise = labels.agg(F.max("label") + 1, F.count_if(F.col("label") == -1)).first()
+        return Clusters(labels, {"n_points": held.n, "n_core": n_core, "n_clusters": k, "n_noise": noise})
 
 
 @register("agglomerative")
 class Agglomerative(Algorithm):
-    """Ward, complete, average or single linkage by chains of nearest neighbours."""
+    """Ward, complete, average or single linkage.
+
+    Single linkage is the least spanning tree without its longest links: trees of all pairs of
+    blocks have the links, and rounds of least outgoing ones choose among them, for any number
+    of points. The others run chains of nearest neighbours over all pairs in one task and
+    refuse more than PAIRWISE_LIMIT points. info has the distances at which clusters merge."""
 
     defaults = {"n_clusters": 4, "linkage": "ward", "metric": "euclidean"}
 
@@ -403,15 +381,64 @@ class Agglomerative(Algorithm):
             raise ValueError("ward needs euclidean distances")
         if p["linkage"] not in ("ward", "complete", "average", "single"):
             raise ValueError(f"no such linkage: {p['linkage']}")
-
-        if p["n_clusters"] >= max(2, points.count()):
+        n = points.count()
+        if p["n_clusters"] >= max(2, n):
             raise ValueError(f"{p['n_clusters']} clusters are as many as the points or more")
-
-        def step(x: np.ndarray) -> np.ndarray:
-            return cut(merges(x, p["linkage"], p["metric"]), len(x), p["n_clusters"])
-
-        labels, n = in_one_task(points, step, "agglomerative clustering")
-        return Clusters(labels, {"n_points": n})
+        if p["linkage"] == "single":
+            return self._single(points, n)
+        if n > PAIRWISE_LIMIT:
+            raise ValueError(f"{p['linkage']} linkage compares all pairs and takes at most {PAIRWISE_LIMIT} points; these are {n}")
+
+        def run(f: pd.DataFrame) -> pd.DataFrame:
+            f = f.sort_values("key", ignore_index=True)
+            steps = merges(np.array(f["x"].tolist(), float), p["linkage"], p["metric"])
+            heights = np.append(np.sort([s[0] for s in steps]), np.nan)
+            return pd.DataFrame({"key": f["key"], "label": cut(steps, len(f), p["n_clusters"]).astype(np.int32), "height": heights})
+
+        key = dict(points.dtypes)["key"]
+        whole = points.select("key", "x", F.lit(0).alias("_all")).groupBy("_all")
+        rows = written(whole.applyInPandas(lambda f: run(f), f"key {key}, label int, height double"), "merged")
+        return Clusters(rows.select("key", "label"), {"n_points": n, **merge_summary(rows.where(~F.isnan("height")).select(F.col("height").alias("d")))})
+
+    def _single(self, points: DataFrame, n: int) -> Clusters:
+        held = blocks.numbered_points(points.select("key", "x"))
+        tree = spanning_tree(written(blocks.tree_links(held, self.params["metric"]), "links"))
+        k = self.params["n_clusters"]
+        longest = tree.orderBy(F.desc("d"), F.desc("a"), F.desc("b")).limit(k - 1)  # a row a cluster
+        joined = components(tree.join(F.broadcast(longest), ["a", "b", "d"], "left_anti").select("a", "b"))
+        rows = held.rows.select("id", "key").join(joined.withColumnRenamed("node", "id"), "id", "left")
+        rows = written(rows.select("key", F.coalesce("label", "id").alias("group")), "groups")
+        first = rows.groupBy("group").agg(F.min("key").alias("least"))
+        number = numbered(first, [F.asc("least"), F.asc("group")], "label").select("group", F.col("label").cast("int").alias("label"))
+        return Clusters(rows.join(number, "group").select("key", "label"), {"n_points": n, **merge_summary(tree)})
+
+
+def spanning_tree(links: DataFrame) -> DataFrame:
+    """The least spanning tree (forest) of links (a, b, d), ties in order of a and b: in each
+    round every component takes its least link to another, and those that links join become
+    one. Rounds are as many as the logarithm of the number of nodes at most."""
+    same = F.struct("d", "a", "b")
+    open_ = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").where("a <> b")
+    open_ = written(open_.groupBy("a", "b").agg(F.min("d").alias("d")).withColumns({"ca": F.col("a"), "cb": F.col("b")}), "open")
+    taken = None
+    while open_.limit(1).count():
+        ends = open_.select(F.explode(F.array("ca", "cb")).alias("c"), same.alias("e"))
+        best = ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct()
+        best = written(best.join(open_, ["a", "b", "d"]), "least")
+        taken = best.select("a", "b", "d") if taken is None else taken.unionByName(best.select("a", "b", "d"))
+        merged = written(components(best.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "merged")
+        for c in ("ca", "cb"):
+            to = merged.select(F.col("node").alias(c), F.col("label").alias("_to"))
+            open_ = open_.join(to, c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+        open_ = written(open_.where("ca <> cb").select("a", "b", "d", "ca", "cb"), "open")
+    return links.select("a", "b", "d").limit(0) if taken is None else written(taken, "tree")
+
+
+def merge_summary(heights: DataFrame, last: int = 10) -> dict[str, object]:
+    """Of the distances d of all merges: how many, the least, mean and greatest, and the last."""
+    n, least, mean, most = heights.agg(F.count("d"), F.min("d"), F.avg("d"), F.max("d")).first()
+    top = [r[0] for r in heights.orderBy(F.desc("d")).limit(last).select("d").collect()]
+    return {"n_merges": n, "merge_distances": {"min": least, "mean": mean, "max": most, "last": top[::-1]}}
 
 
 def merges(x: np.ndarray, linkage: str, metric: str) -> list[tuple[float, int, int]]:

@@ -7,16 +7,15 @@ is left out. With fewer than two clusters a metric is NULL.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
+
 NOISE = -1
-#: Doubles of points that are sent to every task at once for exact silhouettes.
-BLOCK_VALUES = 4_000_000
 
 
 def assigned(points: DataFrame, label: str = "label", x: str = "x") -> DataFrame:
@@ -63,62 +62,72 @@ def internal_metrics(points: DataFrame, label: str = "label", x: str = "x") -> D
     return points.sparkSession.createDataFrame([(n, k, wcss, ch, db)], schema)
 
 
-def silhouette_samples(points: DataFrame, key: str = "key", label: str = "label", x: str = "x") -> DataFrame:
-    """(key, label, silhouette) by exact mean Euclidean distances; 0 in clusters of one.
-
-    All points meet all points, which is what the metric is. They meet in blocks: one block
-    of bounded size is sent to every task at a time, and each task holds sums a cluster.
-    """
-    p = points.where(F.col(label).isNotNull() & (F.col(label) != NOISE)).select(F.col(key).alias("key"), F.col(label).cast("long").alias("label"), F.col(x).cast("array<double>").alias("x"))
-    sizes = {r["label"]: r["n"] for r in p.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    names = sorted(sizes)
-    spark = points.sparkSession
-    out = p.withColumn("sums", F.array_repeat(F.lit(0.0), len(names)))
-    block: list = []
-    width = max(1, (p.agg(F.max(F.size("x"))).first()[0] or 1))
-
-    def added(df: DataFrame, rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array([r["x"] for r in rows], float), np.searchsorted(names, [r["label"] for r in rows])))
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            other, at = shared.value
-            hot = np.zeros((len(other), len(names)))
-            hot[np.arange(len(other)), at] = 1
-            for f in frames:
-                mine = np.array(f["x"].tolist(), float).reshape(len(f), -1)
-                sums = np.array(f["sums"].tolist(), float).reshape(len(f), -1)
-                for k in range(0, len(f), 256):
-                    a = mine[k : k + 256]
-                    near = np.sqrt(np.maximum(((a[:, None, :] - other[None, :, :]) ** 2).sum(2), 0)) if len(other) * a.size < 20_000_000 else np.array([np.sqrt(((r - other) ** 2).sum(1)) for r in a])
-                    sums[k : k + 256] += near @ hot
-                f["sums"] = list(sums)
-                yield f
-
-        return df.mapInPandas(run, df.schema)
-
-    for r in p.select("label", "x").toLocalIterator():
-        block.append(r)
-        if len(block) * width >= BLOCK_VALUES:
-            out = added(out, block)
-            block = []
-    if block:
-        out = added(out, block)
-    lookup = F.create_map(*(F.lit(v) for i, c in enumerate(names) for v in (c, i))) if names else None
-    if lookup is None:
-        return p.select("key", "label", F.lit(None).cast("double").alias("silhouette"))
-    counts = F.array(*(F.lit(float(sizes[c])) for c in names))
-    own = lookup[F.col("label")]
-    a = F.element_at("sums", own + 1) / (F.element_at(counts, own + 1) - 1)
-    others = F.filter(F.transform("sums", lambda s, i: F.when(i != own, s / F.get(counts, i))), lambda v: v.isNotNull())
-    b = F.array_min(others)
-    if len(names) < 2:
-        return p.select("key", "label", F.lit(None).cast("double").alias("silhouette"))
-    value = F.when(F.element_at(counts, own + 1) == 1, 0.0).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
-    return out.select("key", "label", value.alias("silhouette"))
-
-
-def silhouette(points: DataFrame, key: str = "key", label: str = "label", x: str = "x") -> DataFrame:
-    return silhouette_samples(points, key, label, x).agg(F.avg("silhouette").alias("silhouette"))
+def _distance_sums(points: blocks.Points, metric: str) -> DataFrame:
+    """(model, id, label, c, s): of each point with `labels`, an array with a label for each
+    model, the sum of its distances to the points of each cluster c of a model. Every pair of
+    blocks is one group, whose distances serve all models; noise is left out."""
+    kind = pa.schema([("model", pa.int32()), ("id", pa.int64()), ("label", pa.int64()), ("c", pa.int64()), ("s", pa.float64())])
+
+    def labels_of(part: dict) -> np.ndarray:
+        column = part["labels"].combine_chunks() if isinstance(part["labels"], pa.ChunkedArray) else part["labels"]
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(part["id"]), -1)
+
+    def work(one: dict, two: dict | None) -> pa.Table:
+        found = []
+        for mine, other in ((one, one),) if two is None else ((one, two), (two, one)):
+            if not len(mine["id"]) or not len(other["id"]):
+                continue
+            la, lb = labels_of(mine), labels_of(other)
+            models = []
+            for t in range(lb.shape[1]):
+                names = np.unique(lb[:, t][lb[:, t] != NOISE])
+                models.append((names, (lb[:, t][:, None] == names[None]).astype(float)))
+            for at, d in blocks.strips(mine["x"], other["x"], metric):
+                if mine is other:
+                    d[np.arange(len(d)), np.arange(at.start, at.stop)] = 0.0
+                for t, (names, hot) in enumerate(models):
+                    real = np.flatnonzero(la[at, t] != NOISE)
+                    if not len(names) or not len(real):
+                        continue
+                    sums = d[real] @ hot
+                    ids, own = mine["id"][at][real], la[at, t][real]
+                    k = len(names)
+                    found.append((np.full(len(ids) * k, t, np.int32), np.repeat(ids, k), np.repeat(own, k), np.tile(names, len(ids)), sums.ravel()))
+        columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(5)]
+        return pa.Table.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, kind)], schema=kind)
+
+    rows = blocks.over_block_pairs(points, ["labels"], work, "model int, id long, label long, c long, s double")
+    return rows.groupBy("model", "id", "label", "c").agg(F.sum("s").alias("s"))
+
+
+def silhouettes_by_model(points: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """(model, key, label, silhouette) of points (key, labels, x), labels having one for each
+    model: exact mean distances, 0 in a cluster of one, NULL with fewer than two clusters.
+
+    All points meet all points, which is what the metric is: as pairs of blocks of bounded
+    size, whose partial sums Spark adds. Nothing but cluster sizes is broadcast."""
+    held = blocks.numbered_points(points.select("key", "labels", "x"))
+    sums = _distance_sums(held, metric)
+    each = held.rows.select(F.posexplode("labels").alias("model", "c")).where(F.col("c") != NOISE)
+    sizes = F.broadcast(each.groupBy("model", F.col("c").cast("long").alias("c")).agg(F.count(F.lit(1)).alias("n")))  # a row a cluster
+    own = F.col("c") == F.col("label")
+    g = sums.join(sizes, ["model", "c"]).groupBy("model", "id", "label").agg(
+        F.max(F.when(own, F.col("n"))).alias("n"), F.max(F.when(own & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b")
+    )
+    value = F.when(F.col("b").isNull(), F.lit(None)).when(F.col("n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    g = g.withColumn("silhouette", value.cast("double"))
+    return g.join(held.rows.select("id", "key"), "id").select("model", "key", "label", "silhouette")
+
+
+def silhouette_samples(points: DataFrame, key: str = "key", label: str = "label", x: str = "x", metric: str = "euclidean") -> DataFrame:
+    """(key, label, silhouette) of the points that are no noise; see `silhouettes_by_model`."""
+    p = points.where(F.col(label).isNotNull() & (F.col(label) != NOISE))
+    p = p.select(F.col(key).alias("key"), F.array(F.col(label).cast("long")).alias("labels"), F.col(x).alias("x"))
+    return silhouettes_by_model(p, metric).drop("model")
+
+
+def silhouette(points: DataFrame, key: str = "key", label: str = "label", x: str = "x", metric: str = "euclidean") -> DataFrame:
+    return silhouette_samples(points, key, label, x, metric).agg(F.avg("silhouette").alias("silhouette"))
 
 
 def contingency(a: DataFrame, b: DataFrame, key: str = "key", label: str = "label") -> DataFrame:
