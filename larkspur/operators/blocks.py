@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .tables import written
 
-#: Doubles of a block's points.
-BLOCK_VALUES = 250_000
+#: Doubles, and points, of a block at most.
+BLOCK_VALUES, BLOCK_POINTS = 250_000, 4_096
 #: Points that cells are made around, at most.
 PIVOTS = 256
 
@@ -61,6 +61,10 @@ def strips(x: np.ndarray, y: np.ndarray, metric: str) -> Iterator[tuple[slice, n
         yield at, pair_distances(x[at], y, metric)
 
 
+def block_size(width: int) -> int:
+    return min(BLOCK_POINTS, max(64, BLOCK_VALUES // max(1, width)))
+
+
 @dataclass
 class Points:
     """Points written with an id of their own: rows (id, key, x, ...), how many, their width."""
@@ -71,7 +75,7 @@ class Points:
 
     @property
     def per_block(self) -> int:
-        return max(64, BLOCK_VALUES // max(1, self.width))
+        return block_size(self.width)
 
 
 def numbered_points(points: DataFrame) -> Points:
@@ -244,6 +248,30 @@ def core_links(grid: DataFrame, radius: float, metric: str) -> DataFrame:
     return grid.groupBy("cell", "h", "v").applyInArrow(run, "a long, b long, border boolean")
 
 
+def one_block(points: Points, radius: float, least: int, metric: str) -> DataFrame:
+    """(key, label, core): density clusters of points that fit one block, in order of the least
+    key of a core point; another point's is the first that it touches, or -1."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        x = matrix(table.column("x"))
+        near = [np.flatnonzero(row) for _, d in strips(x, x, metric) for row in d <= radius]
+        core = np.array([len(v) >= least for v in near], bool)
+        joined = Forest(len(x))
+        for i in np.flatnonzero(core):
+            for j in near[i][core[near[i]] & (joined.up[near[i]] != joined.up[i])]:
+                joined.join(int(i), int(j))
+        roots = np.array([joined.root(i) for i in range(len(x))])
+        number = np.full(len(x), len(x))
+        number[core] = np.unique(roots[core], return_inverse=True)[1]  # a root is its cluster's least row
+        label = np.array([n if c else min(number[v[core[v]]], default=-1) for n, c, v in zip(number, core, near)], np.int32)
+        return pa.table({"key": table.column("key"), "label": label, "core": core})
+
+    key = dict(points.rows.dtypes)["key"]
+    whole = points.rows.select("key", "x", F.lit(0).alias("_all")).groupBy("_all")
+    return whole.applyInArrow(run, f"key {key}, label int, core boolean")
+
+
 def _least_tree(x: np.ndarray, ids: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A least spanning tree of some points, grown a point at a time: (a, b, distance)."""
     n = len(x)

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import math
 from abc import ABC, abstractmethod
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,6 @@ from .tables import components, numbered, written
 REGISTRY: dict[str, type[Algorithm]] = {}
 #: Points that an algorithm over all pairs takes at most.
 PAIRWISE_LIMIT = 20_000
-#: Points that start a model at most, chosen by hash.
-START_SAMPLE = 4_000
 
 
 @dataclass
@@ -73,36 +72,281 @@ class Algorithm(ABC):
     @abstractmethod
     def fit(self, points: DataFrame) -> Clusters: ...
 
-    def sample(self, points: DataFrame, seed: int) -> np.ndarray:
-        rows = points.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(START_SAMPLE).select("x").collect()
-        return np.array([r["x"] for r in rows], float)
 
+class Iterative(Algorithm):
+    """An algorithm over sums and few rows of all points: `model` is a generator of requests
+    (see `together`) that ends with what labels points and with what the fit says of itself."""
 
-def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k rows of x, each drawn in proportion to its squared distance from those before."""
-    chosen = [x[rng.integers(len(x))]]
-    d = ((x - chosen[0]) ** 2).sum(1)
-    for _ in range(1, k):
-        total = d.sum()
-        chosen.append(x[rng.choice(len(x), p=d / total) if total > 0 else rng.integers(len(x))])
-        d = np.minimum(d, ((x - chosen[-1]) ** 2).sum(1))
-    return np.array(chosen)
+    soft = False
+
+    @property
+    def k(self) -> int:
+        return self.params["n_clusters"]
+
+    @abstractmethod
+    def model(self, n: int) -> Model: ...
+
+    def verify(self) -> None:
+        """Raises ValueError for parameters that can't be."""
+
+    def fit(self, points: DataFrame) -> Clusters:
+        self.verify()
+        n = checked(points, self.k)
+        ((assign, info),) = driven(hashed(points), n, [lambda: self.model(n)])
+        return Clusters(labelled(points, assign, self.soft), info)
+
+
+# --- passes over all points that many models share -------------------------------------------
+
+
+@dataclass
+class Sum:
+    """Asks for the sum over all points of the vector of `size` that step(x, h) makes of a batch:
+    x its points, h the hashes of their keys."""
+
+    size: int
+    step: Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+@dataclass
+class Rows:
+    """Asks for points: those that pick(x, h) ranks (NaN: not asked for), of all points the
+    `keep` lowest ranks, in their order, as seen(x, h) shows them."""
 
+    keep: int
+    pick: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    seen: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+
+
+Request = Sum | Rows
+Model = Generator[list[Request], list[np.ndarray], object]
+
+
+def together(models: Sequence[Model]) -> Model:
+    """One model that asks for what all of them ask for, a pass at a time; returns their results."""
+    results: list[object] = [None] * len(models)
+    asked: dict[int, list[Request]] = {}
+
+    def on(i: int, answer: list[np.ndarray] | None) -> None:
+        try:
+            asked[i] = models[i].send(answer)
+        except StopIteration as end:
+            results[i] = end.value
+            asked.pop(i, None)
+
+    for i in range(len(models)):
+        on(i, None)
+    while asked:
+        order = list(asked)
+        got = yield [r for i in order for r in asked[i]]
+        at = 0
+        for i in order:
+            n = len(asked[i])
+            on(i, got[at : at + n])
+            at += n
+    return results
+
+
+_PASS = pa.schema([("request", pa.int32()), ("i", pa.int32()), ("v", pa.float64()), ("x", pa.list_(pa.float64()))])
+
+
+class Answers:
+    """The answers to requests from the batches of points that it is given."""
+
+    def __init__(self, requests: list[Request]):
+        self.requests = requests
+        self.sums = [np.zeros(r.size) if isinstance(r, Sum) else None for r in requests]
+        self.rows: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(requests)
+
+    def add(self, x: np.ndarray, h: np.ndarray) -> None:
+        for k, r in enumerate(self.requests):
+            if isinstance(r, Sum):
+                self.sums[k] += r.step(x, h)
+                continue
+            rank = r.pick(x, h)
+            of = np.flatnonzero(~np.isnan(rank))
+            ranks, some = rank[of], (r.seen(x, h) if r.seen else x)[of]
+            if self.rows[k] is not None:
+                ranks, some = np.concatenate((self.rows[k][0], ranks)), np.concatenate((self.rows[k][1], some))
+            low = np.argsort(ranks, kind="stable")[: r.keep]
+            self.rows[k] = ranks[low], some[low]
+
+
+def answered(points: DataFrame, requests: list[Request]) -> list[np.ndarray]:
+    """The answers of one pass over points (x, h). Each task gives its sums and the lowest
+    rows; Spark adds the sums, and of the rows there are `keep` a task at most."""
 
-def summed(points: DataFrame, step: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all points of a vector of `size` that step makes of a batch of points."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        found = Answers(requests)
         for b in batches:
             if b.num_rows:
-                total += step(matrix(b.column(0)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["i", "v"])
-
-    rows = points.select("x").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(size)
-    for r in rows:
-        out[r["i"]] = r["v"]
-    return out
+                found.add(matrix(b.column(0)), hashes(b.column(1)))
+        for k, r in enumerate(requests):
+            rows = found.rows[k]
+            v, x = (found.sums[k], [None] * r.size) if isinstance(r, Sum) else (rows[0], list(rows[1])) if rows else (np.zeros(0), [])
+            columns = [np.full(len(v), k, np.int32), np.arange(len(v), dtype=np.int32), v, x]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PASS)], schema=_PASS)
+
+    found = points.select("x", "h").mapInArrow(run, "request int, i int, v double, x array<double>")
+    summed = found.where(F.col("x").isNull()).groupBy("request", "i").agg(F.sum("v").alias("v"))
+    rows = [(r["request"], r["i"], r["v"], None) for r in summed.collect()] if any(isinstance(r, Sum) for r in requests) else []
+    if any(isinstance(r, Rows) for r in requests):
+        rows += [tuple(r) for r in found.where(F.col("x").isNotNull()).collect()]
+    out: list = [np.zeros(r.size) if isinstance(r, Sum) else [] for r in requests]
+    for k, i, v, x in rows:
+        if x is None:
+            out[k][i] = v
+        else:
+            out[k].append((v, x))
+    return [o if isinstance(r, Sum) else np.array([x for _, x in sorted(o)[: r.keep]], float) for o, r in zip(out, requests)]
+
+
+def driven(points: DataFrame, n: int, makers: Sequence[Callable[[], Model]]) -> list:
+    """The results of the models that makers make, which advance together: an iteration of all
+    is one pass over points (key, x, h). Points that fit one block are held by one task, where
+    the same models ask for the same sums without a job for each."""
+    width = points.select(F.size("x")).first()[0]
+    if n <= blocks.block_size(width):
+        return _in_one_block(points, makers)
+    held = points.persist()
+    try:
+        joint = together([make() for make in makers])
+        answer = None
+        while True:
+            try:
+                answer = answered(held, joint.send(answer))
+            except StopIteration as end:
+                return end.value
+    finally:
+        held.unpersist()
+
+
+def _in_one_block(points: DataFrame, makers: Sequence[Callable[[], Model]]) -> list:
+    def run(table: pa.Table) -> pa.Table:
+        x, h = matrix(table.column("x")), hashes(table.column("h"))
+        order = np.lexsort((*x.T, h))  # sums don't depend on how rows were dealt out
+        x, h = x[order], h[order]
+        joint = together([make() for make in makers])
+        answer = None
+        while True:
+            try:
+                found = Answers(joint.send(answer))
+            except StopIteration as end:
+                return pa.table({"found": pa.array([cloudpickle.dumps(end.value)], pa.binary())})
+            found.add(x, h)
+            answer = [s if s is not None else r[1] for s, r in zip(found.sums, found.rows)]
+
+    whole = points.select("x", "h", F.lit(0).alias("_all")).groupBy("_all")
+    return cloudpickle.loads(bytes(whole.applyInArrow(lambda table: run(table), "found binary").first()[0]))
+
+
+def hashes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def hashed(points: DataFrame) -> DataFrame:
+    return points.select("key", F.col("x").cast("array<double>").alias("x"), F.xxhash64("key").alias("h"))
+
+
+def drawn(h: np.ndarray, *seeds: int) -> np.ndarray:
+    """Numbers in (0, 1) that the hash of a key and the seeds decide: the same in any task."""
+    x = h.copy()
+    for s in seeds:
+        x = (x ^ np.uint64(s % 2**63)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+        x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(float) + 0.5) / 2**53
+
+
+#: Rounds of oversampling, and candidates that one draws in the mean, a cluster.
+ROUNDS, OVERSAMPLED = 4, 2
+
+
+def oversampled(k: int, seed: int) -> Model:
+    """k first centres by oversampling: rounds over all points draw each in proportion to its
+    squared distance from the candidates so far; the candidates, weighed by the points next to
+    them, are clustered here. There are about 1 + 8 k of them for any number of points."""
+    (candidates,) = yield [Rows(1, lambda x, h: drawn(h, seed, 0))]
+    for r in range(1, ROUNDS + 1):
+        ((cost,),) = yield [Sum(1, lambda x, h, c=candidates: np.array([distances(x, c).min(1).sum()]))]
+        if cost <= 0:
+            break
+
+        def pick(x: np.ndarray, h: np.ndarray, c: np.ndarray = candidates, r: int = r, cost: float = cost) -> np.ndarray:
+            u = drawn(h, seed, r)
+            return np.where(u * cost < OVERSAMPLED * k * distances(x, c).min(1), u, np.nan)
+
+        (more,) = yield [Rows(8 * OVERSAMPLED * k + 64, pick)]  # eight times the mean and more: never reached but by chance of the draw
+        if len(more):
+            candidates = np.concatenate((candidates, more))
+    (weight,) = yield [Sum(len(candidates), lambda x, h: np.bincount(distances(x, candidates).argmin(1), minlength=len(candidates)).astype(float))]
+    rng = np.random.default_rng([seed % 2**63, k])
+    c = plus_plus(candidates, k, rng, weight)
+    for _ in range(100):
+        at = distances(candidates, c).argmin(1)
+        moved = c.copy()
+        for j in range(k):
+            if weight[at == j].sum() > 0:
+                moved[j] = np.average(candidates[at == j], axis=0, weights=weight[at == j])
+        if np.allclose(moved, c, rtol=0, atol=1e-12):
+            break
+        c = moved
+    return c
+
+
+def lloyd(k: int, seed: int, init: str, tol: float, max_iter: int) -> Model:
+    """(wcss, centres, iterations) from one start."""
+    if init == "random":
+        (c,) = yield [Rows(k, lambda x, h: drawn(h, seed, 0))]
+    else:
+        c = yield from oversampled(k, seed)
+    d = c.shape[1]
+    wcss, iteration = math.inf, 0
+    for iteration in range(1, max_iter + 1):
+        def step(x: np.ndarray, h: np.ndarray, c: np.ndarray = c) -> np.ndarray:
+            d2 = distances(x, c)
+            hot = np.eye(k)[d2.argmin(1)]
+            return np.concatenate(((hot.T @ x).ravel(), hot.sum(0), [d2.min(1).sum()]))
+
+        (got,) = yield [Sum(k * d + k + 1, step)]
+        n = got[k * d : -1, None]
+        moved = np.where(n > 0, got[: k * d].reshape(k, d) / np.maximum(n, 1), c)
+        wcss, shift, c = float(got[-1]), float(((moved - c) ** 2).sum()), moved
+        if shift <= tol:
+            break
+    return wcss, c, iteration
+
+
+def spread(width: int) -> Model:
+    """The mean variance of the columns."""
+    (got,) = yield [Sum(2 * width + 1, lambda x, h: np.concatenate((x.sum(0), (x**2).sum(0), [len(x)])))]
+    mean = got[:width] / got[-1]
+    return float(np.maximum(got[width:-1] / got[-1] - mean**2, 0).mean())
+
+
+def seeds_of(seed: int | None, n: int) -> list[int]:
+    return [(seed or 0) * 1_000_003 + s for s in range(n)]
+
+
+def best_lloyd(k: int, p: dict, n_init: int) -> Model:
+    (first,) = yield [Rows(1, lambda x, h: drawn(h, 0))]
+    tol = p["tol"] * (yield from spread(first.shape[1]))
+    tried = yield from together([lloyd(k, s, p["init"], tol, p["max_iter"]) for s in seeds_of(p["random_state"], n_init)])
+    return min(tried, key=lambda r: r[0])
+
+
+def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator, weight: np.ndarray) -> np.ndarray:
+    """k rows of x, each drawn in proportion to its weight and squared distance from those before."""
+    chosen = [x[rng.choice(len(x), p=weight / weight.sum())]]
+    d = ((x - chosen[0]) ** 2).sum(1)
+    for _ in range(1, k):
+        total = (d * weight).sum()
+        chosen.append(x[rng.choice(len(x), p=d * weight / total) if total > 0 else rng.integers(len(x))])
+        d = np.minimum(d, ((x - chosen[-1]) ** 2).sum(1))
+    return np.array(chosen)
 
 
 def labelled(points: DataFrame, step: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray | None]], soft: bool) -> DataFrame:
@@ -127,77 +371,30 @@ def checked(points: DataFrame, k: int) -> int:
 
 
 @register("kmeans")
-class KMeans(Algorithm):
-    """Lloyd's algorithm from k-means++ or random starts; the start with the least WCSS stays.
-
-    First centres are drawn and improved on at most START_SAMPLE points; every start then goes
-    on over all points, and the WCSS that decides is that of all points.
-    """
+class KMeans(Iterative):
+    """Lloyd's algorithm over all points, from oversampled k-means++ or random starts; the start
+    with the least WCSS stays. All starts advance in the same passes."""
 
     random = True
     defaults = {"n_clusters": 4, "init": "k-means++", "n_init": 10, "max_iter": 300, "tol": 1e-4, "random_state": 42}
 
-    def fit(self, points: DataFrame) -> Clusters:
-        p = self.params
-        k = p["n_clusters"]
-        checked(points, k)
-        points = points.select("key", "x").persist()
-        start = self.sample(points, p["random_state"])
-        d = start.shape[1]
-        tol = p["tol"] * float(start.var(axis=0).mean())
-        try:
-            # the sample gives every start its first centres; then all starts iterate over all
-            # points, in one pass an iteration. A sample of all points has iterated already.
-            tried = sorted((self._lloyd(start, s, k, p, tol) for s in range(p["n_init"])), key=lambda r: r[0])
-            centers = np.array([c for _, c in tried[: 1 if len(start) < START_SAMPLE else None]])
-            wcss = np.full(len(centers), np.inf)
-            n_iter = np.zeros(len(centers), int)
-            moving = np.arange(len(centers))
-            for iteration in range(1, p["max_iter"] + 1):
-                def step(x: np.ndarray, cs: np.ndarray = centers[moving]) -> np.ndarray:
-                    sums = []
-                    for c in cs:
-                        d2 = distances(x, c)
-                        hot = np.eye(k)[d2.argmin(1)]
-                        sums += [(hot.T @ x).ravel(), hot.sum(0), [d2.min(1).sum()]]
-                    return np.concatenate(sums)
-
-                got = summed(points, step, len(moving) * (k * d + k + 1)).reshape(len(moving), -1)
-                n = got[:, k * d : -1, None]
-                moved = np.where(n > 0, got[:, : k * d].reshape(-1, k, d) / np.maximum(n, 1), centers[moving])
-                shift = ((moved - centers[moving]) ** 2).sum((1, 2))
-                centers[moving], wcss[moving], n_iter[moving] = moved, got[:, -1], iteration
-                moving = moving[shift > tol]
-                if not len(moving):
-                    break
-        finally:
-            points.unpersist()
-        best = int(wcss.argmin())
-        centers = centers[best]
-        labels = labelled(points, lambda x, c=centers: (distances(x, c).argmin(1), None), False)
-        return Clusters(labels, {"wcss": float(wcss[best]), "centers": centers.tolist(), "n_iter": int(n_iter[best])})
-
-    @staticmethod
-    def _lloyd(x: np.ndarray, s: int, k: int, p: dict, tol: float) -> tuple[float, np.ndarray]:
-        rng = np.random.default_rng([p["random_state"] or 0, s])
-        c = plus_plus(x, k, rng) if p["init"] == "k-means++" else x[rng.choice(len(x), k, replace=False)]
-        for _ in range(p["max_iter"]):
-            at = distances(x, c).argmin(1)
-            moved = np.array([x[at == j].mean(0) if (at == j).any() else c[j] for j in range(k)])
-            done = ((moved - c) ** 2).sum() <= tol
-            c = moved
-            if done:
-                break
-        return float(distances(x, c).min(1).sum()), c
+    def model(self, n: int) -> Model:
+        wcss, c, n_iter = yield from best_lloyd(self.k, self.params, self.params["n_init"])
+        return (lambda x: (distances(x, c).argmin(1), None)), {"wcss": wcss, "centers": c.tolist(), "n_iter": n_iter}
 
 
 @register("fuzzy_cmeans")
-class FuzzyCMeans(Algorithm):
-    """Bezdek's fuzzy c-means; a label is the greatest membership."""
+class FuzzyCMeans(Iterative):
+    """Bezdek's fuzzy c-means; a label is the greatest membership. First memberships are drawn
+    by the hash of each row's key, so they are the same however rows are dealt out."""
 
-    random = True
+    random = soft = True
     defaults = {"n_clusters": 4, "m": 2.0, "max_iter": 150, "error": 1e-5, "random_state": 42}
 
+    def verify(self) -> None:
+        if self.params["m"] <= 1:
+            raise ValueError("m must be above 1")
+
     @staticmethod
     def memberships(x: np.ndarray, c: np.ndarray, m: float) -> np.ndarray:
         """Rows add to 1; a point on a centre belongs to it alone, or to all such in equal parts."""
@@ -210,49 +407,51 @@ class FuzzyCMeans(Algorithm):
         u[on] = zero[on] / zero[on].sum(1, keepdims=True)
         return u
 
-    def fit(self, points: DataFrame) -> Clusters:
+    def model(self, n: int) -> Model:
         p = self.params
-        k, m = p["n_clusters"], p["m"]
-        if m <= 1:
-            raise ValueError("m must be above 1")
-        checked(points, k)
-        points = points.select("key", "x").persist()
-        start = self.sample(points, p["random_state"])
-        d = start.shape[1]
-        rng = np.random.default_rng(p["random_state"])
-        u = rng.dirichlet(np.ones(k), len(start)) ** m
-        c = (u.T @ start) / u.sum(0)[:, None]
-        converged, objective = False, math.nan
-        iteration = 0
-        try:
-            for iteration in range(1, p["max_iter"] + 1):
-                def step(x: np.ndarray, c: np.ndarray = c) -> np.ndarray:
-                    w = self.memberships(x, c, m) ** m
-                    return np.concatenate(((w.T @ x).ravel(), w.sum(0), [(w * distances(x, c)).sum()]))
-
-                got = summed(points, step, k * d + k + 1)
-                moved = got[: k * d].reshape(k, d) / np.maximum(got[k * d : k * d + k], 1e-300)[:, None]
-                shift, c, objective = float(np.abs(moved - c).max()), moved, float(got[-1])
-                if shift < p["error"]:
-                    converged = True
-                    break
-        finally:
-            points.unpersist()
+        k, m = self.k, p["m"]
+        (first,) = yield [Rows(1, lambda x, h: drawn(h, 0))]
+        d = first.shape[1]
+
+        def begin(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+            u = -np.log(np.column_stack([drawn(h, p["random_state"] or 0, j + 1) for j in range(k)]))
+            w = (u / u.sum(1, keepdims=True)) ** m
+            return np.concatenate(((w.T @ x).ravel(), w.sum(0)))
+
+        (got,) = yield [Sum(k * d + k, begin)]
+        c = got[: k * d].reshape(k, d) / got[k * d :, None]
+        converged, objective, iteration = False, math.nan, 0
+        for iteration in range(1, p["max_iter"] + 1):
+            def step(x: np.ndarray, h: np.ndarray, c: np.ndarray = c) -> np.ndarray:
+                w = self.memberships(x, c, m) ** m
+                return np.concatenate(((w.T @ x).ravel(), w.sum(0), [(w * distances(x, c)).sum()]))
+
+            (got,) = yield [Sum(k * d + k + 1, step)]
+            moved = got[: k * d].reshape(k, d) / np.maximum(got[k * d : k * d + k], 1e-300)[:, None]
+            shift, c, objective = float(np.abs(moved - c).max()), moved, float(got[-1])
+            if shift < p["error"]:
+                converged = True
+                break
 
         def last(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             u = self.memberships(x, c, m)
             return u.argmax(1), u
 
-        return Clusters(labelled(points, last, True), {"centers": c.tolist(), "objective": objective, "n_iter": iteration, "converged": converged})
+        return last, {"centers": c.tolist(), "objective": objective, "n_iter": iteration, "converged": converged}
 
 
 @register("gmm")
-class GaussianMixture(Algorithm):
-    """Gaussian mixtures by EM with full, tied, diag or spherical covariance."""
+class GaussianMixture(Iterative):
+    """Gaussian mixtures by EM with full, tied, diag or spherical covariance, from the best of
+    n_init clusterings of all points."""
 
-    random = True
+    random = soft = True
     defaults = {"n_components": 4, "covariance_type": "full", "max_iter": 100, "tol": 1e-3, "reg_covar": 1e-6, "n_init": 1, "random_state": 42}
 
+    def verify(self) -> None:
+        if self.params["covariance_type"] not in ("full", "tied", "diag", "spherical"):
+            raise ValueError(f"no such covariance: {self.params['covariance_type']}")
+
     @staticmethod
     def logs(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
         """log(weight * density) of each point and component; covs are full matrices."""
@@ -280,46 +479,45 @@ class GaussianMixture(Algorithm):
         cov = {"full": k * d * (d + 1) // 2, "tied": d * (d + 1) // 2, "diag": k * d, "spherical": k}
         return cov[self.params["covariance_type"]] + k * d + k - 1
 
-    def fit(self, points: DataFrame) -> Clusters:
-        p = self.params
-        k = p["n_components"]
-        n_points = checked(points, k)
-        points = points.select("key", "x").persist()
-        start = self.sample(points, p["random_state"])
-        d = start.shape[1]
-        centers = min((KMeans._lloyd(start, s, k, {**KMeans.defaults, "random_state": p["random_state"]}, 1e-4) for s in range(max(1, p["n_init"]))), key=lambda r: r[0])[1]
-        at = distances(start, centers).argmin(1)
-        hot = np.eye(k)[at]
-        n = hot.sum(0) + 1e-10
-        weights, means = n / n.sum(), (hot.T @ start) / n[:, None]
-        raw = np.array([((hot[:, j, None] * (start - means[j])).T @ (start - means[j])) / n[j] for j in range(k)])
-        covs = self._covs(raw, n)
+    @property
+    def k(self) -> int:
+        return self.params["n_components"]
+
+    def model(self, n_points: int) -> Model:
+        p, k = self.params, self.k
+        _, centers, _ = yield from best_lloyd(k, {**KMeans.defaults, "random_state": p["random_state"]}, max(1, p["n_init"]))
+        d = centers.shape[1]
         size = k + k * d + k * d * d + 1
+
+        def moments(r: np.ndarray, x: np.ndarray, about: np.ndarray, score: float) -> np.ndarray:
+            gaps = x[:, None, :] - about[None]
+            shift = np.einsum("nk,nki,nkj->kij", r, gaps, gaps, optimize=True)
+            return np.concatenate((r.sum(0), (r.T @ x).ravel(), shift.ravel(), [score]))
+
+        def updated(got: np.ndarray, about: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            n = got[:k] + 1e-10
+            moved = got[k : k + k * d].reshape(k, d) / n[:, None]
+            gap = moved - about
+            raw = got[k + k * d : -1].reshape(k, d, d) / n[:, None, None] - gap[:, :, None] * gap[:, None, :]
+            return n / n.sum(), moved, self._covs(raw, n)
+
+        (got,) = yield [Sum(size, lambda x, h: moments(np.eye(k)[distances(x, centers).argmin(1)], x, centers, 0.0))]
+        weights, means, covs = updated(got, centers)
         before, converged, iteration, score = -math.inf, False, 0, -math.inf
-        try:
-            for iteration in range(1, p["max_iter"] + 1):
-                def step(x: np.ndarray, w: np.ndarray = weights, mu: np.ndarray = means, s: np.ndarray = covs) -> np.ndarray:
-                    logs = self.logs(x, w, mu, s)
-                    top = logs.max(1, keepdims=True)
-                    norm = top[:, 0] + np.log(np.exp(logs - top).sum(1))
-                    r = np.exp(logs - norm[:, None])
-                    shift = [(r[:, j, None] * (x - mu[j])).T @ (x - mu[j]) for j in range(k)]  # about the old means
-                    return np.concatenate((r.sum(0), (r.T @ x).ravel(), np.array(shift).ravel(), [norm.sum()]))
-
-                got = summed(points, step, size)
-                n = got[:k] + 1e-10
-                score = float(got[-1]) / n_points
-                moved = got[k : k + k * d].reshape(k, d) / n[:, None]
-                about = got[k + k * d : -1].reshape(k, d, d) / n[:, None, None]
-                gap = moved - means
-                raw = about - gap[:, :, None] * gap[:, None, :]
-                weights, means, covs = n / n.sum(), moved, self._covs(raw, n)
-                if abs(score - before) < p["tol"]:
-                    converged = True
-                    break
-                before = score
-        finally:
-            points.unpersist()
+        for iteration in range(1, p["max_iter"] + 1):
+            def step(x: np.ndarray, h: np.ndarray, w: np.ndarray = weights, mu: np.ndarray = means, s: np.ndarray = covs) -> np.ndarray:
+                logs = self.logs(x, w, mu, s)
+                top = logs.max(1, keepdims=True)
+                norm = top[:, 0] + np.log(np.exp(logs - top).sum(1))
+                return moments(np.exp(logs - norm[:, None]), x, mu, norm.sum())
+
+            (got,) = yield [Sum(size, step)]
+            score = float(got[-1]) / n_points
+            weights, means, covs = updated(got, means)
+            if abs(score - before) < p["tol"]:
+                converged = True
+                break
+            before = score
         free = self.n_parameters(k, d)
 
         def last(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -330,7 +528,64 @@ class GaussianMixture(Algorithm):
 
         info = {"weights": weights.tolist(), "means": means.tolist(), "n_iter": iteration, "converged": converged, "log_likelihood": score}
         info |= {"aic": -2 * score * n_points + 2 * free, "bic": -2 * score * n_points + free * math.log(n_points)}
-        return Clusters(labelled(points, last, True), info)
+        return last, info
+
+
+def fit_many(points: DataFrame, algorithms: Sequence[Iterative], shifts: Sequence[Callable[[np.ndarray, np.ndarray], np.ndarray] | None] | None = None) -> tuple[DataFrame, list[dict]]:
+    """((key, labels, x, h): an array with the label by each algorithm, what each says of itself).
+
+    All models read the points in the same passes, so a sweep takes about as many jobs as its
+    slowest model, whatever number of models it has. shifts: for a model with noise, what
+    makes of (x, h) the points that it sees."""
+    for a in algorithms:
+        a.verify()
+    n = checked(points, max(a.k for a in algorithms))
+    shifts = shifts or [None] * len(algorithms)
+    makers = [lambda a=a, s=s: shifted(a.model(n), s) if s else a.model(n) for a, s in zip(algorithms, shifts)]
+    found = driven(hashed(points), n, makers)
+    rules = [(assign, s) for (assign, _), s in zip(found, shifts)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, h = matrix(b.column(1)), hashes(b.column(2))
+                labels = np.column_stack([assign(s(x, h) if s else x)[0] for assign, s in rules]).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"key": b.column(0), "labels": pa.array(list(labels), pa.list_(pa.int32())), "x": b.column(1), "h": b.column(2)})
+
+    key = dict(points.dtypes)["key"]
+    return hashed(points).mapInArrow(run, f"key {key}, labels array<int>, x array<double>, h long"), [info for _, info in found]
+
+
+def shifted(model: Model, shift: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Model:
+    """The same model over points that shift(x, h) moves."""
+    answer = None
+    while True:
+        try:
+            asked = model.send(answer)
+        except StopIteration as end:
+            return end.value
+        moved: list[Request] = []
+        for r in asked:
+            if isinstance(r, Sum):
+                moved.append(Sum(r.size, lambda x, h, f=r.step: f(shift(x, h), h)))
+            else:
+                moved.append(Rows(r.keep, lambda x, h, f=r.pick: f(shift(x, h), h), shift))
+        answer = yield moved
+
+
+def noise(points: DataFrame, sigma: float, seed: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray] | None:
+    """x + sigma * N(0, 1) * population deviation of each column; a row's noise follows from its
+    key and the seed. None without noise."""
+    if sigma == 0:
+        return None
+    rows = points.select(F.posexplode(F.col("x").cast("array<double>")).alias("i", "v")).groupBy("i").agg(F.stddev_pop("v").alias("d")).collect()  # a row a column
+    scale = sigma * np.array([r["d"] for r in sorted(rows)], float)
+
+    def shift(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        z = [np.sqrt(-2 * np.log(drawn(h, seed, 2 * j))) * np.cos(2 * np.pi * drawn(h, seed, 2 * j + 1)) for j in range(x.shape[1])]
+        return x + scale * np.column_stack(z)
+
+    return shift
 
 
 @register("dbscan")
@@ -349,6 +604,10 @@ class Dbscan(Algorithm):
         found = held.rows.select("id", "key")
         if not held.n:
             return Clusters(found.select("key", F.lit(-1).alias("label")), {"n_points": 0, "n_core": 0, "n_clusters": 0, "n_noise": 0})
+        if held.n <= held.per_block:  # one block: one group's work, by the same rule
+            labels = written(blocks.one_block(held, p["eps"], p["min_samples"], p["metric"]), "labels")
+            k, noise_, n_core = labels.agg(F.max("label") + 1, F.count_if(F.col("label") == -1), F.count_if("core")).first()
+            return Clusters(labels.select("key", "label"), {"n_points": held.n, "n_core": n_core, "n_clusters": k, "n_noise": noise_})
         grid = written(blocks.visits(held, p["eps"], p["metric"]), "grid")
         counts = written(blocks.neighbour_counts(grid, p["eps"], p["metric"]).select("id", (F.col("n") >= p["min_samples"]).alias("core")), "cores")
         links = written(blocks.core_links(grid.join(counts, "id"), p["eps"], p["metric"]), "links")
@@ -384,7 +643,8 @@ class Agglomerative(Algorithm):
         n = points.count()
         if p["n_clusters"] >= max(2, n):
             raise ValueError(f"{p['n_clusters']} clusters are as many as the points or more")
-        if p["linkage"] == "single":
+        width = points.select(F.size("x")).first()[0]
+        if p["linkage"] == "single" and n > blocks.block_size(width):
             return self._single(points, n)
         if n > PAIRWISE_LIMIT:
             raise ValueError(f"{p['linkage']} linkage compares all pairs and takes at most {PAIRWISE_LIMIT} points; these are {n}")

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
-from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.stats import ratio
 from . import cluster, metrics, prep
+from .tables import written
 
 #: Whether more of a metric is better.
 BETTER = {"silhouette": True, "calinski_harabasz": True, "davies_bouldin": False, "wcss": False}
@@ -45,15 +47,48 @@ def run_one(points: DataFrame, algorithm: str, params: dict, repeats: int = 1, s
 
 
 def sweep(points: DataFrame, algorithms: Sequence[str] = ("kmeans", "agglomerative", "gmm", "fuzzy_cmeans"), ks: Sequence[int] = range(2, 11), seed: int = 42) -> DataFrame:
-    """A row for each algorithm and number of clusters."""
-    rows = []
-    for a in algorithms:
-        for k in ks:
-            name = "n_components" if a == "gmm" else "n_clusters"
-            params = {name: k} | ({"random_state": seed} if cluster.REGISTRY[a].random else {})
+    """A row for each algorithm and number of clusters.
+
+    Algorithms that iterate over sums advance together, in the same passes over the points, and
+    their metrics share passes as well; their runtime is an equal part of the time of all. The
+    others are fitted one by one."""
+    return fitted(points, [(f"{a}-k{k}", a, _with_k(a, k, seed)) for a in algorithms for k in ks], "sweep")
+
+
+def _with_k(algorithm: str, k: int, seed: int) -> dict:
+    return {"n_components" if algorithm == "gmm" else "n_clusters": k} | ({"random_state": seed} if cluster.REGISTRY[algorithm].random else {})
+
+
+def fitted(points: DataFrame, runs: Sequence[tuple[str, str, dict]], experiment: str) -> DataFrame:
+    """A row of results for each run (run_id, algorithm, parameters), in their order."""
+    n = points.count()
+    rows: dict[str, tuple] = {}
+    shared = []
+    for name, a, params in runs:
+        try:
+            made = cluster.make(a, **params)
+        except (KeyError, TypeError):
+            rows[name] = (experiment, name, a, None, "FAILED", *[None] * 5)
+            continue
+        if isinstance(made, cluster.Iterative):
+            if 1 <= made.k <= n:
+                shared.append((name, a, made))
+            else:
+                rows[name] = (experiment, name, a, made.k, "FAILED", *[None] * 5)
+        else:
             r = run_one(points, a, params)
-            rows.append(("sweep", f"{a}-k{k}", a, k, r["status"], *(r.get(m) for m in (*METRICS, "wcss", "runtime"))))
-    return results(points.sparkSession, rows)
+            rows[name] = (experiment, name, a, r.get("k") or params.get("n_clusters"), r["status"], *(r.get(m) for m in (*METRICS, "wcss", "runtime")))
+    if shared:
+        began = time.perf_counter()
+        labels, _ = cluster.fit_many(points, [m for _, _, m in shared])
+        labels = written(labels, "labels")
+        each = (time.perf_counter() - began) / len(shared)
+        found = metrics.quality_by_model(labels, [m.k for _, _, m in shared])
+        means = metrics.silhouettes_by_model(labels).groupBy("model").agg(F.avg("silhouette").alias("s")).collect()  # a row a model
+        silhouettes = {r["model"]: r["s"] for r in means}
+        for t, ((name, a, m), (_, _, wcss, ch, db)) in enumerate(zip(shared, found)):
+            rows[name] = (experiment, name, a, m.k, "SUCCESS", silhouettes.get(t), db, ch, wcss, each)
+    return results(points.sparkSession, [rows[name] for name, _, _ in runs])
 
 
 def results(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
@@ -155,27 +190,45 @@ def labels_hash(labels: DataFrame) -> str:
     return f"{row['s']}:{row['x']}:{row['n']}"
 
 
-def pairwise_agreement(labels: DataFrame, run: str = "run_id") -> DataFrame:
-    """ARI, AMI and NMI of each pair of runs over the keys that they share.
+def pairwise_agreement(labels: DataFrame, run: str = "run_id", within: Sequence[str] = ()) -> DataFrame:
+    """within, run_a, run_b, ari, ami, nmi of each pair of runs over the keys that they share.
+
+    labels: rows of run, key and label. Contingencies of all pairs come from one join by key;
+    each pair's table, a row a pair of labels, is one group's work on an executor."""
+    a = labels.select(*within, F.col(run).alias("run_a"), "key", F.col("label").alias("a"))
+    b = labels.select(*within, F.col(run).alias("run_b"), "key", F.col("label").alias("b"))
+    cells = a.join(b, [*within, "key"]).where("run_a < run_b").groupBy(*within, "run_a", "run_b", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    keys = [*within, "run_a", "run_b"]
+    kinds = dict(cells.dtypes)
+
+    def agree(f: pd.DataFrame) -> pd.DataFrame:
+        rows, columns = f["a"].unique(), f["b"].unique()
+        m = np.zeros((len(rows), len(columns)))
+        m[np.searchsorted(np.sort(rows), f["a"]), np.searchsorted(np.sort(columns), f["b"])] = f["n"]
+        return pd.DataFrame({**{k: [f[k].iloc[0]] for k in keys}, **{k: [float(v)] for k, v in metrics.agreement(m).items()}})
+
+    return cells.groupBy(*keys).applyInPandas(agree, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ari double, ami double, nmi double").select(*keys, "ari", "ami", "nmi")
+
+
+def agreement_matrix(pairs: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """within, run_a, run_b, ari of the whole square of runs: both halves, and 1 on the diagonal."""
+    both = pairs.select(*within, "run_a", "run_b", "ari").unionByName(pairs.select(*within, F.col("run_b").alias("run_a"), F.col("run_a").alias("run_b"), "ari"))
+    each = both.select(*within, "run_a").distinct()
+    return both.unionByName(each.select(*within, "run_a", F.col("run_a").alias("run_b"), F.lit(1.0).alias("ari")))
 
-    labels: rows of run, key and label. All contingencies come from one self-join."""
-    a = labels.select(F.col(run).alias("run_a"), "key", F.col("label").alias("a"))
-    b = labels.select(F.col(run).alias("run_b"), "key", F.col("label").alias("b"))
-    cells = a.join(b, "key").where("run_a < run_b").groupBy("run_a", "run_b", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    runs = [r[0] for r in labels.select(run).distinct().collect()]
-    rows = []
-    got = cells.collect()  # a row a pair of labels of a pair of runs
-    for x, y in combinations(sorted(runs), 2):
-        mine = [r for r in got if r["run_a"] == x and r["run_b"] == y]
-        la, lb = sorted({r["a"] for r in mine}), sorted({r["b"] for r in mine})
-        import numpy as np
 
-        m = np.zeros((len(la), len(lb)))
-        for r in mine:
-            m[la.index(r["a"]), lb.index(r["b"])] = r["n"]
-        v = metrics.agreement(m)
-        rows.append((x, y, float(v["ari"]), float(v["ami"]), float(v["nmi"])))
-    return labels.sparkSession.createDataFrame(rows, "run_a string, run_b string, ari double, ami double, nmi double")
+def off_diagonal(pairs: DataFrame, within: Sequence[str] = (), digits: int = 9) -> DataFrame:
+    """Of the agreement of different runs: pairs, least, mean, greatest, deviation and distinct values."""
+    x = F.col("ari")
+    return pairs.groupBy(*within).agg(
+        F.count(x).alias("n_pairs"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.max(x).alias("max"), F.stddev_pop(x).alias("std"), F.count_distinct(F.round(x, digits)).alias("unique_count")
+    )
+
+
+def against_baseline(pairs: DataFrame, baseline: str, within: Sequence[str] = ()) -> DataFrame:
+    """within, run_id, ari, ami, nmi of every other run with the baseline run."""
+    mine = pairs.where((F.col("run_a") == baseline) | (F.col("run_b") == baseline))
+    return mine.select(*within, F.when(F.col("run_a") == baseline, F.col("run_b")).otherwise(F.col("run_a")).alias("run_id"), "ari", "ami", "nmi")
 
 
 def reproducibility(pairs: DataFrame, least: float = 1 - 1e-9) -> str:
@@ -188,21 +241,20 @@ def stability(points: DataFrame, algorithm: str, params: dict, columns: Sequence
     """Labels of repeats (block R), seeds (S) and noise levels (N): block, run_id, key, label.
 
     points also has the columns that x is made of, so that noise can be added to them."""
-    random = cluster.REGISTRY[algorithm].random
+    kind = cluster.REGISTRY[algorithm]
+    runs: list[tuple[str, str, dict, float]] = [("R", f"r{r}", params, 0.0) for r in range(repeats)]
+    runs += [("S", f"s{s}", {**params, "random_state": s}, 0.0) for s in seeds if kind.random]
+    runs += [("N", f"n{g}", params, g) for g in sigmas]
+    if issubclass(kind, cluster.Iterative):  # all runs advance in the same passes
+        pts = points.select("key", F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
+        labels, _ = cluster.fit_many(pts, [cluster.make(algorithm, **p) for _, _, p, _ in runs], [cluster.noise(pts, g, 7) for *_, g in runs])
+        names = F.array(*(F.struct(F.lit(b).alias("block"), F.lit(name).alias("run_id")) for b, name, _, _ in runs))
+        return written(labels.select(F.posexplode("labels").alias("i", "label"), "key").select(names[F.col("i")]["block"].alias("block"), names[F.col("i")]["run_id"].alias("run_id"), "key", "label"), "runs")
     out = None
-
-    def add(block: str, name: str, p: dict, pts: DataFrame) -> None:
-        nonlocal out
-        labels = cluster.make(algorithm, **p).fit(pts.select("key", "x")).labels.select(F.lit(block).alias("block"), F.lit(name).alias("run_id"), "key", "label")
-        out = labels if out is None else out.unionByName(labels)
-
-    for r in range(repeats):
-        add("R", f"r{r}", params, points)
-    for s in seeds if random else ():
-        add("S", f"s{s}", {**params, "random_state": s}, points)
-    for g in sigmas:
+    for block, name, p, g in runs:
         noisy = prep.perturbed(points, columns, g, 7, "key").withColumn("x", F.array(*(F.col(c).cast("double") for c in columns)))
-        add("N", f"n{g}", params, noisy)
+        labels = cluster.make(algorithm, **p).fit(noisy.select("key", "x")).labels.select(F.lit(block).alias("block"), F.lit(name).alias("run_id"), "key", "label")
+        out = labels if out is None else out.unionByName(labels)
     return out
 
 

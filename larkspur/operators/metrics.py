@@ -7,6 +7,7 @@ is left out. With fewer than two clusters a metric is NULL.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,23 +44,69 @@ def internal_metrics(points: DataFrame, label: str = "label", x: str = "x") -> D
     each = p.join(F.broadcast(c), "label").select("label", squared_distance("x", "c").alias("d2"))
     per = each.groupBy("label").agg(F.sum("d2").alias("w"), F.avg(F.sqrt("d2")).alias("s"), F.count(F.lit(1)).alias("n"))
     rows = c.select("label", "c").join(per, "label").collect()  # one row a cluster
-    n, k = sum(r["n"] for r in rows), len(rows)
-    wcss = sum(r["w"] for r in rows) if rows else None
-    ch = db = None
-    if 2 <= k < n:
-        centers = np.array([r["c"] for r in rows], float)
-        sizes = np.array([r["n"] for r in rows], float)
-        mean = (centers * sizes[:, None]).sum(0) / n
-        between = float((sizes * ((centers - mean) ** 2).sum(1)).sum())
-        ch = between / (k - 1) / (wcss / (n - k)) if wcss else 1.0
-        s = np.array([r["s"] for r in rows])
-        far = np.sqrt(((centers[:, None] - centers[None]) ** 2).sum(2))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(far > 0, (s[:, None] + s[None]) / far, 0.0)
-        np.fill_diagonal(ratio, -np.inf)
-        db = float(ratio.max(1).mean())
+    found = quality(*(np.array([r[c] for r in rows], float) for c in ("n", "c", "w", "s")))
     schema = "n long, k long, wcss double, calinski_harabasz double, davies_bouldin double"
-    return points.sparkSession.createDataFrame([(n, k, wcss, ch, db)], schema)
+    return points.sparkSession.createDataFrame([found], schema)
+
+
+def quality(sizes: np.ndarray, centers: np.ndarray, within: np.ndarray, mean_distance: np.ndarray) -> tuple[int, int, float | None, float | None, float | None]:
+    """n, k, wcss, Calinski-Harabasz and Davies-Bouldin of clusters' sizes, centres, sums of
+    squared distances and mean distances; the last two are None unless 2 <= k < n."""
+    n, k = int(sizes.sum()), len(sizes)
+    wcss = float(within.sum()) if k else None
+    if not 2 <= k < n:
+        return n, k, wcss, None, None
+    mean = (centers * sizes[:, None]).sum(0) / n
+    between = float((sizes * ((centers - mean) ** 2).sum(1)).sum())
+    ch = between / (k - 1) / (wcss / (n - k)) if wcss else 1.0
+    far = np.sqrt(((centers[:, None] - centers[None]) ** 2).sum(2))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(far > 0, (mean_distance[:, None] + mean_distance[None]) / far, 0.0)
+    np.fill_diagonal(ratio, -np.inf)
+    return n, k, wcss, ch, float(ratio.max(1).mean())
+
+
+def quality_by_model(points: DataFrame, ks: Sequence[int]) -> list[tuple]:
+    """`quality` of each model's labels of points (labels, x), labels being below the model's
+    number in ks or NOISE. Two passes over the points serve all models."""
+    width = points.select(F.size("x")).limit(1).collect()[0][0]
+    starts = np.cumsum([0, *ks])
+
+    def hot(labels: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(labels), starts[-1]))
+        for t, s in enumerate(starts[:-1]):
+            real = np.flatnonzero(labels[:, t] != NOISE)
+            out[real, s + labels[real, t]] = 1
+        return out
+
+    def totals(size: int, step: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size)
+            for b in batches:
+                if b.num_rows:
+                    total += step(blocks.matrix(b.column(0)), hot(blocks.matrix(b.column(1)).astype(int)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["i", "v"])
+
+        out = np.zeros(size)
+        for r in points.select("x", "labels").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            out[r["i"]] = r["v"]
+        return out
+
+    k = int(starts[-1])
+    first = totals(k * width + k, lambda x, z: np.concatenate(((z.T @ x).ravel(), z.sum(0))))
+    sizes = first[k * width :]
+    centers = first[: k * width].reshape(k, width) / np.maximum(sizes, 1)[:, None]
+
+    def about(x: np.ndarray, z: np.ndarray) -> np.ndarray:
+        d2 = blocks.squared(x, centers) * z
+        return np.concatenate((d2.sum(0), np.sqrt(d2).sum(0)))
+
+    second = totals(2 * k, about)
+    out = []
+    for s, e in zip(starts, starts[1:]):
+        real = np.flatnonzero(sizes[s:e] > 0) + s
+        out.append(quality(sizes[real], centers[real], second[real], second[k + real] / sizes[real]))
+    return out
 
 
 def _distance_sums(points: blocks.Points, metric: str) -> DataFrame:

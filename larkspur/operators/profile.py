@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.stats import average_rank, kurt, outside, ratio, skew
-from .quantiles import quantiles
+from .quantiles import average_ranks, quantiles
+from .tables import written
 
 
 def numeric_columns(df: DataFrame, leave: Sequence[str] = ("CustomerID", "InvoiceNo", "StockCode")) -> list[str]:
@@ -109,6 +110,41 @@ def schema_profile(df: DataFrame) -> DataFrame:
     return rows.withColumns({"kind": m[F.col("column")], "nullable": F.col("missing") > 0})
 
 
+# How cells of text are read, in the order in which the kinds are tried.
+KINDS = {
+    "integer": r"[+-]?[0-9]+",
+    "decimal": r"[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?",
+    "boolean": r"[tT]rue|[fF]alse|TRUE|FALSE",
+    "datetime": r"[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?",
+}
+
+
+def type_census(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """column, missing, n_integer, n_decimal, n_boolean, n_datetime, n_text, inferred_type of
+    columns of raw text, from all rows.
+
+    A cell without anything but blanks is missing. Every other cell sets the bit of the first
+    kind that it reads as, and one aggregation joins the bits of a column: numeric of integers
+    and decimals, boolean, datetime, string of any other text or of no cells, and mixed where
+    kinds meet. Cells are spread over tasks whatever their values are."""
+    names = list(columns or [f.name for f in df.schema if isinstance(f.dataType, T.StringType)])
+    text = [*KINDS, "text"]
+
+    def kind(c: str) -> Column:
+        x = F.trim(F.col(c).cast("string"))
+        out = F.when(x.isNull() | (x == ""), 0)
+        for i, pattern in enumerate(KINDS.values()):
+            out = out.when(x.rlike(f"^({pattern})$"), 1 << i)
+        return out.otherwise(1 << len(KINDS))
+
+    cells = df.select(*(kind(c).alias(c) for c in names))
+    made = {"missing": lambda c: F.count_if(F.col(c) == 0), "_bits": lambda c: F.bit_or(c)}
+    made |= {f"n_{k}": lambda c, i=i: F.count_if(F.col(c) == 1 << i) for i, k in enumerate(text)}
+    bits = F.col("_bits")
+    inferred = F.when(bits.isin(1, 2, 3), "numeric").when(bits == 4, "boolean").when(bits == 8, "datetime").when(bits.isNull() | bits.isin(0, 16), "string").otherwise("mixed")
+    return stacked(cells, names, made).withColumn("inferred_type", inferred).drop("_bits")
+
+
 def distribution_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Moments, quartiles, bias-corrected skewness and kurtosis, missing ratio, variance and
     the coefficient of variation (NULL for means that aren't above 1e-9)."""
@@ -125,6 +161,7 @@ def distribution_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "variance": lambda c: F.var_samp(x(c)),
         "cv": lambda c: F.when(F.avg(x(c)) > 1e-9, F.stddev_samp(x(c)) / F.avg(x(c))),
     }
+    df = written(df.select(*columns), "columns")  # read several times
     return with_quantiles(stacked(df, columns, made), df, columns, {"q25": 0.25, "median": 0.5, "q75": 0.75})
 
 
@@ -150,16 +187,21 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], method: str = "pear
         return one.select(F.explode(rows).alias("r")).select("r.*")
     if method != "spearman":
         raise ValueError("method must be pearson or spearman")
-    cells = F.array(*(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs))
-    long = df.select(F.explode(cells).alias("r")).select("r.*").where("x IS NOT NULL AND y IS NOT NULL")
-    # ranks from counts of values, so that no pair is sorted as a whole in one task
-    keys = ("feature_a", "feature_b")
-    for v in ("x", "y"):
-        counts = long.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("n"))
-        below = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy(v).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        ranks = counts.select(*keys, v, (below + (F.col("n") + 1) / 2.0).alias(f"r{v}"))
-        long = long.join(ranks, [*keys, v])
-    return long.groupBy(*keys).agg(F.corr("rx", "ry").alias("corr"))
+    # a pair's ranks are those among the rows that have both values: a column's own, unless the
+    # other column has NULLs
+    held = written(df.select(*(F.col(c).cast("double").alias(c) for c in columns)).withColumn("_id", F.monotonically_increasing_id()), "values")
+    gaps = held.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns)).first().asDict()
+    name = lambda c, other: f"{c}|{other}" if gaps[other] else c
+    wanted = {name(*p): p for a, b in pairs for p in ((a, b), (b, a))}
+    wide = held.select("_id", *(F.when(F.col(o).isNotNull(), F.col(c)).alias(n) if n != c else F.col(c) for n, (c, o) in wanted.items()))
+    ranks = average_ranks(wide, list(wanted)).select("series", "x", "rank")
+    cells = F.explode(F.array(*(F.struct(F.lit(n).alias("series"), F.col(f"`{n}`").alias("x")) for n in wanted)))
+    placed = wide.select("_id", cells.alias("r")).select("_id", "r.*").join(ranks, ["series", "x"])
+    each = placed.groupBy("_id").agg(*(F.max(F.when(F.col("series") == n, F.col("rank"))).alias(f"r{i}") for i, n in enumerate(wanted)))
+    at = {n: f"r{i}" for i, n in enumerate(wanted)}
+    one = each.agg(*(F.corr(at[name(a, b)], at[name(b, a)]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
+    rows = F.array(*(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)))
+    return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def redundant_pairs(corr: DataFrame, threshold: float = 0.9) -> DataFrame:

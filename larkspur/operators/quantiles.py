@@ -1,8 +1,9 @@
-"""Exact quantiles of large tables, without a task that holds all distinct values.
+"""Exact quantiles and ranks of large tables, without a task that holds a share of a column.
 
 A sketch of each column brackets the wanted order statistics. A second pass counts what lies
 below each bracket and, by value, what lies within; only values within brackets are put in
-order. Both passes aggregate before they shuffle, so hot values and groups cost nothing.
+order, by ranges that many tasks share. Both passes aggregate before they shuffle, so hot
+values and groups cost nothing. Ranks come from counts of distinct values, ordered by ranges.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from .tables import running, written
 
 #: One over the sketch's greatest error of a rank; a bracket holds at most four such errors.
 ACCURACY = 20_000
@@ -41,11 +43,14 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
     counted = rows.groupBy(*keys, "n", *bounds, F.when(inside, F.col("x")).alias("x")).agg(
         F.count(F.lit(1)).alias("c"), *(F.count_if(F.col("x") < F.col(f"lo{k}")).alias(f"b{k}") for k in range(last))
     )
-    whole = W.partitionBy(*keys)
-    counted = counted.withColumns({f"b{k}": F.sum(f"b{k}").over(whole) for k in range(last)}).where(F.col("x").isNotNull())
+    counted = written(counted, "brackets")
+    below = counted.groupBy(*keys).agg(*(F.sum(f"b{k}").alias(f"b{k}") for k in range(last)))
+    below = F.broadcast(below.select(*(F.col(k).alias(f"_{k}") for k in keys), *(f"b{k}" for k in range(last))))  # a row a group and column
+    counted = counted.drop(*(f"b{k}" for k in range(last))).where(F.col("x").isNotNull()).join(below, _all(same))
     parts = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p"), *(F.col(f"{s}{k}").alias(s) for s in ("lo", "hi", "b"))) for k, p in enumerate(probs))))
     near = counted.select(*keys, "n", "x", "c", parts.alias("r")).select(*keys, "n", "x", "c", "r.*").where(F.col("x").between(F.col("lo"), F.col("hi")))
-    upto = F.col("b") + F.sum("c").over(W.partitionBy(*keys, "k").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
+    near = running(near.drop("lo", "hi"), [*keys, "k"], [F.asc("x")], "c")
+    upto = F.col("b") + F.col("before") + F.col("c")
     place = (F.col("n") - 1) * F.col("p")
     near = near.withColumns({"upto": upto, "place": place})
     at = near.groupBy(*keys, "n", "k", "place").agg(F.min(F.when(F.col("upto") > F.floor("place"), F.col("x"))).alias("v"), F.min(F.when(F.col("upto") > F.ceil("place"), F.col("x"))).alias("w"))
@@ -68,3 +73,11 @@ def quantile_row(df: DataFrame, wanted: Mapping[str, tuple[str, float]]) -> Data
     probs = sorted({p for _, p in wanted.values()})
     q = quantiles(df, columns, probs)
     return q.agg(*(F.max(F.when(F.col("column") == c, F.col("q")[probs.index(p)])).alias(name) for name, (c, p) in wanted.items()))
+
+
+def average_ranks(df: DataFrame, series: Sequence[str]) -> DataFrame:
+    """(series, x, n, rank) of the distinct values of each named column: how often each occurs,
+    and the mean of the ranks (from 1) of its rows. NULLs have no rank."""
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("x")) for c in series)))
+    counts = df.select(cells.alias("r")).select("r.*").where(F.col("x").isNotNull()).groupBy("series", "x").agg(F.count(F.lit(1)).alias("n"))
+    return running(counts, ["series"], [F.asc("x")], "n").select("series", "x", "n", (F.col("before") + (F.col("n") + 1) / 2.0).alias("rank"))

@@ -10,6 +10,8 @@ from pyspark.sql.window import Window as W
 
 from ..functions.stats import quantile, ratio
 from .profile import numeric_columns, stacked, with_quantiles
+from .quantiles import quantiles
+from .tables import written
 
 NOISE = -1
 # Thresholds of the classification rules.
@@ -50,15 +52,21 @@ def distribution_indicators(size_rows: DataFrame) -> DataFrame:
 def feature_profiles(points: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
     """Statistics of each feature in each cluster, and over all of them (label NULL, scope OVERALL).
 
-    Noise is left out. One pass: grouping sets over (label, feature) and (feature)."""
-    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in features)))
-    long = points.where(F.col(label) != NOISE).select(F.col(label).alias("label"), cells.alias("r")).select("label", "r.*")
+    Noise is left out. The rows' features and labels are written once; moments are one
+    aggregation over grouping sets, quartiles come from bracketed order statistics."""
+    held = written(points.where(F.col(label) != NOISE).select(F.col(label).alias("label"), *(F.col(c).cast("double").alias(c) for c in features)), "profiled")
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in features)))
+    long = held.select("label", cells.alias("r")).select("label", "r.*")
     g = long.groupingSets([["label", "feature"], ["feature"]], "label", "feature").agg(
-        F.grouping("label").alias("_all"), F.count("v").alias("n"), F.avg("v").alias("mean"), quantile("v", (0.25, 0.5, 0.75)).alias("_q"),
-        F.min("v").alias("min"), F.max("v").alias("max"), F.stddev_samp("v").alias("std"),
-    )
-    g = g.withColumns({"p25": F.col("_q")[0], "median": F.col("_q")[1], "p75": F.col("_q")[2]}).drop("_q")
-    return g.withColumn("scope", F.when(F.col("_all") == 1, "OVERALL").otherwise("CLUSTER")).drop("_all")
+        F.grouping("label").alias("_all"), F.count("v").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.stddev_samp("v").alias("std")
+    )
+    both = held.withColumn("_every", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("label", F.when(F.col("_every") == 0, F.col("label")))
+    of = quantiles(both, features, (0.25, 0.5, 0.75), ["label", "_every"])
+    of = of.select(F.col("label").alias("_label"), "column", "_every", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"))
+    same = F.col("label").eqNullSafe(F.col("_label")) & (F.col("feature") == F.col("column")) & (F.col("_all") == F.col("_every"))
+    g = g.join(F.broadcast(of), same, "left")  # a row a cluster and feature
+    g = g.withColumn("scope", F.when(F.col("_all") == 1, "OVERALL").otherwise("CLUSTER"))
+    return written(g.select("label", "feature", "n", "mean", "min", "max", "std", "p25", "median", "p75", "scope"), "profiles")
 
 
 def direction(pct: Column) -> Column:

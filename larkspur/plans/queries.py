@@ -502,15 +502,82 @@ def label_agreement(spark, d):
     return spark.createDataFrame([(float(v["ari"]), float(v["nmi"]))], "ari double, nmi double")
 
 
-def _fit_query(name: str, **params) -> None:
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """Four runs' labels of the vectors, in two blocks."""
+    k, label = F.col("vec_id"), F.col("label")
+    made = {"r0": label, "r1": F.floor(label / 2), "r2": k % 7, "r3": F.when(k % 11 == 0, 0).otherwise(label)}
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("run_id"), v.cast("int").alias("label")) for r, v in made.items())))
+    rows = retail.table(spark, d, "embeddings").select(k.alias("key"), each.alias("r")).select("key", "r.*")
+    return rows.withColumn("block", F.when(F.col("run_id").isin("r0", "r3"), "R").otherwise("S")).unionByName(rows.withColumn("block", F.lit("N")))
+
+
+_RUNS = "WITH base AS (SELECT vec_id AS key, 'r0' AS run_id, label::INT AS label FROM embeddings UNION ALL SELECT vec_id, 'r1', label // 2 FROM embeddings UNION ALL SELECT vec_id, 'r2', vec_id % 7 FROM embeddings UNION ALL SELECT vec_id, 'r3', CASE WHEN vec_id % 11 = 0 THEN 0 ELSE label END FROM embeddings), runs AS (SELECT *, CASE WHEN run_id IN ('r0', 'r3') THEN 'R' ELSE 'S' END AS block FROM base UNION ALL SELECT *, 'N' FROM base), cells AS (SELECT x.block, x.run_id AS run_a, y.run_id AS run_b, x.label AS a, y.label AS b, count(*) AS n FROM runs x JOIN runs y ON x.block = y.block AND x.key = y.key AND x.run_id < y.run_id GROUP BY ALL), ta AS (SELECT block, run_a, run_b, a, sum(n) AS na FROM cells GROUP BY ALL), tb AS (SELECT block, run_a, run_b, b, sum(n) AS nb FROM cells GROUP BY ALL), tot AS (SELECT block, run_a, run_b, sum(n) AS n, sum(n * (n - 1) / 2) AS i FROM cells GROUP BY ALL), pa AS (SELECT block, run_a, run_b, sum(na * (na - 1) / 2) AS pa FROM ta GROUP BY ALL), pb AS (SELECT block, run_a, run_b, sum(nb * (nb - 1) / 2) AS pb FROM tb GROUP BY ALL), ha AS (SELECT t.block, t.run_a, t.run_b, -sum(na / t.n * ln(na / t.n)) AS ha FROM ta JOIN tot t USING (block, run_a, run_b) GROUP BY ALL), hb AS (SELECT t.block, t.run_a, t.run_b, -sum(nb / t.n * ln(nb / t.n)) AS hb FROM tb JOIN tot t USING (block, run_a, run_b) GROUP BY ALL), mi AS (SELECT t.block, t.run_a, t.run_b, sum(c.n / t.n * ln(t.n * c.n / (na * nb))) AS mi FROM cells c JOIN ta USING (block, run_a, run_b, a) JOIN tb USING (block, run_a, run_b, b) JOIN tot t USING (block, run_a, run_b) GROUP BY ALL), pairs AS (SELECT block, run_a, run_b, (i - pa * pb / (n * (n - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (n * (n - 1) / 2)) AS ari, mi / ((ha + hb) / 2) AS nmi FROM tot JOIN pa USING (block, run_a, run_b) JOIN pb USING (block, run_a, run_b) JOIN ha USING (block, run_a, run_b) JOIN hb USING (block, run_a, run_b) JOIN mi USING (block, run_a, run_b))"
+
+
+@query(_RUNS + " SELECT block, run_a, run_b, round(ari, 4) AS ari, round(nmi, 4) AS nmi FROM pairs")
+def run_agreement(spark, d):
+    return experiments.pairwise_agreement(_runs(spark, d), within=["block"]).drop("ami")
+
+
+@query(_RUNS + ", sides AS (SELECT block, run_a, run_b, ari FROM pairs UNION ALL SELECT block, run_b, run_a, ari FROM pairs) SELECT block, run_a, run_b, round(ari, 4) AS ari FROM sides UNION ALL SELECT DISTINCT block, run_a, run_a, 1.0 FROM sides")
+def run_matrix(spark, d):
+    return experiments.agreement_matrix(experiments.pairwise_agreement(_runs(spark, d), within=["block"]), ["block"])
+
+
+@query(_RUNS + " SELECT block, count(*) AS n_pairs, round(min(ari), 4) AS min, round(avg(ari), 4) AS mean, round(max(ari), 4) AS max, round(stddev_pop(ari), 4) AS std, count(DISTINCT round(ari, 9)) AS unique_count FROM pairs GROUP BY block")
+def run_off_diagonal(spark, d):
+    return experiments.off_diagonal(experiments.pairwise_agreement(_runs(spark, d), within=["block"]), ["block"])
+
+
+@query(_RUNS + " SELECT block, CASE WHEN run_a = 'r0' THEN run_b ELSE run_a END AS run_id, round(ari, 4) AS ari, round(nmi, 4) AS nmi FROM pairs WHERE run_a = 'r0' OR run_b = 'r0'")
+def run_baseline(spark, d):
+    return experiments.against_baseline(experiments.pairwise_agreement(_runs(spark, d), within=["block"]), "r0", ["block"]).drop("ami")
+
+
+_MODELS = "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x, label::INT AS l FROM embeddings), m AS (SELECT 0 AS model, vec_id, x, l FROM v UNION ALL SELECT 1, vec_id, x, l // 2 FROM v UNION ALL SELECT 2, vec_id, x, (vec_id % 3)::INT FROM v), e AS (SELECT model, vec_id, l, unnest(x) AS v, generate_subscripts(x, 1) AS d FROM m), c AS (SELECT model, l, d, avg(v) AS c FROM e GROUP BY ALL), w AS (SELECT e.model, e.l, e.vec_id, sum((v - c) ** 2) AS d2 FROM e JOIN c USING (model, l, d) GROUP BY ALL), s AS (SELECT model, l, count(*) AS n, sum(d2) AS w, avg(sqrt(d2)) AS s FROM w GROUP BY ALL), t AS (SELECT model, sum(n) AS n, count(*) AS k, sum(w) AS wcss FROM s GROUP BY ALL), g AS (SELECT model, d, avg(v) AS g FROM e GROUP BY ALL), b AS (SELECT s.model, sum(s.n * (c - g) ** 2) AS b FROM c JOIN s USING (model, l) JOIN g ON g.model = c.model AND g.d = c.d GROUP BY ALL), f AS (SELECT x.model, x.l AS a, y.l AS b, sqrt(sum((x.c - y.c) ** 2)) AS far FROM c x JOIN c y ON x.model = y.model AND x.d = y.d AND x.l <> y.l GROUP BY ALL), r AS (SELECT f.model, a, max((x.s + y.s) / far) AS r FROM f JOIN s x ON x.model = f.model AND x.l = f.a JOIN s y ON y.model = f.model AND y.l = f.b GROUP BY ALL), db AS (SELECT model, avg(r) AS db FROM r GROUP BY model), pd AS (SELECT x.vec_id AS i, y.vec_id AS j, list_distance(x.x, y.x) AS d FROM v x JOIN v y ON x.vec_id <> y.vec_id), pg AS (SELECT x.model, i, x.l, y.l AS o, avg(d) AS d FROM pd JOIN m x ON x.vec_id = i JOIN m y ON y.vec_id = j AND y.model = x.model GROUP BY ALL), sil AS (SELECT model, i, max(CASE WHEN l = o THEN d END) AS a, min(CASE WHEN l <> o THEN d END) AS b FROM pg GROUP BY ALL), ms AS (SELECT model, avg((b - a) / greatest(a, b)) AS silhouette FROM sil GROUP BY model)"
+
+
+@query(_MODELS + " SELECT model, t.n::BIGINT AS n, k, round(wcss, 3) AS wcss, round(b / (k - 1) / (wcss / (t.n - k)), 3) AS calinski_harabasz, round(db, 3) AS davies_bouldin, round(silhouette, 3) AS silhouette FROM t JOIN b USING (model) JOIN db USING (model) JOIN ms USING (model)", 3)
+def metrics_by_model(spark, d):
+    label = F.col("label").cast("int")
+    p = _points(spark, d).select("key", F.array(label, F.floor(label / 2).cast("int"), (F.col("key") % 3).cast("int")).alias("labels"), "x")
+    most = p.agg(F.max(F.col("labels")[0])).first()[0] + 1
+    found = metrics.quality_by_model(p, [most, most, 3])
+    rows = spark.createDataFrame([(t, *r) for t, r in enumerate(found)], "model int, n long, k long, wcss double, calinski_harabasz double, davies_bouldin double")
+    return rows.join(metrics.silhouettes_by_model(p).groupBy("model").agg(F.avg("silhouette").alias("silhouette")), "model")
+
+
+@query()
+def cluster_sweep(spark, d):
+    """Metrics of three algorithms for 2 to 6 clusters, fitted in shared passes."""
+    return experiments.sweep(_points(spark, d).select("key", "x"), ("kmeans", "fuzzy_cmeans"), range(2, 7)).drop("runtime")
+
+
+def _census_sql(column: str, table: str) -> str:
+    x = f"trim({column}::VARCHAR)"
+    kind = f"CASE WHEN {x} IS NULL OR {x} = '' THEN 0 " + " ".join(f"WHEN regexp_full_match({x}, '{p}') THEN {1 << i}" for i, p in enumerate(profile.KINDS.values())) + " ELSE 16 END"
+    counts = ", ".join(f"count(*) FILTER (WHERE k = {1 << i}) AS n_{n}" for i, n in enumerate([*profile.KINDS, "text"]))
+    return f"SELECT '{column}' AS \"column\", count(*) FILTER (WHERE k = 0) AS missing, {counts}, CASE WHEN bit_or(k) IN (1, 2, 3) THEN 'numeric' WHEN bit_or(k) = 4 THEN 'boolean' WHEN bit_or(k) = 8 THEN 'datetime' WHEN bit_or(k) IN (0, 16) OR bit_or(k) IS NULL THEN 'string' ELSE 'mixed' END AS inferred_type FROM (SELECT {kind} AS k FROM {table})"
+
+
+@query(" UNION ALL ".join(_census_sql(c, "stamps") for c in ("stamp_id", "source", "zone", "raw")))
+def type_census(spark, d):
+    return profile.type_census(retail.table(spark, d, "stamps"), ["stamp_id", "source", "zone", "raw"])
+
+
+def _fit_query(name: str, algorithm: str | None = None, **params) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return cluster.make(name, **params).fit(_points(spark, d).select("key", "x")).labels.select("key", "label")
+        return cluster.make(algorithm or name, **params).fit(_points(spark, d).select("key", "x")).labels.select("key", "label")
 
     QUERIES[f"cluster_{name}"] = run
 
 
 for _name, _params in (("kmeans", {"n_clusters": 10}), ("fuzzy_cmeans", {"n_clusters": 4, "max_iter": 30}), ("gmm", {"n_components": 4, "covariance_type": "diag", "max_iter": 20}), ("dbscan", {"eps": 6.0}), ("agglomerative", {"n_clusters": 10})):
     _fit_query(_name, **_params)
+_fit_query("single_linkage", algorithm="agglomerative", n_clusters=10, linkage="single")
+
+#: Core points, the least core key that each reaches, and that rank as the number of its cluster.
+SQL["cluster_dbscan"] = "WITH RECURSIVE near AS (SELECT a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 6.0), core AS (SELECT i FROM near GROUP BY i HAVING count(*) >= 5), links AS (SELECT i, j FROM near WHERE i IN (FROM core) AND j IN (FROM core)), reach AS (SELECT i, i AS j FROM core UNION SELECT r.i, l.j FROM reach r JOIN links l ON r.j = l.i), least AS (SELECT i, min(j) AS g FROM reach GROUP BY i), number AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS label FROM (SELECT DISTINCT g FROM least)), labelled AS (SELECT i, label FROM least JOIN number USING (g)), border AS (SELECT n.i, min(label) AS label FROM near n JOIN labelled l ON l.i = n.j WHERE n.i NOT IN (FROM core) GROUP BY n.i) SELECT vec_id AS key, coalesce(l.label, b.label, -1)::INT AS label FROM embeddings e LEFT JOIN labelled l ON l.i = vec_id LEFT JOIN border b ON b.i = vec_id"
 
 
 # --- segments ------------------------------------------------------------------------------

@@ -124,3 +124,51 @@ def test_components_are_least_nodes(spark):
     got = dict(map(tuple, tables.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 110)}, 300: 300, 301: 300}
     assert tables.components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("values", [64, 250_000])
+def test_fits_do_not_depend_on_partitions(spark, monkeypatch, values):
+    monkeypatch.setattr(blocks, "BLOCK_VALUES", values)
+    x = lumps(200, 2, seed=2, copies=0)
+    for name, params in (("kmeans", {"n_clusters": 4, "n_init": 2}), ("fuzzy_cmeans", {"n_clusters": 3, "max_iter": 10}), ("gmm", {"n_components": 3, "max_iter": 5})):
+        found = [cluster.make(name, **params).fit(frame(spark, x, parts)) for parts in (1, 5)]
+        a, b = ([r["label"] for r in f.labels.orderBy("key").collect()] for f in found)
+        assert a == b
+
+
+def test_many_models_in_shared_passes_equal_single_fits(spark):
+    x = lumps(150, 2, seed=4, copies=0.1)
+    df = frame(spark, x)
+    made = [cluster.make("kmeans", n_clusters=3, n_init=2), cluster.make("fuzzy_cmeans", n_clusters=4, max_iter=8), cluster.make("kmeans", n_clusters=2, init="random", n_init=3)]
+    rows, infos = cluster.fit_many(df, made)
+    together = {r["key"]: list(r["labels"]) for r in rows.collect()}
+    for t, m in enumerate(made):
+        alone = m.fit(df)
+        assert {r["key"]: r["label"] for r in alone.labels.collect()} == {k: v[t] for k, v in together.items()}
+        assert infos[t]["n_iter"] == alone.info["n_iter"]
+    labels = rows.select("key", "labels", "x").cache()
+    for t, (found, k) in enumerate(zip(metrics.quality_by_model(labels, [3, 4, 2]), (3, 4, 2))):
+        one = metrics.internal_metrics(labels.select("key", F.col("labels")[t].alias("label"), "x")).first()
+        assert tuple(one) == pytest.approx(found)
+
+
+def test_passes_of_a_sweep_do_not_grow_with_its_models(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_VALUES", 64)
+    asked = []
+    plain = cluster.answered
+    monkeypatch.setattr(cluster, "answered", lambda p, r: (asked.append(len(r)), plain(p, r))[1])
+    df = frame(spark, lumps(120, 2, seed=6, copies=0))
+    cluster.fit_many(df, [cluster.make("kmeans", n_clusters=k, n_init=2, max_iter=6) for k in range(2, 6)])
+    assert len(asked) <= 1 + 1 + 1 + 2 * cluster.ROUNDS + 1 + 6 and max(asked) >= 8
+
+
+def test_noise_of_a_model_follows_from_keys(spark):
+    df = frame(spark, lumps(90, 2, seed=8, copies=0))
+    shift = cluster.noise(df, 0.5, 7)
+    assert cluster.noise(df, 0, 7) is None
+    rows = cluster.hashed(df).orderBy("key").collect()
+    x, h = np.array([r["x"] for r in rows]), np.array([r["h"] for r in rows]).view(np.uint64)
+    moved = shift(x, h)
+    assert np.allclose(moved[::-1], shift(x[::-1], h[::-1]))
+    z = (moved - x) / (0.5 * x.std(0))
+    assert abs(z.mean()) < 0.3 and 0.8 < z.std() < 1.2

@@ -179,8 +179,7 @@ def test_algorithms_find_blobs(blobs, name, params):
         assert all(sum(r["membership"]) == pytest.approx(1) for r in labels.collect())
 
 
-def test_kmeans_starts_compete_on_all_points(blobs, monkeypatch):
-    monkeypatch.setattr(cluster, "START_SAMPLE", 12)
+def test_kmeans_starts_compete_on_all_points(blobs):
     x = np.array([r["x"] for r in blobs.orderBy("key").collect()])
     one, ten = (cluster.make("kmeans", n_clusters=5, init="random", n_init=n).fit(blobs.select("key", "x")) for n in (1, 10))
     centers = np.array(ten.info["centers"])
