@@ -50,7 +50,8 @@ STOP_WORDS = frozenset(
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math".split())
-LEFT_OUT = frozenset("head nav footer aside form button select datalist object canvas video audio dialog menu fieldset".split())
+LEFT_OUT = frozenset("head nav footer aside button select datalist object canvas video audio dialog menu".split())
+FORMS = frozenset("form fieldset".split())
 # Words of class, id and role that name what is not the article.
 NOT_TEXT = frozenset(
     """ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos
@@ -61,6 +62,17 @@ NOT_TEXT = frozenset(
 )
 NOT_TEXT_UNLESS = frozenset("header masthead footer foot nav menu menus side aside top topbar links toc form".split())
 TEXT = frozenset("article post entry content story main text body".split())
+# Words that may stand beside those in a name that still names what is not the article.
+BESIDE = frozenset(
+    """post posts entry entries article articles page site blog news story stories reader readers user users box boxes list
+    lists bar bars block blocks section sections container wrapper wrap area areas form forms button buttons link links
+    item items icon icons tool tools inner outer title heading content contents main body unit units slot slots top bottom
+    left right center middle small large mobile desktop js the this us our your for and by more most also see latest
+    popular thread threads count counts number panel region group row col column grid card cards text info message
+    messages header footer nav menu follow media free offer offers teaser teasers print email""".split()
+)
+# Words that name readers' comments alone.
+COMMENTS = frozenset("comments commentlist disqus replies respond".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
@@ -79,21 +91,41 @@ class Block:
     label: str = field(default="")
 
 
-def is_left_out(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is no part of an article, by its name and attributes."""
-    if name in LEFT_OUT or (name == "header" and not inside):
+def is_left_out(name: str, attributes: str, inside: bool, prose: bool = False) -> bool:
+    """Whether an element is no part of an article, by its name and attributes. prose: it holds
+    a long block of plain text; then a name that says more than what is left out (such as
+    share-policy) doesn't count within an article, nor does a form."""
+    if name in LEFT_OUT or (name == "header" and not inside) or (name in FORMS and not prose):
         return True
     if not attributes or name in ("html", "body", "main", "article"):
         return False
     if _HIDDEN.search(attributes):
         return True
+    return named_out(attributes, inside and prose)
+
+
+def named_out(attributes: str, strictly: bool = False) -> bool:
+    """Whether class, id or role name what is not the article; strictly: by names that say
+    nothing else besides."""
     words: set[str] = set()
     for m in _NAMED.finditer(attributes):
-        value = re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "")
-        words.update(w.lower() for w in _WORD.findall(value))
+        for token in (m[2] or m[3] or m[4] or "").split():
+            own = {w.lower() for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token))}
+            known = NOT_TEXT | NOT_TEXT_UNLESS | BESIDE
+            if not strictly or own & COMMENTS or all(w in known or len(w) < 2 or w[0].isdigit() for w in own):
+                words |= own
     return bool(words & NOT_TEXT) or bool(words & NOT_TEXT_UNLESS and not words & TEXT)
 
 
+def comments_only(attributes: str) -> bool:
+    for m in _NAMED.finditer(attributes):
+        for token in (m[2] or m[3] or m[4] or "").split():
+            own = {w.lower() for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token))}
+            if own & COMMENTS and own <= COMMENTS | BESIDE:
+                return True
+    return False
+
+
 def tags(html: str) -> list[tuple[int, int, str, bool, bool, str]]:
     """(start, end, name, closing, alone, attributes) of the tags, outside raw elements; a raw
     element that ends, and a comment or the like, is one nameless tag."""
@@ -138,14 +170,53 @@ def _ends(found: list[tuple[int, int, str, bool, bool, str]]) -> tuple[dict[int,
     return ends, block, item, article
 
 
+def _prose(html: str, found: list[tuple[int, int, str, bool, bool, str]]) -> list[int]:
+    """Characters in plain paragraphs that end before each tag: what stands between two tags of
+    blocks and isn't short, without its links."""
+    n = len(found)
+    upto = [0] * (n + 1)
+    size = linked = links = pos = 0
+    for k in range(n + 1):
+        start, end, name, closing, _, _ = found[k] if k < n else (len(html), len(html), "p", True, False, "")
+        part = len(" ".join(html[pos:start].split()))
+        size += part
+        linked += part if links else 0
+        pos = end
+        gained = 0
+        if name and name not in INLINE and name != "br":
+            if size >= SHORT and linked <= LINKS * size:
+                gained = size - linked
+            size = linked = links = 0
+        elif name == "a":
+            links = max(0, links - 1) if closing else links + 1
+        upto[k] = (upto[k - 1] if k else 0) + gained
+    return upto
+
+
 def blocks(html: str) -> list[Block]:
     """The blocks of a page outside the elements that are left out, in page order. An element
-    to leave out that never ends goes on to the next article, or to the end of the page."""
+    to leave out that never ends goes on to the next article, or to the end of the page.
+
+    What the names of an element say doesn't leave out what frames the page: an element with
+    an article in it, or, where no article is marked, with half of all plain text and little of
+    it before; what names readers' comments alone never frames. A form is left out unless it
+    holds plain text or frames the page."""
     out: list[Block] = []
     held: list[str] = []
     linked = articles = links = 0
     found = tags(html)
     ends, block, item, article = _ends(found)
+    prose = _prose(html, found)
+    marks = [0]
+    for _, _, name, closing, _, attributes in found:
+        marks.append(marks[-1] + (name in ("article", "main") and not closing and not named_out(attributes)))
+
+    def frames(k: int) -> bool:
+        last = ends.get(k, len(found))
+        if marks[-1]:
+            return marks[last] > marks[k]
+        own = prose[last] - prose[k]
+        return 2 * own >= prose[-1] > 0 and 4 * prose[k] <= own and not comments_only(found[k][5])
 
     def close() -> None:
         nonlocal linked
@@ -176,7 +247,10 @@ def blocks(html: str) -> list[Block]:
         if name not in INLINE:
             close()
             links = 0
-        if not closing and not alone and is_left_out(name, attributes, articles > 0):
+        mine = k - 1
+        plain = not closing and not alone and prose[min(ends.get(mine, len(found)), len(found))] > prose[mine]
+        spared = name not in LEFT_OUT and name != "header" and not closing and not _HIDDEN.search(attributes) and not articles and frames(mine)
+        if not closing and not alone and not spared and is_left_out(name, attributes, articles > 0, plain):
             if name in ("p", "li"):  # their end tags may be missing
                 last = (block if name == "p" else item)[k]
                 own = last < n and found[last][2] == name and found[last][3]
@@ -201,8 +275,21 @@ def stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
+_SENTENCE = re.compile(r"[.!?…](?=\s|[\"'»”’)]|$)|[。！？।؟۔]")
+
+
+def reads_as_prose(text: str) -> bool:
+    """Whether a long block has sentences of letters, in whatever language: an end of one in
+    400 characters at least, and few digits and signs."""
+    letters = sum(c.isalpha() or c.isspace() or "\u0300" <= c <= "\u0dff" for c in text)
+    return letters >= 0.85 * len(text) and 400 * len(_SENTENCE.findall(text)) >= len(text)
+
+
 def label_blocks(found: list[Block]) -> list[Block]:
-    """Both passes: sets every label to text or not."""
+    """Both passes: sets every label to text or not. Where no article is marked, a long block
+    without enough of the stop words known here, but of sentences, is text by its length and
+    link density; and where that makes less than half of the plain blocks text, all of them are
+    but short ones."""
     marked = any(b.inside for b in found)
     for b in found:
         n = len(b.text)
@@ -216,8 +303,15 @@ def label_blocks(found: list[Block]) -> list[Block]:
             b.label = "text" if n >= LONG and share >= STOP_MIDDLE else "not"
         elif share >= (STOP_LONG if n >= LONG else STOP_MIDDLE) - (MARKED if b.inside else 0):
             b.label = "text"
+        elif not b.inside and n >= (LONG if share else SHORT) and share < STOP_MIDDLE / 2 and reads_as_prose(b.text):
+            b.label = "text"
         else:
-            b.label = "ambiguous" if b.inside or n >= LONG or share > 0 else "not"
+            b.label = "ambiguous"
+    plain = [b for b in found if b.linked <= LINKS * len(b.text) and "©" not in b.text]
+    size = sum(len(b.text) for b in plain if len(b.text) >= SHORT)
+    if not marked and 2 * sum(len(b.text) for b in found if b.label == "text") < size:  # the words say little here
+        for b in plain:
+            b.label = "text" if len(b.text) >= SHORT else "ambiguous"
     decided = [k for k, b in enumerate(found) if b.label != "ambiguous"]
     fallback = "text" if marked or not any(b.label == "text" for b in found) else "not"
     before: list[int] = []
