@@ -177,6 +177,30 @@ def silhouette(points: DataFrame, key: str = "key", label: str = "label", x: str
     return silhouette_samples(points, key, label, x, metric).agg(F.avg("silhouette").alias("silhouette"))
 
 
+# Statuses of a metric, and why there is none.
+VALID, NOT_APPLICABLE, COMPUTATION_ERROR, ALL_NOISE, SINGLE_CLUSTER = "VALID_VALUE", "NOT_APPLICABLE", "COMPUTATION_ERROR", "ALL_NOISE", "SINGLE_CLUSTER"
+
+
+def metrics_with_status(points: DataFrame, key: str = "key", label: str = "label", x: str = "x") -> DataFrame:
+    """(metric, value, status, reason) of silhouette, davies_bouldin, calinski_harabasz, wcss.
+
+    Noise is left out. Without any cluster no metric applies (ALL_NOISE); with one there is a
+    wcss alone (SINGLE_CLUSTER); a metric that can't be computed of two or more, as of points
+    that are clusters of their own, is a COMPUTATION_ERROR with what is wrong."""
+    one = internal_metrics(points, label, x).first()
+    known = one.asDict() | {"silhouette": silhouette(points, key, label, x).first()[0] if (one["k"] or 0) > 1 else None}
+    n, k = one["n"], one["k"]
+    rows = []
+    for name in ("silhouette", "davies_bouldin", "calinski_harabasz", "wcss"):
+        if k == 0 or (k == 1 and name != "wcss"):
+            rows.append((name, None, NOT_APPLICABLE, ALL_NOISE if k == 0 else SINGLE_CLUSTER))
+        elif name != "wcss" and k >= n:
+            rows.append((name, None, COMPUTATION_ERROR, f"{k} clusters of {n} points"))
+        else:
+            rows.append((name, float(known[name]), VALID, None))
+    return points.sparkSession.createDataFrame(rows, "metric string, value double, status string, reason string")
+
+
 def contingency(a: DataFrame, b: DataFrame, key: str = "key", label: str = "label") -> DataFrame:
     """(a, b, n): how many keys have each pair of labels."""
     left, right = a.select(key, F.col(label).alias("a")), b.select(key, F.col(label).alias("b"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +33,22 @@ def save(df: DataFrame, root: str, kind: str, name: str, parents: Mapping[str, s
     The table is written by Spark's commit protocol and the manifest after it, so a table
     with a manifest is whole."""
     spark = df.sparkSession
-    made = content_id(kind, content=table_digest(df), parents=dict(parents or {}), config=dict(config or {}))
-    if manifests(spark, root).where(F.col("id") == made).isEmpty():
-        df.write.mode("overwrite").parquet(f"{root}/tables/{made}")
-        row = (made, kind, name, json.dumps(dict(parents or {}), sort_keys=True), json.dumps(dict(config or {}), sort_keys=True, default=str), df.count())
-        spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{root}/manifests")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    draft = jvm.org.apache.hadoop.fs.Path(f"{root}/tables/draft-{uuid.uuid4().hex}")
+    fs = draft.getFileSystem(conf)
+    df.write.parquet(draft.toString())  # computed once: the digest and the count are those of what was written
+    whole = spark.read.schema(df.schema).parquet(draft.toString())
+    made = content_id(kind, content=table_digest(whole), parents=dict(parents or {}), config=dict(config or {}))
+    if not manifests(spark, root).where(F.col("id") == made).isEmpty():
+        fs.delete(draft, True)
+        return made
+    n = whole.count()
+    target = jvm.org.apache.hadoop.fs.Path(f"{root}/tables/{made}")
+    fs.delete(target, True)  # what a lost writer left
+    if not fs.rename(draft, target):
+        raise OSError(f"{draft} can't become {target}")
+    row = (made, kind, name, json.dumps(dict(parents or {}), sort_keys=True), json.dumps(dict(config or {}), sort_keys=True, default=str), n)
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{root}/manifests")
     return made
 
 
@@ -55,10 +67,59 @@ def manifests(spark: SparkSession, root: str, kind: str | None = None, part_of_n
     return out.where(F.lower("name").contains(part_of_name.lower())) if part_of_name else out
 
 
-def load(spark: SparkSession, root: str, made: str) -> DataFrame:
-    if manifests(spark, root).where(F.col("id") == made).isEmpty():
+def load(spark: SparkSession, root: str, made: str, verify: bool = False) -> DataFrame:
+    """A table by its id. verify: its rows are read and must give the id again, with the
+    parents and the configuration of its manifest; else it is a ValueError."""
+    found = manifests(spark, root).where(F.col("id") == made).first()
+    if found is None:
         raise KeyError(f"no table {made}")
-    return spark.read.parquet(f"{root}/tables/{made}")
+    df = spark.read.parquet(f"{root}/tables/{made}")
+    if verify:
+        again = content_id(found["kind"], content=table_digest(df), parents=json.loads(found["parents"]), config=json.loads(found["config"]))
+        if again != made:
+            raise ValueError(f"the rows of {made} have changed: they make {again}")
+    return df
+
+
+def key_paths(df: DataFrame, keep: Sequence[str], document: str, depth: int = 8) -> DataFrame:
+    """keep, path and value of every leaf of a column of JSON objects, keys joined by dots.
+
+    Arrays are leaves, and so is what lies deeper than `depth` objects; JSON null has the value
+    'null'. Rows without a JSON object are left out."""
+    nested = lambda c: F.col(c).startswith("{")
+    rows = df.where(F.try_parse_json(document).isNotNull()).select(*keep, F.lit("").alias("path"), F.trim(F.col(document)).alias("value")).where(nested("value"))
+    for level in range(depth):
+        inner = F.map_entries(F.from_json("value", "map<string,string>"))
+        here = F.array(F.struct(F.lit("").alias("key"), F.col("value").alias("value")))
+        rows = rows.select(*keep, "path", F.explode(F.when(nested("value"), inner).otherwise(here) if level else inner).alias("e"))
+        name = F.when(F.col("path") == "", F.col("e.key")).when(F.col("e.key") == "", F.col("path")).otherwise(F.concat_ws(".", "path", "e.key"))
+        rows = rows.select(*keep, name.alias("path"), F.coalesce("e.value", F.lit("null")).alias("value"))
+    return rows
+
+
+def provenance_differences(df: DataFrame, group: str, document: str) -> DataFrame:
+    """(group, path, members, recorded, n_values): the fields of manifests in which the members
+    of a compatible group differ, a missing field being a value of its own.
+
+    df: rows of a group and a JSON document. Groups of one have nothing to compare. Values are
+    counted before their groups are, so a group of any size is spread over tasks."""
+    whole = df.where(F.try_parse_json(document).isNotNull())
+    members = whole.groupBy(group).agg(F.count(F.lit(1)).alias("members"))
+    values = key_paths(whole, [group], document).groupBy(group, "path", "value").agg(F.count(F.lit(1)).alias("n"))
+    paths = values.groupBy(group, "path").agg(F.sum("n").alias("recorded"), F.count(F.lit(1)).alias("n_values"))
+    joined = paths.alias("p").join(members.alias("m"), F.col(f"p.{group}").eqNullSafe(F.col(f"m.{group}")))
+    n_values = F.col("n_values") + (F.col("recorded") < F.col("members")).cast("int")
+    out = joined.select(F.col(f"p.{group}").alias(group), "path", "members", "recorded", n_values.alias("n_values"))
+    return out.where((F.col("members") > 1) & (F.col("n_values") > 1))
+
+
+def incompatible(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(key, field, stored_value, compared_value): where a manifest's fields differ from those
+    of the first one in order of key."""
+    first = F.broadcast(df.orderBy(key).limit(1).select(F.col(key).alias("_key"), *(F.col(f).alias(f"_{f}") for f in fields)))  # one row
+    cells = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("stored_value"), F.col(f"_{f}").cast("string").alias("compared_value")) for f in fields)))
+    rows = df.join(first, F.lit(True)).where(~F.col(key).eqNullSafe(F.col("_key"))).select(key, cells.alias("r")).select(key, "r.*")
+    return rows.where(~F.col("stored_value").eqNullSafe(F.col("compared_value")))
 
 
 def comparable(spark: SparkSession, root: str, kind: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import cleaning, cluster, experiments, features, metrics, prep, profile, segments, validate
+from ..operators import cleaning, cluster, experiments, features, metrics, prep, profile, segments, store, validate
 from ..sources import retail
 from ..streaming import feeds
 from . import pipeline
@@ -547,6 +547,30 @@ def metrics_by_model(spark, d):
     return rows.join(metrics.silhouettes_by_model(p).groupBy("model").agg(F.avg("silhouette").alias("silhouette")), "model")
 
 
+_STATUS = ", cases AS (SELECT 'labels' AS case_, count(DISTINCT label) AS k FROM embeddings UNION ALL SELECT 'one', count(DISTINCT label * 0) FROM embeddings UNION ALL SELECT 'noise', count(*) FILTER (WHERE vec_id IS NULL) FROM embeddings), val AS (SELECT 'silhouette' AS metric, silhouette AS value FROM ms WHERE model = 0 UNION ALL SELECT 'davies_bouldin', db FROM db WHERE model = 0 UNION ALL SELECT 'calinski_harabasz', b / (k - 1) / (wcss / (t.n - k)) FROM t JOIN b USING (model) WHERE model = 0 UNION ALL SELECT 'wcss', wcss FROM t WHERE model = 0), one AS (SELECT sum((u - g) ** 2) AS w FROM (SELECT unnest(x) AS u, generate_subscripts(x, 1) AS d FROM v) JOIN (SELECT d, g FROM g WHERE model = 0) USING (d))"
+
+
+@query(_MODELS + _STATUS + " SELECT case_, metric, round(CASE WHEN k > 1 THEN value WHEN k = 1 AND metric = 'wcss' THEN w END, 3) AS value, CASE WHEN k > 1 OR (k = 1 AND metric = 'wcss') THEN 'VALID_VALUE' ELSE 'NOT_APPLICABLE' END AS status, CASE WHEN k = 0 THEN 'ALL_NOISE' WHEN k = 1 AND metric <> 'wcss' THEN 'SINGLE_CLUSTER' END AS reason FROM cases, val, one", 3)
+def metric_status(spark, d):
+    p = _points(spark, d)
+    cases = {"labels": p, "one": p.withColumn("label", F.col("label") * 0), "noise": p.withColumn("label", F.lit(-1))}
+    out = None
+    for name, rows in cases.items():
+        found = metrics.metrics_with_status(rows).select(F.lit(name).alias("case_"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("WITH v AS (SELECT kind, props FROM clicks WHERE json_valid(props)), t AS (SELECT kind, substr(fullkey, 3) AS path, coalesce(j.value ->> '$', 'null') AS value FROM v, json_tree(v.props) j WHERE j.type <> 'OBJECT' AND fullkey NOT LIKE '%[%'), p AS (SELECT kind, path, count(*) AS recorded, count(DISTINCT value) AS n FROM t GROUP BY ALL), m AS (SELECT kind, count(*) AS members FROM v GROUP BY ALL) SELECT p.kind, replace(path, '\"', '') AS path, members, recorded, n + (recorded < members)::INT AS n_values FROM p JOIN m ON p.kind IS NOT DISTINCT FROM m.kind WHERE members > 1 AND n + (recorded < members)::INT > 1")
+def provenance_differences(spark, d):
+    return store.provenance_differences(retail.table(spark, d, "clicks").select("kind", "props"), "kind", "props")
+
+
+@query("WITH f AS (SELECT * FROM items ORDER BY item_id LIMIT 1), c AS (SELECT i.item_id, unnest([{'field': 'brand', 's': i.brand, 'c': f.brand}, {'field': 'kind', 's': i.kind, 'c': f.kind}, {'field': 'size', 's': i.size::VARCHAR, 'c': f.size::VARCHAR}]) AS r FROM items i, f WHERE i.item_id IS DISTINCT FROM f.item_id) SELECT item_id, r.field AS field, r.s AS stored_value, r.c AS compared_value FROM c WHERE r.s IS DISTINCT FROM r.c")
+def incompatible_fields(spark, d):
+    return store.incompatible(retail.table(spark, d, "items"), "item_id", ["brand", "kind", "size"])
+
+
 @query()
 def cluster_sweep(spark, d):
     """Metrics of three algorithms for 2 to 6 clusters, fitted in shared passes."""

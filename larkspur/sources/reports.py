@@ -16,34 +16,56 @@ from pyspark.sql import functions as F
 
 from ..operators.evidence import metric_value, size_facts
 
-# Names of the common columns, reasons and defaults.
-NUMBERS = ("n_clusters", "n_clusters_realized", "cluster_size_largest", "cluster_size_smallest", "noise_count", "random_seed", "repeat_index", "n_repeats_total", "perturbation_seed")
-DOUBLES = ("noise_ratio", "silhouette", "davies_bouldin", "calinski_harabasz", "wcss", "execution_time_seconds", "sigma")
-TEXTS = ("algorithm", "dataset_version", "feature_set", "transformation", "scaling", "imputation", "hyperparameters", "labels_hash")
+# The published columns in their order, and what isn't text among them.
+SCHEMA = (
+    ("source_experiment", "string"), ("experiment_id", "string"), ("source_block", "string"), ("source_run_id", "string"), ("record_granularity", "string"),
+    ("repeat_index", "long"), ("n_repeats_total", "long"),
+    ("algorithm", "string"), ("dataset_version", "string"), ("feature_set", "string"), ("transformation", "string"), ("scaling", "string"), ("imputation", "string"),
+    ("n_clusters", "long"), ("hyperparameters", "string"), ("random_seed", "long"),
+    ("silhouette", "double"), ("davies_bouldin", "double"), ("calinski_harabasz", "double"), ("wcss", "double"), ("execution_time_seconds", "double"),
+    ("n_clusters_realized", "long"), ("cluster_size_largest", "long"), ("cluster_size_smallest", "long"), ("noise_count", "long"), ("noise_ratio", "double"),
+    ("silhouette_status", "string"), ("davies_bouldin_status", "string"), ("calinski_harabasz_status", "string"), ("wcss_status", "string"),
+    ("algorithm_missing_reason", "string"), ("dataset_version_missing_reason", "string"), ("feature_set_missing_reason", "string"),
+    ("transformation_missing_reason", "string"), ("scaling_missing_reason", "string"), ("imputation_missing_reason", "string"),
+    ("n_clusters_missing_reason", "string"), ("hyperparameters_missing_reason", "string"), ("random_seed_missing_reason", "string"),
+    ("silhouette_missing_reason", "string"), ("davies_bouldin_missing_reason", "string"), ("calinski_harabasz_missing_reason", "string"),
+    ("wcss_missing_reason", "string"), ("execution_time_seconds_missing_reason", "string"), ("n_clusters_realized_missing_reason", "string"),
+    ("cluster_size_largest_missing_reason", "string"), ("cluster_size_smallest_missing_reason", "string"), ("noise_count_missing_reason", "string"),
+    ("noise_ratio_missing_reason", "string"), ("repeat_index_missing_reason", "string"), ("n_repeats_total_missing_reason", "string"),
+    ("sigma_missing_reason", "string"), ("perturbation_seed_missing_reason", "string"),
+    ("run_status", "string"), ("failure_reason", "string"), ("labels_hash", "string"), ("feature_set_sha256", "string"), ("customer_metadata_sha256", "string"),
+    ("config_sha256", "string"), ("input_sha256", "string"), ("sigma", "double"), ("perturbation_seed", "long"),
+    ("library_versions", "string"), ("platform", "string"), ("timestamp", "string"), ("source_artifact", "string"),
+    ("decision_status", "string"), ("evidence_note", "string"),
+)
 STATUSES = ("silhouette_status", "davies_bouldin_status", "calinski_harabasz_status", "wcss_status")
-LABELS = ("source_experiment", "experiment_id", "source_run_id", "source_block", "record_granularity", "run_status", "failure_reason", "decision_status", "evidence_note", "source_artifact")
-REASONED = (*TEXTS, *NUMBERS, *DOUBLES)
-COLUMNS = (*LABELS, *REASONED, *STATUSES)
+REASON = "_missing_reason"
 DIFFERENT, ABSENT, NOT_APPLICABLE, NOT_RECORDED = "DIFFERENT_CONDITIONS", "FIELD_NOT_IN_SOURCE", "NOT_APPLICABLE", "NOT_RECORDED"
 DATASET, FEATURE_SET, SEED = "FE06-v1.0", "rfm_extended", 42
 PARAMETERS = ("init", "max_iter", "n_clusters", "n_init", "random_state", "tol", "compute_distances", "linkage", "metric", "eps", "min_samples", "covariance_type", "init_params", "n_components", "reg_covar", "error", "m")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def manifest(spark: SparkSession, path: str) -> dict:
-    """A manifest's JSON; empty if the file is absent or holds something else. One small file."""
+    """A manifest's JSON; empty if there is no such file, or no JSON object in it. A file that
+    is there but can't be read is an error. One small file."""
+    if not exists(spark, path):
+        return {}
+    rows = spark.read.text(path, wholetext=True).collect()
     try:
-        rows = spark.read.text(path, wholetext=True).collect()
         found = json.loads(rows[0][0]) if rows else {}
-    except Exception:  # noqa: BLE001 - an absent file and a broken one are both no manifest
+    except ValueError:
         return {}
     return found if isinstance(found, dict) else {}
 
 
 def results_file(spark: SparkSession, path: str) -> DataFrame | None:
     """A CSV file with a header, all text, blank and nan as NULL; None without the file."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, path):
         return None
     df = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     clean = {c: F.when(~F.lower(F.trim(F.col(f"`{c}`"))).isin("", "nan"), F.col(f"`{c}`")) for c in df.columns}
@@ -74,12 +96,32 @@ class Made:
     reasons: dict[str, str] = field(default_factory=dict)
 
 
-def standard(df: DataFrame, experiment: str, path: str, made: Made) -> DataFrame:
-    """The rows with an algorithm, in the common columns."""
-    kinds = dict.fromkeys(NUMBERS, "long") | dict.fromkeys(DOUBLES, "double")
-    values = {"source_experiment": F.lit(experiment), "source_artifact": F.lit(path), **made.values}
-    rows = df.where(values["algorithm"].isNotNull()).select(*(values.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS))
-    return rows.withColumns({f"{c}_missing_reason": F.when(F.col(c).isNull(), made.reasons.get(c, NOT_APPLICABLE)).otherwise("") for c in REASONED})
+def standard(df: DataFrame, experiment: str, path: str, made: Made, info: Mapping | None = None) -> DataFrame:
+    """The rows with an algorithm, in the published columns; info: the experiment's manifest,
+    whose hashes, versions and time stand where the file has none. source_artifact is the
+    file's path from the folder of all reports on."""
+    values = {"source_experiment": F.lit(experiment), "source_artifact": F.lit("/".join(path.split("/")[-2:])), **_provenance(info or {}), **made.values}
+
+    def column(name: str, kind: str) -> Column:
+        if not name.endswith(REASON):
+            return values.get(name, F.lit(None)).cast(kind)
+        of = name.removesuffix(REASON)
+        known = values.get(of, F.lit(None)).cast(dict(SCHEMA)[of])
+        return F.when(known.isNull(), made.reasons.get(of, NOT_APPLICABLE)).otherwise("")
+
+    return df.where(values["algorithm"].isNotNull()).select(*(column(n, k).alias(n) for n, k in SCHEMA))
+
+
+def _provenance(info: Mapping) -> dict[str, Column]:
+    def text(*names: str) -> Column:
+        found = next((info[n] for n in names if info.get(n)), None)
+        return F.lit(found if found is None or isinstance(found, str) else json.dumps(found, sort_keys=True, ensure_ascii=False)).cast("string")
+
+    return {
+        "feature_set_sha256": text("feature_set_sha256", "input_sha256"), "customer_metadata_sha256": text("customer_metadata_sha256"), "config_sha256": text("config_sha256"),
+        "input_sha256": text("input_sha256"), "library_versions": text("library_versions"), "platform": text("platform_info", "platform"),
+        "timestamp": text("timestamp", "generated_at", "started_at", "completed_at"),
+    }
 
 
 def _metrics(f: Fields, runtime: str) -> Made:
@@ -121,7 +163,7 @@ def _baseline(spark: SparkSession, folder: str) -> DataFrame | None:
         "random_seed": F.coalesce(f.whole("random_seed"), F.lit(config.get("baseline_seed")).cast("long")),
         "hyperparameters": _lookup(info.get("algorithms") or [], "algorithm", f.text("algorithm")),
     }
-    return standard(df, "EXP-01", path, m)
+    return standard(df, "EXP-01", path, m, info)
 
 
 def _numbers_of_clusters(spark: SparkSession, folder: str) -> DataFrame | None:
@@ -146,7 +188,7 @@ def _numbers_of_clusters(spark: SparkSession, folder: str) -> DataFrame | None:
         "hyperparameters": F.coalesce(with_k, joined, by_k),
     }
     m.reasons |= {"noise_count": NOT_RECORDED, "noise_ratio": NOT_RECORDED}
-    return standard(df, "EXP-02", path, m)
+    return standard(df, "EXP-02", path, m, info)
 
 
 def _parameters(spark: SparkSession, folder: str) -> DataFrame | None:
@@ -155,7 +197,8 @@ def _parameters(spark: SparkSession, folder: str) -> DataFrame | None:
     df = results_file(spark, path)
     if df is None:
         return None
-    config = manifest(spark, f"{folder}/exp03_manifest.json").get("config") or {}
+    info = manifest(spark, f"{folder}/exp03_manifest.json")
+    config = info.get("config") or {}
     f, m = Fields(df), _metrics(Fields(df), "runtime_mean_seconds")
     swept = f.text("sweep_parameter").isNotNull()
     settings = [f.text(f"hp_{p}").alias(p) for p in PARAMETERS] + [f.text("sweep_parameter").alias("_sweep_parameter"), F.when(swept, f.text("sweep_value")).alias("_sweep_value"), F.when(swept, f.text("stage")).alias("_stage")]
@@ -164,7 +207,7 @@ def _parameters(spark: SparkSession, folder: str) -> DataFrame | None:
         "n_clusters_realized": f.whole("n_clusters"), "noise_count": F.lit(0), "noise_ratio": F.lit(0.0), "n_repeats_total": F.lit(config.get("runtime_repeat")),
         "random_seed": F.coalesce(f.whole("hp_random_state"), F.lit(SEED)), "hyperparameters": F.nullif(F.to_json(F.struct(*settings)), F.lit("{}")),
     }
-    return standard(df, "EXP-03", path, m)
+    return standard(df, "EXP-03", path, m, info)
 
 
 def _scenarios(spark: SparkSession, folder: str) -> DataFrame | None:
@@ -173,6 +216,7 @@ def _scenarios(spark: SparkSession, folder: str) -> DataFrame | None:
     df = results_file(spark, path)
     if df is None:
         return None
+    info = manifest(spark, f"{folder}/exp04_manifest.json")
     f, m = Fields(df), _metrics(Fields(df), "runtime_seconds")
     repeat = F.coalesce(f.whole("repeat_index"), F.lit(0))
     name = F.concat(f.text("scenario_id"), F.lit("-r"), F.lpad(repeat.cast("string"), 2, "0"))
@@ -185,7 +229,7 @@ def _scenarios(spark: SparkSession, folder: str) -> DataFrame | None:
         "decision_status": F.coalesce(f.text("decision_status"), F.lit("CANDIDATE_SCENARIO")), "evidence_note": F.coalesce(f.text("evidence_note"), F.lit("")),
     }
     m.reasons |= dict.fromkeys(("transformation", "scaling", "imputation", "n_clusters", "n_clusters_realized", "labels_hash"), NOT_RECORDED)
-    return standard(df, "EXP-04", path, m)
+    return standard(df, "EXP-04", path, m, info)
 
 
 # Files of the blocks of repeats, seeds and noise.
@@ -204,6 +248,8 @@ def stability_block(spark: SparkSession, path: str, block: str) -> DataFrame | N
         "n_repeats_total": F.coalesce(F.nullif(f.whole("n_repeat"), F.lit(0)), F.lit(5 if block == "R" else 1)), "dataset_version": F.coalesce(f.text("feature_set"), F.lit(DATASET)),
         "n_clusters": f.whole("n_clusters_realized"), "n_clusters_realized": sizes["k"], "cluster_size_largest": sizes["largest"], "cluster_size_smallest": sizes["smallest"],
         "noise_count": F.coalesce(f.whole("noise_count"), sizes["noise"].cast("long")), "noise_ratio": f.real("noise_ratio"), "random_seed": f.whole("seed"), "hyperparameters": F.nullif(f.text("hyperparameters"), F.lit("{}")),
+        "feature_set_sha256": f.text("feature_set_sha256"), "customer_metadata_sha256": f.text("customer_metadata_sha256"), "config_sha256": f.text("config_sha256"),
+        "input_sha256": f.text("feature_set_sha256"), "library_versions": f.text("library_versions"), "platform": f.text("platform_info"),
         "labels_hash": f.text("labels_hash"), "sigma": f.real("sigma"), "perturbation_seed": f.whole("perturbation_seed"), "failure_reason": F.coalesce(f.text("failure_reason"), F.lit("")),
         "decision_status": F.coalesce(f.text("decision_status"), F.lit("SUCCESS")), "evidence_note": F.coalesce(f.text("evidence_note"), F.lit("")),
     }
@@ -232,9 +278,7 @@ def collect(spark: SparkSession, folder: str, kind: str) -> DataFrame:
 
 
 def empty(spark: SparkSession) -> DataFrame:
-    kinds = dict.fromkeys(NUMBERS, "bigint") | dict.fromkeys(DOUBLES, "double")
-    columns = [f"{c} {kinds.get(c, 'string')}" for c in COLUMNS] + [f"{c}_missing_reason string" for c in REASONED]
-    return spark.createDataFrame([], ", ".join(columns))
+    return spark.createDataFrame([], ", ".join(f"{n} {k}" for n, k in SCHEMA))
 
 
 def build_repository(spark: SparkSession, reports: str) -> DataFrame:

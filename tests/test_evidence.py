@@ -163,3 +163,71 @@ def test_store_recovers_orphans(spark, tmp_path):
     assert [r["id"] for r in store.runs(spark, root, "ds_1").collect()] == [made] and store.runs(spark, root, "other").count() == 0
     (path,) = store.write_reports({"a": df}, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(path).count() == 5
+
+
+def test_repository_has_the_published_columns_and_provenance(spark, tmp_path):
+    top = tmp_path / "reports"
+    (top / "exp01").mkdir(parents=True)
+    (top / "exp05").mkdir()
+    (top / "exp01/exp01_baseline_summary.csv").write_text("algorithm,n_clusters\nkmeans,4\n")
+    info = {"input_sha256": "in", "config_sha256": "cf", "customer_metadata_sha256": "cm", "library_versions": {"numpy": "2", "a": 1}, "platform_info": {"os": "x"}, "generated_at": "2024-01-01"}
+    (top / "exp01/exp01_baseline_manifest.json").write_text(json.dumps(info))
+    (top / "exp05/exp05_reproducibility_results.csv").write_text("run_id,algorithm,feature_set_sha256,config_sha256,platform_info\nr1,kmeans,fs,c5,linux\n")
+    found = reports.build_repository(spark, str(top))
+    assert found.columns == [n for n, _ in reports.SCHEMA] and len(found.columns) == 68
+    rows = {r["experiment_id"]: r for r in found.collect()}
+    one = rows["EXP-01-kmeans"]
+    assert [one[c] for c in ("feature_set_sha256", "customer_metadata_sha256", "config_sha256", "input_sha256", "library_versions", "platform", "timestamp", "source_artifact")] == [
+        "in", "cm", "cf", "in", '{"a": 1, "numpy": "2"}', '{"os": "x"}', "2024-01-01", "exp01/exp01_baseline_summary.csv",
+    ]
+    five = rows["r1"]
+    assert (five["feature_set_sha256"], five["input_sha256"], five["config_sha256"], five["platform"], five["timestamp"]) == ("fs", "fs", "c5", "linux", None)
+    assert reports.empty(spark).columns == found.columns
+
+
+def test_verified_load(spark, tmp_path):
+    root = str(tmp_path / "store")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    made = store.save(df, root, "dataset", "two", parents={"dataset": "ds_1"}, config={"x": 1})
+    assert store.save(df, root, "dataset", "two", parents={"dataset": "ds_1"}, config={"x": 1}) == made
+    assert store.load(spark, root, made, verify=True).count() == 2 and store.orphans(spark, root) == []
+    spark.createDataFrame([(3, "c")], "k long, v string").write.mode("append").parquet(f"{root}/tables/{made}")
+    assert store.load(spark, root, made).count() == 3
+    with pytest.raises(ValueError, match="changed"):
+        store.load(spark, root, made, verify=True)
+
+
+def test_fields_in_which_manifests_differ(spark):
+    documents = [("a", '{"x": 1, "y": {"z": "u", "e": {}}, "l": [1, {"q": 2}]}'), ("a", '{"x": 1, "y": {"z": "v"}, "l": [1, {"q": 2}], "n": null}'), ("b", '{"x": 1}'), ("a", "broken {"), (None, '{"x": 1}'), (None, '{"x": 2}'), ("a", None)]
+    df = spark.createDataFrame(documents, "g string, doc string")
+    leaves = {(r["path"], r["value"]) for r in store.key_paths(df.limit(1), ["g"], "doc").collect()}
+    assert leaves == {("x", "1"), ("y.z", "u"), ("l", '[1,{"q":2}]')}
+    got = {(r["g"], r["path"]): (r["members"], r["recorded"], r["n_values"]) for r in store.provenance_differences(df, "g", "doc").collect()}
+    assert got == {("a", "y.z"): (2, 2, 2), ("a", "n"): (2, 1, 2), (None, "x"): (2, 2, 2)}
+    rows = spark.createDataFrame([(1, "p", 1), (2, "p", None), (3, "q", 1)], "id long, s string, v int")
+    assert {tuple(r) for r in store.incompatible(rows, "id", ["s", "v"]).collect()} == {(2, "v", None, "1"), (3, "s", "q", "p")}
+
+
+def test_a_metric_has_a_status_and_a_reason(spark):
+    from larkspur.operators import metrics
+
+    def of(labels):
+        rows = [(k, c, [float(k), float(k * k)]) for k, c in enumerate(labels)]
+        return {r["metric"]: (r["status"], r["reason"], r["value"] is not None) for r in metrics.metrics_with_status(spark.createDataFrame(rows, "key long, label int, x array<double>")).collect()}
+
+    assert set(of([-1, -1, -1]).values()) == {("NOT_APPLICABLE", "ALL_NOISE", False)}
+    one = of([0, 0, -1])
+    assert one["wcss"] == ("VALID_VALUE", None, True) and one["silhouette"] == ("NOT_APPLICABLE", "SINGLE_CLUSTER", False)
+    assert set(of([0, 0, 1, 1]).values()) == {("VALID_VALUE", None, True)}
+    own = of([0, 1, 2])
+    assert own["davies_bouldin"][0] == "COMPUTATION_ERROR" and own["wcss"] == ("VALID_VALUE", None, True)
+
+
+def test_census_of_text_columns(spark):
+    from larkspur.operators import profile
+
+    rows = [("1", "1", "true", "2024-01-01", "x", " ", "1"), (" -2 ", "2.5e3", "FALSE", "2024-01-01T10:00:00Z", "1", None, "true"), (None, ".5", None, "2024-01-01 10:00", None, "", None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f string, g string")
+    got = {r["column"]: r for r in profile.type_census(df).collect()}
+    assert {c: r["inferred_type"] for c, r in got.items()} == {"a": "numeric", "b": "numeric", "c": "boolean", "d": "datetime", "e": "mixed", "f": "string", "g": "mixed"}
+    assert (got["a"]["missing"], got["a"]["n_integer"], got["b"]["n_decimal"], got["f"]["missing"]) == (1, 2, 2, 3)
