@@ -24,7 +24,7 @@ from .common import batches_of, bytes_of, lean, texts_in, written
 from .words import WordIds, mixed
 
 #: Words of a shard, and bytes of its distinct words, at which it is counted.
-SHARD, VOCABULARY = 1_000_000, 32_000_000
+SHARD, VOCABULARY = 600_000, 16_000_000
 #: Bytes of a text that are split at a time, up to the next white space or end of a piece.
 CUT = 1_000_000
 #: Bits of the map of frequent n-grams: 16 MB. More of them than bits only weaken the pruning.
@@ -139,8 +139,8 @@ class Shard:
         names = pa.array([b"", *self.words], pa.binary())
         ends = np.searchsorted(lang[first], np.arange(len(self.langs) + 1))
         for name, begin, end in zip(self.langs, ends, ends[1:]):
-            for k in range(begin, end, 100_000):
-                some = slice(k, min(end, k + 100_000))
+            for k in range(begin, end, 50_000):
+                some = slice(k, min(end, k + 50_000))
                 parts = [names.take(pa.array(x[first[some] + j])) for j in range(m)]
                 yield name, parts[0] if m == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())), widths[some]
 
