@@ -265,3 +265,47 @@ def stability_evidence(algorithms: DataFrame, repeats: DataFrame, seeds: DataFra
         F.coalesce("n_seeds", F.lit(0)).alias("n_seeds"),
         F.coalesce("n_sigmas", F.lit(0)).alias("n_sigmas"),
     )
+
+
+def _spread(names: Sequence[str]) -> list[Column]:
+    """Count, least, greatest and mean of each metric."""
+    made = {"n": F.count, "min": F.min, "max": F.max, "mean": F.avg}
+    return [f(m).alias(f"{m}_{name}") for m in names for name, f in made.items()]
+
+
+def by_hyperparameter(runs: DataFrame, names: Sequence[str] = ALL_METRICS) -> DataFrame:
+    """A row for each algorithm and family of parameters of the parameter search (EXP-03): runs,
+    distinct settings, least and greatest number of clusters, and the spread of the metrics.
+    Runs of other experiments vary other things and are left out, as are ids of no family."""
+    found = runs.where("source_experiment = 'EXP-03' AND algorithm <> ''").withColumn("hyperparameter_family", family(F.col("experiment_id")))
+    found = found.where(F.col("hyperparameter_family").isNotNull())
+    aggs = [F.count(F.lit(1)).alias("n_rows"), F.count_distinct("hyperparameters").alias("n_unique_values"), F.min("n_clusters").alias("k_min"), F.max("n_clusters").alias("k_max")]
+    return found.groupBy("algorithm", "hyperparameter_family").agg(*aggs, *_spread(names))
+
+
+def by_preprocessing(runs: DataFrame, names: Sequence[str] = ALL_METRICS) -> DataFrame:
+    """A row for each algorithm and scenario of preprocessing (EXP-04)."""
+    made = scenario(F.col("transformation"), F.col("scaling"), F.col("imputation"))
+    found = runs.where("source_experiment = 'EXP-04' AND algorithm <> ''").withColumn("scenario", made).where("scenario <> ''")
+    return found.groupBy("algorithm", "scenario").agg(F.count(F.lit(1)).alias("n_rows"), *_spread(names))
+
+
+def complete(runs: DataFrame, names: Sequence[str] = ALL_METRICS) -> DataFrame:
+    """The runs with all of the metrics."""
+    return runs.dropna(subset=list(names))
+
+
+def quality_overview(runs: DataFrame, names: Sequence[str] = ALL_METRICS) -> DataFrame:
+    """(part, name, n, fraction): all rows, those with all metrics, distinct algorithms, rows
+    with each metric, rows with all metrics of each algorithm, and DBSCAN's noise in all."""
+    whole = F.lit(True)
+    for m in names:
+        whole = whole & F.col(m).isNotNull()
+    full = F.count_if(whole)
+    dbscan = F.coalesce(F.sum(F.when(F.col("algorithm") == "dbscan", F.col("noise_count"))), F.lit(0))
+    one = runs.agg(F.count(F.lit(1)).alias("n"), full.alias("full"), F.count_distinct("algorithm").alias("algorithms"), dbscan.cast("long").alias("noise"), *(F.count(m).alias(m) for m in names))
+    cell = lambda part, name, n, share=None: F.struct(F.lit(part).alias("part"), F.lit(name).alias("name"), F.col(n).alias("n"), (F.try_divide(F.col(n), F.col("n")) if share else F.lit(None).cast("double")).alias("fraction"))
+    cells = [cell("rows", "all", "n"), cell("rows", "all metrics", "full", True), cell("algorithms", "all", "algorithms"), cell("noise", "dbscan", "noise"), *(cell("metric", m, m, True) for m in names)]
+    each = runs.where("algorithm <> ''").groupBy("algorithm").agg(full.alias("n"), (full / F.count(F.lit(1))).alias("fraction"))
+    rows = one.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+    return rows.unionByName(each.select(F.lit("algorithm").alias("part"), F.col("algorithm").alias("name"), "n", "fraction"))

@@ -210,13 +210,14 @@ def feature_kinds(df: DataFrame, columns: Sequence[str], threshold: int = 20) ->
     """feature and kind: unknown without values, categorical for booleans and for other columns
     of at most `threshold` distinct values, numerical for numbers, else text_or_id."""
     types = {f.name: f.dataType for f in df.schema}
-    made = {"n": lambda c: F.count(c), "distinct": lambda c: F.approx_count_distinct(F.col(c).cast("string"), 0.01)}
-    rows = stacked(df, columns, made, "feature")
+    rows = stacked(df, columns, {"n": lambda c: F.count(c)}, "feature")
+    others = [c for c in columns if not isinstance(types[c], (T.BooleanType, T.NumericType))]
     few = F.lit(False)
-    for c in columns:
-        if not isinstance(types[c], (T.BooleanType, T.NumericType)):
-            exact = df.select(F.col(c).cast("string").alias("v")).where("v IS NOT NULL").distinct().limit(threshold + 1)
-            few = few | ((F.col("feature") == c) & F.lit(exact.count() <= threshold))
+    if others:  # values are counted by column before they are shuffled: one pass for all columns
+        cells = F.explode(F.array(*(F.struct(F.lit(c).alias("_f"), F.col(c).cast("string").alias("v")) for c in others)))
+        values = df.select(cells.alias("r")).select("r.*").where("v IS NOT NULL").distinct().groupBy("_f").agg(F.count(F.lit(1)).alias("_k"))
+        rows = rows.join(F.broadcast(values), F.col("feature") == F.col("_f"), "left")  # a row a column
+        few = F.coalesce(F.col("_k") <= threshold, F.lit(False))
     booleans = [c for c in columns if isinstance(types[c], T.BooleanType)]
     numbers = [c for c in columns if isinstance(types[c], T.NumericType)]
     kind = F.when(F.col("n") == 0, "unknown").when(F.col("feature").isin(booleans), "categorical").when(F.col("feature").isin(numbers), "numerical")

@@ -223,3 +223,42 @@ def leakage_check(spark, d):
     f = _features(spark, d)
     return validate.leakage(f.drop("CustomerID"), f.select("CustomerID"))
 
+
+
+_REPO = _RESULTS + ", repo AS (SELECT 'EXP-0' || (1 + run_id::BIGINT % 5) AS source_experiment, 'EXP-03-' || CASE WHEN run_id::BIGINT % 7 = 0 THEN 'dbscan' ELSE algorithm END || '-' || (['init', 'n_init', 'eps', 'other'])[1 + run_id::BIGINT % 4] || '-stageB' AS experiment_id, CASE WHEN run_id::BIGINT % 7 = 0 THEN 'dbscan' ELSE algorithm END AS algorithm, '{\"v\": ' || (run_id::BIGINT % 6) || '}' AS hyperparameters, k AS n_clusters, (['none', 'log1p', NULL])[1 + run_id::BIGINT % 3] AS transformation, (['robust', 'standard'])[1 + run_id::BIGINT % 2] AS scaling, 'median' AS imputation, run_id::BIGINT % 3 AS noise_count, silhouette, davies_bouldin, calinski_harabasz, wcss FROM res)"
+_SPREAD = ", ".join(f"count({m}) AS {m}_n, round(min({m}), 3) AS {m}_min, round(max({m}), 3) AS {m}_max, round(avg({m}), 3) AS {m}_mean" for m in evidence.ALL_METRICS)
+
+
+def _repository(spark: SparkSession, d: str) -> DataFrame:
+    """Runs made of the events as rows of the repository of experiments."""
+    i = F.col("run_id").cast("long")
+    pick = lambda values, n: F.array(*(F.lit(v).cast("string") for v in values))[(i % n).cast("int")]
+    algorithm = F.when(i % 7 == 0, "dbscan").otherwise(F.col("algorithm"))
+    return _results(spark, d).select(
+        F.concat(F.lit("EXP-0"), 1 + i % 5).alias("source_experiment"), F.concat(F.lit("EXP-03-"), algorithm, F.lit("-"), pick(("init", "n_init", "eps", "other"), 4), F.lit("-stageB")).alias("experiment_id"),
+        algorithm.alias("algorithm"), F.concat(F.lit('{"v": '), i % 6, F.lit("}")).alias("hyperparameters"), F.col("k").alias("n_clusters"), pick(("none", "log1p", None), 3).alias("transformation"),
+        pick(("robust", "standard"), 2).alias("scaling"), F.lit("median").alias("imputation"), (i % 3).alias("noise_count"), *evidence.ALL_METRICS,
+    )
+
+
+@query(_REPO + f" SELECT algorithm, t AS hyperparameter_family, count(*) AS n_rows, count(DISTINCT hyperparameters) AS n_unique_values, min(n_clusters) AS k_min, max(n_clusters) AS k_max, {_SPREAD} FROM (SELECT *, CASE string_split(experiment_id, '-')[4] WHEN 'init' THEN 'init_method' WHEN 'n_init' THEN 'n_init' WHEN 'eps' THEN 'eps' END AS t FROM repo WHERE source_experiment = 'EXP-03') WHERE t IS NOT NULL GROUP BY ALL", 3)
+def hyperparameter_comparison(spark, d):
+    return evidence.by_hyperparameter(_repository(spark, d))
+
+
+@query(_REPO + f" SELECT algorithm, transformation || '|' || scaling || '|' || imputation AS scenario, count(*) AS n_rows, {_SPREAD} FROM repo WHERE source_experiment = 'EXP-04' AND transformation IS NOT NULL GROUP BY ALL", 3)
+def preprocessing_comparison(spark, d):
+    return evidence.by_preprocessing(_repository(spark, d))
+
+
+_ALL = " AND ".join(f"{m} IS NOT NULL" for m in evidence.ALL_METRICS)
+
+
+@query(
+    _REPO + ", n AS (SELECT count(*) AS n FROM repo) SELECT 'rows' AS part, 'all' AS name, n, NULL::DOUBLE AS fraction FROM n UNION ALL SELECT 'rows', 'all metrics', count(*) FILTER (WHERE " + _ALL + "), round(count(*) FILTER (WHERE " + _ALL + ") / count(*), 4) FROM repo"
+    + " UNION ALL SELECT 'algorithms', 'all', count(DISTINCT algorithm), NULL FROM repo UNION ALL SELECT 'noise', 'dbscan', coalesce(sum(noise_count) FILTER (WHERE algorithm = 'dbscan'), 0)::BIGINT, NULL FROM repo"
+    + "".join(f" UNION ALL SELECT 'metric', '{m}', count({m}), round(count({m}) / count(*), 4) FROM repo" for m in evidence.ALL_METRICS)
+    + " UNION ALL SELECT 'algorithm', algorithm, count(*) FILTER (WHERE " + _ALL + "), round(count(*) FILTER (WHERE " + _ALL + ") / count(*), 4) FROM repo GROUP BY algorithm"
+)
+def quality_overview(spark, d):
+    return evidence.quality_overview(_repository(spark, d))

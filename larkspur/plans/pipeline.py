@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, cluster, features, metrics, prep, segments, store
+from ..operators.tables import written
 
 
 @dataclass(frozen=True)
@@ -30,7 +31,7 @@ def segment_customers(raw: DataFrame, root: str | None = None, plan: Plan | None
 
     def kept(df: DataFrame, kind: str, name: str) -> DataFrame:
         if root is None:
-            return df.persist()
+            return written(df, name)
         made = store.save(df, root, kind, name, parents, {"plan": str(p)} if name in ("matrix", "labels") else {})
         parents[name] = made
         return store.load(spark, root, made)
@@ -44,7 +45,7 @@ def segment_customers(raw: DataFrame, root: str | None = None, plan: Plan | None
     scored = matrix.join(labels, "key")
     quality = metrics.internal_metrics(scored).first().asDict() | {"silhouette": metrics.silhouette(scored).first()[0]}
     points = found.join(labels, found[features.KEY] == labels["key"]).drop("key")
-    profiles = segments.feature_profiles(points, p.columns).persist()
+    profiles = segments.feature_profiles(points, p.columns)
     relative = segments.relative_comparison(profiles)
     distinct = segments.distinguishing(profiles)
     names = segments.segment_names(relative, distinct)
