@@ -688,7 +688,17 @@ def distinctiveness(spark, d):
     return segments.distinctiveness(rel, dist)
 
 
-@query()
+_FIT = lambda t, c, low, high: f"({t} = 'Mixed' OR ({t} = '{low}' AND {c} = 'LOWER') OR ({t} = '{high}' AND {c} = 'HIGHER'))"
+_FINAL = (
+    _NAMES + ", bs AS (SELECT label, count(*) AS n FROM seg WHERE label <> -1 GROUP BY label), bp AS (SELECT label, n, n * 100.0 / sum(n) OVER () AS pct FROM bs), bands AS (SELECT label, n, pct AS pct_of_assigned, CASE WHEN pct >= 50 THEN 'DOMINANT' WHEN pct >= 25 THEN 'LARGE' WHEN pct >= 5 THEN 'MEDIUM' WHEN pct >= 1 THEN 'SMALL' ELSE 'MICRO' END AS size_band, CASE WHEN n < 30 THEN 'LOW' ELSE 'OK' END AS reliability FROM bp)"
+    + ", hg AS (SELECT label, count(*) FILTER (WHERE class = 'HIGH' AND direction IN ('HIGHER', 'LOWER')) AS n_high, count(*) FILTER (WHERE direction <> 'NA') AS known FROM dir JOIN dist USING (feature) GROUP BY label), hi AS (SELECT label, n_high, CASE WHEN known = 0 THEN 'NOT_ASSESSABLE' WHEN n_high >= 2 THEN 'DISTINCT' WHEN n_high = 1 THEN 'LIMITED' ELSE 'NOT_DISTINCT' END AS distinctiveness FROM hg)"
+    + ", dn AS (SELECT label, count(*) FILTER (WHERE direction IN ('HIGHER', 'LOWER')) AS n_directional, max(direction) FILTER (WHERE feature = 'Recency') AS dr, max(direction) FILTER (WHERE feature = 'Frequency') AS df, max(direction) FILTER (WHERE feature = 'Monetary') AS dm, max(direction) FILTER (WHERE feature = 'TenureDays') AS dt FROM dir GROUP BY label)"
+    + f", fin AS (SELECT label, segment_name, status, n, pct_of_assigned, size_band, reliability, n_high, distinctiveness, n_directional, CASE WHEN n_directional >= 3 THEN 'SUPPORTED' WHEN n_directional >= 1 THEN 'LIMITED' ELSE 'NOT_ASSESSABLE' END AS relevance, CASE WHEN n_directional > 6 THEN 'PARTIALLY_INTERPRETABLE' ELSE 'INTERPRETABLE' END AS interpretability, CASE WHEN NOT coalesce({_FIT('recency_tier', 'dr', 'Recent', 'Older')} AND {_FIT('frequency_tier', 'df', 'Occasional', 'Frequent')} AND {_FIT('monetary_tier', 'dm', 'LowValue', 'HighValue')}, false) THEN 'RFM_INCONSISTENT' WHEN modifier IS NULL OR dt = 'HIGHER' THEN 'CONSISTENT' WHEN dt IS NULL OR dt = 'NA' THEN 'PARTIALLY_CONSISTENT' ELSE 'MODIFIER_INCONSISTENT' END AS consistency FROM named LEFT JOIN bands USING (label) LEFT JOIN hi USING (label) LEFT JOIN dn USING (label))"
+    + ", rdy AS (SELECT *, coalesce(distinctiveness IN ('DISTINCT', 'LIMITED') AND interpretability <> 'LIMITED' AND consistency IN ('CONSISTENT', 'PARTIALLY_CONSISTENT') AND relevance <> 'NOT_ASSESSABLE', false) AS is_ready FROM fin)"
+)
+
+
+@query(_FINAL + " SELECT * REPLACE (round(pct_of_assigned, 4) AS pct_of_assigned), CASE WHEN NOT is_ready THEN 'LIMITED' WHEN size_band IN ('DOMINANT', 'LARGE', 'MEDIUM') THEN 'READY' ELSE 'CONDITIONAL' END AS readiness FROM rdy")
 def final_segments(spark, d):
     s, rel, dist, names = _named(spark, d)
     return segments.final_definitions(names, segments.size_bands(segments.sizes(s)), rel, dist)
