@@ -181,7 +181,10 @@ def dataset_stats(spark, d):
     return segments.dataset_stats(_features(spark, d), ["Recency", "Monetary", "absent"])
 
 
-@query("SELECT * FROM (VALUES ('event_type', 'categorical'), ('props', 'text_or_id'), ('value', 'numerical'), ('nothing', 'unknown')) v(feature, kind)")
+_KIND_SQL = "SELECT '{f}' AS feature, CASE WHEN count({x}) = 0 THEN 'unknown' WHEN {number} THEN 'numerical' WHEN count(DISTINCT {x}) <= 20 THEN 'categorical' ELSE 'text_or_id' END AS kind FROM events"
+
+
+@query(" UNION ALL ".join(_KIND_SQL.format(f=f, x=x, number=number) for f, x, number in (("event_type", "event_type", "false"), ("props", "'p' || event_id", "false"), ("value", "value", "true"), ("nothing", "CASE WHEN event_id IS NULL THEN event_type END", "false"))))
 def feature_kinds(spark, d):
     t = retail.table(spark, d, "events").select("event_type", "value", "event_id", F.lit(None).cast("string").alias("nothing"))
     t = t.withColumn("props", F.concat(F.lit("p"), F.col("event_id").cast("string")))
@@ -218,10 +221,10 @@ def cleaning_summary(spark, d):
     return cleaning.summary(retail.raw(spark, d))
 
 
-@query("SELECT 'identifiers absent' AS check_id, 'PASS' AS status UNION ALL SELECT 'labels absent', 'PASS' UNION ALL SELECT 'key in metadata', 'PASS' UNION ALL SELECT 'rows match', 'PASS'")
+@query(FEAT + " SELECT 'identifiers absent' AS check_id, 'PASS' AS status UNION ALL SELECT 'labels absent', 'PASS' UNION ALL SELECT 'key in metadata', 'PASS' UNION ALL SELECT 'rows match', CASE WHEN (SELECT count(*) FROM feat) = (SELECT count(DISTINCT CustomerID) FROM tx) THEN 'PASS' ELSE 'FAIL' END")
 def leakage_check(spark, d):
-    f = _features(spark, d)
-    return validate.leakage(f.drop("CustomerID"), f.select("CustomerID"))
+    customers = cleaning.clean_transactions(retail.raw(spark, d)).select("CustomerID").distinct()
+    return validate.leakage(_features(spark, d).drop("CustomerID"), customers)
 
 
 
