@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of two longs (a key and a value) that may be broadcast: at most about 64 MB.
 BROADCAST_ROWS = 2_000_000
+#: Fewer keys than this have more than one in as many of all rows.
+HOT_KEYS = 65_536
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -55,6 +57,21 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def split_join(rows: DataFrame, by: DataFrame, key: str, degree: str, least: int) -> DataFrame:
+    """Inner join of rows with the one row of their key in `by`, of bounded width, where
+    `degree` is no less than the number of rows with the key.
+
+    Keys of more than `least` rows and of more than one in HOT_KEYS of all degrees are fewer
+    than HOT_KEYS, whatever the input: these are broadcast and their rows stay where they
+    are. The others are shuffled, none with more rows than that. Null keys meet nothing.
+    """
+    total = int(by.agg(F.sum(degree)).first()[0] or 0)
+    hot = F.col(degree) > max(least, total // HOT_KEYS)
+    often = by.where(hot)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(by.where(~hot), key)
+    return rows.join(F.broadcast(often), key).unionByName(rest)
+
+
 def bytes_of(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of each text of an Arrow string column."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

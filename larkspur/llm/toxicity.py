@@ -25,10 +25,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, lean, read_back, scratch_dir, texts_in
+from .common import delete, lean, read_back, scratch_dir, split_join, texts_in
 from .labels import labelled, logistic, sampled, training_labels
 from .words import WordHashes, WordIds, mixed, plain_words
 
@@ -36,7 +36,7 @@ from .words import WordHashes, WordIds, mixed, plain_words
 DISCOUNT = 1.0
 #: The word before the first one of a text.
 START = np.uint64(0x5354415254)
-#: Counted pairs that a worker takes up together, and more if one word has more.
+#: Pairs with one word from which on the word's row is taken to the pairs, if it has a large share of all pairs.
 PAIR_ROWS = 100_000
 #: Rows of a block of the model; a worker that needs several blocks holds one at a time.
 BLOCK_ROWS = 2**20
@@ -244,80 +244,67 @@ def pair_counts(rows: DataFrame) -> DataFrame:
 CONTEXT, PAIR, CONTINUED = 0, 1, 2
 
 
-def pair_model(pairs: DataFrame) -> DataFrame:
+def pair_model(pairs: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """What the pairs of pair_counts say, as rows of three kinds, with a value a model in v.
 
     CONTEXT: key of a word, and the log-ratio of what its discounts free in either class.
     PAIR: key of a pair, its word w, and the pair's discounted shares over the freed ones:
-    all models' in the toxic class, then in the ordinary one. CONTINUED: a word w, and parts
-    of sums: the number of distinct words met before it, and its occurrences by fold in the
-    toxic and the ordinary class. Equal h are dealt to one task in order; words of one h, as
-    many as there are different ones after it, are held together.
+    all models' in the toxic class, then in the ordinary one. CONTINUED: a word w, the number
+    of distinct words met before it, and its occurrences by fold in the toxic and the ordinary
+    class. A context without a pair that keeps something has no row; an empty table gives none.
+
+    Counts are added up by pair before they are dealt out; no step gathers the pairs of one
+    word in a task, as words with many followers are joined where their pairs are. Tables that
+    the rows are read from are added to `scratch`, to be deleted once the rows are written.
     """
-    sorted_pairs = pairs.repartition("h").sortWithinPartitions("h", "w")
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("w", pa.int64()), ("v", pa.list_(pa.float32()))])
-
-    def rows_of(kind: int, key: np.ndarray, w: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(key), 50_000):
-            x = slice(k, k + 50_000)
-            values = pa.ListArray.from_arrays(pa.array(np.arange(len(key[x]) + 1, dtype=np.int32) * v.shape[1]), pa.array(v[x].astype(np.float32).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[x]), kind, np.int32)), pa.array(key[x].view(np.int64)), pa.array(w[x].view(np.int64)), values], schema=schema)
-
-    def made(x: np.ndarray, words: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        h, w = x[0].view(np.uint64), x[1].view(np.uint64)
-        first = np.concatenate(([True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
-        pair = np.cumsum(first) - 1
-        h, w = h[first], w[first]
-        n = np.bincount(pair * 2 * FOLDS + x[2], weights=x[3], minlength=len(h) * 2 * FOLDS).reshape(len(h), FOLDS, 2)
-        begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
-        total = n.sum(axis=1)
-        counts = np.stack([total, *(total - n[:, f] for f in range(FOLDS))], axis=1)  # pair, model, class
-        of = np.add.reduceat(counts, begin, axis=0)
-        smaller = np.where(of.min(axis=2) > 0, of.min(axis=2), of.max(axis=2))
-        share = counts / np.maximum(of, 1)[group] - (DISCOUNT / np.maximum(smaller, 1))[group][:, :, None]
-        share[share < 1e-12] = 0
-        kept = share[:, 0].max(axis=1) > 0
-        share[~kept] = 0
-        freed = 1 - np.add.reduceat(share, begin, axis=0)
-        some = np.logical_or.reduceat(kept, begin)
-        a = np.log(freed[some, :, 0] / freed[some, :, 1])
-        yield from rows_of(CONTEXT, context_keys(h[begin][some]), h[begin][some], a)
-        u = (share[kept] / freed[group[kept]]).transpose(0, 2, 1).reshape(-1, 2 * (1 + FOLDS))
-        yield from rows_of(PAIR, pair_keys(h[kept], w[kept]), w[kept], u)
-        words.append(_summed(w, np.column_stack((np.ones(len(w)), n.reshape(len(w), -1)))))
-        if sum(len(x) for x, _ in words) >= 4 * PAIR_ROWS:
-            words[:] = [_summed(*(np.concatenate(c) for c in zip(*words)))]
-            if len(words[0][0]) >= 2 * PAIR_ROWS:
-                yield from rows_of(CONTINUED, words[0][0], *words.pop())
+    spark = pairs.sparkSession
+    scratch = [] if scratch is None else scratch
+
+    def kept_table(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(scratch_dir(spark, name))
+        return read_back(df, scratch[-1])
+
+    kinds = range(2 * FOLDS)
+    by_kind = (F.sum(F.when(F.col("c") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in kinds)
+    sums = kept_table(pairs.groupBy("h", "w").agg(*by_kind), "pair-sums")
+    after = kept_table(sums.groupBy("h").agg(*(F.sum(f"n{k}").alias(f"of{k}") for k in kinds), F.count("*").alias("followers")), "contexts")
+    # The discount is at least DISCOUNT occurrences in either class.
+    often = sums.where(F.greatest(*(c[0] for c in _by_model("n"))) > DISCOUNT)
+    names = [f"s{k}_{m}" for k in (0, 1) for m in range(1 + FOLDS)]
+
+    def shares(contexts: DataFrame) -> DataFrame:
+        """The pairs that keep something with their shares, the contexts' columns included."""
+        counts, of = _by_model("n"), _by_model("of")
+        smaller = [F.when(F.least(t, o) > 0, F.least(t, o)).otherwise(F.greatest(t, o)) for t, o in zip(*of)]
+        cut = [F.lit(DISCOUNT) / F.greatest(x, F.lit(1)) for x in smaller]
+        share = [n / F.greatest(x, F.lit(1)) - d for c, t in zip(counts, of) for n, x, d in zip(c, t, cut)]
+        made = split_join(often, contexts, "h", "followers", PAIR_ROWS)
+        made = made.select("*", *(F.when(x >= 1e-12, x).otherwise(0.0).alias(s) for s, x in zip(names, share)))
+        return made.where(F.greatest(names[0], names[1 + FOLDS]) > 0)
+
+    freed = shares(after).groupBy("h").agg(*((1 - F.sum(s)).alias(f"free_{s}") for s in names))
+    freed = kept_table(after.join(freed, "h"), "freed")
+    packed = lambda values: F.array(*(v.cast("float") for v in values)).alias("v")
+    ratio = [F.log(F.col(f"free_{t}") / F.col(f"free_{o}")) for t, o in zip(names[: 1 + FOLDS], names[1 + FOLDS :])]
+    rows = freed.select(F.lit(CONTEXT).alias("kind"), "h", F.col("h").alias("w"), packed(ratio))
+    rows = rows.unionByName(shares(freed).select(F.lit(PAIR).alias("kind"), "h", "w", packed([F.col(s) / F.col(f"free_{s}") for s in names])))
+    words = sums.groupBy("w").agg(F.count("*").alias("before"), *(F.sum(f"n{k}").alias(f"n{k}") for k in kinds))
+    rows = rows.unionByName(words.select(F.lit(CONTINUED).alias("kind"), F.col("w").alias("h"), "w", packed([F.col("before"), *(F.col(f"n{k}") for k in kinds)])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        words: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
         for batch in batches:
-            held.append(np.stack([c.to_numpy() for c in batch.columns]))
-            size += batch.num_rows
-            if size >= PAIR_ROWS and held[-1][0, -1] != held[0][0, 0]:
-                x = np.concatenate(held, axis=1)
-                end = int(np.flatnonzero(x[0] != x[0, -1])[-1]) + 1
-                yield from made(x[:, :end], words)
-                held, size = [x[:, end:]], x.shape[1] - end
-        if size:
-            yield from made(np.concatenate(held, axis=1), words)
-        if words:
-            total = _summed(*(np.concatenate(c) for c in zip(*words)))
-            yield from rows_of(CONTINUED, total[0], *total)
+            kind, h, w = (c.to_numpy() for c in batch.columns[:3])
+            h, w = h.view(np.uint64), w.view(np.uint64)
+            key = np.select([kind == PAIR, kind == CONTEXT], [pair_keys(h, w), context_keys(h)], w)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key.view(np.int64)), *batch.columns[2:]], ["kind", "key", "w", "v"])
 
-    return sorted_pairs.mapInArrow(lean(run), "kind int, key long, w long, v array<float>")
+    return rows.mapInArrow(lean(run), "kind int, key long, w long, v array<float>")
 
 
-def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their rows of values."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(values[order], first, axis=0)
+def _by_model(name: str) -> list[list[Column]]:
+    """Of the toxic and the ordinary class: the sum of its columns, then that without each fold."""
+    folds = [[F.col(f"{name}{2 * f + k}") for f in range(FOLDS)] for k in (0, 1)]
+    return [[sum(c[1:], c[0]), *(sum(c[1:], c[0]) - x for x in c)] for c in folds]
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "doc_id", text_col: str = "text") -> Ratios:
@@ -329,10 +316,13 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "d
     sample = labelled(docs, sampled(chosen, CALIBRATION_ROWS, key), key, text_col)
     spark = docs.sparkSession
     paths = {name: scratch_dir(spark, name) for name in ("pair-model", "word-counts", "word-model")}
-    pairs = read_back(pair_model(pair_counts(rows)), paths["pair-model"])
+    done: list[str] = []
+    pairs = read_back(pair_model(pair_counts(rows), done), paths["pair-model"])
+    for path in done:
+        delete(spark, path)
     part = lambda k: F.sum(F.col("v")[k].cast("double"))
     by_fold = (part(1 + 2 * f + k).alias(f"{c}{f}") for f in range(FOLDS) for k, c in enumerate("to"))
-    counts = read_back(pairs.where(F.col("kind") == CONTINUED).groupBy("w").agg(F.log1p(part(0)).alias("continued"), *by_fold), paths["word-counts"])
+    counts = read_back(pairs.where(F.col("kind") == CONTINUED).groupBy("w").agg(part(0).alias("before"), F.log1p(part(0)).alias("continued"), *by_fold), paths["word-counts"])
     folds = range(FOLDS)
     models = [list(folds), *([g for g in folds if g != f] for f in folds)]
     toxic = [sum(F.col(f"t{f}") for f in m) for m in models]
@@ -344,23 +334,26 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "d
     words, n_pairs = counts, sums["continued"]
     backoff = F.col("continued") / F.lit(n_pairs)
     p1, p0, other = [], [], np.zeros(len(models))
+    both_classes = [k for k in range(len(models)) if min(n1[k], n0[k])]
+    cut = {k: DISCOUNT / min(n1[k], n0[k]) for k in both_classes}
+    own_share = {k: [F.greatest(c / F.lit(n) - F.lit(cut[k]), F.lit(0.0)) for c, n in ((toxic[k], n1[k]), (ordinary[k], n0[k]))] for k in both_classes}
+    left = [1 - x for x in counts.agg(*(F.sum(d) for k in both_classes for d in own_share[k])).first()]
+    freed = dict(zip(both_classes, zip(left[::2], left[1::2])))
     for k in range(len(models)):
-        if min(n1[k], n0[k]) == 0:  # a class that is in one fold only
+        if k not in freed:  # a class that is in one fold only
             p1.append(backoff)
             p0.append(backoff)
             continue
-        cut = DISCOUNT / min(n1[k], n0[k])
-        d1, d0 = (F.greatest(c / n - F.lit(cut), F.lit(0.0)) for c, n in ((toxic[k], n1[k]), (ordinary[k], n0[k])))
-        g1, g0 = (1 - x for x in counts.agg(F.sum(d1), F.sum(d0)).first())
+        (d1, d0), (g1, g0) = own_share[k], freed[k]
         other[k] = math.log(g1 / g0)
         p1.append(d1 + g1 * backoff)
         p0.append(d0 + g0 * backoff)
     least = DISCOUNT / min(n1[0], n0[0])
     kept = (toxic[0] > least * n1[0]) | (ordinary[0] > least * n0[0])
-    words = read_back(words.select("w", kept.alias("kept"), *(p.alias(f"{c}{k}") for c, ps in (("p", p1), ("q", p0)) for k, p in enumerate(ps))), paths["word-model"])
+    words = read_back(words.select("w", "before", kept.alias("kept"), *(p.alias(f"{c}{k}") for c, ps in (("p", p1), ("q", p0)) for k, p in enumerate(ps))), paths["word-model"])
     delete(spark, paths.pop("word-counts"))
     own = [F.log(F.col(f"p{k}") / F.col(f"q{k}")) for k in range(len(models))]
-    both = pairs.where(F.col("kind") == PAIR).join(words, "w")
+    both = split_join(pairs.where(F.col("kind") == PAIR), words, "w", "before", PAIR_ROWS)
     joint = [F.log((F.col("v")[k] + F.col(f"p{k}")) / (F.col("v")[len(models) + k] + F.col(f"q{k}"))) - own[k] for k in range(len(models))]
     split = (  # a pair's ratio is the sum of the three
         (words.where("kept"), F.col("w"), [x - F.lit(float(o)) for x, o in zip(own, other)]),
@@ -368,23 +361,22 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "d
         (both, F.col("key"), [x if min(n1[k], n0[k]) else F.lit(0.0) for k, x in enumerate(joint)]),
     )
     parts = [t.select(key.alias("key"), *(v.cast("float").alias(f"v{k}") for k, v in enumerate(values))) for t, key, values in split]
-    return _calibrated(_blocks(parts[0].unionByName(parts[1]).unionByName(parts[2]), other, list(paths.values())), sample, key)
+    n = pairs.where(F.col("kind") != CONTINUED).count() + words.where("kept").count()
+    return _calibrated(_blocks(parts[0].unionByName(parts[1]).unionByName(parts[2]), n, other, list(paths.values())), sample, key)
 
 
-def _blocks(values: DataFrame, other: np.ndarray, done: list[str]) -> Ratios:
-    """The model of all rows and of each without one fold, from a written table of keys. The
-    tables at the paths `done` made it and are deleted, as is each table that was read."""
+def _blocks(values: DataFrame, n: int, other: np.ndarray, done: list[str]) -> Ratios:
+    """The model of all rows and of each without one fold, from n keys, written once. The
+    tables at the paths `done` made it and are deleted, as is the written one."""
     spark = values.sparkSession
     path = scratch_dir(spark, "ratios")
-    values = read_back(values, path)
-    for old in done:
-        delete(spark, old)
-    n = values.count()
     bits = block_bits(n)
     if bits:
-        old, path = path, scratch_dir(spark, "ratio-blocks")
         values.withColumn("block", F.shiftrightunsigned("key", 64 - bits)).repartition("block").write.partitionBy("block").parquet(path)
         values = spark.read.parquet(path)
+    else:
+        values = read_back(values, path)
+    for old in done:
         delete(spark, old)
     table = Table.of(values, [f"v{k}" for k in range(len(other))], n)
     delete(spark, path)
