@@ -19,13 +19,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least GOOD."""
+    """Documents whose quality score is at least GOOD.
+
+    A null text is scored as an empty one; rows with a null or repeated id are judged each
+    by itself; columns beside those of documents are left out; an empty table gives none.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).where(F.col("score") >= GOOD).select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under TOXIC."""
+    """Documents whose toxicity score is under TOXIC; nulls, repeats and others as in keep_good."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where(F.col("score") < TOXIC).select(*COLUMNS)
 
@@ -53,13 +57,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which too few words lie in benchmark windows to be contaminated."""
+    """Documents in which too few words lie in benchmark windows to be contaminated.
+
+    A text without words, null ones included, is never contaminated and stays; rows with a
+    null or repeated id are judged each by itself; an empty table gives none.
+    """
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.where(~decontaminate.contaminated()).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its very text."""
+    """Token ids of each document, and whether they decode to its very text.
+
+    A null text has no ids, as an empty one has; each row gives one; an empty table none.
+    """
     vocabulary = tokenizer_path("byte_bpe_50k.json")
     rows = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     decoded = tokens.encode_bytes_bpe(rows, vocabulary, decode=True)
