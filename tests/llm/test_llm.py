@@ -121,20 +121,48 @@ def test_contamination_edges(spark):
     assert decontaminate.contamination(spark.createDataFrame([], DOC), none).count() == 0
 
 
-@pytest.mark.parametrize(("words", "k"), [(1, 3), (2, 10)])
-def test_hamming_top_k_matches_brute_force(spark, words, k):
+@pytest.mark.parametrize(("words", "k", "bucket"), [(1, 3, 1 << 14), (2, 10, 8)])
+def test_hamming_top_k_matches_brute_force(spark, words, k, bucket):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(300, 64 * words))
     vectors[100:180] = vectors[7]  # many copies
     vectors[180:200] = vectors[8] + rng.normal(scale=0.3, size=(20, 64 * words))
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(900, None), (None, vectors[0].tolist()), (901, [float("nan"), 1.0])]
     coded = hamming.sign_codes(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    found = hamming.hamming_top_k(coded, coded.where("vec_id % 10 = 0"), k, index_block=64, query_block=8).collect()
+    found = hamming.hamming_top_k(coded, coded.where("vec_id % 10 = 0"), k, index_block=64, query_block=8, bucket=bucket).collect()
     bits = {i: np.array([x > 0 for x in v] + [False] * (64 * words - len(v))) for i, v in rows if v is not None and i is not None}
     expected = {(q, r + 1, i, d) for q in bits if q % 10 == 0 for r, (d, i) in enumerate(sorted((int((bits[q] != b).sum()), i) for i, b in bits.items())[:k])}
     assert {tuple(r) for r in found} == expected
 
 
+def test_hamming_search_widens_until_near_families_are_covered(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 256, (12, 10), dtype=np.uint8)  # the last bits of two words never vary
+    codes = np.repeat(centres, 120, axis=0)
+    for k, code in enumerate(codes):
+        for b in rng.choice(80, k % 7, replace=False):
+            code[b // 8] ^= 1 << b % 8
+    rows = [(k, bytes(c)) for k, c in enumerate(codes)] + [(5000, bytes(codes[3])), (5000, bytes(codes[3])), (5001, b""), (None, b"x"), (5002, None)]
+    table = spark.createDataFrame(rows, "vec_id long, code binary").withColumn("distance", F.lit("clash"))
+    asked = table.where("vec_id % 50 = 0").unionByName(table.where("vec_id = 50"))
+    compared = []
+    blocks = hamming.by_blocks
+    monkeypatch.setattr(hamming, "by_blocks", lambda members, pending, *rest: compared.append(pending.count()) or blocks(members, pending, *rest))
+    found = hamming.hamming_top_k(table, asked, 10, bucket=50).collect()
+    held = [(k, int.from_bytes(c.ljust(16, b"\0"))) for k, c in rows if c is not None and k is not None]
+    wanted = {k: c for k, c in held if k % 50 == 0}
+    expected = [(q, r + 1, i, d) for q, code in wanted.items() for r, (d, i) in enumerate(sorted(((code ^ c).bit_count(), i) for i, c in held)[:10])]
+    assert sorted(tuple(r) for r in found) == sorted(expected)
+    assert sum(compared) < len(wanted) / 2  # most are covered by lookups alone
+
+
+def test_hamming_edges(spark):
+    empty = spark.createDataFrame([], "vec_id long, code binary")
+    one = spark.createDataFrame([(7, b"\1"), (9, b"\1")], "vec_id long, code binary")
+    assert hamming.hamming_top_k(empty, one, 3).collect() == [] == hamming.hamming_top_k(one, empty, 3).collect()
+    assert [tuple(r) for r in hamming.hamming_top_k(one, one.where("vec_id = 9"), 1).collect()] == [(9, 1, 7, 0)]
+
+
 def test_shards_are_even_gapless_and_grow_only_into_new_ones(spark):
     rng = random.Random(1)
     rows = [(k, "x" * rng.randint(0, 300)) for k in range(3000)] + [(None, "a"), (5, "again"), (5, "again"), (4000, None)]
