@@ -194,6 +194,7 @@ def hamming_top_k(
     mine = F.when(F.col("deal").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", *names), F.col("deal"))).cast("int")
     entries = entries.join(hot, ["s", "v"], "left").select("s", "v", mine.alias("part"), F.col("id"), *(F.col(w).alias(f"i{w}") for w in names))
     # Bucketed by the values looked up: each round shuffles what it asks for, not the index.
+    # Joins here merge: by the size of its files Spark would send a whole index by way of the driver.
     tables = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scratch.append(scratch_dir(spark, "entries"))
     indexed = scratch[-1].rsplit("/", 1)[1].replace("-", "_")
@@ -214,7 +215,7 @@ def hamming_top_k(
         # An entry comes once: in the round of its least differing segment, by the first of those.
         first = F.coalesce(*(F.when(d == radius, s) for s, d in enumerate(differ)))
         new = reduce(Column.__and__, [d >= radius for d in differ]) & (first == F.col("s")) & (distance <= F.col("limit"))
-        near = asking.join(entries, key).where(new).select("code", "id", distance.alias("distance"))
+        near = asking.join(entries.hint("merge"), key).where(new).select("code", "id", distance.alias("distance"))
         if best is not None:
             near = near.unionByName(best.select("code", "id", "distance"))
         whole = W.partitionBy("code")
@@ -226,7 +227,7 @@ def hamming_top_k(
         best = best.where(~covered)
         full = best.where((F.col("rank") == 1) & (F.col("n") == k)).select("code", F.col("last").alias("nearer"))
         done = found[-1].where("rank = 1").select("code")
-        pending = kept(pending.join(done, "code", "left_anti").join(full, "code", "left").select("code", *names, F.coalesce("nearer", "limit").alias("limit")), "pending")
+        pending = kept(pending.join(done.hint("merge"), "code", "left_anti").join(full.hint("merge"), "code", "left").select("code", *names, F.coalesce("nearer", "limit").alias("limit")), "pending")
         left = pending.count()
     if left:
         found.append(by_blocks(members, pending, varying, k, max(1, -(-n // index_block)), max(1, -(-left // query_block))))
@@ -234,7 +235,7 @@ def hamming_top_k(
     out = "query_id long, rank int, id long, distance int"
     if found:
         lists = reduce(DataFrame.unionByName, found).groupBy("code").agg(F.collect_list(F.struct("rank", "id", "distance")).alias("nearest"))  # at most k
-        lists = kept(lists.join(asked_codes, "code").withColumn("apart", reduce(Column.__add__, apart).cast("int")), "lists")
+        lists = kept(lists.join(asked_codes.hint("merge"), "code").withColumn("apart", reduce(Column.__add__, apart).cast("int")), "lists")
         each = split_join(queried, lists, "code", "degree", bucket).select("query_id", "apart", F.explode("nearest").alias("x"))
         each = each.select("query_id", F.col("x.id").alias("id"), (F.col("x.distance") + F.col("apart")).alias("distance"))
         result = written(least_k(each, "query_id", k), "nearest")
