@@ -8,8 +8,9 @@ queries look up all values at radius 0, 1,
 kth distance is below m * r: nothing nearer can be missing. Each round asks for the rest.
 
 Equal codes are searched once. Values that very many entries share are dealt into parts,
-and looked up in all of them. A query so far from everything that it would look up more
-values than there are entries is compared with all entries, in blocks of bounded size.
+and looked up in all of them. A query so far from everything that its next lookups would
+be more work than comparing it with all entries is compared with all, in blocks of bounded
+size: every query gets its exact nearest either way.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ from .common import HOT_KEYS, delete, lean, read_back, scratch_dir, split_join,
 MIN_SEGMENT, MAX_SEGMENT = 8, 30
 #: Entries of one value of a segment that stay in one part.
 BUCKET = 1 << 14
+#: Values that a query may look up in a round at any size, and entries whose comparison is
+#: about the work of one lookup: more entries than that for each of LOOKUPS allow more.
+LOOKUPS, COMPARED = 1024, 4096
 #: Values to look up in one batch.
 PROBE_BATCH = 1 << 16
 #: Entries and queries of a block where all are compared.
@@ -206,9 +210,9 @@ def hamming_top_k(
     distance = reduce(Column.__add__, differ).cast("int")
     best = None
     found: list[DataFrame] = []
-    radius = 0
+    radius, allowed = 0, min(n, max(LOOKUPS, n // COMPARED))
     left = pending.count() if n else 0
-    while left and radius <= max(len(p.at) for p in parts) and sum(p.probes(radius) for p in parts) <= n:
+    while left and radius <= max(len(p.at) for p in parts) and sum(p.probes(radius) for p in parts) <= allowed:
         asking = probe_rows(pending, parts, radius).join(hot, ["s", "v"], "left")
         deals = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("deal") - 1, F.lit(0))))
         asking = asking.select("code", "limit", *names, "s", "v", deals.alias("part"))
@@ -248,8 +252,7 @@ def hamming_top_k(
 
 
 def by_blocks(members: DataFrame, pending: DataFrame, varying: list[int], k: int, blocks: int, asked_blocks: int) -> DataFrame:
-    """The same for queries whose kth nearest is so far that there are more values to look up
-    than members: blocks of them are compared with all blocks of members."""
+    """The same for queries whose kth nearest is so far that looking up is more work: blocks of them are compared with all blocks of members."""
     names = [f"w{w}" for w in range(len(varying))]
     masks = np.array(varying, np.uint64)
     left = members.withColumn("i", F.pmod(F.xxhash64("id", *names), F.lit(blocks)).cast("int"))
