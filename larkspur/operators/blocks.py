@@ -22,6 +22,9 @@ from .tables import written
 
 #: Doubles, and points, of a block at most.
 BLOCK_VALUES, BLOCK_POINTS = 250_000, 4_096
+#: A pass over pairs reads each point once a block, so its blocks grow with the points, to this
+#: many times that size, as soon as there are this many blocks.
+WIDER, PAIR_BLOCKS = 8, 8
 #: Points that cells are made around, at most.
 PIVOTS = 256
 
@@ -65,6 +68,12 @@ def block_size(width: int) -> int:
     return min(BLOCK_POINTS, max(64, BLOCK_VALUES // max(1, width)))
 
 
+def pair_blocks(n: int, width: int) -> int:
+    """How many blocks a pass over all pairs of n points has."""
+    size = block_size(width)
+    return max(1, math.ceil(n / (size * WIDER)), min(math.ceil(n / size), PAIR_BLOCKS))
+
+
 @dataclass
 class Points:
     """Points written with an id of their own: rows (id, key, x, ...), how many, their width."""
@@ -91,7 +100,7 @@ def numbered_points(points: DataFrame) -> Points:
 def over_block_pairs(points: Points, columns: list[str], work: Callable[[dict, dict | None], pa.Table], schema: str) -> DataFrame:
     """What work makes of every pair of blocks: of two dictionaries of arrays by column, the
     second None for a block with itself. Each pair of points is in exactly one group."""
-    blocks = max(1, math.ceil(points.n / points.per_block))
+    blocks = pair_blocks(points.n, points.width)
     mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     rows = points.rows.select("id", "x", *columns, mine.alias("_b")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     rows = rows.withColumns({"_lo": F.least("_b", "_o"), "_hi": F.greatest("_b", "_o")})
@@ -117,7 +126,8 @@ def visits(points: Points, radius: float, metric: str) -> DataFrame:
         kind, reach, unit = "euclidean", math.sqrt(2 * max(0.0, radius)), True
     else:
         kind, reach, unit = metric, radius, False
-    wanted = max(1, min(PIVOTS, points.n // points.per_block))
+    per = math.ceil(points.n / pair_blocks(points.n, points.width))
+    wanted = max(1, min(PIVOTS, points.n // per))
     chosen = points.rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("x").collect()
     pivots = np.array([r["x"] for r in chosen], float)
 
@@ -155,7 +165,6 @@ def visits(points: Points, radius: float, metric: str) -> DataFrame:
     calls = np.zeros(len(pivots), np.int64)
     for r in guests.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a pivot
         calls[r["cell"]] = r["n"]
-    per = points.per_block
     at_home = F.array(*(F.lit(int(max(1, math.ceil(s / per)))) for s in size))[F.col("cell")]
     visiting = F.array(*(F.lit(int(max(1, math.ceil(s / per)))) for s in calls))[F.col("cell")]
     mine = lambda n: F.pmod(F.xxhash64("id", F.lit(1)), n).cast("int")
@@ -272,33 +281,68 @@ def one_block(points: Points, radius: float, least: int, metric: str) -> DataFra
     return whole.applyInArrow(run, f"key {key}, label int, core boolean")
 
 
-def _least_tree(x: np.ndarray, ids: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A least spanning tree of some points, grown a point at a time: (a, b, distance)."""
-    n = len(x)
-    best = np.full(n, np.inf)
-    tied = np.zeros(n, np.int64)
-    open_ = np.ones(n, bool)
-    a, b, d = np.zeros(n - 1, np.int64), np.zeros(n - 1, np.int64), np.zeros(n - 1)
-    at = 0
-    for k in range(n - 1):
-        open_[at] = False
-        far = pair_distances(x[at : at + 1], x, metric)[0]
-        closer = open_ & (far < best)
-        best[closer], tied[closer] = far[closer], at
-        at = int(np.where(open_, best, np.inf).argmin())
-        a[k], b[k], d[k] = ids[tied[at]], ids[at], best[at]
-    return a, b, d
-
-
-def tree_links(points: Points, metric: str) -> DataFrame:
-    """(a, b, d): the least spanning trees of all pairs of blocks. Two points that some pairs of
-    at most any distance connect are connected by such links as well, as each pair of points
-    lies in a pair of blocks whose tree connects them by nothing longer."""
-
-    def work(one: dict, two: dict | None) -> pa.Table:
-        ids = one["id"] if two is None else np.concatenate((one["id"], two["id"]))
-        x = one["x"] if two is None else np.concatenate((one["x"], two["x"]))
-        a, b, d = _least_tree(x, ids, metric) if len(x) > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"a": a, "b": b, "d": d})
-
-    return over_block_pairs(points, [], work, "a long, b long, d double")
+def apart(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of rows of x to the same rows of y, the same to the last bit from either side."""
+    if metric in ("euclidean", "l2"):
+        return np.sqrt(((x - y) ** 2).sum(-1))
+    if metric in ("manhattan", "cityblock", "l1"):
+        return np.abs(x - y).sum(-1)
+    if metric == "chebyshev":
+        return np.abs(x - y).max(-1)
+    if metric == "cosine":
+        a, b = (v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-300) for v in (x, y))
+        return np.maximum(1 - (a * b).sum(-1), 0)
+    raise ValueError(f"no such metric: {metric}")
+
+
+def least_of_rows(d: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k least values of each row, by way of the least of every 32 columns."""
+    m = d.shape[1]
+    if k == 1:
+        return d.argmin(1)[:, None]
+    if m <= 64 * k:
+        return np.argpartition(d, k - 1, axis=1)[:, :k] if k < m else np.tile(np.arange(m), (len(d), 1))
+    whole = m // 32 * 32
+    lots = d[:, :whole].reshape(len(d), -1, 32)
+    some = np.argpartition(lots.min(2), k - 1, axis=1)[:, :k]
+    of = (some[:, :, None] * 32 + np.arange(32)).reshape(len(d), -1)
+    of = np.concatenate((of, np.tile(np.arange(whole, m), (len(d), 1))), 1)
+    at = np.argpartition(np.take_along_axis(d, of, 1), k - 1, axis=1)[:, :k]
+    return np.take_along_axis(of, at, 1)
+
+
+def nearest(asking: DataFrame, points: DataFrame, m: int, n: int, width: int, column: str, k: int, far: Callable[[dict, slice, dict], np.ndarray], exact: Callable[[dict, np.ndarray, dict, np.ndarray], np.ndarray]) -> DataFrame:
+    """(id, near): of each of m asking rows (id, x, column) the k nearest of n points of the same
+    columns, as an array of (d, to) in order; fewer where there are no more.
+
+    Pairs of blocks are groups. far gives distances of some asking rows to all points of a group,
+    infinite for those that don't count; exact gives them for chosen pairs, the same from either
+    side. Ties go by the hash of the point's id, so that points in a row don't all name the one
+    before."""
+    q, p = pair_blocks(m, width), pair_blocks(n, width)
+    mine = lambda count: F.pmod(F.xxhash64("id", F.lit(2)), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    chosen = ["id", "x", F.col(column).alias("c"), F.xxhash64("id").alias("o")]
+    rows = asking.select(*chosen, F.lit(False).alias("home"), mine(q).alias("q"), every(p).alias("p"))
+    rows = rows.unionByName(points.select(*chosen, F.lit(True).alias("home"), mine(p).alias("p"), every(q).alias("q")))
+    kind = pa.schema([("id", pa.int64()), ("to", pa.list_(pa.int64())), ("d", pa.list_(pa.float64()))])
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        home, guests = halves(table.sort_by([("o", "ascending"), ("id", "ascending")]), ["c"])
+        ids, to, d = [], [], []
+        size = max(1, 4_000_000 // max(1, len(home["id"])))
+        for start in range(0, len(guests["id"]) if len(home["id"]) else 0, size):
+            at = slice(start, min(len(guests["id"]), start + size))
+            found = far(guests, at, home)
+            near = least_of_rows(found, min(k, found.shape[1]))
+            real = np.isfinite(np.take_along_axis(found, near, 1))
+            lengths = exact(guests, np.arange(at.start, at.stop)[:, None], home, near)
+            ids += guests["id"][at].tolist()
+            to += [home["id"][j[r]] for j, r in zip(near, real)]
+            d += [v[r] for v, r in zip(lengths, real)]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((ids, to, d), kind)], schema=kind)
+
+    found = rows.groupBy("q", "p").applyInArrow(run, "id long, to array<long>, d array<double>")
+    pairs = F.zip_with("d", "to", lambda d, to: F.struct(d.alias("d"), F.xxhash64(to).alias("o"), to.alias("to")))
+    best = F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k)
+    return found.groupBy("id").agg(F.transform(best, lambda e: F.struct(e["d"].alias("d"), e["to"].alias("to"))).alias("near"))
