@@ -119,9 +119,20 @@ def over_block_pairs(points: Points, columns: list[str], work: Callable[[dict, d
     return rows.groupBy("_lo", "_hi").applyInArrow(run, schema)
 
 
-def visits(points: Points, radius: float, metric: str) -> DataFrame:
-    """(id, x, cell, home, h, v): groups (cell, h, v) such that each point meets, as a visitor,
-    every point within the radius exactly once, among the points at home there."""
+@dataclass
+class Grid:
+    """rows (id, x, cell, home, h, v): groups (cell, h, v) such that each point meets, as a
+    visitor, every point within a radius exactly once, among the points at home there; but for
+    cells that lie within the radius as a whole, which it doesn't visit: sure (id, cells, n) has
+    them and the number of points at home in them. homes (id, cell)."""
+
+    rows: DataFrame
+    sure: DataFrame
+    homes: DataFrame
+
+
+def visits(points: Points, radius: float, metric: str) -> Grid:
+    """Which cells around some pivots each point has to visit, by the triangle inequality."""
     if metric == "cosine":  # no metric itself; unit vectors have the distance sqrt(2 c)
         kind, reach, unit = "euclidean", math.sqrt(2 * max(0.0, radius)), True
     else:
@@ -149,13 +160,25 @@ def visits(points: Points, radius: float, metric: str) -> DataFrame:
     for r in homes.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect():  # a row a pivot
         size[r["cell"]], span[r["cell"]] = r["n"], r["far"]
     slack = 1e-6 * (1.0 + float(span.max(initial=0.0)) + reach)  # for the rounding of distances
+    within = lambda d: (d + span[None] <= reach - slack) & (size[None] > 0)
+    kept = pa.schema([("id", pa.int64()), ("cells", pa.list_(pa.int32())), ("n", pa.int64())])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sure = within(pair_distances(shaped(matrix(b.column(1))), pivots, kind))
+                of = np.flatnonzero(sure.any(1))
+                columns = [b.column(0).take(pa.array(of)), pa.array([np.flatnonzero(r).astype(np.int32) for r in sure[of]], kept.field(1).type), pa.array(sure[of] @ size, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, schema=kept)
+
+    sure = written(points.rows.select("id", "x").mapInArrow(settle, "id long, cells array<int>, n long"), "sure")
     toured = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.float64())), ("cell", pa.int32())])
 
     def tour(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 d = pair_distances(shaped(matrix(b.column(1))), pivots, kind)
-                go = (d <= d.min(1, keepdims=True) + 2 * reach + slack) & (d <= span[None] + reach + slack) & (size[None] > 0)
+                go = (d <= d.min(1, keepdims=True) + 2 * reach + slack) & (d <= span[None] + reach + slack) & (size[None] > 0) & ~within(d)
                 row, cell = np.nonzero(go)
                 for k in range(0, len(row), 4096):
                     at = pa.array(row[k : k + 4096])
@@ -171,7 +194,19 @@ def visits(points: Points, radius: float, metric: str) -> DataFrame:
     every = lambda n: F.sequence(F.lit(0), n - 1)
     a = homes.select("id", "x", "cell", F.lit(True).alias("home"), mine(at_home).alias("h"), F.explode(every(visiting)).alias("v"))
     b = guests.select("id", "x", "cell", F.lit(False).alias("home"), mine(visiting).alias("v"), F.explode(every(at_home)).alias("h"))
-    return a.unionByName(b)
+    visited = F.array(*(F.lit(bool(c)) for c in calls))[F.col("cell")]
+    return Grid(a.where(visited).unionByName(b), sure, homes.select("id", "cell"))
+
+
+def cell_links(grid: Grid, counts: DataFrame) -> DataFrame:
+    """(a, b): links that join a core point to all core points of each cell that lies within the
+    radius of it as a whole; counts (id, core)."""
+    core = counts.where("core").select("id")
+    first = F.broadcast(grid.homes.join(core, "id").groupBy("cell").agg(F.min("id").alias("b")))  # a row a pivot
+    calls = grid.sure.join(core, "id").select("id", F.explode("cells").alias("cell"))
+    met = F.broadcast(calls.select("cell").distinct())
+    members = grid.homes.join(core, "id").join(met, "cell")
+    return calls.unionByName(members.select("id", "cell")).join(first, "cell").select(F.col("id").alias("a"), "b").distinct()
 
 
 def halves(table: pa.Table, columns: list[str]) -> tuple[dict, dict]:
