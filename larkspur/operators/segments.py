@@ -308,6 +308,7 @@ def dataset_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
     x = lambda c: F.col(c).cast("double")
     if not own:
         return df.sparkSession.createDataFrame([], "feature string, mean double, median double, std double")
+    df = written(df.select(*own), "columns")  # read several times
     rows = stacked(df, own, {"n": lambda c: F.count(c), "mean": lambda c: F.avg(x(c)), "std": lambda c: F.stddev_samp(x(c))}, "column")
     found = with_quantiles(rows, df, own, {"median": 0.5}).where("n > 0")
     return found.select(F.col("column").alias("feature"), "mean", "median", "std")
