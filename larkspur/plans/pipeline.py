@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +22,30 @@ class Plan:
     scaler: str = "robust"
 
 
-def segment_customers(raw: DataFrame, root: str | None = None, plan: Plan | None = None) -> dict[str, DataFrame | dict]:
-    """clean, features, matrix, labels, metrics, profiles, names and final definitions.
+class Quality(Mapping):
+    """The metrics of labelled points by name, computed when they are first read: a silhouette
+    compares all pairs of points, and names and definitions don't ask for it."""
+
+    def __init__(self, scored: DataFrame):
+        self.scored = scored
+
+    @cached_property
+    def found(self) -> dict[str, object]:
+        return metrics.internal_metrics(self.scored).first().asDict() | {"silhouette": metrics.silhouette(self.scored).first()[0]}
+
+    def __getitem__(self, name: str) -> object:
+        return self.found[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.found)
+
+    def __len__(self) -> int:
+        return len(self.found)
+
+
+def segment_customers(raw: DataFrame, root: str | None = None, plan: Plan | None = None) -> dict[str, DataFrame | Mapping]:
+    """clean, features, matrix, labels, metrics, profiles, names and final definitions; metrics
+    are computed when they are read.
 
     With a root each of the first four is written under its content id; a run with the same
     input and plan finds them there."""
@@ -42,8 +66,7 @@ def segment_customers(raw: DataFrame, root: str | None = None, plan: Plan | None
     matrix = fitted.apply(found).select(F.col(features.KEY).alias("key"), F.array(*(F.col(c).cast("double") for c in p.columns)).alias("x"))
     matrix = kept(matrix, "preprocessed", "matrix")
     labels = kept(cluster.make(p.algorithm, **dict(p.params)).fit(matrix).labels.select("key", "label"), "clustering", "labels")
-    scored = matrix.join(labels, "key")
-    quality = metrics.internal_metrics(scored).first().asDict() | {"silhouette": metrics.silhouette(scored).first()[0]}
+    quality = Quality(matrix.join(labels, "key"))
     points = found.join(labels, found[features.KEY] == labels["key"]).drop("key")
     profiles = segments.feature_profiles(points, p.columns)
     relative = segments.relative_comparison(profiles)
