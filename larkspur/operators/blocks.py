@@ -39,7 +39,10 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Squared distances of rows of x to rows of c."""
-    return np.maximum((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None], 0)
+    d = x @ (-2 * c.T)
+    d += (x**2).sum(1)[:, None]
+    d += (c**2).sum(1)[None]
+    return np.maximum(d, 0, out=d)
 
 
 def pair_distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:

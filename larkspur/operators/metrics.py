@@ -109,42 +109,55 @@ def quality_by_model(points: DataFrame, ks: Sequence[int]) -> list[tuple]:
     return out
 
 
-def _distance_sums(points: blocks.Points, metric: str) -> DataFrame:
-    """(model, id, label, c, s): of each point with `labels`, an array with a label for each
-    model, the sum of its distances to the points of each cluster c of a model. Every pair of
-    blocks is one group, whose distances serve all models; noise is left out."""
-    kind = pa.schema([("model", pa.int32()), ("id", pa.int64()), ("label", pa.int64()), ("c", pa.int64()), ("s", pa.float64())])
+#: Rows of two blocks whose distances are made at once: what a core's cache holds.
+TILE = 512
 
-    def labels_of(part: dict) -> np.ndarray:
-        column = part["labels"].combine_chunks() if isinstance(part["labels"], pa.ChunkedArray) else part["labels"]
-        return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(part["id"]), -1)
+
+def _labels(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The rows of an Arrow column of arrays of labels, one for each model."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), -1)
+
+
+def _distance_sums(points: blocks.Points, metric: str, clusters: Sequence[np.ndarray]) -> DataFrame:
+    """(id, s): of each point with `labels`, an array with a label for each model, the sums of
+    its distances to the points of each cluster of each model, in their order.
+
+    Every pair of blocks is one group, whose distances are made once and serve both blocks and
+    all models; a group gives a row a point, and Spark adds a point's rows up."""
+    starts = np.cumsum([0, *map(len, clusters)])
+    kind = pa.schema([("id", pa.int64()), ("s", pa.list_(pa.float64()))])
+
+    def hot(labels: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(labels), starts[-1]))
+        for t, (names, start) in enumerate(zip(clusters, starts)):
+            real = np.flatnonzero(labels[:, t] != NOISE)
+            out[real, start + np.searchsorted(names, labels[real, t])] = 1
+        return out
 
     def work(one: dict, two: dict | None) -> pa.Table:
-        found = []
-        for mine, other in ((one, one),) if two is None else ((one, two), (two, one)):
-            if not len(mine["id"]) or not len(other["id"]):
-                continue
-            la, lb = labels_of(mine), labels_of(other)
-            models = []
-            for t in range(lb.shape[1]):
-                names = np.unique(lb[:, t][lb[:, t] != NOISE])
-                models.append((names, (lb[:, t][:, None] == names[None]).astype(float)))
-            for at, d in blocks.strips(mine["x"], other["x"], metric):
-                if mine is other:
-                    d[np.arange(len(d)), np.arange(at.start, at.stop)] = 0.0
-                for t, (names, hot) in enumerate(models):
-                    real = np.flatnonzero(la[at, t] != NOISE)
-                    if not len(names) or not len(real):
+        sides = [one] if two is None else [one, two]
+        x, y = sides[0]["x"], sides[-1]["x"]
+        hots = [hot(_labels(side["labels"])) if len(side["id"]) else np.zeros((0, starts[-1])) for side in sides]
+        sums = [np.zeros_like(z) for z in hots]
+        for i in range(0, len(x), TILE):
+            for j in range(i if two is None else 0, len(y), TILE):
+                for at, d in blocks.strips(x[i : i + TILE], y[j : j + TILE], metric):
+                    rows = slice(i + at.start, i + at.stop)
+                    if two is None and i == j:  # the tile has both directions
+                        d[np.arange(len(d)), np.arange(at.start, at.stop)] = 0.0
+                        sums[0][rows] += d @ hots[0][j : j + TILE]
                         continue
-                    sums = d[real] @ hot
-                    ids, own = mine["id"][at][real], la[at, t][real]
-                    k = len(names)
-                    found.append((np.full(len(ids) * k, t, np.int32), np.repeat(ids, k), np.repeat(own, k), np.tile(names, len(ids)), sums.ravel()))
-        columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(5)]
-        return pa.Table.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, kind)], schema=kind)
+                    sums[0][rows] += d @ hots[-1][j : j + TILE]
+                    sums[-1][j : j + TILE] += d.T @ hots[0][rows]
+        s = np.concatenate(sums)
+        bounds = pa.array(np.arange(len(s) + 1) * starts[-1], pa.int32())
+        return pa.Table.from_arrays([pa.array(np.concatenate([side["id"] for side in sides])), pa.ListArray.from_arrays(bounds, pa.array(s.ravel()))], schema=kind)
 
-    rows = blocks.over_block_pairs(points, ["labels"], work, "model int, id long, label long, c long, s double")
-    return rows.groupBy("model", "id", "label", "c").agg(F.sum("s").alias("s"))
+    rows = blocks.over_block_pairs(points, ["labels"], work, "id long, s array<double>")
+    added = F.aggregate(F.collect_list("s"), F.array_repeat(F.lit(0.0), int(starts[-1])), lambda a, b: F.zip_with(a, b, lambda u, v: u + v))
+    return rows.groupBy("id").agg(added.alias("s"))
 
 
 def silhouettes_by_model(points: DataFrame, metric: str = "euclidean") -> DataFrame:
@@ -152,18 +165,40 @@ def silhouettes_by_model(points: DataFrame, metric: str = "euclidean") -> DataFr
     model: exact mean distances, 0 in a cluster of one, NULL with fewer than two clusters.
 
     All points meet all points, which is what the metric is: as pairs of blocks of bounded
-    size, whose partial sums Spark adds. Nothing but cluster sizes is broadcast."""
+    size, whose partial sums Spark adds. Only sizes of clusters are known to every task."""
     held = blocks.numbered_points(points.select("key", "labels", "x"))
-    sums = _distance_sums(held, metric)
     each = held.rows.select(F.posexplode("labels").alias("model", "c")).where(F.col("c") != NOISE)
-    sizes = F.broadcast(each.groupBy("model", F.col("c").cast("long").alias("c")).agg(F.count(F.lit(1)).alias("n")))  # a row a cluster
-    own = F.col("c") == F.col("label")
-    g = sums.join(sizes, ["model", "c"]).groupBy("model", "id", "label").agg(
-        F.max(F.when(own, F.col("n"))).alias("n"), F.max(F.when(own & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b")
-    )
-    value = F.when(F.col("b").isNull(), F.lit(None)).when(F.col("n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    g = g.withColumn("silhouette", value.cast("double"))
-    return g.join(held.rows.select("id", "key"), "id").select("model", "key", "label", "silhouette")
+    found = sorted((r["model"], r["c"], r["n"]) for r in each.groupBy("model", "c").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a cluster
+    models = range(max((m for m, _, _ in found), default=-1) + 1)
+    clusters = [np.array([c for m, c, _ in found if m == t], np.int64) for t in models]
+    sizes = [np.array([n for m, _, n in found if m == t], float) for t in models]
+    starts = np.cumsum([0, *map(len, clusters)])
+    key = held.rows.schema["key"]
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows or not clusters:
+                continue
+            labels, s = _labels(b.column(1)), blocks.matrix(b.column(2))
+            for t, (names, n) in enumerate(zip(clusters, sizes)):
+                real = np.flatnonzero(labels[:, t] != NOISE)
+                if not len(real):
+                    continue
+                label, sums = labels[real, t], s[real, starts[t] : starts[t + 1]]
+                row, own = np.arange(len(real)), np.searchsorted(names, label)
+                inside = sums[row, own] / np.maximum(n[own] - 1, 1)
+                means = sums / n
+                means[row, own] = np.inf
+                outside = means.min(1)
+                top = np.maximum(inside, outside)
+                with np.errstate(invalid="ignore"):
+                    value = np.where((n[own] == 1) | (top == 0), 0.0, (outside - inside) / np.where(top == 0, 1.0, top))
+                value = pa.array(value, mask=np.full(len(real), len(names) < 2))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(real), t, np.int32)), b.column(0).take(pa.array(real)), pa.array(label), value], names=["model", "key", "label", "silhouette"])
+
+    sums = _distance_sums(held, metric, clusters)
+    rows = held.rows.select("id", "key", "labels").join(sums, "id").select("key", "labels", "s")
+    return rows.mapInArrow(valued, f"model int, key {key.dataType.simpleString()}, label long, silhouette double")
 
 
 def silhouette_samples(points: DataFrame, key: str = "key", label: str = "label", x: str = "x", metric: str = "euclidean") -> DataFrame:
