@@ -46,12 +46,13 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if int(v.max()) >> 60:
         raise ValueError("an id has more than 60 bits")
     blocks = -(-n // BLOCK)
-    pad = int(COUNTS[0])
-    grid = np.zeros((blocks, BLOCK + pad), np.uint64)
-    full = np.zeros(blocks * BLOCK, np.uint64)
-    full[:n] = v
-    grid[:, :BLOCK] = full.reshape(blocks, BLOCK)
-    bits = np.frexp(np.minimum(grid, np.uint64(1 << 30)).astype(np.float64))[1].astype(np.uint8)  # 31: an escape
+    wide = BLOCK + int(COUNTS[0])  # a word may look beyond its block, where ids are zeros
+    grid = np.zeros((blocks, wide), np.uint64)
+    bits = np.zeros((blocks, wide), np.uint8)
+    for to, ids_of in ((grid, v), (bits, np.frexp(np.minimum(v, np.uint64(1 << 30)).astype(np.float64))[1].astype(np.uint8))):  # 31 bits: an escape
+        full = n // BLOCK
+        to[:full, :BLOCK] = ids_of[: full * BLOCK].reshape(full, BLOCK)
+        to[full:, : n - full * BLOCK] = ids_of[full * BLOCK :]
     selector = np.full((blocks, BLOCK), 15, np.int8)
     most = np.zeros((blocks, BLOCK), np.uint8)  # bits of the widest of the next `seen` ids
     seen = 0
@@ -62,31 +63,30 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fits = most <= np.uint8(BITS[s])
         if not fits[:, : BLOCK // 2].any():  # at a block's end padding fits everything
             break
-        selector[fits] = s
+        np.copyto(selector, np.int8(s), where=fits)
     sizes = np.full(blocks, BLOCK, np.int64)
     sizes[-1] = n - (blocks - 1) * BLOCK
-    at = np.zeros(blocks, np.int64)
-    live = np.arange(blocks)
-    starts: list[np.ndarray] = []
-    owners: list[np.ndarray] = []
-    while len(live):
-        owners.append(live)
-        starts.append(at[live].copy())
-        at[live] += COUNTS[selector[live, at[live]]]
-        live = live[at[live] < sizes[live]]
-    owner, start = np.concatenate(owners), np.concatenate(starts)
-    order = np.argsort(owner * BLOCK + start)
-    owner, start = owner[order], start[order]
-    chosen = selector[owner, start].astype(np.int64)
+    step = COUNTS[selector].ravel()
+    first = np.arange(blocks) * BLOCK
+    at, end = first.copy(), first + sizes
+    starts: list[np.ndarray] = []  # of a word of every block; a block that has ended stays there
+    while (at < end).any():
+        starts.append(at)
+        at = np.where(at < end, at + step[np.minimum(at, len(step) - 1)], at)
+    begin = np.array(starts).T
+    begin = begin[begin < end[:, None]]
+    owner, start = begin // BLOCK, begin % BLOCK
+    chosen = selector.ravel()[begin].astype(np.int64)
     words = chosen.astype(np.uint64)
+    flat, place = grid.ravel(), owner * wide + start
     for s in np.unique(chosen):
         if s < 2:
             continue
         rows = np.flatnonzero(chosen == s)
-        k = np.arange(COUNTS[s])
-        part = grid[owner[rows, None], start[rows, None] + k]
-        shifts = (4 + k * BITS[s]).astype(np.uint64)
-        words[rows] |= np.bitwise_or.reduce(part << shifts, axis=1)
+        own, from_ = words[rows], place[rows]
+        for k in range(COUNTS[s]):
+            own |= flat[from_ + k] << np.uint64(4 + k * BITS[s])
+        words[rows] = own
     return words, np.searchsorted(owner, np.arange(blocks)).astype(np.int32)
 
 
