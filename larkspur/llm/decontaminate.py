@@ -238,6 +238,7 @@ def contamination(
     """
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "hits", "items")]
+    sent = [c for c in keep if c != text_col]  # beside the text, which is sent once
     made = (Windows.of(items, width) for items in _items(benchmark, item_col, item_text_col, block_bytes))
     blocks = Blocks(spark, (w for w in made if len(w.words)))
     counts = shingle_counts(docs, text_col, blocks) if blocks.held else []
@@ -269,11 +270,12 @@ def contamination(
                 n_words = [len(plain_words(t)) for t in texts_in(batch.column(0))]
             hits = [[{"start": s, "end": e} for s, e in merged(x)] for x in spans]
             columns = [pa.array(n_words, pa.int64()), pa.array(hits, hit_type), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*keep, "n_words", "hits", "items"])
+            own_columns = dict(zip([text_col, *sent], batch.columns))
+            yield pa.RecordBatch.from_arrays([*(own_columns[c] for c in keep), *columns], [*keep, "n_words", "hits", "items"])
 
     run_type = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = docs.select(*keep).schema.add("n_words", "long").add("hits", T.ArrayType(run_type)).add("items", T.ArrayType(T.StringType()))
-    return docs.select(F.col(text_col).alias("_text"), *keep).mapInArrow(lean(run), schema)
+    return docs.select(text_col, *sent).mapInArrow(lean(run), schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
