@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, lean, read_back, scratch_dir, split_join, texts_in
+from .common import delete, lean, read_back, scratch_dir, shuffles_deleted, split_join, texts_in
 from .labels import labelled, logistic, sampled, training_labels
 from .words import WordHashes, WordIds, mixed, plain_words
 
@@ -38,6 +38,9 @@ DISCOUNT = 1.0
 START = np.uint64(0x5354415254)
 #: Pairs with one word from which on the word's row is taken to the pairs, if it has a large share of all pairs.
 PAIR_ROWS = 100_000
+#: Parts of the pairs, by hash, that are counted one after the other: the texts are read once
+#: for each, and only one part's counts are in shuffle files at a time.
+PAIR_PARTS = 2
 #: Rows of a block of the model; a worker that needs several blocks holds one at a time.
 BLOCK_ROWS = 2**20
 #: Words of texts that are looked up together, and counted together.
@@ -205,10 +208,11 @@ def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(mixed(before * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x165667B19E3779F9)) ^ words)
 
 
-def pair_counts(rows: DataFrame) -> DataFrame:
+def pair_counts(rows: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
     """h, w, c and n: occurrences of word hash w after h in c, twice the fold and 1 if ordinary.
 
-    Counts all rows (text, label, fold); a triple may have several counts, to be added."""
+    Counts all rows (text, label, fold); a triple may have several counts, to be added. Of
+    several parts, each has the pairs of its share of the hashes, and no other part has them."""
     schema = pa.schema([(c, pa.int64()) for c in "hwcn"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,9 +221,12 @@ def pair_counts(rows: DataFrame) -> DataFrame:
         size = 0
 
         def counted() -> Iterator[pa.RecordBatch]:
-            for c, parts in sorted(held.items()):
-                before, words = np.concatenate([preceding(p) for p in parts]), np.concatenate(parts)
-                _, at, n = np.unique(pair_keys(before, words), return_index=True, return_counts=True)
+            for c, texts in sorted(held.items()):
+                before, words = np.concatenate([preceding(p) for p in texts]), np.concatenate(texts)
+                keys = pair_keys(before, words)
+                own = keys % np.uint64(parts) == part
+                before, words = before[own], words[own]
+                _, at, n = np.unique(keys[own], return_index=True, return_counts=True)
                 for k in range(0, len(at), 50_000):
                     x = at[k : k + 50_000]
                     columns = before[x].view(np.int64), words[x].view(np.int64), np.full(len(x), c, np.int64), n[k : k + 50_000]
@@ -244,8 +251,8 @@ def pair_counts(rows: DataFrame) -> DataFrame:
 CONTEXT, PAIR, CONTINUED = 0, 1, 2
 
 
-def pair_model(pairs: DataFrame, scratch: list[str] | None = None) -> DataFrame:
-    """What the pairs of pair_counts say, as rows of three kinds, with a value a model in v.
+def pair_model(pairs: DataFrame | Iterable[DataFrame], scratch: list[str] | None = None) -> DataFrame:
+    """What the pairs of pair_counts, or of all of its parts, say, as rows of three kinds, with a value a model in v.
 
     CONTEXT: key of a word, and the log-ratio of what its discounts free in either class.
     PAIR: key of a pair, its word w, and the pair's discounted shares over the freed ones:
@@ -257,7 +264,9 @@ def pair_model(pairs: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     word in a task, as words with many followers are joined where their pairs are. Tables that
     the rows are read from are added to `scratch`, to be deleted once the rows are written.
     """
-    spark = pairs.sparkSession
+    parts = iter([pairs] if isinstance(pairs, DataFrame) else pairs)
+    first = next(parts)
+    spark = first.sparkSession
     scratch = [] if scratch is None else scratch
 
     def kept_table(df: DataFrame, name: str) -> DataFrame:
@@ -265,8 +274,11 @@ def pair_model(pairs: DataFrame, scratch: list[str] | None = None) -> DataFrame:
         return read_back(df, scratch[-1])
 
     kinds = range(2 * FOLDS)
-    by_kind = (F.sum(F.when(F.col("c") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in kinds)
-    sums = kept_table(pairs.groupBy("h", "w").agg(*by_kind), "pair-sums")
+    by_kind = [F.sum(F.when(F.col("c") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in kinds]
+    sums = kept_table(first.groupBy("h", "w").agg(*by_kind), "pair-sums")
+    for part in parts:  # each pair is in one part only
+        part.groupBy("h", "w").agg(*by_kind).write.mode("append").parquet(scratch[-1])
+    sums = spark.read.schema(sums.schema).parquet(scratch[-1])
     after = kept_table(sums.groupBy("h").agg(*(F.sum(f"n{k}").alias(f"of{k}") for k in kinds), F.count("*").alias("followers")), "contexts")
     # The discount is at least DISCOUNT occurrences in either class.
     often = sums.where(F.greatest(*(c[0] for c in _by_model("n"))) > DISCOUNT)
@@ -310,6 +322,11 @@ def _by_model(name: str) -> list[list[Column]]:
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "doc_id", text_col: str = "text") -> Ratios:
     """The model of all training rows. With one class only, every ratio is neutral. A repeated
     document counts as often as it occurs; a key with several labels as toxic if any is."""
+    with shuffles_deleted(docs.sparkSession):
+        return _fitted(docs, labels, column, key, text_col)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, column: str, key: str, text_col: str) -> Ratios:
     chosen = training_labels(labels, column, key).withColumn("label", (F.col("label") > 0).cast("int"))
     chosen = chosen.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int"))
     rows = labelled(docs, chosen, key, text_col)
@@ -317,7 +334,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "d
     spark = docs.sparkSession
     paths = {name: scratch_dir(spark, name) for name in ("pair-model", "word-counts", "word-model")}
     done: list[str] = []
-    pairs = read_back(pair_model(pair_counts(rows), done), paths["pair-model"])
+    counted = (pair_counts(rows, k, PAIR_PARTS) for k in range(PAIR_PARTS))
+    pairs = read_back(pair_model(counted, done), paths["pair-model"])
     for path in done:
         delete(spark, path)
     part = lambda k: F.sum(F.col("v")[k].cast("double"))
