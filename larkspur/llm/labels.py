@@ -31,10 +31,10 @@ def sampled(labels: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
     return labels.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(2**31)) < cut)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, text, label) of the documents with a training label."""
+def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text", n: int | None = None) -> DataFrame:
+    """(key, text, label) of the documents with a training label; n is the number of labels, if known."""
     texts = docs.select(F.col(key), F.col(text_col).alias("text"))
-    return texts.join(small(labels, labels.count()), key)
+    return texts.join(small(labels, labels.count() if n is None else n), key)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, lean, read_back, scratch_dir, shuffles_deleted, split_join, texts_in
+from .common import BROADCAST_ROWS, delete, lean, read_back, scratch_dir, shuffles_deleted, split_join, texts_in
 from .labels import labelled, logistic, sampled, training_labels
 from .words import WordHashes, WordIds, mixed, plain_words
 
@@ -329,11 +329,15 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "d
 def _fitted(docs: DataFrame, labels: DataFrame, column: str, key: str, text_col: str) -> Ratios:
     chosen = training_labels(labels, column, key).withColumn("label", (F.col("label") > 0).cast("int"))
     chosen = chosen.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int"))
-    rows = labelled(docs, chosen, key, text_col)
+    n_labels = chosen.count()
+    rows = labelled(docs, chosen, key, text_col, n_labels)
     sample = labelled(docs, sampled(chosen, CALIBRATION_ROWS, key), key, text_col)
     spark = docs.sparkSession
     paths = {name: scratch_dir(spark, name) for name in ("pair-model", "word-counts", "word-model")}
     done: list[str] = []
+    if n_labels > BROADCAST_ROWS:  # all texts are shuffled to their labels: once, and before the pairs are
+        done.append(scratch_dir(spark, "training-rows"))
+        rows = read_back(rows.select("text", "label", "fold"), done[-1])
     counted = (pair_counts(rows, k, PAIR_PARTS) for k in range(PAIR_PARTS))
     pairs = read_back(pair_model(counted, done), paths["pair-model"])
     for path in done:

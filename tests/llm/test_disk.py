@@ -6,6 +6,7 @@ import random
 import time
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm import toxicity
@@ -72,3 +73,17 @@ def test_shuffle_files_go_with_their_query(spark, monkeypatch):
     assert made["parts"] > 1 and len(left) > 5, left
     assert max(left) < 20_000  # one part's counts are 200 kB; totals of a row each stay
     assert spark.conf.get(setting, None) == was
+
+
+def test_texts_meet_many_labels_once(spark, monkeypatch):
+    docs, labels = docs_of(spark, 150)
+    written, deleted, got = [], [], []
+    read_back, delete = toxicity.read_back, toxicity.delete
+    monkeypatch.setattr(toxicity, "read_back", lambda df, path: (written.append(path), read_back(df, path))[1])
+    monkeypatch.setattr(toxicity, "delete", lambda session, path: (deleted.append(path), delete(session, path))[1])
+    for bound in (toxicity.BROADCAST_ROWS, 10):
+        monkeypatch.setattr(toxicity, "BROADCAST_ROWS", bound)
+        got.append({r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()})
+    assert got[1] == pytest.approx(got[0], abs=1e-9)
+    assert sum("training-rows" in p for p in written) == 1
+    assert set(written) <= set(deleted)
