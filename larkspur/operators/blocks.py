@@ -334,17 +334,17 @@ def apart(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
 
 
 def least_of_rows(d: np.ndarray, k: int) -> np.ndarray:
-    """The columns of the k least values of each row, by way of the least of every 32 columns."""
+    """The columns of the k least values of each row, by way of the least of every 32 columns,
+    a 32nd part of the row's width apart."""
     m = d.shape[1]
     if k == 1:
         return d.argmin(1)[:, None]
     if m <= 64 * k:
         return np.argpartition(d, k - 1, axis=1)[:, :k] if k < m else np.tile(np.arange(m), (len(d), 1))
-    whole = m // 32 * 32
-    lots = d[:, :whole].reshape(len(d), -1, 32)
-    some = np.argpartition(lots.min(2), k - 1, axis=1)[:, :k]
-    of = (some[:, :, None] * 32 + np.arange(32)).reshape(len(d), -1)
-    of = np.concatenate((of, np.tile(np.arange(whole, m), (len(d), 1))), 1)
+    lots = m // 32
+    some = np.argpartition(d[:, : 32 * lots].reshape(len(d), 32, lots).min(1), k - 1, axis=1)[:, :k]
+    of = (some[:, None, :] + (np.arange(32) * lots)[None, :, None]).reshape(len(d), -1)
+    of = np.concatenate((of, np.tile(np.arange(32 * lots, m), (len(d), 1))), 1)
     at = np.argpartition(np.take_along_axis(d, of, 1), k - 1, axis=1)[:, :k]
     return np.take_along_axis(of, at, 1)
 
@@ -384,3 +384,100 @@ def nearest(asking: DataFrame, points: DataFrame, m: int, n: int, width: int, co
     pairs = F.zip_with("d", "to", lambda d, to: F.struct(d.alias("d"), F.xxhash64(to).alias("o"), to.alias("to")))
     best = F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k)
     return found.groupBy("id").agg(F.transform(best, lambda e: F.struct(e["d"].alias("d"), e["to"].alias("to"))).alias("near"))
+
+
+#: Distances that are made at once.
+AT_ONCE = 8_000_000
+
+
+def wide_block(width: int) -> int:
+    """Clusters of a block at most, whose distances no task keeps."""
+    return 2 * WIDER * block_size(width)
+
+
+def ward_closest(x: np.ndarray, c: np.ndarray, ids: np.ndarray, y: np.ndarray, m: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(columns, d, low): of each cluster (centre x, size c, id) k of the clusters (y, m, others)
+    other than itself, their squared Ward distances, infinite where there are no more, and what
+    all that are not among them are apart at least; one of the k is the nearest.
+
+    Single precision tells which k may be nearest, about the centres' mean and to a scale, so
+    that its error has a bound; their distances are exact. Where that bound leaves the nearest
+    open, double precision decides."""
+    order = np.argsort(others)
+    at = order[np.minimum(np.searchsorted(others, ids, sorter=order), len(others) - 1)]
+    own = np.where(others[at] == ids, at, -1)
+    middle = y.mean(0)
+    a, b = x - middle, y - middle
+    scale = max(np.abs(a).max(), np.abs(b).max()) or 1.0
+    a /= scale
+    b /= scale
+    a2, b2 = (a**2).sum(1), (b**2).sum(1)
+    u, v = 0.5 / c, 0.5 / m
+    slack = (x.shape[1] + 10) * 2.0**-23 * (np.sqrt(a2) + np.sqrt(b2.max())) ** 2 / (u + v.min())
+    a = np.column_stack((-2 * a, a2, np.ones(len(a)))).astype(np.float32)
+    b = np.ascontiguousarray(np.column_stack((b, np.ones(len(b)), b2)).astype(np.float32).T)
+    single = bool(c.max() == 1 and m.max() == 1)
+    u4, v4 = u.astype(np.float32), v.astype(np.float32)
+    k = min(k, len(y))
+    columns, d, low = np.empty((len(x), k), np.int64), np.empty((len(x), k)), np.empty(len(x))
+
+    def exact(rows: np.ndarray, near: np.ndarray) -> np.ndarray:
+        found = ((x[rows, None] - y[near]) ** 2).sum(-1) / (u[rows, None] + v[near])
+        found[near == own[rows, None]] = np.inf
+        return found
+
+    def screened(rows: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """The greatest of the k least values of far, whose columns are kept."""
+        of = np.flatnonzero(own[rows] >= 0)
+        far[of, own[rows[of]]] = np.inf
+        columns[rows] = near = least_of_rows(far, k)
+        d[rows] = exact(rows, near)
+        return np.take_along_axis(far, near, 1).max(1) if k < len(y) else np.full(len(rows), np.inf)
+
+    size = max(1, AT_ONCE // len(y))
+    room, parts = (np.empty((min(size, len(x)), len(y)), np.float32) for _ in range(2))  # made once: large arrays are slow to make
+    for start in range(0, len(x), size):
+        rows = np.arange(start, min(len(x), start + size))
+        far = np.matmul(a[rows], b, out=room[: len(rows)])
+        if not single:
+            far /= np.add(u4[rows, None], v4, out=parts[: len(rows)])
+        low[rows] = scale**2 * (screened(rows, far) - slack[rows])
+    open_ = np.flatnonzero(d.min(1) > low)
+    for start in range(0, len(open_), size):
+        rows = open_[start : start + size]
+        most = screened(rows, squared(x[rows], y) / (u[rows, None] + v))
+        low[rows] = np.maximum(most, d[rows].min(1))
+    return columns, d, low
+
+
+def ward_near(asking: DataFrame, clusters: DataFrame, m: int, n: int, width: int, keep: int) -> DataFrame:
+    """(id, n, low, near): of each of m asking clusters (id, n, x) up to `keep` of the n clusters
+    nearest to it, as an array of (d, o, to, m) in order, of squared Ward distance, with the size
+    of each; all others are `low` apart at least. o orders equal distances, the same from either
+    side."""
+    size = wide_block(width)
+    q = math.ceil(m / size)
+    p = max(math.ceil(n / size), min(math.ceil(2 * asking.sparkSession.sparkContext.defaultParallelism / q), math.ceil(n / 512)))
+    k = min(keep, max(4, math.ceil(2 * keep / p)))
+    mine = lambda count: F.pmod(F.xxhash64("id", F.lit(2)), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    rows = asking.select("id", "n", "x", F.lit(False).alias("home"), mine(q).alias("q"), every(p).alias("p"))
+    rows = rows.unionByName(clusters.select("id", "n", "x", F.lit(True).alias("home"), mine(p).alias("p"), every(q).alias("q")))
+    kind = pa.schema([("id", pa.int64()), ("n", pa.float64()), ("to", pa.list_(pa.int64())), ("m", pa.list_(pa.float64())), ("d", pa.list_(pa.float64())), ("low", pa.float64())])
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        home, guests = halves(table.sort_by("id"), ["n"])
+        if not len(home["id"]) or not len(guests["id"]):
+            return kind.empty_table()
+        near, d, low = ward_closest(guests["x"], guests["n"], guests["id"], home["x"], home["n"], home["id"], k)
+        bounds = pa.array(np.arange(len(d) + 1) * d.shape[1], pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(v.ravel())) for v in (home["id"][near], home["n"][near], d)]
+        return pa.Table.from_arrays([pa.array(guests["id"]), pa.array(guests["n"]), *lists, pa.array(low)], schema=kind)
+
+    found = rows.groupBy("q", "p").applyInArrow(run, "id long, n double, to array<long>, m array<double>, d array<double>, low double")
+    all_ = F.zip_with("to", "d", lambda to, d: F.struct(d.alias("d"), F.xxhash64(F.least("id", to), F.greatest("id", to)).alias("o"), to.alias("to")))
+    each = F.zip_with(all_, "m", lambda e, m: F.struct(e["d"].alias("d"), e["o"].alias("o"), e["to"].alias("to"), m.alias("m")))
+    real = F.filter(each, lambda e: e["d"] < float("inf"))
+    sorted_ = found.select("id", "n", "low", real.alias("e")).groupBy("id").agg(F.first("n").alias("n"), F.min("low").alias("low"), F.array_sort(F.flatten(F.collect_list("e"))).alias("e"))
+    low = F.when(F.size("e") > keep, F.least("low", F.try_element_at("e", F.lit(keep))["d"])).otherwise(F.col("low"))
+    return sorted_.select("id", "n", low.alias("low"), F.slice("e", 1, keep).alias("near"))
