@@ -7,7 +7,7 @@ davies_bouldin, calinski_harabasz, wcss, runtime); a missing metric is NULL.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -46,24 +46,37 @@ def run_one(points: DataFrame, algorithm: str, params: dict, repeats: int = 1, s
     return {"algorithm": algorithm, "status": "SUCCESS", "reason": None, "runtime": sum(times) / len(times), "labels": found.labels, "info": found.info, **row}
 
 
-def sweep(points: DataFrame, algorithms: Sequence[str] = ("kmeans", "agglomerative", "gmm", "fuzzy_cmeans"), ks: Sequence[int] = range(2, 11), seed: int = 42) -> DataFrame:
-    """A row for each algorithm and number of clusters.
+def sweep(points: DataFrame, algorithms: Sequence[str] = ("kmeans", "agglomerative", "dbscan", "gmm", "fuzzy_cmeans"), ks: Sequence[int] = range(2, 11), seed: int = 42, repeats: int = 1) -> DataFrame:
+    """A row for each algorithm and number of clusters; DBSCAN, which has no such number, gives
+    one row without k, that of its defaults.
 
-    Algorithms that iterate over sums advance together, in the same passes over the points, and
-    their metrics share passes as well; their runtime is an equal part of the time of all. The
-    others are fitted one by one."""
-    return fitted(points, [(f"{a}-k{k}", a, _with_k(a, k, seed)) for a in algorithms for k in ks], "sweep")
+    Algorithms that iterate over sums advance together, in the same passes over the points, all
+    numbers of clusters of agglomerative clustering are cut from one tree, and their metrics
+    share passes as well; their runtime is an equal part of the time of all. DBSCAN is fitted by
+    itself. Fits are timed `repeats` times."""
+    runs = []
+    for a in algorithms:
+        if a in WITHOUT_K:
+            runs.append((f"{a}-diagnostic", a, {}))
+        else:
+            runs += [(f"{a}-k{k}", a, _with_k(a, k, seed)) for k in ks]
+    return fitted(points, runs, "sweep", repeats)
+
+
+#: Algorithms that find the number of clusters themselves.
+WITHOUT_K = ("dbscan",)
 
 
 def _with_k(algorithm: str, k: int, seed: int) -> dict:
     return {"n_components" if algorithm == "gmm" else "n_clusters": k} | ({"random_state": seed} if cluster.REGISTRY[algorithm].random else {})
 
 
-def fitted(points: DataFrame, runs: Sequence[tuple[str, str, dict]], experiment: str) -> DataFrame:
+def fitted(points: DataFrame, runs: Sequence[tuple[str, str, dict]], experiment: str, repeats: int = 1) -> DataFrame:
     """A row of results for each run (run_id, algorithm, parameters), in their order."""
     n = points.count()
     rows: dict[str, tuple] = {}
-    shared = []
+    shared: list[tuple[str, str, cluster.Iterative]] = []
+    trees: dict[tuple, list[tuple[str, str, cluster.Agglomerative]]] = {}
     for name, a, params in runs:
         try:
             made = cluster.make(a, **params)
@@ -75,19 +88,41 @@ def fitted(points: DataFrame, runs: Sequence[tuple[str, str, dict]], experiment:
                 shared.append((name, a, made))
             else:
                 rows[name] = (experiment, name, a, made.k, "FAILED", *[None] * 5)
+        elif isinstance(made, cluster.Agglomerative):
+            if 1 <= made.params["n_clusters"] < n:
+                trees.setdefault((made.params["linkage"], made.params["metric"]), []).append((name, a, made))
+            else:
+                rows[name] = (experiment, name, a, made.params["n_clusters"], "FAILED", *[None] * 5)
         else:
-            r = run_one(points, a, params)
-            rows[name] = (experiment, name, a, r.get("k") or params.get("n_clusters"), r["status"], *(r.get(m) for m in (*METRICS, "wcss", "runtime")))
-    if shared:
+            r = run_one(points, a, params, repeats)
+            rows[name] = (experiment, name, a, None, r["status"], *(r.get(m) for m in (*METRICS, "wcss", "runtime")))
+
+    def timed(fit: Callable[[], DataFrame], models: int) -> tuple[DataFrame, float]:
         began = time.perf_counter()
-        labels, _ = cluster.fit_many(points, [m for _, _, m in shared])
-        labels = written(labels, "labels")
-        each = (time.perf_counter() - began) / len(shared)
-        found = metrics.quality_by_model(labels, [m.k for _, _, m in shared])
+        for _ in range(repeats):
+            found = written(fit(), "labels")
+        return found, (time.perf_counter() - began) / repeats / models
+
+    labels, order = None, []
+    if shared:
+        labels, each = timed(lambda: cluster.fit_many(points, [m for _, _, m in shared])[0].select("key", "labels"), len(shared))
+        order += [(name, a, m.k, each) for name, a, m in shared]
+    for group in trees.values():
+        ks = [m.params["n_clusters"] for _, _, m in group]
+        try:
+            cuts, each = timed(lambda: group[0][2].cuts(points, ks).labels, len(group))
+        except ValueError:
+            rows |= {name: (experiment, name, a, k, "FAILED", *[None] * 5) for (name, a, _), k in zip(group, ks)}
+            continue
+        labels = cuts if labels is None else labels.join(cuts.withColumnRenamed("labels", "_more"), "key").select("key", F.concat("labels", "_more").alias("labels"))
+        order += [(name, a, k, each) for (name, a, _), k in zip(group, ks)]
+    if labels is not None:
+        labels = written(labels.join(points.select("key", F.col("x").cast("array<double>").alias("x")), "key"), "labelled")
+        found = metrics.quality_by_model(labels, [k for *_, k, _ in order])
         means = metrics.silhouettes_by_model(labels).groupBy("model").agg(F.avg("silhouette").alias("s")).collect()  # a row a model
         silhouettes = {r["model"]: r["s"] for r in means}
-        for t, ((name, a, m), (_, _, wcss, ch, db)) in enumerate(zip(shared, found)):
-            rows[name] = (experiment, name, a, m.k, "SUCCESS", silhouettes.get(t), db, ch, wcss, each)
+        for t, ((name, a, k, each), (_, _, wcss, ch, db)) in enumerate(zip(order, found)):
+            rows[name] = (experiment, name, a, k, "SUCCESS", silhouettes.get(t), db, ch, wcss, each)
     return results(points.sparkSession, [rows[name] for name, _, _ in runs])
 
 
@@ -106,7 +141,9 @@ def one_at_a_time(algorithm: str, baseline: dict, space: dict[str, Sequence]) ->
 def candidate_k(df: DataFrame, top_n: int = 2, drop: float = 0.2, agreement: int = 2) -> DataFrame:
     """Numbers of clusters that several kinds of evidence agree on, for each algorithm.
 
-    Evidence: among the best top_n by each metric; WCSS lower by `drop` of the previous K's."""
+    Evidence: among the best top_n by each metric; WCSS lower by `drop` of the previous K's.
+    Runs without k are left out."""
+    df = df.where("k IS NOT NULL")
     w = lambda m: W.partitionBy("algorithm").orderBy(by_metric(m), "k")
     before = F.lag("wcss").over(W.partitionBy("algorithm").orderBy("k"))
     marks = {m: F.when(F.col(m).isNotNull() & (F.row_number().over(w(m)) <= top_n), m) for m in METRICS}
