@@ -386,8 +386,8 @@ def nearest(asking: DataFrame, points: DataFrame, m: int, n: int, width: int, co
     return found.groupBy("id").agg(F.transform(best, lambda e: F.struct(e["d"].alias("d"), e["to"].alias("to"))).alias("near"))
 
 
-#: Distances that are made at once.
-AT_ONCE = 8_000_000
+#: Distances that are made at once, about, and rows of them at least.
+AT_ONCE, ROWS_AT_ONCE = 1_000_000, 96
 
 
 def wide_block(width: int) -> int:
@@ -434,7 +434,7 @@ def ward_closest(x: np.ndarray, c: np.ndarray, ids: np.ndarray, y: np.ndarray, m
         d[rows] = exact(rows, near)
         return np.take_along_axis(far, near, 1).max(1) if k < len(y) else np.full(len(rows), np.inf)
 
-    size = max(1, AT_ONCE // len(y))
+    size = max(ROWS_AT_ONCE, AT_ONCE // len(y))
     room, parts = (np.empty((min(size, len(x)), len(y)), np.float32) for _ in range(2))  # made once: large arrays are slow to make
     for start in range(0, len(x), size):
         rows = np.arange(start, min(len(x), start + size))
