@@ -105,7 +105,7 @@ def fitted(points: DataFrame, runs: Sequence[tuple[str, str, dict]], experiment:
 
     labels, order = None, []
     if shared:
-        labels, each = timed(lambda: cluster.fit_many(points, [m for _, _, m in shared])[0].select("key", "labels"), len(shared))
+        labels, each = timed(lambda: cluster.fit_many(points, [m for _, _, m in shared])[0].select("key", "labels", "x"), len(shared))
         order += [(name, a, m.k, each) for name, a, m in shared]
     for group in trees.values():
         ks = [m.params["n_clusters"] for _, _, m in group]
@@ -114,10 +114,13 @@ def fitted(points: DataFrame, runs: Sequence[tuple[str, str, dict]], experiment:
         except ValueError:
             rows |= {name: (experiment, name, a, k, "FAILED", *[None] * 5) for (name, a, _), k in zip(group, ks)}
             continue
-        labels = cuts if labels is None else labels.join(cuts.withColumnRenamed("labels", "_more"), "key").select("key", F.concat("labels", "_more").alias("labels"))
+        if labels is None:
+            labels = cuts.join(points.select("key", F.col("x").cast("array<double>").alias("x")), "key")
+        else:
+            labels = labels.join(cuts.withColumnRenamed("labels", "_more"), "key").select("key", F.concat("labels", "_more").alias("labels"), "x")
         order += [(name, a, k, each) for (name, a, _), k in zip(group, ks)]
     if labels is not None:
-        labels = written(labels.join(points.select("key", F.col("x").cast("array<double>").alias("x")), "key"), "labelled")
+        labels = written(labels, "labelled") if trees else labels
         found = metrics.quality_by_model(labels, [k for *_, k, _ in order])
         means = metrics.silhouettes_by_model(labels).groupBy("model").agg(F.avg("silhouette").alias("s")).collect()  # a row a model
         silhouettes = {r["model"]: r["s"] for r in means}
